@@ -52,14 +52,19 @@ def _numeric_key(df: DataFrame, col: str) -> Column | None:
     return None
 
 
-def choose_buckets(df: DataFrame, n_buckets: int | None = None) -> int:
+def choose_buckets(df: DataFrame, n_buckets: int | None = None, rows_hint: int | None = None) -> int:
+    """Number of order buckets: one per ~TARGET_ROWS_PER_BUCKET rows.
+
+    ``rows_hint`` (an upper bound of the row count, e.g. the source table's
+    count for a histogram of it) avoids counting a derived frame.
+    """
     if n_buckets is not None:
         return max(1, int(n_buckets))
-    n = df.count()
+    n = rows_hint if rows_hint is not None else df.count()
+    if n <= TARGET_ROWS_PER_BUCKET:
+        return 1  # the whole input fits one bucket: a single bounded window task
     par = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    want = max(par, math.ceil(n / TARGET_ROWS_PER_BUCKET))
-    # never more buckets than a quarter of the rows: segments stay non-trivial
-    return int(max(1, min(MAX_BUCKETS, want, max(1, n // 4))))
+    return int(max(1, min(MAX_BUCKETS, max(par, math.ceil(n / TARGET_ROWS_PER_BUCKET)))))
 
 
 def add_order_bucket(df: DataFrame, order_cols: list[str], descending: bool = False,
@@ -160,7 +165,8 @@ def value_histogram(df: DataFrame, col: str, partition_cols: list[str] | None =
 
 
 def average_rank(df: DataFrame, col: str, out_col: str = "rank",
-                 partition_cols: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
+                 partition_cols: list[str] | None = None, n_buckets: int | None = None,
+                 rows_hint: int | None = None) -> DataFrame:
     """Attach the 1-based average rank of ``col`` (ties share the mean rank).
 
     Ranks come from the value histogram plus a two-level running count, so no
@@ -168,13 +174,18 @@ def average_rank(df: DataFrame, col: str, out_col: str = "rank",
     """
     keys = list(partition_cols or [])
     h = value_histogram(df, col, keys, "_n")
+    if n_buckets is None:
+        n_buckets = choose_buckets(df, None, rows_hint)
     h = prefix_sums(h, [col], ["_n"], keys, n_buckets=n_buckets)
     h = h.select(*keys, col, (F.col("_n_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out_col))
     return df.join(h, on=keys + [col], how="left")
 
 
-def dense_codes(df: DataFrame, col: str, out_col: str = "code", n_buckets: int | None = None) -> DataFrame:
+def dense_codes(df: DataFrame, col: str, out_col: str = "code", n_buckets: int | None = None,
+                rows_hint: int | None = None) -> DataFrame:
     """(value, code): 0-based position of every distinct non-null value in sort order."""
     d = df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    if n_buckets is None:
+        n_buckets = choose_buckets(df, None, rows_hint)
     d = prefix_sums(d, [col], ["_one"], n_buckets=n_buckets)
     return d.select(col, (F.col("_one_cum") - 1).cast("long").alias(out_col))
