@@ -94,3 +94,14 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
 def inverse_quality(x: Column) -> Column:
     """1 / (1 + x): turns a lower-is-better score into a 0-1 quality."""
     return F.lit(1.0) / (F.lit(1.0) + x)
+
+
+def sig_round(x: Column, digits: int = 9) -> Column:
+    """Round to ``digits`` significant digits (comparable across summation orders)."""
+    p = F.pow(F.lit(10.0), F.ceil(F.log10(F.abs(x))) - digits)
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(x == 0, F.lit(0.0)).otherwise(F.round(x / p) * p)
+
+
+def sig_round_sql(x: str, digits: int = 9) -> str:
+    p = f"pow(10.0, ceil(log10(abs({x}))) - {digits})"
+    return f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) = 0 THEN 0.0 ELSE round(({x}) / {p}) * {p} END)"

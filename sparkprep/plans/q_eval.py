@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import norm_ppf_sql
+from ..functions.scalar import norm_ppf_sql, sig_round, sig_round_sql
 from ..operators import evaluate as E
 from .registry import query
 from .tables import SCORES_SQL, scores, t
@@ -222,13 +222,13 @@ _REG_M = f"""SELECT count(*) AS n, avg((y_true - y_pred) * (y_true - y_pred)) AS
 @query("metrics_regression", f"""WITH a AS ({_REG_M}),
 b AS (SELECT *, CASE WHEN var_y * n = 0 THEN (CASE WHEN ss_res = 0 THEN 1.0 ELSE 0.0 END) ELSE 1 - ss_res / (var_y * n) END AS r2,
   CASE WHEN var_y = 0 THEN (CASE WHEN var_e = 0 THEN 1.0 ELSE 0.0 END) ELSE 1 - var_e / var_y END AS ev FROM a)
-SELECT n, round(mse, 2) AS mse, round(sqrt(mse), {D}) AS rmse, round(mae, {D}) AS mae, round(r2, {D}) AS r2, round(mape, {D}) AS mape,
+SELECT n, {sig_round_sql('mse')} AS mse, round(sqrt(mse), {D}) AS rmse, round(mae, {D}) AS mae, round(r2, {D}) AS r2, round(mape, {D}) AS mape,
   round(median_ae, {D}) AS median_ae, round(ev, {D}) AS explained_variance,
   round(CASE WHEN n > 2 THEN 1 - (1 - r2) * (n - 1) / (n - 1 - 1) ELSE r2 END, {D}) AS adjusted_r2 FROM b""")
 def q_metrics_regression(spark, sf):
     """Regression metrics (adjusted R^2 with p = 1)."""
     m = E.regression_metrics(regression(spark, sf))
-    return _r(m.withColumn("mse", F.round("mse", 2)))
+    return _r(m).withColumn("mse", sig_round(F.col("mse")))
 
 
 @query("residuals", f"SELECT o_orderkey, y_pred, round(y_true - y_pred, 4) AS residual FROM {REG_SQL} r")
