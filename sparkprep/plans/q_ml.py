@@ -1 +1,256 @@
-"""Queries."""
+"""Model preparation, linear models, training runs, clustering metrics,
+PCA and anomaly queries (M1-M18, U1-U16)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import anomaly as AN
+from ..operators import cluster as CL
+from ..operators import prep as PR
+from ..operators import reduce as RD
+from ..operators import supervised as SV
+from .registry import query
+from .tables import DOC_LABELS_SQL, doc_labels, t
+
+D = 6
+
+
+# ------------------------------------------------------------------ preparation
+@query("ml_impute", f"""
+WITH d AS {DOC_LABELS_SQL},
+m AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)
+SELECT doc_id, round(coalesce(quality, (SELECT avg(quality) FROM d)), {D}) AS quality,
+  round(coalesce(toxic, (SELECT avg(toxic) FROM d)), {D}) AS toxic, coalesce(lang, (SELECT lang FROM m)) AS lang FROM d""")
+def q_ml_impute(spark, sf):
+    """M1: numeric features -> mean, text -> most frequent value."""
+    d = doc_labels(spark, sf).select("doc_id", "quality", "toxic", "lang")
+    out = PR.impute(d, ["quality", "toxic", "lang"])
+    return out.select("doc_id", F.round("quality", D).alias("quality"), F.round("toxic", D).alias("toxic"), "lang")
+
+
+@query("standard_scale", f"""SELECT l_orderkey, l_linenumber, l_partkey,
+  round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem), {D}) AS l_quantity,
+  round((l_discount - (SELECT avg(l_discount) FROM lineitem)) / (SELECT stddev_pop(l_discount) FROM lineitem), {D}) AS l_discount
+FROM lineitem""")
+def q_standard_scale(spark, sf):
+    """M5: (x - mean) / population std."""
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    out = PR.standard_scale(li, ["l_quantity", "l_discount"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_quantity", D).alias("l_quantity"),
+                      F.round("l_discount", D).alias("l_discount"))
+
+
+def _split_sql(salt: str, test_size: float = 0.2) -> str:
+    return f"""SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY md5('{salt}' || CAST(event_id AS VARCHAR)), event_id)
+  <= floor(count(*) OVER (PARTITION BY event_type) * {test_size} + 0.5) THEN 'test' ELSE 'train' END AS split FROM events"""
+
+
+@query("stratified_split", _split_sql("42"))
+def q_stratified_split(spark, sf):
+    """M6: exact per-class test share, md5 order (hash buckets, no whole-class sort)."""
+    e = t(spark, sf, "events").select("event_id", "event_type")
+    return PR.stratified_split(e, "event_id", "event_type", 0.2, "42").select("event_id", "split")
+
+
+@query("kfold_assign", """SELECT event_id, CAST((row_number() OVER (PARTITION BY event_type ORDER BY md5('42' || CAST(event_id AS VARCHAR)), event_id) - 1) % 5 AS INTEGER) AS fold FROM events""")
+def q_kfold_assign(spark, sf):
+    """Stratified 5-fold assignment."""
+    e = t(spark, sf, "events").select("event_id", "event_type")
+    return PR.assign_folds(e, "event_id", "event_type", 5, "42").select("event_id", "fold")
+
+
+@query("shuffle_split", " UNION ALL ".join(
+    f"SELECT {i} AS split_id, event_id, split FROM ({_split_sql(f'42-{i}', 0.25)})" for i in range(3)))
+def q_shuffle_split(spark, sf):
+    """Three repeated stratified splits (test share 0.25)."""
+    e = t(spark, sf, "events").select("event_id", "event_type")
+    return PR.shuffle_split(e, "event_id", "event_type", 3, 0.25, "42")
+
+
+@query("legacy_prepare", f"""WITH q AS (SELECT quality, toxic FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)
+SELECT round((quality - (SELECT avg(quality) FROM q)) / (SELECT stddev_pop(quality) FROM q), {D}) AS quality,
+  round((toxic - (SELECT avg(toxic) FROM q)) / (SELECT stddev_pop(toxic) FROM q), {D}) AS toxic
+FROM q""")
+def q_legacy_prepare(spark, sf):
+    """M6d: drop NULL rows, numeric only, scale."""
+    out = PR.legacy_prepare(t(spark, sf, "labels").select("quality", "toxic"), ["quality", "toxic"])
+    return out.select(F.round("quality", D).alias("quality"), F.round("toxic", D).alias("toxic"))
+
+
+# ------------------------------------------------------------------ linear models (closed-form oracles)
+_XY = "(SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem)"
+_SUMS = f"(SELECT avg(x) AS mx, avg(y) AS my, sum((x - (SELECT avg(x) FROM {_XY} a)) * (y - (SELECT avg(y) FROM {_XY} b))) AS sxy, " \
+        f"sum((x - (SELECT avg(x) FROM {_XY} c)) * (x - (SELECT avg(x) FROM {_XY} d))) AS sxx, count(*) AS n FROM {_XY} e)"
+
+
+@query("linreg", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, "
+       "round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def q_linreg(spark, sf):
+    """Ordinary least squares (Spark LinearRegression, normal equations)."""
+    r = SV.linear_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "linear_regression")
+    return r.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@query("ridge", f"SELECT round(sxy / (sxx + 1000.0), 4) AS slope, round(my - sxy / (sxx + 1000.0) * mx, 4) AS intercept FROM {_SUMS} s")
+def q_ridge(spark, sf):
+    """Ridge, alpha = 1000 (closed form w = Sxy / (Sxx + alpha))."""
+    r = SV.linear_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "ridge", alpha=1000.0)
+    return r.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@query("lasso", f"""SELECT round(w, 2) AS slope, round(my - w * mx, 2) AS intercept FROM (
+  SELECT *, sign(sxy / n) * greatest(abs(sxy / n) - 5000.0, 0) / (sxx / n) AS w FROM {_SUMS} s)""")
+def q_lasso(spark, sf):
+    """Lasso, alpha = 5000 (one feature: soft threshold)."""
+    r = SV.linear_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "lasso", alpha=5000.0, max_iter=10000)
+    return r.select(F.round("slope", 2).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
+# ------------------------------------------------------------------ training runs (rows-only)
+_CLS_PARAMS = {"random_forest": {"n_estimators": 20, "max_depth": 8}, "gradient_boosting": {"n_estimators": 20}}
+
+
+@query("train_classification")
+def q_train_classification(spark, sf):
+    """Logistic regression, random forest, gradient boosting on
+    documents -> quality; metrics per algorithm and split."""
+    d = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(
+        t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    _pred, metrics = SV.train_models(d, "doc_id", "quality", ["lang", "source", "n_chars"], "classification",
+                                     ["logistic_regression", "random_forest", "gradient_boosting"], _CLS_PARAMS)
+    return metrics
+
+
+@query("train_regression")
+def q_train_regression(spark, sf):
+    """Linear, ridge, lasso, forest, boosting on lineitem -> price."""
+    li = t(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"),
+        "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    _pred, metrics = SV.train_models(li, "line_id", "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"],
+                                     "regression", ["linear_regression", "ridge", "lasso", "random_forest",
+                                                    "gradient_boosting"], _CLS_PARAMS)
+    return metrics
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """Top-20 feature importances of a forest (names from ML attributes)."""
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
+                                         "l_returnflag")
+    return SV.feature_importance(li, "l_orderkey", "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"],
+                                 "regression", "random_forest", {"n_estimators": 20, "max_depth": 8})
+
+
+# ------------------------------------------------------------------ clustering (labels of embeddings as clusters)
+_E = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+
+
+def _emb(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query("cluster_sizes", "SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label")
+def q_cluster_sizes(spark, sf):
+    """U8: rows per cluster."""
+    return CL.cluster_sizes(_emb(spark, sf), "label")
+
+
+@query("cluster_stats", f"""SELECT label AS cluster, CAST(i - 1 AS INTEGER) AS dim, count(*) AS size, round(avg(x[i]), {D}) AS mean,
+  round(stddev_pop(x[i]), {D}) AS std, round(min(x[i]), {D}) AS min, round(max(x[i]), {D}) AS max
+FROM {_E} e, range(1, 65) r(i) GROUP BY label, i""")
+def q_cluster_stats(spark, sf):
+    """Per cluster and dimension: mean, population std, min, max."""
+    return CL.cluster_stats(_emb(spark, sf), "label", "x")
+
+
+_PAIRS = f"""p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, list_distance(a.x, b.x) ^ 2 AS d FROM {_E} a JOIN {_E} b ON a.vec_id <> b.vec_id),
+pc AS (SELECT vec_id, la, lb, avg(d) AS md FROM p GROUP BY ALL),
+s AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM pc GROUP BY vec_id)"""
+
+
+@query("silhouette", f"WITH {_PAIRS} SELECT round(avg(coalesce((b - a) / greatest(a, b), 0.0)), {D}) AS silhouette_sq FROM s")
+def q_silhouette(spark, sf):
+    """U4: silhouette with squared distances from cluster summaries (oracle: all pairs)."""
+    return CL.silhouette_sq(_emb(spark, sf), "label", "x").select(F.round("silhouette_sq", D).alias("silhouette_sq"))
+
+
+_CENT = f"""c AS (SELECT label, i, avg(x[i]) AS cv, count(*) AS n FROM {_E} e, range(1, 65) r(i) GROUP BY label, i),
+g AS (SELECT i, avg(x[i]) AS gv FROM {_E} e, range(1, 65) r(i) GROUP BY i)"""
+
+
+@query("calinski_harabasz", f"""WITH {_CENT},
+bt AS (SELECT sum(c.n * (cv - gv) ^ 2) AS b FROM c JOIN g USING (i)),
+wt AS (SELECT sum((e.x[c.i] - c.cv) ^ 2) AS w FROM {_E} e JOIN c ON e.label = c.label)
+SELECT round((b / ((SELECT count(DISTINCT label) FROM embeddings) - 1)) / (w / ((SELECT count(*) FROM embeddings) - (SELECT count(DISTINCT label) FROM embeddings))), 4) AS calinski_harabasz FROM bt, wt""")
+def q_calinski_harabasz(spark, sf):
+    """Between / within dispersion ratio from summaries."""
+    return CL.calinski_harabasz(_emb(spark, sf), "label", "x").select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
+
+
+@query("davies_bouldin", f"""WITH {_CENT},
+cen AS (SELECT label, list(cv ORDER BY i) AS cx FROM c GROUP BY label),
+sp AS (SELECT e.label, avg(list_distance(e.x, cen.cx)) AS s FROM {_E} e JOIN cen USING (label) GROUP BY e.label),
+m AS (SELECT a.label, max((sa.s + sb.s) / list_distance(a.cx, b.cx)) AS r FROM cen a JOIN cen b ON a.label <> b.label
+      JOIN sp sa ON sa.label = a.label JOIN sp sb ON sb.label = b.label GROUP BY a.label)
+SELECT round(avg(r), {D}) AS davies_bouldin FROM m""")
+def q_davies_bouldin(spark, sf):
+    """Davies-Bouldin index (centroid pairs: k^2 numbers)."""
+    return CL.davies_bouldin(_emb(spark, sf), "label", "x").select(F.round("davies_bouldin", D).alias("davies_bouldin"))
+
+
+@query("kmeans_assign", f"""WITH {_CENT}, cen AS (SELECT label, list(cv ORDER BY i) AS cx FROM c GROUP BY label)
+SELECT e.vec_id, arg_min(cen.label, (list_distance(e.x, cen.cx), cen.label)) AS cluster FROM {_E} e, cen GROUP BY e.vec_id""")
+def q_kmeans_assign(spark, sf):
+    """Assignment of every vector to the nearest of fixed centroids (label means)."""
+    e = _emb(spark, sf)
+    cents = [(c["label"], c["centroid"]) for c in CL.summaries(e, "label", "x")]
+    return CL.assign_nearest(e, "x", cents).select("vec_id", "cluster")
+
+
+@query("kmeans_train")
+def q_kmeans_train(spark, sf):
+    """K-means (k=8) and bisecting k-means on the embeddings; sizes and metrics."""
+    e = _emb(spark, sf)
+    km, _ = CL.kmeans(e, "x", k=8, max_iter=50)
+    sizes = CL.cluster_sizes(km, "cluster").withColumn("method", F.lit("kmeans"))
+    ag = CL.agglomerative(e, "x", k=4)
+    return sizes.unionByName(CL.cluster_sizes(ag, "cluster").withColumn("method", F.lit("bisecting")))
+
+
+@query("pca_variance", f"""WITH s AS (SELECT var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount * 100) AS b,
+  var_samp(l_discount * 100) AS c FROM lineitem),
+l AS (SELECT (a + c) / 2 + sqrt(((a - c) / 2) ^ 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ^ 2 + b * b) AS l2 FROM s)
+SELECT 1 AS component, round(l1 / (l1 + l2), {D}) AS ratio FROM l UNION ALL SELECT 2, round(l2 / (l1 + l2), {D}) FROM l""")
+def q_pca_variance(spark, sf):
+    """Explained-variance ratios of PCA on centred data (2 features, closed form)."""
+    li = t(spark, sf, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("l_discount"))
+    r = RD.variance_ratio(li, ["l_quantity", "l_discount"], 2)
+    return r.select("component", F.round("ratio", D).alias("ratio"))
+
+
+@query("reconstruction_error")
+def q_reconstruction_error(spark, sf):
+    """Mean squared reconstruction residual with 2 of 4 components (scaled data)."""
+    li = t(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return RD.reconstruction_error(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)
+
+
+@query("isolation_forest")
+def q_isolation_forest(spark, sf):
+    """Isolation forest (100 trees, 256-row samples, contamination 0.1) on
+    order features; anomaly count and ratio."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    scored = AN.isolation_forest(o, "o_orderkey", ["o_totalprice", "o_custkey"])
+    return AN.anomaly_summary(scored)
+
+
+@query("anomaly_ratio", """SELECT count(*) FILTER (WHERE anomaly) AS anomalies_detected, count(*) AS n,
+  round(count(*) FILTER (WHERE anomaly) / count(*), 6) AS outlier_ratio FROM (
+  SELECT abs(value - (SELECT avg(value) FROM events)) / (SELECT stddev_samp(value) FROM events) > 3 AS anomaly FROM events)""")
+def q_anomaly_ratio(spark, sf):
+    """Anomaly count / ratio of a flag column (z-score detector here)."""
+    e = t(spark, sf, "events")
+    flagged = AN.zscore_flags(e, "value")
+    return AN.anomaly_summary(flagged).select("anomalies_detected", "n", F.round("outlier_ratio", 6).alias("outlier_ratio"))
