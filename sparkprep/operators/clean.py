@@ -79,7 +79,8 @@ def fit_fill_value(df: DataFrame, col: str, method: str, approx: bool = False):
             return df.agg(F.avg(c)).first()[0]
         if approx:
             return df.agg(F.percentile_approx(c, 0.5, 100_000)).first()[0]
-        return df.agg(F.median(c)).first()[0]
+        q = scan.quantile_values(df, [col], [0.5])[col]
+        return None if q is None else q[0]
     if method == "mode":
         return mode_value(df, col)
     raise ValueError(method)
@@ -204,7 +205,7 @@ def fit_outlier_bounds(df: DataFrame, col: str, method: str = "IQR", approx: boo
     if approx:
         q = df.agg(F.percentile_approx(c, probs, 100_000)).first()[0]
     else:
-        q = df.agg(F.percentile(c, F.array(*[F.lit(p) for p in probs]))).first()[0]
+        q = scan.quantile_values(df, [col], probs)[col]
     if q is None:
         return None
     if method == "IQR":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ingest import column_kind
+from . import scan
 from .clean import fit_outlier_bounds, outlier_expr
 
 
@@ -56,11 +57,10 @@ def outlier_overview(df: DataFrame, cols: list[str] | None = None, digits: int =
     cols = [c for c in (cols or df.columns) if column_kind(df.schema[c].dataType) == "numeric"]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, total_outliers long, outlier_percentage double")
-    qs = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}")
-                  for i, c in enumerate(cols)]).first()  # bounded: two numbers per column
+    qs = scan.quantile_values(df, cols, [0.25, 0.75])  # bounded: two numbers per column
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        q = qs[f"q{i}"]
+        q = qs[c]
         if q is None:
             aggs.append(F.lit(0).cast("long").alias(f"k{i}"))
             continue
@@ -95,7 +95,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, digits: int = 4) -> DataF
 def box_stats(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers (extreme values within 1.5 IQR), outlier count."""
     c = F.col(col).cast("double")
-    q = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    q = scan.quantile_values(df, [col], [0.25, 0.5, 0.75])[col]
     if q is None:
         return df.sparkSession.createDataFrame([], "column string")
     iqr = q[2] - q[0]

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.ingest import column_kind
+from . import scan
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -70,7 +71,9 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
         if kind == "numeric":
             d = col.cast("double")
             aggs += [F.min(d).alias(f"mn{i}"), F.max(d).alias(f"mx{i}"), F.avg(d).alias(f"av{i}"),
-                     F.stddev_samp(d).alias(f"sd{i}"), _pct(d, QUARTILES, approx).alias(f"q{i}")]
+                     F.stddev_samp(d).alias(f"sd{i}")]
+            if approx:
+                aggs.append(_pct(d, QUARTILES, True).alias(f"q{i}"))
         elif kind == "datetime":
             aggs += [F.min(col).cast("string").alias(f"dmn{i}"), F.max(col).cast("string").alias(f"dmx{i}"),
                      F.min(col).cast("timestamp").alias(f"tmn{i}"), F.max(col).cast("timestamp").alias(f"tmx{i}")]
@@ -95,16 +98,25 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
             (F.col(f"mx{i}") if num else null_d).alias("max"),
             (F.col(f"av{i}") if num else null_d).alias("mean"),
             (F.col(f"sd{i}") if num else null_d).alias("std"),
-            (F.col(f"q{i}")[0] if num else null_d).alias("q25"),
-            (F.col(f"q{i}")[1] if num else null_d).alias("median"),
-            (F.col(f"q{i}")[2] if num else null_d).alias("q75"),
+            (F.col(f"q{i}")[0] if num and approx else null_d).alias("q25"),
+            (F.col(f"q{i}")[1] if num and approx else null_d).alias("median"),
+            (F.col(f"q{i}")[2] if num and approx else null_d).alias("q75"),
             (F.col(f"ft{i}").cast("string") if kind == "categorical" else null_s).alias("first_text"),
             (F.col(f"dmn{i}") if dtm else null_s).alias("dmin"),
             (F.col(f"dmx{i}") if dtm else null_s).alias("dmax"),
             (F.col(f"tmn{i}") if dtm else null_t).alias("tmin"),
             (F.col(f"tmx{i}") if dtm else null_t).alias("tmax"),
         ))
-    return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    stats = wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    num_cols = [c for c in cols if column_kind(df.schema[c].dataType) == "numeric"]
+    if approx or not num_cols:
+        return stats
+    # exact quartiles: distributed (histogram + running counts), not a one-task map merge
+    q = scan.exact_quantiles(df, num_cols, QUARTILES)
+    qp = q.groupBy("name").agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-12, F.col("value"))).alias(a)
+                                 for p, a in zip(QUARTILES, ("q25", "median", "q75"))])
+    order = stats.columns
+    return stats.drop("q25", "median", "q75").join(qp, "name", "left").select(*order)
 
 
 def value_counts_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ingest import is_numeric
+from . import scan
 from .clean import fit_domain, onehot
 
 ITEM_SEP = "|"
@@ -26,7 +27,8 @@ def binarize(df: DataFrame, cols: list[str], max_levels: int = 5) -> DataFrame:
     out = df
     keep = []
     numeric = [c for c in cols if is_numeric(df, c)]
-    medians = df.agg(*[F.median(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    qv = scan.quantile_values(df, numeric, [0.5]) if numeric else {}
+    medians = {c: (v[0] if v else None) for c, v in qv.items()}
     for c in cols:
         if c in numeric:
             if medians[c] is not None:

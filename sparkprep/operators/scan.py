@@ -189,3 +189,40 @@ def dense_codes(df: DataFrame, col: str, out_col: str = "code", n_buckets: int |
         n_buckets = choose_buckets(df, None, rows_hint)
     d = prefix_sums(d, [col], ["_one"], n_buckets=n_buckets)
     return d.select(col, (F.col("_one_cum") - 1).cast("long").alias(out_col))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], rows_hint: int | None = None) -> DataFrame:
+    """(name, p, value): exact linearly interpolated quantiles of several columns.
+
+    Same definition as ``percentile`` / pandas ``quantile``: with n non-null
+    values sorted ascending, h = (n - 1) p and the value is
+    v[floor h] + (h - floor h) (v[ceil h] - v[floor h]). Instead of merging
+    value->count maps in one final task, the values are counted per column
+    (one shuffle, combined map-side), ranked with the keyed two-level running
+    count, and the two ranks around h are picked by a join with the
+    (columns x probs) target table.
+    """
+    structs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]
+    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*").filter(F.col("v").isNotNull())
+    hist = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
+    nb = choose_buckets(df, None, rows_hint)
+    cum = prefix_sums(hist, ["v"], ["c"], partition_cols=["name"], n_buckets=nb)
+    tot = hist.groupBy("name").agg(F.sum("c").alias("n"))
+    tg = tot.select("name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    tg = tg.withColumn("h", (F.col("n") - 1) * F.col("p")) \
+        .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
+    first_rank = F.col("c_cum") - F.col("c")
+    lo = cum.join(F.broadcast(tg), "name").filter((first_rank <= F.col("lo")) & (F.col("lo") < F.col("c_cum"))) \
+        .select("name", "p", "h", "lo", F.col("v").alias("v_lo"))
+    hi = cum.join(F.broadcast(tg), "name").filter((first_rank <= F.col("hi")) & (F.col("hi") < F.col("c_cum"))) \
+        .select("name", "p", F.col("v").alias("v_hi"))
+    j = lo.join(hi, ["name", "p"])
+    return j.select("name", "p", (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+
+
+def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    """{col: [q(p) for p in probs]} (None for an all-null column); bounded by cols x probs."""
+    rows = exact_quantiles(df, cols, probs).collect()
+    got = {(r["name"], round(r["p"], 12)): r["value"] for r in rows}
+    return {c: ([got.get((c, round(float(p), 12))) for p in probs] if (c, round(float(probs[0]), 12)) in got else None)
+            for c in cols}
