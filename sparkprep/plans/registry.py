@@ -41,5 +41,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     """Import every query module so that the registry is filled."""
     from . import (q_clean, q_eval, q_group, q_ml, q_profile,  # noqa: F401
-                   q_results, q_rules, q_scan, q_sources)
+                   q_results, q_rules, q_scan, q_sources, q_stream)
     return QUERIES
