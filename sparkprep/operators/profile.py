@@ -421,3 +421,30 @@ def column_info(df: DataFrame, order_by: list[str], cols: list[str] | None = Non
         F.col("u").alias("unique_values"), "is_numeric", (F.col("nn") > 0).alias("is_target_candidate"),
         F.coalesce("sample_values", F.lit("")).alias("sample_values"),
         F.when(F.col("nn") > 0, task).alias("recommended_task"))
+
+
+# Name fragments of the name-based type guess, checked in this order.
+NAME_NUMERIC = ["id", "count", "qty", "price", "amount", "freq", "avg", "sum", "total", "days", "hours",
+                "minutes", "score", "rate", "percent"]
+NAME_DATETIME = ["date", "time", "created", "updated", "modified", "timestamp"]
+NAME_CATEGORICAL = ["name", "title", "description", "category", "type", "status"]
+
+
+def infer_type_by_name(name: Column) -> Column:
+    """numeric / datetime / categorical guessed from a column NAME (substring rules)."""
+    low = F.lower(name)
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    return (F.when(has(NAME_NUMERIC), F.lit("numeric")).when(has(NAME_DATETIME), F.lit("datetime"))
+            .otherwise(F.lit("categorical")))
+
+
+# Colour bands of the quality score (at least).
+QUALITY_BANDS = [(80, "good"), (60, "warning")]
+QUALITY_BAND_FALLBACK = "poor"
+
+
+def quality_band(score: Column) -> Column:
+    out = F.lit(QUALITY_BAND_FALLBACK)
+    for thr, name in reversed(QUALITY_BANDS):
+        out = F.when(score >= thr, F.lit(name)).otherwise(out)
+    return out

@@ -254,3 +254,64 @@ def q_anomaly_ratio(spark, sf):
     e = t(spark, sf, "events")
     flagged = AN.zscore_flags(e, "value")
     return AN.anomaly_summary(flagged).select("anomalies_detected", "n", F.round("outlier_ratio", 6).alias("outlier_ratio"))
+
+
+@query("cv_scores")
+def q_cv_scores(spark, sf):
+    """Stratified 5-fold accuracy of logistic regression (scaler fitted per fold), mean and std."""
+    from ..operators.supervised import cross_validate
+    d = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(
+        t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return cross_validate(d, "doc_id", "quality", ["lang", "source", "n_chars"], "classification",
+                          "logistic_regression", 5)
+
+
+@query("model_artifact")
+def q_model_artifact(spark, sf):
+    """Save a fitted model to the shared folder, load it back, predictions agree."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from ..operators.supervised import load_model, save_model
+    from ..session import scratch_path
+    e = t(spark, sf, "events").select("event_id", (F.col("event_type") == "purchase").cast("double").alias("label"),
+                                      "value", "user_id")
+    v = VectorAssembler(inputCols=["value", "user_id"], outputCol="features").transform(e)
+    m = LogisticRegression(maxIter=50).fit(v)
+    path = save_model(m, scratch_path(spark, "model-artifact"))
+    back = load_model(path, "LogisticRegressionModel")
+    a = m.transform(v).select("event_id", F.col("prediction").alias("p1"))
+    b = back.transform(v).select("event_id", F.col("prediction").alias("p2"))
+    return a.join(b, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("equal"))
+
+
+@query("train_unsupervised")
+def q_train_unsupervised(spark, sf):
+    """Family routing with per-method error rows."""
+    from ..operators.unsupervised import train_unsupervised
+    from .q_rules import type_baskets
+    o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    feats = ["o_totalprice", "o_custkey"]
+    parts = [train_unsupervised(o, "o_orderkey", feats, "clustering", ["kmeans", "agglomerative", "pca"],
+                                {"kmeans": {"n_clusters": 4, "max_iter": 30}, "agglomerative": {"n_clusters": 3}})
+             .withColumn("family", F.lit("clustering")),
+             train_unsupervised(o, "o_orderkey", feats, "dimensionality_reduction").withColumn("family", F.lit("dimensionality_reduction")),
+             train_unsupervised(o, "o_orderkey", feats, "anomaly", params={"isolation_forest": {"n_estimators": 50}})
+             .withColumn("family", F.lit("anomaly")),
+             train_unsupervised(type_baskets(spark, sf), "l_orderkey", [], "association", items_col="items",
+                                params={"apriori": {"min_support": 0.1, "min_confidence": 0.3}})
+             .withColumn("family", F.lit("association"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("results_export")
+def q_results_export(spark, sf):
+    """One JSON document per run, written as JSON files to the shared folder and read back."""
+    from ..operators.results import results_json
+    from ..session import scratch_path
+    from .q_results import model_results
+    path = scratch_path(spark, "results-export")
+    results_json(model_results(spark, sf)).write.json(path)
+    return spark.read.json(path)

@@ -264,3 +264,20 @@ def q_column_info(spark, sf):
     """Training column table with three first samples in row order."""
     e = t(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
     return P.column_info(e, ["event_id"])
+
+
+def _name_type_sql(col: str) -> str:
+    n = f"lower({col})"
+    num = " OR ".join(f"contains({n}, '{w}')" for w in P.NAME_NUMERIC)
+    dt = " OR ".join(f"contains({n}, '{w}')" for w in P.NAME_DATETIME)
+    return f"CASE WHEN {num} THEN 'numeric' WHEN {dt} THEN 'datetime' ELSE 'categorical' END"
+
+
+@query("profile_name_types", f"""SELECT name, type, quality_score,
+  CASE WHEN quality_score >= 80 THEN 'good' WHEN quality_score >= 60 THEN 'warning' ELSE 'poor' END AS quality_band,
+  {_name_type_sql('name')} AS name_type FROM ({profile_sql(DOC_LABELS_SQL, DOCLABEL_COLS)})""")
+def q_profile_name_types(spark, sf):
+    """Quality colour band and the name-based type guess next to the profiled type."""
+    p = P.profile_frame(doc_labels(spark, sf))
+    return p.select("name", "type", "quality_score", P.quality_band(F.col("quality_score")).alias("quality_band"),
+                    P.infer_type_by_name(F.col("name")).alias("name_type"))
