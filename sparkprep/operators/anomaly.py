@@ -2,9 +2,9 @@
 scored over all rows in Arrow batches) and simple flag summaries.
 
 Plan:
-1. per-tree samples: every row draws one hash-based uniform number per tree;
-   rows under ``3 * psi / n`` are candidates and the ``psi`` smallest draws of
-   each tree are kept (a per-tree window over ~3 * psi rows) — no n x T shuffle;
+1. per-tree samples: every row is hashed into m = ceil(3 psi T / n) of the T
+   trees, and each tree keeps the ``psi`` rows with the smallest second hash
+   (a per-tree window over ~3 psi rows) — no n x T expansion;
 2. trees are grown by ``groupBy(tree).applyInPandas`` (one task per tree,
    <= psi rows each);
 3. the forest (T x < 2 psi nodes, independent of n) is shipped once in the task
@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649015329
@@ -72,14 +72,12 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], n_trees: int
     data = df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).na.drop()
     n = data.count()
     psi = int(min(max_samples, n))
-    p = min(1.0, 3.0 * psi / max(n, 1))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                        lambda t: F.struct(t.alias("tree"),
-                                           (F.abs(F.xxhash64(F.col(key), t, F.lit(seed))) % F.lit(1 << 30)
-                                            / F.lit(float(1 << 30))).alias("u")))
-    cand = data.select("*", F.explode(F.filter(draws, lambda s: s["u"] < F.lit(p))).alias("d")) \
-        .select("*", F.col("d.tree").alias("tree"), F.col("d.u").alias("u")).drop("d")
-    from pyspark.sql import Window
+    # every row joins m random trees (m ~ 3 psi T / n): each tree sees ~3 psi candidates, keeps the psi first
+    m = max(1, min(n_trees, math.ceil(3.0 * psi * n_trees / max(n, 1))))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(m - 1)),
+                        lambda j: F.pmod(F.xxhash64(F.col(key), j, F.lit(seed)), F.lit(n_trees)).cast("int"))
+    cand = data.select("*", F.explode(F.array_distinct(picks)).alias("tree")) \
+        .withColumn("u", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
     w = Window.partitionBy("tree").orderBy("u", key)
     sample = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi).drop("_rk", "u")
     nodes = sample.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, features, seed, psi), NODE_SCHEMA)
@@ -114,7 +112,8 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], n_trees: int
             yield out
 
     key_type = data.schema[key].dataType.simpleString()
-    scored = data.mapInPandas(score, f"{key} {key_type}, score double")
+    # the scores feed both the threshold and the result: keep them instead of scoring twice in Python
+    scored = data.mapInPandas(score, f"{key} {key_type}, score double").persist()
     cut = scored.agg(F.percentile_approx("score", 1.0 - contamination, 100_000)).first()[0]
     return scored.withColumn("anomaly", F.col("score") > F.lit(cut))
 

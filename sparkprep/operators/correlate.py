@@ -144,23 +144,57 @@ def kendall_pair(df: DataFrame, x: str, y: str, rows_hint: int | None = None,
 
 
 def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame:
-    """Long tau-b matrix (col_x, col_y, r)."""
+    """Long tau-b matrix (col_x, col_y, r): every pair in ONE plan.
+
+    Cells (pair, x, y, count) of all pairs are stacked; dense y codes, bit
+    levels and the keyed running counts all carry the pair id as a key.
+    """
     if len(cols) < 2:
         raise ValueError("Please select at least 2 columns.")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     n = df.count()
-    from .profile import nunique
-    distinct = {r["name"]: r["nunique"] for r in nunique(df, cols).collect()}  # one row per column
-    out = None
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            tau = kendall_pair(df, a, b, n, distinct[b]).select(F.col("tau").alias("r"))
-            if digits is not None:
-                tau = tau.select(F.round("r", digits).alias("r"))
-            part = tau.select(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), "r")
-            if a != b:
-                part = part.unionByName(tau.select(F.lit(b).alias("col_x"), F.lit(a).alias("col_y"), "r"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    cells = None
+    for pid, (a, b) in enumerate(pairs):
+        c = (df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+             .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+             .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).withColumn("pair", F.lit(pid)))
+        cells = c if cells is None else cells.unionByName(c)
+    ys = cells.select("pair", "y").distinct().withColumn("_one", F.lit(1))
+    ys = scan.prefix_sums(ys, ["y"], ["_one"], partition_cols=["pair"],
+                          n_buckets=scan.choose_buckets(df, None, n * len(pairs)))
+    codes = ys.select("pair", "y", (F.col("_one_cum") - 1).alias("r"))
+    # bit levels per pair: enough bits for the pair's largest y code (one row per pair)
+    levels = codes.groupBy("pair").agg(F.max("r").alias("_mr")).select(
+        "pair", F.greatest(F.lit(1), F.ceil(F.log2(F.col("_mr") + 1))).cast("int").alias("_bits"))
+    cr = cells.join(codes, ["pair", "y"]).join(F.broadcast(levels), "pair")
+    lv = cr.select("pair", "x", "c", "r", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("lvl"))
+    bit = F.expr("shiftright(r, lvl) & 1")
+    lv = lv.select("pair", "lvl", F.expr("shiftright(r, lvl + 1)").alias("g"), "x",
+                   F.when(bit == 1, F.col("c")).otherwise(0).alias("ones"),
+                   F.when(bit == 0, F.col("c")).otherwise(0).alias("zeros"))
+    g = lv.groupBy("pair", "lvl", "g", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    g = scan.prefix_sums(g, ["x"], ["ones"], partition_cols=["pair", "lvl", "g"], inclusive=False, suffix="_before",
+                         n_buckets=scan.choose_buckets(df, None, n * len(pairs)))
+    disc = g.groupBy("pair").agg(F.sum(F.col("zeros") * F.col("ones_before")).cast("double").alias("d"))
+    ties = cells.groupBy("pair").agg(F.sum("c").cast("double").alias("n"),
+                                     F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("n3"))
+    tx = cells.groupBy("pair", "x").agg(F.sum("c").alias("t")).groupBy("pair") \
+        .agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"))
+    ty = cells.groupBy("pair", "y").agg(F.sum("c").alias("u")).groupBy("pair") \
+        .agg(F.sum(F.col("u") * (F.col("u") - 1) / 2).alias("n2"))
+    j = ties.join(disc, "pair", "left").join(tx, "pair").join(ty, "pair")  # one row per pair each
+    n0 = F.col("n") * (F.col("n") - 1) / 2
+    num = (n0 - F.col("n1") - F.col("n2") + F.col("n3")) - 2 * F.coalesce(F.col("d"), F.lit(0.0))
+    tau = F.try_divide(num, F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2"))))
+    if digits is not None:
+        tau = F.round(tau, digits)
+    names = F.array(*[F.struct(F.lit(pid).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                      for pid, (a, b) in enumerate(pairs)])
+    j = j.join(df.sparkSession.range(1).select(F.explode(names).alias("s")).select("s.*"), "pair")
+    res = j.select("a", "b", tau.alias("r"))
+    both = res.select(F.col("a").alias("col_x"), F.col("b").alias("col_y"), "r").unionByName(
+        res.filter(F.col("a") != F.col("b")).select(F.col("b").alias("col_x"), F.col("a").alias("col_y"), "r"))
+    return both
 
 
 def correlate(df: DataFrame, cols: list[str], method: str = "pearson", digits: int | None = 4) -> DataFrame:

@@ -196,28 +196,50 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], rows_hin
 
     Same definition as ``percentile`` / pandas ``quantile``: with n non-null
     values sorted ascending, h = (n - 1) p and the value is
-    v[floor h] + (h - floor h) (v[ceil h] - v[floor h]). Instead of merging
-    value->count maps in one final task, the values are counted per column
-    (one shuffle, combined map-side), ranked with the keyed two-level running
-    count, and the two ranks around h are picked by a join with the
-    (columns x probs) target table.
+    v[floor h] + (h - floor h) (v[ceil h] - v[floor h]).
+
+    Histogram refine instead of a one-task value->count map merge: values are
+    counted per column (one shuffle, combined map-side), range-bucketed, and
+    the per-(column, bucket) totals — a small table — locate the bucket that
+    holds each target rank. Only those buckets are sorted; one join with the
+    (columns x probs) targets picks both neighbouring ranks.
     """
+    n_rows = rows_hint if rows_hint is not None else df.count()
+    if n_rows <= TARGET_ROWS_PER_BUCKET:
+        # size-checked small input: one ``percentile`` aggregate (its value map holds <= n_rows entries)
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        wide = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(f"q{i}") for i, c in enumerate(cols)])
+        parts = [F.struct(F.lit(c).alias("name"), F.col(f"q{i}").alias("qs")) for i, c in enumerate(cols)]
+        long = wide.select(F.explode(F.array(*parts)).alias("s")).select("s.name", "s.qs")
+        return long.filter(F.col("qs").isNotNull()).select(
+            "name", F.posexplode("qs").alias("i", "value")).select(
+            "name", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1).alias("p"), "value")
     structs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]
     long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*").filter(F.col("v").isNotNull())
     hist = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    nb = choose_buckets(df, None, rows_hint)
-    cum = prefix_sums(hist, ["v"], ["c"], partition_cols=["name"], n_buckets=nb)
-    tot = hist.groupBy("name").agg(F.sum("c").alias("n"))
-    tg = tot.select("name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    tg = tg.withColumn("h", (F.col("n") - 1) * F.col("p")) \
-        .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
-    first_rank = F.col("c_cum") - F.col("c")
-    lo = cum.join(F.broadcast(tg), "name").filter((first_rank <= F.col("lo")) & (F.col("lo") < F.col("c_cum"))) \
-        .select("name", "p", "h", "lo", F.col("v").alias("v_lo"))
-    hi = cum.join(F.broadcast(tg), "name").filter((first_rank <= F.col("hi")) & (F.col("hi") < F.col("c_cum"))) \
-        .select("name", "p", F.col("v").alias("v_hi"))
-    j = lo.join(hi, ["name", "p"])
-    return j.select("name", "p", (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+    nb = choose_buckets(df, None, n_rows)
+    b = add_order_bucket(hist, ["v"], n_buckets=nb)
+    seg = b.groupBy("name", BUCKET_COL).agg(F.sum("c").alias("t"))
+    w_prev = Window.partitionBy("name").orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select("name", BUCKET_COL, "t", F.coalesce(F.sum("t").over(w_prev), F.lit(0)).alias("off"),
+                     F.sum("t").over(Window.partitionBy("name")).alias("n"))
+    tg = seg.select("name", "n").distinct().select(
+        "name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    tg = tg.withColumn("h", (F.col("n") - 1) * F.col("p")).withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
+    # (target, bucket) pairs whose rank range holds rank lo or rank hi: at most 2 per target
+    holds = lambda r: (F.col("off") <= F.col(r)) & (F.col(r) < F.col("off") + F.col("t"))
+    need = seg.join(tg, "name").filter(holds("lo") | holds("hi")) \
+        .select("name", BUCKET_COL, "off", "p", "h", "lo", "hi")
+    keys = need.select("name", BUCKET_COL, "off").distinct()  # <= 2 x probs rows per column
+    rows = b.join(F.broadcast(keys), ["name", BUCKET_COL])
+    w_in = Window.partitionBy("name", BUCKET_COL).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("last", F.col("off") + F.sum("c").over(w_in)).withColumn("first", F.col("last") - F.col("c"))
+    pick = rows.join(F.broadcast(need.select("name", BUCKET_COL, "p", "h", "lo", "hi")), ["name", BUCKET_COL])
+    inside = lambda r: (F.col("first") <= F.col(r)) & (F.col(r) < F.col("last"))
+    g = pick.groupBy("name", "p").agg(F.max("h").alias("h"), F.max("lo").alias("lo"),
+                                      F.max(F.when(inside("lo"), F.col("v"))).alias("v_lo"),
+                                      F.max(F.when(inside("hi"), F.col("v"))).alias("v_hi"))
+    return g.select("name", "p", (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
 
 
 def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
