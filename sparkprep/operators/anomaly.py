@@ -131,3 +131,58 @@ def anomaly_summary(flagged: DataFrame, flag: str = "anomaly") -> DataFrame:
     """anomalies_detected, n, outlier_ratio."""
     return flagged.agg(F.count_if(F.col(flag)).alias("anomalies_detected"), F.count(F.lit(1)).alias("n"),
                        (F.count_if(F.col(flag)) / F.count(F.lit(1))).alias("outlier_ratio"))
+
+
+def one_class_svm(df: DataFrame, key: str, features: list[str], nu: float = 0.5, kernel: str = "rbf",
+                  gamma: str | float = "scale", n_components: int = 100, iterations: int = 60,
+                  seed: int = 42) -> DataFrame:
+    """One-class SVM, approximated: random Fourier features for the RBF kernel
+    (linear kernel: the features themselves), then the primal objective
+    0.5|w|^2 - rho + 1/(nu n) sum max(0, rho - w.phi(x)) minimised by full-batch
+    subgradient steps, each step one aggregate over the rows. Results are NOT
+    identical to a libsvm solve; 'poly' and 'sigmoid' kernels are refused.
+    Adds ``decision`` and ``anomaly`` (decision < 0)."""
+    if kernel not in ("rbf", "linear"):
+        raise ValueError(f"kernel '{kernel}' is not supported (rbf, linear)")
+    data = df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).na.drop()
+    d = len(features)
+    if kernel == "rbf":
+        if gamma == "scale":
+            var = data.agg(F.avg(sum(F.col(c) * F.col(c) for c in features) / d).alias("m2"),
+                           *[F.avg(c).alias(f"m_{c}") for c in features]).first()
+            mean_all = sum(var[f"m_{c}"] for c in features) / d  # variance of all values, as X.var()
+            g = 1.0 / (d * max(var["m2"] - mean_all ** 2, 1e-12))
+        elif gamma == "auto":
+            g = 1.0 / d
+        else:
+            g = float(gamma)
+        rng = np.random.default_rng(seed)
+        W = rng.normal(0.0, math.sqrt(2 * g), (n_components, d))
+        b = rng.uniform(0, 2 * math.pi, n_components)
+        scale = math.sqrt(2.0 / n_components)
+        phi = [F.lit(scale) * F.cos(sum(F.col(c) * F.lit(float(W[j, i])) for i, c in enumerate(features))
+                                    + F.lit(float(b[j]))) for j in range(n_components)]
+    else:
+        phi = [F.col(c) for c in features]
+    k = len(phi)
+    z = data.select(key, F.array(*phi).alias("z")).persist()
+    n = z.count()
+    w = np.zeros(k)
+    rho = 0.0
+    for t in range(1, iterations + 1):
+        wl = F.array(*[F.lit(float(v)) for v in w])
+        margin = F.aggregate(F.zip_with(F.col("z"), wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
+        agg = z.filter(margin < F.lit(rho)).agg(
+            F.count(F.lit(1)).alias("cnt"),
+            *[F.sum(F.col("z")[j]).alias(f"s{j}") for j in range(k)]).first()
+        cnt = agg["cnt"]
+        s = np.array([agg[f"s{j}"] or 0.0 for j in range(k)])
+        grad_w = w - s / (nu * n)
+        grad_rho = -1.0 + cnt / (nu * n)
+        lr = 1.0 / math.sqrt(t)
+        w = w - lr * grad_w
+        rho = rho - lr * grad_rho
+    wl = F.array(*[F.lit(float(v)) for v in w])
+    dec = F.aggregate(F.zip_with(F.col("z"), wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v) - F.lit(rho)
+    out = z.select(key, dec.alias("decision"))
+    return out.withColumn("anomaly", F.col("decision") < 0)

@@ -160,3 +160,50 @@ def agglomerative(df: DataFrame, vec: str, k: int = 2, micro: int = 1000, seed:
 
 def to_array(df: DataFrame, vec_col: str, out: str) -> DataFrame:
     return df.withColumn(out, vector_to_array(vec_col))
+
+
+def dbscan_points(df: DataFrame, key: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """DBSCAN point roles (core / border / noise) on a few numeric columns, exact.
+
+    Grid of side eps / sqrt(d): two points of one cell are always within eps,
+    so a cell holding >= min_samples points is all-core with no pair checked.
+    Only points of SPARSE cells (< min_samples points) are paired with the
+    points of the (2R+1)^d neighbouring cells (R = ceil(sqrt(d))). Every point
+    q is paired with at most (2R+1)^d * (min_samples - 1) sparse points, so the
+    number of pairs is linear in n even when one cell holds a third of the
+    rows. Neighbour counts include the point itself (as the reference does).
+    """
+    d = len(cols)
+    if d > 4:
+        raise ValueError("grid DBSCAN is meant for up to 4 dimensions")
+    side = eps / math.sqrt(d)
+    reach = math.ceil(math.sqrt(d))
+    pts = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]) \
+        .na.drop()
+    cell = [F.floor(F.col(f"x{i}") / F.lit(side)).cast("long").alias(f"c{i}") for i in range(d)]
+    pts = pts.select("*", *cell)
+    ckeys = [f"c{i}" for i in range(d)]
+    counts = pts.groupBy(*ckeys).agg(F.count(F.lit(1)).alias("cell_n"))
+    p = pts.join(counts, ckeys)
+    sparse = p.filter(F.col("cell_n") < min_samples)
+    offs = [list(o) for o in __import__("itertools").product(range(-reach, reach + 1), repeat=d)]
+    off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
+    probe = sparse.select("id", *[F.col(f"x{i}").alias(f"px{i}") for i in range(d)],
+                          F.explode(off_arr).alias("o"), *ckeys)
+    probe = probe.select("id", *[f"px{i}" for i in range(d)],
+                         *[(F.col(f"c{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(d)])
+    other = p.select(F.col("id").alias("qid"), *[F.col(f"x{i}").alias(f"qx{i}") for i in range(d)], *ckeys,
+                     F.col("cell_n").alias("q_cell_n"))
+    pairs = probe.join(other, ckeys)
+    dist2 = sum((F.col(f"px{i}") - F.col(f"qx{i}")) ** 2 for i in range(d))
+    pairs = pairs.filter(dist2 <= F.lit(eps * eps))
+    nb = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
+    roles = p.select("id", "cell_n").join(nb, "id", "left").select(
+        "id", ((F.col("cell_n") >= min_samples) | (F.coalesce("neighbours", F.lit(0)) >= min_samples)).alias("core"))
+    # border: a non-core point (always in a sparse cell) with a core point within eps
+    core_ids = roles.filter("core").select(F.col("id").alias("qid"), F.lit(True).alias("q_core"))
+    near_core = pairs.join(core_ids, "qid").groupBy("id").agg(F.lit(True).alias("near_core"))
+    out = roles.join(near_core, "id", "left").select(
+        F.col("id").alias(key), "core",
+        (~F.col("core") & F.coalesce("near_core", F.lit(False))).alias("border"))
+    return out.withColumn("noise", ~F.col("core") & ~F.col("border"))

@@ -315,3 +315,27 @@ def q_results_export(spark, sf):
     path = scratch_path(spark, "results-export")
     results_json(model_results(spark, sf)).write.json(path)
     return spark.read.json(path)
+
+
+_DB_PTS = "(SELECT event_id AS id, value / 50.0::DOUBLE AS x, user_id / 15.0::DOUBLE AS y FROM events)"
+
+
+@query("dbscan_core", f"""WITH p AS {_DB_PTS},
+pr AS (SELECT a.id, b.id AS qid FROM p a JOIN p b ON b.x BETWEEN a.x - 0.1::DOUBLE AND a.x + 0.1::DOUBLE
+       AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.1::DOUBLE * 0.1::DOUBLE),
+c AS (SELECT id, count(*) >= 5 AS core FROM pr GROUP BY id),
+nc AS (SELECT DISTINCT pr.id FROM pr JOIN c ON pr.qid = c.id WHERE c.core)
+SELECT c.id AS event_id, c.core, (NOT c.core AND nc.id IS NOT NULL) AS border,
+  (NOT c.core AND nc.id IS NULL) AS noise FROM c LEFT JOIN nc ON c.id = nc.id""")
+def q_dbscan_core(spark, sf):
+    """DBSCAN core / border / noise roles (eps 0.1, min_samples 5) on (value/50, user/15)."""
+    e = t(spark, sf, "events").select("event_id", (F.col("value") / 50.0).alias("x"), (F.col("user_id") / 15.0).alias("y"))
+    return CL.dbscan_points(e, "event_id", ["x", "y"], eps=0.1, min_samples=5)
+
+
+@query("one_class_svm")
+def q_one_class_svm(spark, sf):
+    """One-class SVM (RBF via random Fourier features, nu 0.5) on order features."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    s = PR.standard_scale(o, ["o_totalprice", "o_custkey"])
+    return AN.anomaly_summary(AN.one_class_svm(s, "o_orderkey", ["o_totalprice", "o_custkey"], nu=0.5, iterations=30))

@@ -89,3 +89,17 @@ def test_detections_fallback(spark):
     assert set(out) == {0, 2}
     assert out[2]["name"] == "Class_7 (Low Confidence)" and (out[2]["w"], out[2]["h"]) == (2, 7)
     assert out[0]["w"] == 10
+
+
+def test_dbscan_roles_with_hot_cell(spark):
+    rng = np.random.default_rng(4)
+    pts = np.vstack([np.zeros((60, 2)) + 0.01 * rng.random((60, 2)),      # one hot cell
+                     rng.random((80, 2)) * 3.0])                            # scattered
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id int, x double, y double")
+    got = {r["id"]: (r["core"], r["border"], r["noise"]) for r in CL.dbscan_points(df, "id", ["x", "y"], 0.3, 5).collect()}
+    d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
+    nb = (d2 <= 0.09).sum(1)
+    core = nb >= 5
+    for i in range(len(pts)):
+        border = (not core[i]) and bool(((d2[i] <= 0.09) & core).any())
+        assert got[i] == (bool(core[i]), border, (not core[i]) and not border)
