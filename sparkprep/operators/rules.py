@@ -22,15 +22,23 @@ ITEM_SEP = "|"
 
 
 def binarize(df: DataFrame, cols: list[str], max_levels: int = 5) -> DataFrame:
-    """Numeric -> ``<col>_high`` = value > median; text with <= ``max_levels``
-    values -> one-hot; other columns are dropped. Result columns are 0/1 ints."""
+    """0/1 columns pass through; other numeric -> ``<col>_high`` = value > median;
+    text with <= ``max_levels`` values -> one-hot; other columns are dropped."""
     out = df
     keep = []
     numeric = [c for c in cols if is_numeric(df, c)]
     qv = scan.quantile_values(df, numeric, [0.5]) if numeric else {}
     medians = {c: (v[0] if v else None) for c, v in qv.items()}
+    binary = set()
+    for c in numeric:  # already 0/1 indicator columns pass through unchanged
+        vals = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(3).collect()]
+        if vals and set(vals) <= {0, 1}:
+            binary.add(c)
     for c in cols:
-        if c in numeric:
+        if c in binary:
+            out = out.withColumn(c, F.col(c).cast("int"))
+            keep.append(c)
+        elif c in numeric:
             if medians[c] is not None:
                 out = out.withColumn(f"{c}_high", (F.col(c) > F.lit(medians[c])).cast("int"))
                 keep.append(f"{c}_high")

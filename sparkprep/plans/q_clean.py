@@ -126,7 +126,7 @@ def q_missing_mode_text(spark, sf):
 SELECT event_id, last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
 FROM {EVENTS_GAPPY_SQL} g""")
 def q_missing_ffill(spark, sf):
-    """Forward fill in (ts, event_id) order over the whole table (two-level scan)."""
+    """Forward fill in (ts, event_id) order over the whole table (two-level scan)."""
     out = C.fill_missing(events_gappy(spark, sf), "value", "forward_fill", ["ts", "event_id"])
     return out.select("event_id", "value")
 
@@ -213,14 +213,14 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 @query("encode_onehot", "SELECT c_custkey, c_nationkey, " + ", ".join(
     f"CAST(coalesce(c_mktsegment = '{s}', FALSE) AS INTEGER) AS \"c_mktsegment_{s}\"" for s in SEGMENTS) + " FROM customer")
 def q_encode_onehot(spark, sf):
-    """One-hot columns <col>_<value> in value order, source dropped."""
+    """One-hot columns <col>_<value> in value order appended, source dropped."""
     c = t(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return C.encode(c, "c_mktsegment", "onehot")
 
 
 @query("encode_label", "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS p_type FROM part")
 def q_encode_label(spark, sf):
-    """C17/M3: 0-based code of the sorted text."""
+    """C17/M3/M4: 0-based code of the sorted text."""
     return C.encode(t(spark, sf, "part").select("p_partkey", "p_type"), "p_type", "label")
 
 

@@ -160,7 +160,7 @@ def _spearman_sql(src, cols):
 
 @query("corr_spearman", _spearman_sql("lineitem", CORR_COLS))
 def q_corr_spearman(spark, sf):
-    """Spearman = Pearson of average ranks."""
+    """Spearman = Pearson of average ranks."""
     return R.correlate(t(spark, sf, "lineitem"), CORR_COLS, "spearman")
 
 

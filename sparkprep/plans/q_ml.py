@@ -113,12 +113,13 @@ _CLS_PARAMS = {"random_forest": {"n_estimators": 20, "max_depth": 8}, "gradient_
 
 @query("train_classification")
 def q_train_classification(spark, sf):
-    """Logistic regression, random forest, gradient boosting on
-    documents -> quality; metrics per algorithm and split."""
+    """Every registered classifier (algorithms not
+    chosen -> all) with one-hot text features on documents -> quality."""
     d = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(
         t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    params = dict(_CLS_PARAMS, xgboost={"n_estimators": 20})
     _pred, metrics = SV.train_models(d, "doc_id", "quality", ["lang", "source", "n_chars"], "classification",
-                                     ["logistic_regression", "random_forest", "gradient_boosting"], _CLS_PARAMS)
+                                     None, params)
     return metrics
 
 
@@ -153,7 +154,7 @@ def _emb(spark, sf):
 
 @query("cluster_sizes", "SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label")
 def q_cluster_sizes(spark, sf):
-    """U8: rows per cluster."""
+    """Rows per cluster (plot metadata)."""
     return CL.cluster_sizes(_emb(spark, sf), "label")
 
 

@@ -78,7 +78,7 @@ FROM fin"""
 
 @query("feature_profile", profile_sql("lineitem", LINEITEM_COLS))
 def q_feature_profile(spark, sf):
-    """Feature table of lineitem sorted by importance."""
+    """Feature table of lineitem sorted by importance."""
     return P.feature_profile(t(spark, sf, "lineitem"))
 
 
@@ -163,7 +163,7 @@ def _describe_sql(src, cols):
 
 @query("describe", _describe_sql("lineitem", LINEITEM_COLS))
 def q_describe(spark, sf):
-    """describe() of every numeric column."""
+    """describe() of every numeric column (columns selected by dtype)."""
     return P.describe(t(spark, sf, "lineitem"))
 
 

@@ -80,6 +80,7 @@ def q_rule_summary(spark, sf):
 
 @query("binarize_median", """
 SELECT CAST(o_totalprice > (SELECT median(o_totalprice) FROM orders) AS INTEGER) AS o_totalprice_high,
+  CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS is_urgent,
   CAST(coalesce(o_orderstatus = 'F', FALSE) AS INTEGER) AS o_orderstatus_F, CAST(coalesce(o_orderstatus = 'O', FALSE) AS INTEGER) AS o_orderstatus_O,
   CAST(coalesce(o_orderstatus = 'P', FALSE) AS INTEGER) AS o_orderstatus_P,
   CAST(coalesce(o_orderpriority = '1-URGENT', FALSE) AS INTEGER) AS "o_orderpriority_1-URGENT",
@@ -89,6 +90,7 @@ SELECT CAST(o_totalprice > (SELECT median(o_totalprice) FROM orders) AS INTEGER)
   CAST(coalesce(o_orderpriority = '5-LOW', FALSE) AS INTEGER) AS "o_orderpriority_5-LOW"
 FROM orders""")
 def q_binarize_median(spark, sf):
-    """A0: numeric > median -> _high; text with <= 5 values -> one-hot (o_custkey-like ids dropped)."""
-    o = t(spark, sf, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority")
-    return AR.binarize(o, ["o_totalprice", "o_orderstatus", "o_orderpriority"])
+    """0/1 passthrough; numeric > median -> _high; text with <= 5 values -> one-hot."""
+    o = t(spark, sf, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority",
+                                      (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("is_urgent"))
+    return AR.binarize(o, ["o_totalprice", "is_urgent", "o_orderstatus", "o_orderpriority"])

@@ -56,7 +56,7 @@ SELECT * FROM (VALUES
   (1, 'Initial version', (SELECT count(*) FROM {_V1} d), 5, 'previous'))
   v(version, changes, rows, columns, status)""")
 def q_version_history(spark, sf):
-    """Save, new version, snapshot, restore; list versions newest first."""
+    """Save, new version, snapshot, restore; list versions newest first."""
     root = _versions_root(spark)
     cust = t(spark, sf, "customer")
     V.save_version(cust, root, "customer")
@@ -69,7 +69,7 @@ def q_version_history(spark, sf):
 
 @query("read_version", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal >= 0 GROUP BY 1")
 def q_read_version(spark, sf):
-    """Time travel to version 1 of a branch and aggregate it."""
+    """Time travel to version 1 of a branch (loaded as working set) and aggregate it."""
     root = _versions_root(spark)
     cust = t(spark, sf, "customer")
     V.save_version(cust, root, "customer")

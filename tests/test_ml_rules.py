@@ -103,3 +103,19 @@ def test_dbscan_roles_with_hot_cell(spark):
     for i in range(len(pts)):
         border = (not core[i]) and bool(((d2[i] <= 0.09) & core).any())
         assert got[i] == (bool(core[i]), border, (not core[i]) and not border)
+
+
+def test_image_source_and_detector(spark, tmp_path):
+    from sparkprep.sources.images import decode_png_gray, detect_images, png_gray, quadrant_detector, read_images
+    img = np.zeros((8, 8), dtype=np.uint8)
+    img[1:3, 5:7] = 250  # bright block in the top-right quadrant
+    data = png_gray(img)
+    assert (decode_png_gray(data) == img).all()
+    (tmp_path / "a.png").write_bytes(data)
+    (tmp_path / "notes.txt").write_bytes(b"not an image")
+    (tmp_path / "big.png").write_bytes(data + b"\x00" * 100)
+    imgs = read_images(spark, str(tmp_path), max_bytes=len(data) + 10)
+    assert [r["path"].rsplit("/", 1)[1] for r in imgs.collect()] == ["a.png"]
+    boxes = detect_images(imgs, quadrant_detector).collect()
+    assert len(boxes) == 1 and boxes[0]["class_id"] == 1
+    assert (boxes[0]["x1"], boxes[0]["y1"], boxes[0]["x2"], boxes[0]["y2"]) == (20.0, 4.0, 28.0, 12.0)
