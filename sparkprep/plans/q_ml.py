@@ -259,7 +259,7 @@ def q_anomaly_ratio(spark, sf):
 
 @query("cv_scores")
 def q_cv_scores(spark, sf):
-    """Stratified 5-fold accuracy of logistic regression (scaler fitted per fold), mean and std."""
+    """Stratified 5-fold accuracy of logistic regression (scaler fitted per fold), mean and std."""
     from ..operators.supervised import cross_validate
     d = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(
         t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
