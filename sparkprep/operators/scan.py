@@ -111,7 +111,17 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     Adds ``<col><suffix>`` columns.
     """
     keys = list(partition_cols or [])
-    b = add_order_bucket(df, order_cols, descending, n_buckets)
+    nb = choose_buckets(df, n_buckets)
+    frame_end = 0 if inclusive else -1
+    if nb <= 1:
+        # input within one bucket (<= TARGET_ROWS_PER_BUCKET rows, or one per key): a plain window
+        w1 = Window.partitionBy(*keys).orderBy(*_order_exprs(order_cols, descending)) \
+            .rowsBetween(Window.unboundedPreceding, frame_end)
+        out = df
+        for c in sum_cols:
+            out = out.withColumn(f"{c}{suffix}", F.coalesce(F.sum(c).over(w1), F.lit(0)))
+        return out
+    b = add_order_bucket(df, order_cols, descending, nb)
     seg = keys + [BUCKET_COL]
     tot = b.groupBy(*seg).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_prev = Window.partitionBy(*keys).orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
@@ -120,7 +130,6 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     if not keys:
         off = F.broadcast(off)  # one row per bucket: bounded by MAX_BUCKETS
     j = b.join(off, on=seg, how="left")
-    frame_end = 0 if inclusive else -1
     w_in = Window.partitionBy(*seg).orderBy(*_order_exprs(order_cols, descending)) \
         .rowsBetween(Window.unboundedPreceding, frame_end)
     for c in sum_cols:
@@ -138,9 +147,14 @@ def carry_fill(df: DataFrame, value_col: str, order_cols: list[str],
     keys = list(partition_cols or [])
     out_col = out_col or value_col
     fwd = direction == "forward"
-    b = add_order_bucket(df, order_cols, descending=not fwd, n_buckets=n_buckets)
-    seg = keys + [BUCKET_COL]
     v = F.col(value_col)
+    nb = choose_buckets(df, n_buckets)
+    if nb <= 1:
+        w1 = Window.partitionBy(*keys).orderBy(*_order_exprs(order_cols, not fwd)) \
+            .rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out_col, F.last(v, ignorenulls=True).over(w1))
+    b = add_order_bucket(df, order_cols, descending=not fwd, n_buckets=nb)
+    seg = keys + [BUCKET_COL]
     ordv = F.struct(*[F.col(c) for c in order_cols])
     pick = F.when(v.isNotNull(), ordv)
     agg = F.max_by(v, pick) if fwd else F.min_by(v, pick)

@@ -16,10 +16,10 @@ from .tables import EVENTS_GAPPY_SQL, events_gappy, t
 @query("scan", """SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00' AND l_quantity > 45""")
 def q_scan(spark, sf):
-    """Parquet scan with pushed-down filters and a 3-column projection."""
-    li = t(spark, sf, "lineitem")
-    return li.filter((F.col("l_shipdate") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
-                     & (F.col("l_quantity") > 45)).select("l_orderkey", "l_quantity", "l_extendedprice")
+    """Parquet scan with both filters pushed to the reader and a 3-column projection."""
+    pred = (F.col("l_shipdate") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")) & (F.col("l_quantity") > 45)
+    return I.scan_table(spark, sf, "lineitem", ["l_orderkey", "l_quantity", "l_extendedprice"], pred,
+                        ["l_shipdate", "l_quantity"])
 
 
 @query("csv_roundtrip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -127,3 +127,26 @@ def order_struct(order_by: list[str] | str) -> Column:
     if isinstance(order_by, str):
         order_by = [order_by]
     return F.struct(*[F.col(c) for c in order_by])
+
+
+def scan_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               predicate: Column | None = None, predicate_cols: list[str] | None = None) -> DataFrame:
+    """Projected, filtered scan whose predicate reaches the parquet reader.
+
+    ``nan_to_null`` wraps float columns in ``nanvl``, which hides them from
+    filter pushdown, so the predicate is applied to the RAW columns first. The
+    predicate must reject NULL on the columns it reads (comparisons, IN,
+    BETWEEN); since Spark orders NaN above every number, each float column in
+    ``predicate_cols`` gets an ``isnan`` guard, which makes the result equal to
+    filtering after the NaN -> NULL conversion.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if predicate is not None:
+        cond = predicate
+        for c in predicate_cols or []:
+            if isinstance(df.schema[c].dataType, FLOAT_TYPES):
+                cond = cond & ~F.isnan(F.col(c))
+        df = df.filter(cond)
+    if columns:
+        df = df.select(*columns)
+    return nan_to_null(df)
