@@ -74,3 +74,21 @@ def test_remove_outliers_edge_cases(spark):
     exp = pd.Series(list(range(20)) + [1000], dtype=float)
     q1, q3 = exp.quantile(0.25), exp.quantile(0.75)
     assert ((exp >= q1 - 1.5 * (q3 - q1)) & (exp <= q3 + 1.5 * (q3 - q1))).sum() == 20
+
+
+@pytest.mark.parametrize("parts", [1, 4, 37])
+def test_order_sensitive_ops_partition_independent(spark, parts):
+    from sparkprep.operators import evaluate as E
+    from sparkprep.operators import groupby as G
+    rows = [(i, i % 7, f"v{(i * 13) % 5}", (i * 37 % 101) / 101.0, int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k int, s string, score double, y int").repartition(parts)
+    first = sorted(tuple(r) for r in C.drop_duplicates(df, ["k", "s"], "first", "id").collect())
+    lists = sorted(tuple(r) for r in G.group_aggregate(df.select("k", "s", "id"), "k", "s", "unique_list", ["id"],
+                                                       carry=False).collect())
+    auc = E.roc_auc(df.select(F.col("y").alias("y_true"), F.col("score").alias("y_score"))).first()[0]
+    base = spark.createDataFrame(rows, "id int, k int, s string, score double, y int").coalesce(1)
+    assert first == sorted(tuple(r) for r in C.drop_duplicates(base, ["k", "s"], "first", "id").collect())
+    assert lists == sorted(tuple(r) for r in G.group_aggregate(base.select("k", "s", "id"), "k", "s", "unique_list",
+                                                               ["id"], carry=False).collect())
+    assert auc == pytest.approx(E.roc_auc(base.select(F.col("y").alias("y_true"),
+                                                      F.col("score").alias("y_score"))).first()[0])
