@@ -2,14 +2,14 @@
 
 Input rows: ``(image_id, class_id, confidence, x1, y1, x2, y2)`` — one row per
 raw box, as produced by any per-image detector (see
-``sources.images.detect_images``). Everything below is a filter, a window
-partitioned by image, or a groupBy by image: images are independent, so the
-work spreads over all tasks.
+``sources.images.detect_images``). Everything below is a filter or a
+partial-aggregated groupBy by image: images are independent, so the work
+spreads over all tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_THRESHOLD = 0.25
@@ -40,18 +40,23 @@ def postprocess(det: DataFrame, names: DataFrame, threshold: float = DEFAULT_THR
     """Boxes above the threshold (strict); an image with none keeps its single
     best box, named with a low-confidence suffix. Confidence rounded to 3 dp.
 
-    ``order_col`` breaks confidence ties (first box wins, as ``max`` does).
+    No window per image: kept boxes are a filter, and the fallback is one
+    ``max_by`` per image (partial aggregation), so an image holding a third of
+    all boxes is combined map-side. ``order_col`` breaks confidence ties (first
+    box wins, as ``max`` does).
     """
     d = to_xywh(resolve_names(det, names))
     above = F.col("confidence") > F.lit(threshold)
-    w_img = Window.partitionBy("image_id")
-    w_best = Window.partitionBy("image_id").orderBy(F.col("confidence").desc(), F.col(order_col).asc())
-    d = d.withColumn("_any", F.max(above.cast("int")).over(w_img)) \
-        .withColumn("_rk", F.row_number().over(w_best))
-    keep = above | ((F.col("_any") == 0) & (F.col("_rk") == 1))
-    name = F.when(above, F.col("name")).otherwise(F.concat(F.col("name"), F.lit(LOW_CONFIDENCE_SUFFIX)))
-    return d.filter(keep).select("image_id", order_col, name.alias("name"),
-                                 F.round("confidence", 3).alias("confidence"), "x", "y", "w", "h")
+    cols = ["image_id", order_col, "name", "confidence", "x", "y", "w", "h"]
+    kept = d.filter(above).select(*cols)
+    best = (d.groupBy("image_id")
+            .agg(F.max(above.cast("int")).alias("_any"),
+                 F.max_by(F.struct(*[c for c in cols if c != "image_id"]),
+                          F.struct(F.col("confidence"), -F.col(order_col))).alias("_b"))
+            .filter(F.col("_any") == 0).select("image_id", "_b.*")
+            .withColumn("name", F.concat(F.col("name"), F.lit(LOW_CONFIDENCE_SUFFIX))))
+    out = kept.unionByName(best.select(*cols))
+    return out.withColumn("confidence", F.round("confidence", 3))
 
 
 def summary(post: DataFrame, images: DataFrame | None = None) -> DataFrame:

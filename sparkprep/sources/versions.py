@@ -135,12 +135,10 @@ def drop_dataset(spark: SparkSession, root: str, dataset: str) -> bool:
 
 
 def list_datasets(spark: SparkSession, root: str) -> DataFrame:
-    """Datasets under ``root`` with their newest entry time, newest first."""
+    """Datasets under ``root`` with their newest entry time, newest first (one read of all manifests)."""
     fs, p = _fs(spark, root)
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
-    rows = []
-    for n in names:
-        m = manifest(spark, root, n).agg(F.max("date").alias("d"), F.max("version").alias("v")).first()
-        rows.append((n, m["d"], m["v"]))
-    df = spark.createDataFrame(rows, "dataset string, last_change string, versions int")
-    return df.orderBy(F.col("last_change").desc(), F.col("dataset"))
+    if not fs.exists(p) or not any(st.isDirectory() for st in fs.listStatus(p)):
+        return spark.createDataFrame([], "dataset string, last_change string, versions int")
+    m = spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/*/_manifest")
+    return (m.groupBy("dataset").agg(F.max("date").alias("last_change"), F.max("version").alias("versions"))
+            .orderBy(F.col("last_change").desc(), F.col("dataset")))
