@@ -1,9 +1,12 @@
 """Group-by aggregation of one column, carrying the other columns along.
 
 The reference groups, then merges a second group-by of the other columns
-back on the key. Here both are one ``groupBy.agg`` (the left join on the key
-is folded away); only ``unique_list`` pre-aggregates (key, value) pairs first
-so that a hot key is combined map-side before its list is built.
+back on the key. Here scalar methods and the carried columns are one
+``groupBy.agg`` (the left join on the key is folded away, ``min_by`` / ``max_by``
+combine map-side). Text lists are built in two levels — partial ordered texts
+per (key, order bucket), then one concatenation per key — so a key holding a
+third of all rows is not gathered and sorted in one task; ``unique_list``
+first reduces (key, value) pairs to their first position.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ingest import is_numeric
+from . import scan
 
 METHODS = ("list", "unique_list", "count", "sum", "mean", "first", "last")
 LIST_SEPARATOR = ", "
@@ -41,8 +45,26 @@ def ordered_list(value: Column, order: Column, sep: str = LIST_SEPARATOR, distin
     return F.array_join(vals, sep)
 
 
+def two_level_list(rows: DataFrame, key: str, value: str, order_by: list[str], out_name: str,
+                   n_buckets: int | None = None, sep: str = LIST_SEPARATOR) -> DataFrame:
+    """(key, joined text) built in two levels so a hot key is not sorted in one task.
+
+    Rows are range-bucketed on the leading order column; every (key, bucket)
+    builds its ordered partial text in parallel, then each key concatenates its
+    <= n_buckets partial texts in bucket order.
+    """
+    nb = scan.choose_buckets(rows, n_buckets)
+    if nb <= 1:
+        return rows.groupBy(key).agg(ordered_list(F.col(value), _ord(order_by), sep).alias(out_name))
+    b = scan.add_order_bucket(rows.filter(F.col(value).isNotNull()), order_by, n_buckets=nb)
+    parts = b.groupBy(key, scan.BUCKET_COL).agg(ordered_list(F.col(value), _ord(order_by), sep).alias("_part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(scan.BUCKET_COL, "_part"))),
+                                     lambda x: x["_part"]), sep)
+    return parts.groupBy(key).agg(whole.alias(out_name))
+
+
 def group_aggregate(df: DataFrame, key: str, col: str, method: str = "list", order_by=None,
-                    carry: bool = True, sort: bool = False) -> DataFrame:
+                    carry: bool = True, sort: bool = False, n_buckets: int | None = None) -> DataFrame:
     """Group by ``key`` (NULL keys dropped), aggregate ``col`` with ``method``.
 
     Output: key, ``<col>_<method>``, then every other column's first non-null
@@ -64,11 +86,17 @@ def group_aggregate(df: DataFrame, key: str, col: str, method: str = "list", ord
     v = F.col(col)
     carry_aggs = [first_non_null(c, order_by).alias(c) for c in others]
 
-    if method == "unique_list":
-        # (key, value) first-seen order, combined map-side, then one list per key
-        firsts = (src.filter(v.isNotNull()).groupBy(key, col)
-                  .agg(F.min(_ord(order_by)).alias("_o")))
-        lists = firsts.groupBy(key).agg(ordered_list(F.col(col), F.col("_o")).alias(out_name))
+    if method in ("unique_list", "list"):
+        order = [order_by] if isinstance(order_by, str) else list(order_by)
+        if method == "unique_list":
+            # (key, value) first-seen position, combined map-side before any list is built
+            firsts = (src.filter(v.isNotNull()).groupBy(key, col)
+                      .agg(F.min(_ord(order)).alias("_o")))
+            firsts = firsts.select(key, col, *[F.col(f"_o.{c}").alias(c) for c in order])
+            lists = two_level_list(firsts, key, col, order, out_name, n_buckets)
+        else:
+            lists = two_level_list(src.select(key, col, *[c for c in order if c not in (key, col)]),
+                                   key, col, order, out_name, n_buckets)
         if carry_aggs:
             rest = src.groupBy(key).agg(*carry_aggs)
             out = rest.join(lists, key, "left").withColumn(out_name, F.coalesce(out_name, F.lit("")))
@@ -77,9 +105,7 @@ def group_aggregate(df: DataFrame, key: str, col: str, method: str = "list", ord
             out = keys.join(lists, key, "left").withColumn(out_name, F.coalesce(out_name, F.lit("")))
         out = out.select(key, out_name, *others)
     else:
-        if method == "list":
-            main = ordered_list(v, _ord(order_by))
-        elif method == "count":
+        if method == "count":
             main = F.count(v)
         elif method == "sum":
             main = F.coalesce(F.sum(v), F.lit(0).cast(df.schema[col].dataType))

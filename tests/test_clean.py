@@ -92,3 +92,17 @@ def test_order_sensitive_ops_partition_independent(spark, parts):
                                                                ["id"], carry=False).collect())
     assert auc == pytest.approx(E.roc_auc(base.select(F.col("y").alias("y_true"),
                                                       F.col("score").alias("y_score"))).first()[0])
+
+
+@pytest.mark.parametrize("method", ["list", "unique_list"])
+def test_two_level_lists_match_single_level(spark, method):
+    from sparkprep.operators import groupby as G
+    rows = [(i, 0 if i < 200 else i % 5, f"s{(i * 7) % 11}") for i in range(400)]  # key 0 is hot
+    df = spark.createDataFrame(rows, "id int, k int, s string").repartition(6)
+    one = {r[0]: r[1] for r in G.group_aggregate(df, "k", "s", method, ["id"], carry=False, n_buckets=1).collect()}
+    many = {r[0]: r[1] for r in G.group_aggregate(df, "k", "s", method, ["id"], carry=False, n_buckets=5).collect()}
+    assert one == many
+    exp = [s for i, k, s in rows if k == 0]
+    if method == "unique_list":
+        exp = list(dict.fromkeys(exp))
+    assert one[0] == ", ".join(exp)
