@@ -55,7 +55,7 @@ def _first_value(c: Column, order_by: list[str] | None) -> Column:
 
 
 def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[str] | None = None,
-                 approx: bool = False) -> DataFrame:
+                 approx: bool = False, hist: DataFrame | None = None) -> DataFrame:
     """One row per column from ONE aggregate pass.
 
     Columns: pos, name, kind, integral, total, non_null, min, max, mean, std,
@@ -111,8 +111,14 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
     num_cols = [c for c in cols if column_kind(df.schema[c].dataType) == "numeric"]
     if approx or not num_cols:
         return stats
-    # exact quartiles: distributed (histogram + running counts), not a one-task map merge
-    q = scan.exact_quantiles(df, num_cols, QUARTILES)
+    # exact quartiles, size-checked: small inputs use one percentile aggregate; large ones refine
+    # the value histogram the caller already built (profile) instead of scanning again
+    n_rows = df.count()
+    if hist is not None and n_rows > scan.TARGET_ROWS_PER_BUCKET:
+        h = hist.filter(F.col("name").isin(*num_cols)).select("name", F.col("num").alias("v"), F.col("n").alias("c"))
+        q = scan.quantiles_from_hist(h, QUARTILES, scan.choose_buckets(df, None, n_rows))
+    else:
+        q = scan.exact_quantiles(df, num_cols, QUARTILES, rows_hint=n_rows)
     qp = q.groupBy("name").agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-12, F.col("value"))).alias(a)
                                  for p, a in zip(QUARTILES, ("q25", "median", "q75"))])
     order = stats.columns
@@ -208,8 +214,8 @@ def profile_frame(df: DataFrame, cols: list[str] | None = None, order_by: list[s
                   approx: bool = False) -> DataFrame:
     """Per-column profile with every intermediate field (used by the views below)."""
     cols = cols or [c for c in df.columns if c not in (order_by or [])] or df.columns
-    stats = column_stats(df, cols, order_by, approx)
     hist = value_counts_long(df, cols)
+    stats = column_stats(df, cols, order_by, approx, hist)
     card = hist.groupBy("name").agg(F.count(F.lit(1)).alias("nunique"))
     top = top_values(hist, 5)
     top_agg = top.groupBy("name").agg(

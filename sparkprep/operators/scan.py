@@ -231,8 +231,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], rows_hin
     structs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]
     long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*").filter(F.col("v").isNotNull())
     hist = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    nb = choose_buckets(df, None, n_rows)
-    b = add_order_bucket(hist, ["v"], n_buckets=nb)
+    return quantiles_from_hist(hist, probs, choose_buckets(df, None, n_rows))
+
+
+def quantiles_from_hist(hist: DataFrame, probs: list[float], n_buckets: int = 1) -> DataFrame:
+    """(name, p, value) from a value histogram (name, v, c) — the refine step.
+
+    The per-(column, bucket) totals locate the bucket holding each target rank;
+    only those buckets are sorted (all of them when ``n_buckets`` is 1).
+    """
+    b = add_order_bucket(hist, ["v"], n_buckets=n_buckets) if n_buckets > 1 else hist.withColumn(BUCKET_COL, F.lit(0))
     seg = b.groupBy("name", BUCKET_COL).agg(F.sum("c").alias("t"))
     w_prev = Window.partitionBy("name").orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.select("name", BUCKET_COL, "t", F.coalesce(F.sum("t").over(w_prev), F.lit(0)).alias("off"),
