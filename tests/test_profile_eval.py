@@ -115,3 +115,25 @@ def test_regression_metrics(spark):
     assert m["median_ae"] == pytest.approx(np.median(np.abs(y - f)))
     qq = E.qq_points(E.residuals(df)).orderBy("position").collect()
     assert [r["sample"] for r in qq] == sorted(y - f)
+
+
+def test_large_input_paths_match_small_paths(spark, monkeypatch):
+    """Force the multi-bucket strategies (as on a cluster) and compare with the small-input ones."""
+    from sparkprep.operators import scan
+    from sparkprep.operators import clean as C
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"id": np.arange(600), "k": rng.integers(0, 4, 600),
+                        "v": np.where(rng.random(600) < 0.2, np.nan, rng.normal(size=600).round(2)),
+                        "w": rng.integers(0, 30, 600), "s": rng.choice(["a", "b", "c"], 600)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    from sparkprep.sources.ingest import nan_to_null
+    df = nan_to_null(df)
+    small_prof = sorted(tuple(r) for r in P.feature_profile(df).collect())
+    small_fill = sorted(tuple(r) for r in C.fill_missing(df, "v", "forward_fill", ["id"], by=["k"]).collect())
+    small_q = scan.quantile_values(df, ["v", "w"], [0.1, 0.5, 0.9])
+    monkeypatch.setattr(scan, "TARGET_ROWS_PER_BUCKET", 40)
+    assert sorted(tuple(r) for r in P.feature_profile(df).collect()) == small_prof
+    assert sorted(tuple(r) for r in C.fill_missing(df, "v", "forward_fill", ["id"], by=["k"]).collect()) == small_fill
+    big_q = scan.quantile_values(df, ["v", "w"], [0.1, 0.5, 0.9])
+    for c in ("v", "w"):
+        assert np.allclose(big_q[c], small_q[c])
