@@ -64,7 +64,7 @@ def pick_not_none(*cols: Column) -> Column:
 def percent_text(x: Column, digits: int = 1) -> Column:
     """'12.3%' from a fraction (NULL / 0 -> 'N/A')."""
     return F.when(x.isNull() | (x == 0), F.lit("N/A")).otherwise(
-        F.concat(F.format_number(x * 100, digits).cast("string"), F.lit("%")))
+        F.format_string(f"%.{digits}f%%", F.round(x * 100, digits)))
 
 
 def fixed_text(x: Column, digits: int = 3) -> Column:

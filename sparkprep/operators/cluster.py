@@ -158,10 +158,6 @@ def agglomerative(df: DataFrame, vec: str, k: int = 2, micro: int = 1000, seed:
     return model.transform(d).drop("_features")
 
 
-def to_array(df: DataFrame, vec_col: str, out: str) -> DataFrame:
-    return df.withColumn(out, vector_to_array(vec_col))
-
-
 def dbscan_points(df: DataFrame, key: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """DBSCAN point roles (core / border / noise) on a few numeric columns, exact.
 

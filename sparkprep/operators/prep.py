@@ -136,7 +136,3 @@ def legacy_prepare(df: DataFrame, cols: list[str]) -> DataFrame:
     num = [c for c in cols if is_numeric(df, c)]
     d = df.select(*num).na.drop()
     return standard_scale(d, num)
-
-
-def n_test(n: int, test_size: float) -> int:
-    return math.floor(n * test_size + 0.5)

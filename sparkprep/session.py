@@ -85,7 +85,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def local_dir_exists(path: str) -> bool:
-    return os.path.isdir(path)

@@ -110,25 +110,10 @@ def column_kind(dt: T.DataType) -> str:
     return "other"
 
 
-def columns_of_kind(df: DataFrame, kind: str) -> list[str]:
-    return [f.name for f in df.schema.fields if column_kind(f.dataType) == kind]
-
-
 def is_numeric(df: DataFrame, col: str) -> bool:
     return isinstance(df.schema[col].dataType, T.NumericType)
 
 
-def is_integral(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, T.IntegralType)
-
-
-def order_struct(order_by: list[str] | str) -> Column:
-    """A struct of the order columns: comparable, usable in min_by/max_by."""
-    if isinstance(order_by, str):
-        order_by = [order_by]
-    return F.struct(*[F.col(c) for c in order_by])
-
-
 def scan_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
                predicate: Column | None = None, predicate_cols: list[str] | None = None) -> DataFrame:
     """Projected, filtered scan whose predicate reaches the parquet reader.
