@@ -105,3 +105,16 @@ def sig_round(x: Column, digits: int = 9) -> Column:
 def sig_round_sql(x: str, digits: int = 9) -> str:
     p = f"pow(10.0, ceil(log10(abs({x}))) - {digits})"
     return f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) = 0 THEN 0.0 ELSE round(({x}) / {p}) * {p} END)"
+
+
+def rnd(x, digits: int = 0) -> Column:
+    """Round the double VALUE half away from zero: round(x * 10^d) / 10^d.
+
+    Spark's ``round`` on a double rounds its shortest decimal text (0.5035 ->
+    0.504), whereas the binary value is 0.50349999999999995 (C ``round``,
+    DuckDB and Python give 0.503). Scaling first makes Spark round the binary
+    value too, so results are identical across engines.
+    """
+    c = F.col(x) if isinstance(x, str) else x
+    m = F.lit(float(10 ** digits))
+    return F.round(c * m, 0) / m

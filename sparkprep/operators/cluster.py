@@ -24,6 +24,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
+
 NOISE = -1
 
 
@@ -123,9 +125,9 @@ def cluster_stats(df: DataFrame, label: str, vec: str, digits: int = 6) -> DataF
     """Per cluster and dimension: mean, population std, min, max."""
     ex = df.select(F.col(label).alias("cluster"), F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "v"))
     return ex.groupBy("cluster", "dim").agg(
-        F.count(F.lit(1)).alias("size"), F.round(F.avg("v"), digits).alias("mean"),
-        F.round(F.stddev_pop("v"), digits).alias("std"), F.round(F.min("v"), digits).alias("min"),
-        F.round(F.max("v"), digits).alias("max"))
+        F.count(F.lit(1)).alias("size"), rnd(F.avg("v"), digits).alias("mean"),
+        rnd(F.stddev_pop("v"), digits).alias("std"), rnd(F.min("v"), digits).alias("min"),
+        rnd(F.max("v"), digits).alias("max"))
 
 
 def assign_nearest(df: DataFrame, vec: str, centroids: list[tuple[int, list[float]]], out_col: str = "cluster") -> DataFrame:

@@ -20,6 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from . import scan
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -47,7 +48,7 @@ def _pearson_pairs(df: DataFrame, cols: list[str], digits: int | None) -> DataFr
     for i, j, a, b in pairs:
         rv = F.col(f"r{i}_{j}")
         if digits is not None:
-            rv = F.round(rv, digits)
+            rv = rnd(rv, digits)
         structs.append(F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), rv.alias("r")))
         if i != j:
             structs.append(F.struct(F.lit(b).alias("col_x"), F.lit(a).alias("col_y"), rv.alias("r")))
@@ -84,7 +85,7 @@ def spearman(df: DataFrame, cols: list[str], digits: int | None = 4, order_key:
             ra, rb = f"_r_{a}", f"_r_{b}"
             r = rk.agg(F.try_divide(F.covar_samp(ra, rb), F.stddev_samp(ra) * F.stddev_samp(rb)).alias("r"))
             if digits is not None:
-                r = r.select(F.round("r", digits).alias("r"))
+                r = r.select(rnd("r", digits).alias("r"))
             part = r.select(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), "r")
             if a != b:
                 part = part.unionByName(r.select(F.lit(b).alias("col_x"), F.lit(a).alias("col_y"), "r"))
@@ -187,7 +188,7 @@ def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
     num = (n0 - F.col("n1") - F.col("n2") + F.col("n3")) - 2 * F.coalesce(F.col("d"), F.lit(0.0))
     tau = F.try_divide(num, F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2"))))
     if digits is not None:
-        tau = F.round(tau, digits)
+        tau = rnd(tau, digits)
     names = F.array(*[F.struct(F.lit(pid).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"))
                       for pid, (a, b) in enumerate(pairs)])
     j = j.join(df.sparkSession.range(1).select(F.explode(names).alias("s")).select("s.*"), "pair")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
+
 DEFAULT_THRESHOLD = 0.25
 LOW_CONFIDENCE_SUFFIX = " (Low Confidence)"
 
@@ -56,13 +58,13 @@ def postprocess(det: DataFrame, names: DataFrame, threshold: float = DEFAULT_THR
             .filter(F.col("_any") == 0).select("image_id", "_b.*")
             .withColumn("name", F.concat(F.col("name"), F.lit(LOW_CONFIDENCE_SUFFIX))))
     out = kept.unionByName(best.select(*cols))
-    return out.withColumn("confidence", F.round("confidence", 3))
+    return out.withColumn("confidence", rnd("confidence", 3))
 
 
 def summary(post: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Per image: total objects and mean confidence (3 dp; 0 when none)."""
     s = post.groupBy("image_id").agg(F.count(F.lit(1)).alias("total_objects"),
-                                     F.round(F.avg("confidence"), 3).alias("average_confidence"))
+                                     rnd(F.avg("confidence"), 3).alias("average_confidence"))
     if images is not None:
         s = images.select("image_id").distinct().join(s, "image_id", "left")
     return s.select("image_id", F.coalesce("total_objects", F.lit(0)).cast("long").alias("total_objects"),

@@ -20,7 +20,7 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import norm_ppf
+from ..functions.scalar import norm_ppf, rnd
 from . import scan
 
 EPS = sys.float_info.epsilon  # float64 machine epsilon (clip / MAPE guard)
@@ -145,8 +145,8 @@ def roc_curve(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", digi
     by = list(by or [])
     h = _score_cum(pred, by, y_true, y_score)
     pts = h.select(*by, F.col("score").cast("double").alias("threshold"),
-                   F.round(F.col("neg_cum") / F.col("N"), digits).alias("fpr"),
-                   F.round(F.col("pos_cum") / F.col("P"), digits).alias("tpr"))
+                   rnd(F.col("neg_cum") / F.col("N"), digits).alias("fpr"),
+                   rnd(F.col("pos_cum") / F.col("P"), digits).alias("tpr"))
     start = h.select(*by).distinct().select(*by, F.lit(float("inf")).alias("threshold"),
                                              F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
@@ -170,8 +170,8 @@ def pr_curve(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", digit
     full_before = (F.col("pos_cum") - F.col("pos")) >= F.col("P")  # full recall reached at a higher score
     pts = h.filter(~full_before).select(
         *by, F.col("score").cast("double").alias("threshold"),
-        F.round(F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum")), digits).alias("precision"),
-        F.round(F.col("pos_cum") / F.col("P"), digits).alias("recall"))
+        rnd(F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum")), digits).alias("precision"),
+        rnd(F.col("pos_cum") / F.col("P"), digits).alias("recall"))
     end = h.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("threshold"),
                                            F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)
@@ -198,8 +198,8 @@ def lift_chart(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", dig
     pct_s = (F.col("pos_cum") + F.col("neg_cum")) / n
     pct_p = F.col("pos_cum") / F.col("P")
     return h.select(*by, F.col("score").cast("double").alias("threshold"),
-                    F.round(pct_s, digits).alias("percent_samples"), F.round(pct_p, digits).alias("percent_positives"),
-                    F.round(pct_p / pct_s, digits).alias("lift"))
+                    rnd(pct_s, digits).alias("percent_samples"), rnd(pct_p, digits).alias("percent_positives"),
+                    rnd(pct_p / pct_s, digits).alias("lift"))
 
 
 # ---------------------------------------------------------------- regression

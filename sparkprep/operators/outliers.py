@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..sources.ingest import column_kind
 from . import scan
 from .clean import fit_outlier_bounds, outlier_expr
@@ -69,7 +70,7 @@ def outlier_overview(df: DataFrame, cols: list[str] | None = None, digits: int =
         aggs.append(F.count_if((x < F.lit(q[0] - 1.5 * iqr)) | (x > F.lit(q[1] + 1.5 * iqr))).alias(f"k{i}"))
     wide = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"k{i}").alias("total_outliers"),
-                        F.when(F.col("_n") > 0, F.round(F.col(f"k{i}") * 100.0 / F.col("_n"), digits))
+                        F.when(F.col("_n") > 0, rnd(F.col(f"k{i}") * 100.0 / F.col("_n"), digits))
                         .otherwise(0.0).alias("outlier_percentage")) for i, c in enumerate(cols)]
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
@@ -87,9 +88,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30, digits: int = 4) -> DataF
     b = F.least(F.floor((c - F.lit(mn)) / F.lit(width)).cast("int"), F.lit(bins - 1))
     h = df.filter(c.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return h.select(
-        "bin", F.round(F.lit(mn) + F.col("bin") * F.lit(width), digits).alias("lo"),
-        F.round(F.lit(mn) + (F.col("bin") + 1) * F.lit(width), digits).alias("hi"), "count",
-        F.round(F.col("count") / F.lit(n * width), 8).alias("density"))
+        "bin", rnd(F.lit(mn) + F.col("bin") * F.lit(width), digits).alias("lo"),
+        rnd(F.lit(mn) + (F.col("bin") + 1) * F.lit(width), digits).alias("hi"), "count",
+        rnd(F.col("count") / F.lit(n * width), 8).alias("density"))
 
 
 def box_stats(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
@@ -106,7 +107,7 @@ def box_stats(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
         F.count_if(~inside).alias("n_out")).select(
         F.lit(col).alias("column"), F.lit(round(q[0], digits)).alias("q1"), F.lit(round(q[1], digits)).alias("median"),
         F.lit(round(q[2], digits)).alias("q3"), F.lit(round(iqr, digits)).alias("iqr"),
-        F.round("wl", digits).alias("whisker_low"), F.round("wh", digits).alias("whisker_high"),
+        rnd("wl", digits).alias("whisker_low"), rnd("wh", digits).alias("whisker_high"),
         F.col("n_out").alias("outliers"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import rnd
 from ..sources.ingest import column_kind
 from . import scan
 
@@ -235,7 +236,7 @@ def profile_frame(df: DataFrame, cols: list[str] | None = None, order_by: list[s
     bonus = (F.when((F.col("type") == TYPE_CATEGORICAL) & (F.col("nunique") > 1)
                     & (F.col("nunique") < total * 0.8), 10)
              .when((F.col("type") == TYPE_NUMERIC) & (F.col("nunique") > 10), 15).otherwise(0))
-    return p.withColumn("importance", F.round(F.least(F.lit(100.0), base + bonus), 1))
+    return p.withColumn("importance", rnd(F.least(F.lit(100.0), base + bonus), 1))
 
 
 def feature_profile(df: DataFrame, cols: list[str] | None = None, order_by: list[str] | None = None,
@@ -246,7 +247,7 @@ def feature_profile(df: DataFrame, cols: list[str] | None = None, order_by: list
         F.col("name"), F.col("type"), F.col("total").alias("total_count"),
         F.col("non_null").alias("non_null_count"),
         (F.col("total") - F.col("non_null")).alias("null_count"),
-        F.round("null_pct", 2).alias("null_percentage"),
+        rnd("null_pct", 2).alias("null_percentage"),
         F.col("nunique").alias("unique_count"), F.col("quality_score"),
         F.array_join("issues", "; ").alias("quality_issues"), F.col("importance"),
         F.col("pos"),
@@ -266,7 +267,7 @@ def stats_numeric(df: DataFrame, cols=None, digits: int = 4, approx: bool = Fals
     """min, max, mean, median, std, q25, q75 of numeric columns (one pass)."""
     cols = [c for c in (cols or df.columns) if column_kind(df.schema[c].dataType) == "numeric"]
     s = column_stats(df, cols, None, approx)
-    return s.select("name", *[F.round(c, digits).alias(c) for c in
+    return s.select("name", *[rnd(c, digits).alias(c) for c in
                               ["min", "max", "mean", "median", "std", "q25", "q75"]])
 
 
@@ -279,7 +280,7 @@ def stats_categorical(df: DataFrame, cols=None, k: int = 5) -> DataFrame:
     agg = top_values(hist, k).groupBy("name").agg(
         F.array_sort(F.collect_list(F.struct("rk", "value", "n"))).alias("top"))
     item = lambda x: F.concat_ws(":", x["value"], x["n"].cast("string"),
-                                 F.round(x["n"] * 100.0 / F.lit(n_rows), 2).cast("string"))
+                                 rnd(x["n"] * 100.0 / F.lit(n_rows), 2).cast("string"))
     return card.join(agg, "name", "left").select(
         "name", "unique_values",
         F.col("top")[0]["value"].alias("most_frequent"),
@@ -317,7 +318,7 @@ def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 4, appr
     cols = [c for c in (cols or df.columns) if column_kind(df.schema[c].dataType) == "numeric"]
     s = column_stats(df, cols, None, approx)
     return s.select(F.col("name").alias("column"), F.col("non_null").alias("count"),
-                    *[F.round(c, digits).alias(a) for c, a in
+                    *[rnd(c, digits).alias(a) for c, a in
                       [("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "p25"),
                        ("median", "p50"), ("q75", "p75"), ("max", "max")]])
 
@@ -331,7 +332,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
                for i, c in enumerate(df.columns)]
     long = wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     return long.filter(F.col("missing_count") > 0).select(
-        "column", "missing_count", F.round(F.col("missing_count") * 100.0 / F.col("t"), 2).alias("missing_percentage"))
+        "column", "missing_count", rnd(F.col("missing_count") * 100.0 / F.col("t"), 2).alias("missing_percentage"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -362,7 +363,7 @@ def dataset_info(df: DataFrame) -> DataFrame:
         F.lit(sum(1 for k in kinds.values() if k == "categorical")).alias("categorical_columns"),
         F.lit(sum(1 for k in kinds.values() if k == "datetime")).alias("datetime_columns"),
         "total_missing",
-        F.when(cells > 0, F.round(F.col("total_missing") * 100.0 / cells, 2)).otherwise(F.lit(0.0))
+        F.when(cells > 0, rnd(F.col("total_missing") * 100.0 / cells, 2)).otherwise(F.lit(0.0))
         .alias("missing_percentage"),
         "duplicate_rows")
 
@@ -423,7 +424,7 @@ def column_info(df: DataFrame, order_by: list[str], cols: list[str] | None = Non
             .otherwise("classification"))
     return j.select(
         "name", "dtype", (F.col("t") - F.col("nn")).alias("missing_count"),
-        F.round((F.col("t") - F.col("nn")) * 100.0 / F.col("t"), 2).alias("missing_percentage"),
+        rnd((F.col("t") - F.col("nn")) * 100.0 / F.col("t"), 2).alias("missing_percentage"),
         F.col("u").alias("unique_values"), "is_numeric", (F.col("nn") > 0).alias("is_target_candidate"),
         F.coalesce("sample_values", F.lit("")).alias("sample_values"),
         F.when(F.col("nn") > 0, task).alias("recommended_task"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
+
 RESULT_COLUMNS = ["project_id", "model_id", "algorithm", "problem_type", "split", "metric", "value",
                   "created_at", "error"]
 
@@ -88,7 +90,7 @@ def display_score(results: DataFrame) -> DataFrame:
     s = r.filter(F.col("split").isNull() | (F.col("split") == "test")).select(
         "project_id", "model_id", "problem_type", (val * 100).alias("s"), label.alias("label"))
     return (s.filter(F.col("s").isNotNull()).groupBy("project_id", "model_id", "problem_type")
-            .agg(F.round(F.max("s"), 1).alias("display_score"), F.first("label").alias("score_label")))
+            .agg(rnd(F.max("s"), 1).alias("display_score"), F.first("label").alias("score_label")))
 
 
 def best_metric(results: DataFrame, digits: int = 4) -> DataFrame:
@@ -106,7 +108,7 @@ def best_metric(results: DataFrame, digits: int = 4) -> DataFrame:
     pick = F.min_by(F.struct("metric", "value", "algorithm"), F.struct(F.col("_p"), -F.col("_o"), F.col("algorithm")))
     g = cand.groupBy("project_id", "model_id", "problem_type").agg(pick.alias("b"))
     return g.select("project_id", "model_id", "problem_type", F.col("b.metric").alias("metric"),
-                    F.round("b.value", digits).alias("value"), F.col("b.algorithm").alias("algorithm"))
+                    rnd("b.value", digits).alias("value"), F.col("b.algorithm").alias("algorithm"))
 
 
 def best_model(results: DataFrame, metric: str = "accuracy", split: str = "test") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..operators import clean as C
 from ..operators import outliers as O
 from .registry import query
@@ -90,7 +91,7 @@ SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM {EVENTS_GAPPY_SQL
 def q_missing_mean(spark, sf):
     """Fill NULL with the column mean."""
     out = C.fill_missing(events_gappy(spark, sf), "value", "mean")
-    return out.select("event_id", F.round("value", 4).alias("value"))
+    return out.select("event_id", rnd("value", 4).alias("value"))
 
 
 @query("missing_median", f"""
@@ -98,7 +99,7 @@ SELECT event_id, round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {E
 def q_missing_median(spark, sf):
     """Fill NULL with the exact (interpolated) median."""
     out = C.fill_missing(events_gappy(spark, sf), "value", "median")
-    return out.select("event_id", F.round("value", 4).alias("value"))
+    return out.select("event_id", rnd("value", 4).alias("value"))
 
 
 @query("missing_mode", """
@@ -296,7 +297,7 @@ FROM events, {src} b GROUP BY ALL"""
 def q_outlier_detect_iqr(spark, sf):
     """IQR outlier count, % of all rows, bounds."""
     d = O.detect_outliers(t(spark, sf, "events"), "value", "IQR")
-    return d.select("column", "method", "total_outliers", *[F.round(c, 6).alias(c) for c in
+    return d.select("column", "method", "total_outliers", *[rnd(c, 6).alias(c) for c in
                                                              ("outlier_percentage", "lower", "upper")])
 
 
@@ -306,7 +307,7 @@ def q_outlier_detect_iqr(spark, sf):
 def q_outlier_detect_z(spark, sf):
     """Z-score outliers (|z| > 3)."""
     d = O.detect_outliers(t(spark, sf, "events"), "value", "Z-score")
-    return d.select("column", "method", "total_outliers", *[F.round(c, 6).alias(c) for c in
+    return d.select("column", "method", "total_outliers", *[rnd(c, 6).alias(c) for c in
                                                              ("outlier_percentage", "lower", "upper")])
 
 
@@ -316,7 +317,7 @@ def q_outlier_detect_z(spark, sf):
 def q_outlier_detect_pct(spark, sf):
     """Outside the 5th-95th percentile band."""
     d = O.detect_outliers(t(spark, sf, "events"), "value", "percentile")
-    return d.select("column", "method", "total_outliers", *[F.round(c, 6).alias(c) for c in
+    return d.select("column", "method", "total_outliers", *[rnd(c, 6).alias(c) for c in
                                                              ("outlier_percentage", "lower", "upper")])
 
 

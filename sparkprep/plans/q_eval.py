@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import norm_ppf_sql, sig_round, sig_round_sql
+from ..functions.scalar import norm_ppf_sql, sig_round, sig_round_sql, rnd
 from ..operators import evaluate as E
 from .registry import query
 from .tables import SCORES_SQL, scores, t
@@ -22,7 +22,7 @@ D = 6  # digits compared
 
 
 def _r(df: DataFrame, digits: int = D) -> DataFrame:
-    return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+    return df.select(*[rnd(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                        for f in df.schema.fields])
 
 
@@ -53,16 +53,27 @@ MODELS_SQL = f"""(SELECT model, y_true, CAST(y_score >= thr AS INTEGER) AS y_pre
   FROM {SCORES_SQL} s, (VALUES {', '.join(f"('thr_{x}', {x}::DOUBLE)" for x in THRESHOLDS)}) th(model, thr))"""
 
 
+def dec(c: str):
+    """Money columns as exact decimals: sums then do not depend on summation order."""
+    return F.col(c).cast("decimal(12,2)")
+
+
+def line_total():
+    return F.sum(dec("l_extendedprice") * (1 + dec("l_tax")) * (1 - dec("l_discount"))).cast("double")
+
+
+LINE_TOTAL_SQL = ("CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 + CAST(l_tax AS DECIMAL(12,2))) "
+                  "* (1 - CAST(l_discount AS DECIMAL(12,2)))) AS DOUBLE)")
+
+
 def regression(spark, sf):
-    li = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount"))).alias("y_pred"))
+    li = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(line_total().alias("y_pred"))
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("y_true"))
-    return o.join(li, "l_orderkey").select(F.col("l_orderkey").alias("o_orderkey"), "y_true",
-                                             F.round("y_pred", 2).alias("y_pred"))
+    return o.join(li, "l_orderkey").select(F.col("l_orderkey").alias("o_orderkey"), "y_true", "y_pred")
 
 
-REG_SQL = """(SELECT o.o_orderkey, o.o_totalprice AS y_true, round(p.y_pred, 2) AS y_pred FROM orders o JOIN
-  (SELECT l_orderkey, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS y_pred FROM lineitem GROUP BY l_orderkey) p
+REG_SQL = f"""(SELECT o.o_orderkey, o.o_totalprice AS y_true, p.y_pred FROM orders o JOIN
+  (SELECT l_orderkey, {LINE_TOTAL_SQL} AS y_pred FROM lineitem GROUP BY l_orderkey) p
   ON o.o_orderkey = p.l_orderkey)"""
 
 _PC_SQL = """cc AS (SELECT {by}y_true AS t, y_pred AS p, count(*) AS c FROM {src} x GROUP BY ALL),
@@ -231,21 +242,20 @@ def q_metrics_regression(spark, sf):
     return _r(m).withColumn("mse", sig_round(F.col("mse")))
 
 
-@query("residuals", f"SELECT o_orderkey, y_pred, round(y_true - y_pred, 4) AS residual FROM {REG_SQL} r")
+@query("residuals", f"SELECT o_orderkey, y_pred, y_true - y_pred AS residual FROM {REG_SQL} r")
 def q_residuals(spark, sf):
-    """residual = y - y_hat per prediction."""
-    r = E.residuals(regression(spark, sf), keep=["o_orderkey"])
-    return r.withColumn("residual", F.round("residual", 4))
+    """residual = y - y_hat per prediction (exact decimal line totals, no rounding needed)."""
+    return E.residuals(regression(spark, sf), keep=["o_orderkey"])
 
 
 @query("qq_points", f"""SELECT CAST(position AS BIGINT) AS position, round({norm_ppf_sql('((position + 0.5) / n)')}, {D}) AS theoretical, sample
 FROM (SELECT row_number() OVER (ORDER BY residual) - 1 AS position, count(*) OVER () AS n, residual AS sample
-  FROM (SELECT round(y_true - y_pred, 4) AS residual FROM {REG_SQL} r))""")
+  FROM (SELECT y_true - y_pred AS residual FROM {REG_SQL} r))""")
 def q_qq_points(spark, sf):
     """Sorted residuals against normal quantiles of (i + 0.5) / n."""
-    r = E.residuals(regression(spark, sf)).withColumn("residual", F.round("residual", 4))
+    r = E.residuals(regression(spark, sf))
     q = E.qq_points(r)
-    return q.select(F.col("position").cast("long").alias("position"), F.round("theoretical", D).alias("theoretical"), "sample")
+    return q.select(F.col("position").cast("long").alias("position"), rnd("theoretical", D).alias("theoretical"), "sample")
 
 
 def _summary_sql():
@@ -286,13 +296,13 @@ def q_performance_summary(spark, sf):
     # one row per model: the model count is a window over that small table
     m = m.withColumn("total_models_trained", F.count(F.lit(1)).over(Window.partitionBy()))
     best = best_by(m.join(auc, "model"), "accuracy", tiebreak="model")
-    fmt = lambda c: F.format_string("%.1f%%", F.round(F.col(c) * 100, 1))
+    fmt = lambda c: F.format_string("%.1f%%", rnd(F.col(c) * 100, 1))
     acc, p, r, f1 = F.col("accuracy"), F.col("precision"), F.col("recall"), F.col("f1")
     return best.select(
         F.col("model").alias("best_model_name"), E.performance_level(acc).alias("performance_level"),
         fmt("accuracy").alias("accuracy_text"), fmt("precision").alias("precision_text"),
         fmt("recall").alias("recall_text"), fmt("f1").alias("f1_text"),
-        F.format_string("%.3f", F.round("roc_auc", 3)).alias("auc_text"),
+        F.format_string("%.3f", rnd("roc_auc", 3)).alias("auc_text"),
         E.balance_assessment(p, r).alias("balance_assessment"),
         F.col("total_models_trained").cast("long").alias("total_models_trained"),
         F.array_join(E.recommendations(acc, p, r, f1), " | ").alias("recommendations"))

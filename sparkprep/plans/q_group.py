@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..operators import correlate as R
 from ..operators import groupby as G
 from .registry import query
@@ -58,14 +59,14 @@ def q_group_count(spark, sf):
 def q_group_sum(spark, sf):
     """Sum per customer (all-null group -> 0)."""
     out = G.group_aggregate(_orders(spark, sf), "o_custkey", "o_totalprice", "sum", ORD)
-    return _carry_out(out.withColumn("o_totalprice_sum", F.round("o_totalprice_sum", 2)), "o_totalprice_sum")
+    return _carry_out(out.withColumn("o_totalprice_sum", rnd("o_totalprice_sum", 2)), "o_totalprice_sum")
 
 
 @query("group_mean", f"SELECT o_custkey, round(avg(o_totalprice), 6) AS o_totalprice_mean, {_CARRY} FROM orders GROUP BY o_custkey")
 def q_group_mean(spark, sf):
     """Mean per customer."""
     out = G.group_aggregate(_orders(spark, sf), "o_custkey", "o_totalprice", "mean", ORD)
-    return _carry_out(out.withColumn("o_totalprice_mean", F.round("o_totalprice_mean", 6)), "o_totalprice_mean")
+    return _carry_out(out.withColumn("o_totalprice_mean", rnd("o_totalprice_mean", 6)), "o_totalprice_mean")
 
 
 @query("group_first", f"""SELECT o_custkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) FILTER (WHERE o_totalprice IS NOT NULL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..operators import anomaly as AN
 from ..operators import cluster as CL
 from ..operators import prep as PR
@@ -26,7 +27,7 @@ def q_ml_impute(spark, sf):
     """M1: numeric features -> mean, text -> most frequent value."""
     d = doc_labels(spark, sf).select("doc_id", "quality", "toxic", "lang")
     out = PR.impute(d, ["quality", "toxic", "lang"])
-    return out.select("doc_id", F.round("quality", D).alias("quality"), F.round("toxic", D).alias("toxic"), "lang")
+    return out.select("doc_id", rnd("quality", D).alias("quality"), rnd("toxic", D).alias("toxic"), "lang")
 
 
 @query("standard_scale", f"""SELECT l_orderkey, l_linenumber, l_partkey,
@@ -37,8 +38,8 @@ def q_standard_scale(spark, sf):
     """M5: (x - mean) / population std."""
     li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
     out = PR.standard_scale(li, ["l_quantity", "l_discount"])
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_quantity", D).alias("l_quantity"),
-                      F.round("l_discount", D).alias("l_discount"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", rnd("l_quantity", D).alias("l_quantity"),
+                      rnd("l_discount", D).alias("l_discount"))
 
 
 def _split_sql(salt: str, test_size: float = 0.2) -> str:
@@ -75,7 +76,7 @@ FROM q""")
 def q_legacy_prepare(spark, sf):
     """M6d: drop NULL rows, numeric only, scale."""
     out = PR.legacy_prepare(t(spark, sf, "labels").select("quality", "toxic"), ["quality", "toxic"])
-    return out.select(F.round("quality", D).alias("quality"), F.round("toxic", D).alias("toxic"))
+    return out.select(rnd("quality", D).alias("quality"), rnd("toxic", D).alias("toxic"))
 
 
 # ------------------------------------------------------------------ linear models (closed-form oracles)
@@ -89,14 +90,14 @@ _SUMS = f"(SELECT avg(x) AS mx, avg(y) AS my, sum((x - (SELECT avg(x) FROM {_XY}
 def q_linreg(spark, sf):
     """Ordinary least squares (Spark LinearRegression, normal equations)."""
     r = SV.linear_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "linear_regression")
-    return r.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return r.select(rnd("slope", 4).alias("slope"), rnd("intercept", 4).alias("intercept"))
 
 
 @query("ridge", f"SELECT round(sxy / (sxx + 1000.0), 4) AS slope, round(my - sxy / (sxx + 1000.0) * mx, 4) AS intercept FROM {_SUMS} s")
 def q_ridge(spark, sf):
     """Ridge, alpha = 1000 (closed form w = Sxy / (Sxx + alpha))."""
     r = SV.linear_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "ridge", alpha=1000.0)
-    return r.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return r.select(rnd("slope", 4).alias("slope"), rnd("intercept", 4).alias("intercept"))
 
 
 @query("lasso", f"""SELECT round(w, 2) AS slope, round(my - w * mx, 2) AS intercept FROM (
@@ -104,7 +105,7 @@ def q_ridge(spark, sf):
 def q_lasso(spark, sf):
     """Lasso, alpha = 5000 (one feature: soft threshold)."""
     r = SV.linear_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "lasso", alpha=5000.0, max_iter=10000)
-    return r.select(F.round("slope", 2).alias("slope"), F.round("intercept", 2).alias("intercept"))
+    return r.select(rnd("slope", 2).alias("slope"), rnd("intercept", 2).alias("intercept"))
 
 
 # ------------------------------------------------------------------ training runs (rows-only)
@@ -174,7 +175,7 @@ s AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <
 @query("silhouette", f"WITH {_PAIRS} SELECT round(avg(coalesce((b - a) / greatest(a, b), 0.0)), {D}) AS silhouette_sq FROM s")
 def q_silhouette(spark, sf):
     """U4: silhouette with squared distances from cluster summaries (oracle: all pairs)."""
-    return CL.silhouette_sq(_emb(spark, sf), "label", "x").select(F.round("silhouette_sq", D).alias("silhouette_sq"))
+    return CL.silhouette_sq(_emb(spark, sf), "label", "x").select(rnd("silhouette_sq", D).alias("silhouette_sq"))
 
 
 _CENT = f"""c AS (SELECT label, i, avg(x[i]) AS cv, count(*) AS n FROM {_E} e, range(1, 65) r(i) GROUP BY label, i),
@@ -187,7 +188,7 @@ wt AS (SELECT sum((e.x[c.i] - c.cv) ^ 2) AS w FROM {_E} e JOIN c ON e.label = c.
 SELECT round((b / ((SELECT count(DISTINCT label) FROM embeddings) - 1)) / (w / ((SELECT count(*) FROM embeddings) - (SELECT count(DISTINCT label) FROM embeddings))), 4) AS calinski_harabasz FROM bt, wt""")
 def q_calinski_harabasz(spark, sf):
     """Between / within dispersion ratio from summaries."""
-    return CL.calinski_harabasz(_emb(spark, sf), "label", "x").select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
+    return CL.calinski_harabasz(_emb(spark, sf), "label", "x").select(rnd("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
 @query("davies_bouldin", f"""WITH {_CENT},
@@ -198,7 +199,7 @@ m AS (SELECT a.label, max((sa.s + sb.s) / list_distance(a.cx, b.cx)) AS r FROM c
 SELECT round(avg(r), {D}) AS davies_bouldin FROM m""")
 def q_davies_bouldin(spark, sf):
     """Davies-Bouldin index (centroid pairs: k^2 numbers)."""
-    return CL.davies_bouldin(_emb(spark, sf), "label", "x").select(F.round("davies_bouldin", D).alias("davies_bouldin"))
+    return CL.davies_bouldin(_emb(spark, sf), "label", "x").select(rnd("davies_bouldin", D).alias("davies_bouldin"))
 
 
 @query("kmeans_assign", f"""WITH {_CENT}, cen AS (SELECT label, list(cv ORDER BY i) AS cx FROM c GROUP BY label)
@@ -228,7 +229,7 @@ def q_pca_variance(spark, sf):
     """Explained-variance ratios of PCA on centred data (2 features, closed form)."""
     li = t(spark, sf, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("l_discount"))
     r = RD.variance_ratio(li, ["l_quantity", "l_discount"], 2)
-    return r.select("component", F.round("ratio", D).alias("ratio"))
+    return r.select("component", rnd("ratio", D).alias("ratio"))
 
 
 @query("reconstruction_error")
@@ -254,7 +255,7 @@ def q_anomaly_ratio(spark, sf):
     """Anomaly count / ratio of a flag column (z-score detector here)."""
     e = t(spark, sf, "events")
     flagged = AN.zscore_flags(e, "value")
-    return AN.anomaly_summary(flagged).select("anomalies_detected", "n", F.round("outlier_ratio", 6).alias("outlier_ratio"))
+    return AN.anomaly_summary(flagged).select("anomalies_detected", "n", rnd("outlier_ratio", 6).alias("outlier_ratio"))
 
 
 @query("cv_scores")

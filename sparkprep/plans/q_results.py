@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..operators import detections as DT
 from ..operators import evaluate as E
 from ..operators import results as RS
-from ..functions.scalar import sig_round, sig_round_sql
-from .q_eval import D, MODELS_SQL, THRESHOLDS, _metrics_sql, _r
+from ..functions.scalar import sig_round, sig_round_sql, rnd
+from .q_eval import D, LINE_TOTAL_SQL, MODELS_SQL, THRESHOLDS, _metrics_sql, _r, dec, line_total
 from .registry import query
 from .tables import t
 
@@ -26,7 +26,7 @@ CREATED = {"events": "2024-01-02 10:00:00", "orders": "2024-01-03 09:30:00"}
 def model_results(spark, sf) -> DataFrame:
     ev = t(spark, sf, "events")
     mx = ev.agg(F.max("value")).first()[0]
-    score = F.round(F.col("value") / F.lit(float(mx)), 4)
+    score = rnd(F.col("value") / F.lit(float(mx)), 4)
     thr = F.explode(F.array(*[F.struct(F.lit(f"thr_{x}").alias("model"), F.lit(x).alias("thr")) for x in THRESHOLDS]))
     base = ev.select(F.when(F.col("user_id") % 5 == 0, "test").otherwise("train").alias("split"),
                      (F.col("event_type") == "purchase").cast("int").alias("y_true"), score.alias("y_score"), thr.alias("m"))
@@ -38,12 +38,11 @@ def model_results(spark, sf) -> DataFrame:
         F.lit("classification").alias("problem_type"), "split", "metric", "value",
         F.lit(CREATED["events"]).alias("created_at"), F.lit(None).cast("string").alias("error"))
     li = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount"))).alias("line_total"),
-        F.sum("l_extendedprice").alias("line_gross"))
+        line_total().alias("line_total"), F.sum(dec("l_extendedprice")).cast("double").alias("line_gross"))
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("y_true"))
     j = o.join(li, "l_orderkey")
-    alg = F.explode(F.array(F.struct(F.lit("line_total").alias("a"), F.round("line_total", 2).alias("p")),
-                            F.struct(F.lit("line_gross").alias("a"), F.round("line_gross", 2).alias("p"))))
+    alg = F.explode(F.array(F.struct(F.lit("line_total").alias("a"), F.col("line_total").alias("p")),
+                            F.struct(F.lit("line_gross").alias("a"), F.col("line_gross").alias("p"))))
     rp = j.select("y_true", alg.alias("x")).select(F.col("x.a").alias("algorithm"), "y_true", F.col("x.p").alias("y_pred"))
     rm = _r(E.regression_metrics(rp, ["algorithm"])).withColumn("mse", sig_round(F.col("mse")))
     reg = RS.to_long(rm, ["algorithm"], REG_METRICS).select(
@@ -61,9 +60,9 @@ def _results_sql() -> str:
     reg = f"""(SELECT algorithm, count(*) AS n, avg((y_true - y_pred) * (y_true - y_pred)) AS mse,
        avg(abs(y_true - y_pred)) AS mae, sum((y_true - y_pred) * (y_true - y_pred)) AS ss_res, var_pop(y_true) AS var_y
      FROM (SELECT o.o_totalprice AS y_true, x.algorithm, x.y_pred FROM orders o JOIN
-       (SELECT l_orderkey, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS lt, sum(l_extendedprice) AS lg
+       (SELECT l_orderkey, {LINE_TOTAL_SQL} AS lt, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS lg
         FROM lineitem GROUP BY l_orderkey) p ON o.o_orderkey = p.l_orderkey,
-       LATERAL (SELECT * FROM (VALUES ('line_total', round(p.lt, 2)), ('line_gross', round(p.lg, 2))) v(algorithm, y_pred)) x)
+       LATERAL (SELECT * FROM (VALUES ('line_total', p.lt), ('line_gross', p.lg)) v(algorithm, y_pred)) x)
      GROUP BY algorithm)"""
     return f"""WITH cm AS ({cm}),
 cl AS (SELECT 'p_events' AS project_id, 'm_events_thresholds' AS model_id, algorithm, 'classification' AS problem_type, split,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..operators import groupby as G
 from ..operators import rules as AR
 from .registry import query
@@ -34,7 +35,7 @@ SELECT array_to_string(items, '|') AS items, CAST(size AS INTEGER) AS size, CAST
 def q_frequent_itemsets(spark, sf):
     """A2: frequent item sets (parallel FP-growth), sizes 1-3 compared."""
     fi = AR.frequent_itemsets(type_baskets(spark, sf), MIN_SUPPORT).filter(F.col("size") <= 3)
-    return fi.select(F.array_join("items", "|").alias("items"), "size", "freq", F.round("support", 8).alias("support"))
+    return fi.select(F.array_join("items", "|").alias("items"), "size", "freq", rnd("support", 8).alias("support"))
 
 
 @query("frequent_pairs", "WITH " + _B.format(ms=MIN_SUPPORT) + """
@@ -67,15 +68,15 @@ def q_association_rules(spark, sf):
     """A3: every antecedent/consequent split with support, confidence, lift, leverage, conviction."""
     r = _rules(spark, sf)
     return r.select(F.array_join("antecedents", "|").alias("antecedents"), F.array_join("consequents", "|").alias("consequents"),
-                    *[F.round(c, 8).alias(c) for c in ("support", "confidence", "lift", "leverage", "conviction")])
+                    *[rnd(c, 8).alias(c) for c in ("support", "confidence", "lift", "leverage", "conviction")])
 
 
 @query("rule_summary", f"""SELECT least(50.0, greatest(1.0, max(lift))) AS max_lift, least(1.0, greatest(0.0, max(confidence))) AS max_confidence,
   round(least(50.0, greatest(1.0, avg(lift))), 8) AS avg_lift, count(*) AS rules_count FROM ({_RULES_SQL})""")
 def q_rule_summary(spark, sf):
     """A4: rule summary with clipped lift / confidence."""
-    s = AR.rule_summary(_rules(spark, sf).select(*[F.round(c, 8).alias(c) for c in ("lift", "confidence")]))
-    return s.withColumn("avg_lift", F.round("avg_lift", 8))
+    s = AR.rule_summary(_rules(spark, sf).select(*[rnd(c, 8).alias(c) for c in ("lift", "confidence")]))
+    return s.withColumn("avg_lift", rnd("avg_lift", 8))
 
 
 @query("binarize_median", """

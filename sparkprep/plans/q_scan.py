@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..functions import scalar as S
 from ..operators import profile as P
 from ..operators import sampling as SM
@@ -128,10 +129,10 @@ def q_scalar_date(spark, sf):
 def q_scalar_math(spark, sf):
     """2.7 math: abs, sqrt, half-even rounding, clamp, 1/(1+x)."""
     e = t(spark, sf, "events")
-    return e.select("event_id", F.abs(F.col("value") - 50).alias("dist"), F.round(F.sqrt("value"), 6).alias("root"),
+    return e.select("event_id", F.abs(F.col("value") - 50).alias("dist"), rnd(F.sqrt("value"), 6).alias("root"),
                     F.bround(F.col("value") / 2, 0).cast("long").alias("half_even"),
                     S.clamp(F.col("value"), 0.0, 100.0).alias("clamped"),
-                    F.round(S.inverse_quality(F.col("value")), 8).alias("quality"))
+                    rnd(S.inverse_quality(F.col("value")), 8).alias("quality"))
 
 
 @query("scalar_json", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,

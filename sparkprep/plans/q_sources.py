@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..operators import clean as C
 from ..session import scratch_path
 from ..sources import ingest as I
@@ -112,7 +113,7 @@ def q_operation_list(spark, sf):
     """P10/F2: an ordered list of cleaning steps (a bad step is reported and skipped)."""
     df = events_gappy(spark, sf).select("event_id", "user_id", "event_type", "value")
     out, _report = run_operations(df, _ops(), ["event_id"], count_rows=False)
-    return out.select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"))
+    return out.select("event_id", "user_id", "event_type", rnd("value", 4).alias("value"))
 
 
 @query("operation_report", """SELECT * FROM (VALUES (1, 'handle_missing', 'value', 'ok', ''),

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..streaming.stream import FittedCleaner, parquet_stream, run_to_table
 from .registry import query
 from .tables import EVENTS_GAPPY_SQL, events_gappy
@@ -33,4 +34,4 @@ def q_stream_clean(spark, sf):
                        F.when(F.col("event_type") == "click", F.lit(None)).otherwise(F.col("value")).alias("value"),
                        "event_type")
     out = run_to_table(cleaner.transform(gappy), f"stream_clean_{uuid.uuid4().hex[:8]}")
-    return out.withColumn("value", F.round("value", 4))
+    return out.withColumn("value", rnd("value", 4))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from ..sources.ingest import read_table
 
 # Column kinds of the test tables used in generated oracle SQL:
@@ -66,7 +67,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events")
     mx = e.agg(F.max("value")).first()[0] or 1.0  # scalar action
     return e.select("event_id", (F.col("event_type") == "purchase").cast("int").alias("y_true"),
-                    F.round(F.col("value") / F.lit(float(mx)), 4).alias("y_score"))
+                    rnd(F.col("value") / F.lit(float(mx)), 4).alias("y_score"))
 
 
 SCORES_SQL = ("(SELECT event_id, CAST(event_type = 'purchase' AS INTEGER) AS y_true, "
