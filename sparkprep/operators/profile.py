@@ -63,6 +63,9 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
     q25, median, q75, first_text, dmin, dmax.
     """
     cols = cols or df.columns
+    n_rows = df.count()
+    # quartiles inside this one aggregate when its value maps are bounded (small input) or approximate
+    inline_q = approx or n_rows <= scan.TARGET_ROWS_PER_BUCKET
     aggs = [F.count(F.lit(1)).alias("_total")]
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
@@ -73,8 +76,8 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
             d = col.cast("double")
             aggs += [F.min(d).alias(f"mn{i}"), F.max(d).alias(f"mx{i}"), F.avg(d).alias(f"av{i}"),
                      F.stddev_samp(d).alias(f"sd{i}")]
-            if approx:
-                aggs.append(_pct(d, QUARTILES, True).alias(f"q{i}"))
+            if inline_q:
+                aggs.append(_pct(d, QUARTILES, approx).alias(f"q{i}"))
         elif kind == "datetime":
             aggs += [F.min(col).cast("string").alias(f"dmn{i}"), F.max(col).cast("string").alias(f"dmx{i}"),
                      F.min(col).cast("timestamp").alias(f"tmn{i}"), F.max(col).cast("timestamp").alias(f"tmx{i}")]
@@ -99,9 +102,9 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
             (F.col(f"mx{i}") if num else null_d).alias("max"),
             (F.col(f"av{i}") if num else null_d).alias("mean"),
             (F.col(f"sd{i}") if num else null_d).alias("std"),
-            (F.col(f"q{i}")[0] if num and approx else null_d).alias("q25"),
-            (F.col(f"q{i}")[1] if num and approx else null_d).alias("median"),
-            (F.col(f"q{i}")[2] if num and approx else null_d).alias("q75"),
+            (F.col(f"q{i}")[0] if num and inline_q else null_d).alias("q25"),
+            (F.col(f"q{i}")[1] if num and inline_q else null_d).alias("median"),
+            (F.col(f"q{i}")[2] if num and inline_q else null_d).alias("q75"),
             (F.col(f"ft{i}").cast("string") if kind == "categorical" else null_s).alias("first_text"),
             (F.col(f"dmn{i}") if dtm else null_s).alias("dmin"),
             (F.col(f"dmx{i}") if dtm else null_s).alias("dmax"),
@@ -110,12 +113,10 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
         ))
     stats = wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     num_cols = [c for c in cols if column_kind(df.schema[c].dataType) == "numeric"]
-    if approx or not num_cols:
+    if inline_q or not num_cols:
         return stats
-    # exact quartiles, size-checked: small inputs use one percentile aggregate; large ones refine
-    # the value histogram the caller already built (profile) instead of scanning again
-    n_rows = df.count()
-    if hist is not None and n_rows > scan.TARGET_ROWS_PER_BUCKET:
+    # large input: exact quartiles by histogram refine (the caller's value histogram when it has one)
+    if hist is not None:
         h = hist.filter(F.col("name").isin(*num_cols)).select("name", F.col("num").alias("v"), F.col("n").alias("c"))
         q = scan.quantiles_from_hist(h, QUARTILES, scan.choose_buckets(df, None, n_rows))
     else:
