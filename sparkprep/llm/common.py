@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root, scratch_path
+from ..session import checkpoint_root, scratch_path, ship_package
 
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """checkpoint() into the folder of ``spark.checkpoint.dir``."""
     checkpoint_root(df.sparkSession)

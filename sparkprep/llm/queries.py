@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, sharding
+from . import decontaminate, line_dedup, near_dedup, quality, sentence_pieces, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleaved_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"))
+
+
+@register("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document (4-word shingles, 80 percent)."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("text_hash")
+
+
+@register("op7_sentence_pieces")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole document, and whether decoding them gives the text."""
+    return sentence_pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), sentence_pieces.read_model(), id_col="doc_id")
+
+
+@register("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that tiles cover by half or more."""
+    out = decontaminate.decontaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.round("__coverage", 6).alias("coverage"), F.col("__items").alias("leaked_items"), F.col("__leaked").alias("leaked"))
