@@ -258,3 +258,23 @@ def near_duplicates(df: DataFrame, k: int = 4, threshold: int = THRESHOLD, id_co
     return (out.withColumn("component_id", F.when(F.col("__linked"), F.col("component_id")).otherwise(F.col("doc_id")))
             .select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id",
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def one_of_each(df: DataFrame, k: int = 5, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group: that of the least id and, of rows with
+    this id, of the least text hash; equal rows stay once. Rows without words and
+    groups without an id stay as they are."""
+    found = written(near_duplicates(df, k, threshold, id_col, text_col), "near-duplicates")
+    stays = found.filter("kept AND n_shingles > 0 AND component_id IS NOT NULL")
+    first = stays.groupBy("component_id").agg(F.min("text_hash").alias("__first"), F.count("*").alias("__c")).filter("__c > 1")
+    later = stays.join(small(reliable(first)), "component_id").filter("text_hash != __first")
+    gone = found.filter("NOT kept").select("doc_id", "text_hash").union(later.select("doc_id", "text_hash")).distinct()
+    gone = reliable(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
+    rows = df.withColumn("__h", F.xxhash64(text_col)).join(small(gone), same, "left_anti")
+    twice = reliable(stays.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__c")).filter("__c > 1")
+                     .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")))
+    if twice.limit(1).count():
+        again = rows.join(small(twice), same, "left_semi").dropDuplicates([id_col, "__h"])
+        rows = rows.join(small(twice), same, "left_anti").unionByName(again)
+    return rows.drop("__h")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, quality, sentence_pieces, sharding
+from . import chat, decontaminate, html_text, licenses, line_dedup, near_dedup, quality, sentence_pieces, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,61 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items that tiles cover by half or more."""
     out = decontaminate.decontaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", F.round("__coverage", 6).alias("coverage"), F.col("__items").alias("leaked_items"), F.col("__leaked").alias("leaked"))
+
+
+def _op3_sql() -> str:
+    """The scan as SQL: sentences by position, then one step per licence rule."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    known = " ".join(f"WHEN regexp_matches(norm, {text(p)}) THEN {text(i)}" for i, p in licenses.KNOWN)
+    steps = ["step_0 AS (SELECT doc_id, n_unknown, ids, coalesce(list_aggregate(list_transform(ids, lambda i: ',' || i || ','), 'string_agg', ''), '') AS rest, "
+             "[]::VARCHAR[] AS found FROM docs)"]
+    for k, (name, ids) in enumerate(licenses.RULES):
+        p = text(licenses.rule_pattern(ids))
+        steps.append(f"step_{k + 1} AS (SELECT doc_id, n_unknown, ids, regexp_replace(rest, {p}, ',#,', 'g') AS rest, "
+                     f"CASE WHEN regexp_matches(rest, {p}) AND NOT list_contains(found, {text(name)}) THEN list_append(found, {text(name)}) ELSE found END AS found FROM step_{k})")
+    return f"""
+WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS t, row_number() OVER () AS rid FROM documents),
+cut AS (SELECT rid, unnest(string_split_regex(t, {text(licenses.SENTENCE_END)})) AS s,
+               generate_subscripts(string_split_regex(t, {text(licenses.SENTENCE_END)}), 1) AS pos
+        FROM low WHERE regexp_matches(t, '{licenses.TRIGGER}|spdx-license')),
+named AS (SELECT rid, pos, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(s, '[^a-z0-9.+/-]+', ' ', 'g'), ' .-/'), 'licence', 'license', 'g'),
+                 '([0-9])[.]0([^0-9.]|$)', '\\1\\2', 'g'), ' [./-]+ ', ' ', 'g') AS norm
+          FROM cut WHERE regexp_matches(s, '{licenses.TRIGGER}|spdx-license')),
+ids AS (SELECT rid, pos, CASE {known} ELSE 'unknown' END AS id FROM named),
+by_doc AS (SELECT rid, list(id ORDER BY pos) AS ids, count(*) FILTER (id = 'unknown') AS n_unknown FROM ids GROUP BY rid),
+docs AS (SELECT l.doc_id, coalesce(b.ids, []::VARCHAR[]) AS ids, coalesce(b.n_unknown, 0) AS n_unknown FROM low l LEFT JOIN by_doc b ON l.rid = b.rid),
+{", ".join(steps)}
+SELECT doc_id, coalesce(array_to_string(found, '|'), '') AS licenses, coalesce(array_to_string(ids, '|'), '') AS sentence_ids, n_unknown::BIGINT AS n_unknown
+FROM step_{len(licenses.RULES)}
+"""
+
+
+@register("op3_license_scan", _op3_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences and licence-sentence identifiers of every document."""
+    out = licenses.scanned(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.array_join("licenses", "|").alias("licenses"), F.array_join("sentence_ids", "|").alias("sentence_ids"), "n_unknown")
+
+
+@register("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity score of every document; a fifth of the ids never trains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(remainder("doc_id") != 0)
+    out = toxicity.fit(docs, labels).score(docs, ["doc_id"])
+    return out.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
+                      F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@register("op8_chat_formatting")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as linked, ordered, checked canonical JSON lines."""
+    out = chat.linked(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "position", "turn", "role", "kind", "call_id", "status", "valid", F.array_join("errors", "; ").alias("errors"), "json")
+
+
+@register("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))

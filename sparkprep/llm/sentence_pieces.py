@@ -20,7 +20,8 @@ task keeps the paths of those it has seen lately, in a table of bounded size.
 Defined results: a null text has no pieces and decodes to null; an empty text
 has no pieces and decodes to the empty text; decode(encode(text)) == text for
 every other text, whatever its characters; repeated rows each give a row; an
-empty table gives an empty result; further columns are kept.
+empty table gives an empty result; further columns are kept, but for those of the
+result's own names, which it replaces.
 """
 
 from __future__ import annotations
@@ -210,10 +211,7 @@ def read_model(path: str = MODEL_PATH) -> bytes:
 def encoded(df: DataFrame, model: bytes, text_col: str = "text", id_col: str | None = None) -> DataFrame:
     """``df`` (or its column ``id_col`` alone) with ``piece_ids`` array<int>,
     ``n_pieces`` and ``round_trip`` (decoding the ids gives the text)."""
-    keep = [c for c in (df.columns if id_col is None else [id_col])]
-    clash = {"piece_ids", "n_pieces", "round_trip"} & set(keep)
-    if clash:
-        raise ValueError(f"the input has columns named {sorted(clash)}")
+    keep = [c for c in (df.columns if id_col is None else [id_col]) if c not in ("piece_ids", "n_pieces", "round_trip")]
     proto = df.sparkSession.sparkContext.broadcast(model)  # the model file, half a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
