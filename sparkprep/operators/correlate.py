@@ -102,16 +102,13 @@ def _with_ranks(df: DataFrame, cols: list[str], order_key: str | None) -> DataFr
     return out
 
 
-def kendall_pair(df: DataFrame, x: str, y: str, rows_hint: int | None = None,
-                 distinct_y: int | None = None) -> DataFrame:
+def kendall_pair(df: DataFrame, x: str, y: str, distinct_y: int | None = None) -> DataFrame:
     """tau-b of one pair (one row: tau, n)."""
     d = df.select(F.col(x).alias("x"), F.col(y).alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    if rows_hint is None:
-        rows_hint = df.count()
     if distinct_y is None:
         distinct_y = d.select("y").distinct().count()
     cells = d.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    codes = scan.dense_codes(cells.select("y"), "y", "r", rows_hint=distinct_y)
+    codes = scan.dense_codes(cells.select("y"), "y", "r")
     m = max(distinct_y - 1, 0)
     bits = max(1, math.ceil(math.log2(m + 1)))
     cr = cells.join(codes, "y")
@@ -122,7 +119,7 @@ def kendall_pair(df: DataFrame, x: str, y: str, rows_hint: int | None = None,
                    F.when(bit == 1, F.col("c")).otherwise(0).alias("ones"),
                    F.when(bit == 0, F.col("c")).otherwise(0).alias("zeros"))
     g = lv.groupBy("lvl", "g", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    nb = scan.choose_buckets(g, None, rows_hint * bits)
+    nb = scan.choose_buckets(g)
     g = scan.prefix_sums(g, ["x"], ["ones"], partition_cols=["lvl", "g"], inclusive=False, suffix="_before",
                          n_buckets=nb)
     disc = g.agg(F.coalesce(F.sum(F.col("zeros") * F.col("ones_before")), F.lit(0)).alias("d"))
@@ -153,7 +150,6 @@ def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
     if len(cols) < 2:
         raise ValueError("Please select at least 2 columns.")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    n = df.count()
     cells = None
     for pid, (a, b) in enumerate(pairs):
         c = (df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
@@ -162,7 +158,7 @@ def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
         cells = c if cells is None else cells.unionByName(c)
     ys = cells.select("pair", "y").distinct().withColumn("_one", F.lit(1))
     ys = scan.prefix_sums(ys, ["y"], ["_one"], partition_cols=["pair"],
-                          n_buckets=scan.choose_buckets(df, None, n * len(pairs)))
+                          n_buckets=scan.choose_buckets(df))
     codes = ys.select("pair", "y", (F.col("_one_cum") - 1).alias("r"))
     # bit levels per pair: enough bits for the pair's largest y code (one row per pair)
     levels = codes.groupBy("pair").agg(F.max("r").alias("_mr")).select(
@@ -175,7 +171,7 @@ def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
                    F.when(bit == 0, F.col("c")).otherwise(0).alias("zeros"))
     g = lv.groupBy("pair", "lvl", "g", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     g = scan.prefix_sums(g, ["x"], ["ones"], partition_cols=["pair", "lvl", "g"], inclusive=False, suffix="_before",
-                         n_buckets=scan.choose_buckets(df, None, n * len(pairs)))
+                         n_buckets=scan.choose_buckets(df))
     disc = g.groupBy("pair").agg(F.sum(F.col("zeros") * F.col("ones_before")).cast("double").alias("d"))
     ties = cells.groupBy("pair").agg(F.sum("c").cast("double").alias("n"),
                                      F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("n3"))

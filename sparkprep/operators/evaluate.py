@@ -125,13 +125,13 @@ def brier_score(pred: DataFrame, by=None, y_true="y_true", y_score="y_score") ->
     return pred.groupBy(*by).agg(F.avg((F.col(y_score) - F.col(y_true)) ** 2).alias("brier_score"))
 
 
-def _score_cum(pred: DataFrame, by, y_true, y_score, rows_hint=None) -> DataFrame:
+def _score_cum(pred: DataFrame, by, y_true, y_score) -> DataFrame:
     """Per distinct score (desc): pos, neg, cumulative tps / fps, totals P / N."""
     by = list(by or [])
     h = pred.filter(F.col(y_score).isNotNull()).groupBy(*by, F.col(y_score).alias("score")).agg(
         F.sum(F.col(y_true).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
     h = h.withColumn("neg", F.col("cnt") - F.col("pos"))
-    nb = scan.choose_buckets(pred, None, rows_hint)
+    nb = scan.choose_buckets(pred)
     h = scan.prefix_sums(h, ["score"], ["pos", "neg"], partition_cols=by, descending=True, n_buckets=nb)
     tot = h.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if by:
@@ -236,7 +236,7 @@ def qq_points(resid: DataFrame, col: str = "residual", by=None) -> DataFrame:
     count; tied values are expanded to one point per row."""
     by = list(by or [])
     h = scan.value_histogram(resid, col, by, "c")
-    nb = scan.choose_buckets(resid, None, None)
+    nb = scan.choose_buckets(resid)
     h = scan.prefix_sums(h, [col], ["c"], by, n_buckets=nb)
     if by:
         h = h.join(h.groupBy(*by).agg(F.sum("c").alias("n")), by)

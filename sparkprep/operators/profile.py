@@ -63,9 +63,7 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
     q25, median, q75, first_text, dmin, dmax.
     """
     cols = cols or df.columns
-    n_rows = df.count()
-    # quartiles inside this one aggregate when its value maps are bounded (small input) or approximate
-    inline_q = approx or n_rows <= scan.TARGET_ROWS_PER_BUCKET
+    inline_q = approx  # approximate quartiles have bounded sketches; exact ones come from the value histogram
     aggs = [F.count(F.lit(1)).alias("_total")]
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
@@ -115,12 +113,12 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
     num_cols = [c for c in cols if column_kind(df.schema[c].dataType) == "numeric"]
     if inline_q or not num_cols:
         return stats
-    # large input: exact quartiles by histogram refine (the caller's value histogram when it has one)
+    # exact quartiles by histogram refine (the caller's value histogram when it has one)
     if hist is not None:
         h = hist.filter(F.col("name").isin(*num_cols)).select("name", F.col("num").alias("v"), F.col("n").alias("c"))
-        q = scan.quantiles_from_hist(h, QUARTILES, scan.choose_buckets(df, None, n_rows))
+        q = scan.quantiles_from_hist(h, QUARTILES, scan.choose_buckets(df))
     else:
-        q = scan.exact_quantiles(df, num_cols, QUARTILES, rows_hint=n_rows)
+        q = scan.exact_quantiles(df, num_cols, QUARTILES)
     qp = q.groupBy("name").agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-12, F.col("value"))).alias(a)
                                  for p, a in zip(QUARTILES, ("q25", "median", "q75"))])
     order = stats.columns

@@ -15,10 +15,7 @@ from ..functions.scalar import rnd
 RESULT_COLUMNS = ["project_id", "model_id", "algorithm", "problem_type", "split", "metric", "value",
                   "created_at", "error"]
 
-# Metric directions of the comparison view.
-HIGHER_IS_BETTER = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "r2", "silhouette_score",
-                    "calinski_harabasz_score", "variance_explained", "n_clusters", "anomalies_detected",
-                    "rules_count", "frequent_itemsets_count", "max_lift", "n_components"]
+# Metrics for which less is better.
 LOWER_IS_BETTER = ["rmse", "mae", "mse", "log_loss", "davies_bouldin_score", "kl_divergence"]
 TIE_BAND = 0.001
 
@@ -43,8 +40,10 @@ BEST_METRIC_ORDER = {
     "classification": ["accuracy", "f1", "precision", "recall"],
     "regression": ["r2", "rmse", "mae"],
     "clustering": ["silhouette_score", "calinski_harabasz_score", "davies_bouldin_score"],
+    "anomaly": ["outlier_ratio", "anomalies_detected"],
     "anomaly_detection": ["outlier_ratio", "anomalies_detected"],
     "dimensionality_reduction": ["variance_explained", "n_components"],
+    "association": ["rules_count", "max_lift"],
     "association_rules": ["rules_count", "max_lift"],
 }
 
@@ -97,13 +96,7 @@ def best_metric(results: DataFrame, digits: int = 4) -> DataFrame:
     """Headline metric of every run: the first available metric of the type's fallback list."""
     r = results.filter(F.col("error").isNull() & F.col("value").isNotNull()
                        & (F.col("split").isNull() | (F.col("split") == "test")))
-    prio = F.lit(None).cast("int")
-    for ptype, names in BEST_METRIC_ORDER.items():
-        for i, name in enumerate(names):
-            prio = F.when((F.col("problem_type") == ptype) & (F.col("metric") == name), F.lit(i)).otherwise(prio)
-    lower = F.col("metric").isin(*LOWER_IS_BETTER)
-    cand = r.withColumn("_p", prio).filter(F.col("_p").isNotNull()) \
-        .withColumn("_o", F.when(lower, -F.col("value")).otherwise(F.col("value")))
+    cand = _headline(r)
     # per run: smallest priority, then the best algorithm for that metric
     pick = F.min_by(F.struct("metric", "value", "algorithm"), F.struct(F.col("_p"), -F.col("_o"), F.col("algorithm")))
     g = cand.groupBy("project_id", "model_id", "problem_type").agg(pick.alias("b"))
@@ -137,14 +130,36 @@ def gap_level(diff: Column) -> Column:
     return out
 
 
+def _headline(results: DataFrame) -> DataFrame:
+    """Rows of a headline metric with ``_p`` (its place in the type's list) and
+    ``_o`` (the value, negated where less is better)."""
+    prio = F.lit(None).cast("int")
+    for ptype, names in BEST_METRIC_ORDER.items():
+        for i, name in enumerate(names):
+            prio = F.when((F.col("problem_type") == ptype) & (F.col("metric") == name), F.lit(i)).otherwise(prio)
+    lower = F.col("metric").isin(*LOWER_IS_BETTER)
+    return (results.withColumn("_p", prio).filter(F.col("_p").isNotNull())
+            .withColumn("_o", F.when(lower, -F.col("value")).otherwise(F.col("value"))))
+
+
 def compare_models(results: DataFrame, model_a: str, model_b: str, split: str = "test") -> DataFrame:
-    """Metric-by-metric comparison of two runs' best algorithms (a self-join on metric)."""
-    r = results.filter((F.col("split") == split) & F.col("error").isNull())
-    best = lambda mid: (r.filter(F.col("model_id") == mid).groupBy("metric")
-                        .agg(F.max_by("value", F.struct(F.col("value"), F.col("algorithm"))).alias("v")))
-    a = best(model_a).select("metric", F.col("v").alias("value_a"))
-    b = best(model_b).select("metric", F.col("v").alias("value_b"))
-    j = a.join(b, "metric", "full")
+    """Metric-by-metric comparison of two runs' best algorithms.
+
+    The best algorithm of a run is the one with the best headline metric of the
+    run's type (its direction counts; the first name wins ties); a run without a
+    headline metric takes its first algorithm. Rows without a split (clustering,
+    anomaly, association) count like those of ``split``.
+    """
+    r = results.filter((F.col("split").isNull() | (F.col("split") == split)) & F.col("error").isNull() & F.col("value").isNotNull()
+                       & F.col("model_id").isin(model_a, model_b))
+    best = (_headline(r).groupBy("model_id")
+            .agg(F.min_by("algorithm", F.struct(F.col("_p"), -F.col("_o"), F.col("algorithm"))).alias("best")))
+    chosen = (r.groupBy("model_id").agg(F.min("algorithm").alias("first")).join(best, "model_id", "left")
+              .select("model_id", F.coalesce("best", "first").alias("algorithm")))
+    rows = r.join(chosen, ["model_id", "algorithm"])
+    of = lambda mid, name: (rows.filter(F.col("model_id") == mid).groupBy("metric")
+                            .agg(F.max("value").alias(name)))
+    j = of(model_a, "value_a").join(of(model_b, "value_b"), "metric", "full")
     diff = F.abs(F.col("value_a") - F.col("value_b"))
     return j.select("metric", "value_a", "value_b", diff.alias("difference"),
                     winner(F.col("metric"), F.col("value_a"), F.col("value_b")).alias("winner"),

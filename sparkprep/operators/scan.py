@@ -5,7 +5,9 @@ fill and ranks. A global Spark window without ``partitionBy`` would move every
 row through a single task, so these primitives use a two-level scan instead:
 
 1. range-bucket the leading order column with boundaries computed once
-   (``percentile_approx``, collected as a bounded list of ``n_buckets`` values);
+   (``percentile_approx`` of a number, a bounded row sample of a text; the driver
+   sees at most a few dozen values per bucket). There are as many buckets as
+   ``spark.sql.shuffle.partitions``, whatever the size of the input;
 2. aggregate per segment = (partition keys, bucket) — small;
 3. carry totals / last values across segments with a window over that small
    table (partitioned by the keys, so a hot key only contributes one row per
@@ -26,8 +28,7 @@ from pyspark.sql import types as T
 
 BUCKET_COL = "_sp_bucket"
 KEY_COL = "_sp_okey"
-TARGET_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 100_000
+SAMPLE_PER_BUCKET = 40
 
 
 def _numeric_key(df: DataFrame, col: str) -> Column | None:
@@ -39,10 +40,6 @@ def _numeric_key(df: DataFrame, col: str) -> Column | None:
     if isinstance(dt, T.TimestampNTZType):
         return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)") \
             .cast("double")
-    if isinstance(dt, T.StringType):
-        # first 6 UTF-8 bytes as a number: monotone in Spark's byte-wise string order
-        prefix = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(prefix, 16, 10).cast("double")
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c).cast("double")
     if isinstance(dt, T.DateType):
@@ -52,19 +49,30 @@ def _numeric_key(df: DataFrame, col: str) -> Column | None:
     return None
 
 
-def choose_buckets(df: DataFrame, n_buckets: int | None = None, rows_hint: int | None = None) -> int:
-    """Number of order buckets: one per ~TARGET_ROWS_PER_BUCKET rows.
-
-    ``rows_hint`` (an upper bound of the row count, e.g. the source table's
-    count for a histogram of it) avoids counting a derived frame.
-    """
+def choose_buckets(df: DataFrame, n_buckets: int | None = None) -> int:
+    """Number of order buckets: the caller's, else ``spark.sql.shuffle.partitions``."""
     if n_buckets is not None:
         return max(1, int(n_buckets))
-    n = rows_hint if rows_hint is not None else df.count()
-    if n <= TARGET_ROWS_PER_BUCKET:
-        return 1  # the whole input fits one bucket: a single bounded window task
-    par = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return int(max(1, min(MAX_BUCKETS, max(par, math.ceil(n / TARGET_ROWS_PER_BUCKET)))))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _text_bucket(df: DataFrame, col: str, nb: int, descending: bool) -> Column | None:
+    """Range bucket of a text: a balanced tree of comparisons with full values
+    from a row sample (its size depends on the bucket count only)."""
+    rows = (df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+            .orderBy(F.rand(7)).limit(SAMPLE_PER_BUCKET * nb).collect())
+    values = sorted((r["v"] for r in rows), key=lambda v: v.encode("utf-8", "surrogatepass"))
+    splits = list(dict.fromkeys(values[i * len(values) // nb] for i in range(1, nb))) if values else []
+    if not splits:
+        return None
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(-lo if descending else lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(F.col(col) < F.lit(splits[mid - 1]), tree(lo, mid - 1)).otherwise(tree(mid, hi))
+
+    return F.when(F.col(col).isNull(), F.lit(1 if descending else -1)).otherwise(tree(0, len(splits)))
 
 
 def add_order_bucket(df: DataFrame, order_cols: list[str], descending: bool = False,
@@ -77,6 +85,9 @@ def add_order_bucket(df: DataFrame, order_cols: list[str], descending: bool = Fa
     null placement).
     """
     nb = choose_buckets(df, n_buckets)
+    if nb > 1 and isinstance(df.schema[order_cols[0]].dataType, T.StringType):
+        bucket = _text_bucket(df, order_cols[0], nb, descending)
+        return df.withColumn(BUCKET_COL, F.lit(0) if bucket is None else bucket)
     key = _numeric_key(df, order_cols[0])
     if nb <= 1 or key is None:
         return df.withColumn(BUCKET_COL, F.lit(0))
@@ -114,7 +125,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     nb = choose_buckets(df, n_buckets)
     frame_end = 0 if inclusive else -1
     if nb <= 1:
-        # input within one bucket (<= TARGET_ROWS_PER_BUCKET rows, or one per key): a plain window
+        # one bucket was asked for: a plain window
         w1 = Window.partitionBy(*keys).orderBy(*_order_exprs(order_cols, descending)) \
             .rowsBetween(Window.unboundedPreceding, frame_end)
         out = df
@@ -128,7 +139,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     off = tot.select(*seg, *[F.coalesce(F.sum(f"_t_{c}").over(w_prev), F.lit(0)).alias(f"_o_{c}")
                              for c in sum_cols])
     if not keys:
-        off = F.broadcast(off)  # one row per bucket: bounded by MAX_BUCKETS
+        off = F.broadcast(off)  # one row per bucket
     j = b.join(off, on=seg, how="left")
     w_in = Window.partitionBy(*seg).orderBy(*_order_exprs(order_cols, descending)) \
         .rowsBetween(Window.unboundedPreceding, frame_end)
@@ -179,8 +190,7 @@ def value_histogram(df: DataFrame, col: str, partition_cols: list[str] | None =
 
 
 def average_rank(df: DataFrame, col: str, out_col: str = "rank",
-                 partition_cols: list[str] | None = None, n_buckets: int | None = None,
-                 rows_hint: int | None = None) -> DataFrame:
+                 partition_cols: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """Attach the 1-based average rank of ``col`` (ties share the mean rank).
 
     Ranks come from the value histogram plus a two-level running count, so no
@@ -188,24 +198,19 @@ def average_rank(df: DataFrame, col: str, out_col: str = "rank",
     """
     keys = list(partition_cols or [])
     h = value_histogram(df, col, keys, "_n")
-    if n_buckets is None:
-        n_buckets = choose_buckets(df, None, rows_hint)
     h = prefix_sums(h, [col], ["_n"], keys, n_buckets=n_buckets)
     h = h.select(*keys, col, (F.col("_n_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out_col))
     return df.join(h, on=keys + [col], how="left")
 
 
-def dense_codes(df: DataFrame, col: str, out_col: str = "code", n_buckets: int | None = None,
-                rows_hint: int | None = None) -> DataFrame:
+def dense_codes(df: DataFrame, col: str, out_col: str = "code", n_buckets: int | None = None) -> DataFrame:
     """(value, code): 0-based position of every distinct non-null value in sort order."""
     d = df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    if n_buckets is None:
-        n_buckets = choose_buckets(df, None, rows_hint)
     d = prefix_sums(d, [col], ["_one"], n_buckets=n_buckets)
     return d.select(col, (F.col("_one_cum") - 1).cast("long").alias(out_col))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], rows_hint: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_buckets: int | None = None) -> DataFrame:
     """(name, p, value): exact linearly interpolated quantiles of several columns.
 
     Same definition as ``percentile`` / pandas ``quantile``: with n non-null
@@ -218,20 +223,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], rows_hin
     holds each target rank. Only those buckets are sorted; one join with the
     (columns x probs) targets picks both neighbouring ranks.
     """
-    n_rows = rows_hint if rows_hint is not None else df.count()
-    if n_rows <= TARGET_ROWS_PER_BUCKET:
-        # size-checked small input: one ``percentile`` aggregate (its value map holds <= n_rows entries)
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        wide = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(f"q{i}") for i, c in enumerate(cols)])
-        parts = [F.struct(F.lit(c).alias("name"), F.col(f"q{i}").alias("qs")) for i, c in enumerate(cols)]
-        long = wide.select(F.explode(F.array(*parts)).alias("s")).select("s.name", "s.qs")
-        return long.filter(F.col("qs").isNotNull()).select(
-            "name", F.posexplode("qs").alias("i", "value")).select(
-            "name", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1).alias("p"), "value")
     structs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]
     long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*").filter(F.col("v").isNotNull())
     hist = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    return quantiles_from_hist(hist, probs, choose_buckets(df, None, n_rows))
+    return quantiles_from_hist(hist, probs, choose_buckets(df, n_buckets))
 
 
 def quantiles_from_hist(hist: DataFrame, probs: list[float], n_buckets: int = 1) -> DataFrame:

@@ -329,8 +329,11 @@ def q_outlier_sample(spark, sf):
     return O.outlier_sample(t(spark, sf, "events"), "value", ["event_id"])
 
 
+OVERVIEW_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 def _overview_sql():
-    cols = [("lineitem", c) for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]]
+    cols = [("lineitem", c) for c in OVERVIEW_COLS]
     parts = []
     for tb, c in cols:
         parts.append(f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS total_outliers,
@@ -342,8 +345,7 @@ def _overview_sql():
 @query("outlier_overview", _overview_sql())
 def q_outlier_overview(spark, sf):
     """IQR outliers of every numeric column in two passes."""
-    li = t(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return O.outlier_overview(li)
+    return O.outlier_overview(t(spark, sf, "lineitem").select(*OVERVIEW_COLS))
 
 
 @query("outlier_histogram", """

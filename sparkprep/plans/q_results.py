@@ -128,8 +128,11 @@ def q_best_model(spark, sf):
 
 
 @query("compare_models", f"""WITH r AS ({RESULTS_SQL}),
-a AS (SELECT metric, value AS value_a FROM r WHERE split = 'test' AND algorithm = 'thr_0.05'),
-b AS (SELECT metric, value AS value_b FROM r WHERE split = 'test' AND algorithm = 'thr_0.2')
+runs AS (SELECT *, CASE WHEN problem_type = 'regression' THEN 'm_orders_price' WHEN algorithm IN ('thr_0.05', 'thr_0.2') THEN 'm_a' ELSE 'm_b' END AS run
+         FROM r WHERE split = 'test' AND error IS NULL AND value IS NOT NULL),
+best AS (SELECT run, arg_min(algorithm, (-value, algorithm)) AS algorithm FROM runs WHERE metric = 'accuracy' GROUP BY run),
+a AS (SELECT metric, value AS value_a FROM runs JOIN best USING (run, algorithm) WHERE run = 'm_a'),
+b AS (SELECT metric, value AS value_b FROM runs JOIN best USING (run, algorithm) WHERE run = 'm_b')
 SELECT metric, value_a, value_b, abs(value_a - value_b) AS difference,
   CASE WHEN value_a IS NULL OR value_b IS NULL THEN 'tie' WHEN abs(value_a - value_b) < 0.001 THEN 'tie'
        WHEN metric IN ('rmse','mae','mse','log_loss','davies_bouldin_score','kl_divergence') THEN CASE WHEN value_a < value_b THEN 'A' ELSE 'B' END
@@ -138,9 +141,9 @@ SELECT metric, value_a, value_b, abs(value_a - value_b) AS difference,
        WHEN abs(value_a - value_b) > 0.03 THEN 'Marginal' ELSE 'Minimal' END AS gap_level
 FROM a FULL JOIN b USING (metric)""")
 def q_compare_models(spark, sf):
-    """Metric-by-metric winner (direction, 0.001 tie band) and gap level."""
-    r = model_results(spark, sf).withColumn("model_id", F.col("algorithm"))
-    return RS.compare_models(r, "thr_0.05", "thr_0.2")
+    """Two runs' best algorithms, metric by metric: winner (direction, 0.001 tie band) and gap level."""
+    run = F.when(F.col("problem_type") == "regression", F.col("model_id")).when(F.col("algorithm").isin("thr_0.05", "thr_0.2"), "m_a").otherwise("m_b")
+    return RS.compare_models(model_results(spark, sf).withColumn("model_id", run), "m_a", "m_b")
 
 
 @query("essential_metrics", f"""WITH r AS ({RESULTS_SQL})

@@ -20,25 +20,25 @@ def type_baskets(spark, sf):
     return G.baskets(li.join(p, "l_partkey"), "l_orderkey", "p_type")
 
 
+# item sets of any size: a frequent set grows by frequent items behind its last one
 _B = """b AS (SELECT DISTINCT l_orderkey AS id, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 n AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM b),
-s1 AS (SELECT [item] AS items, count(*) AS freq FROM b GROUP BY item),
-s2 AS (SELECT [x.item, y.item] AS items, count(*) AS freq FROM b x JOIN b y ON x.id = y.id AND x.item < y.item GROUP BY x.item, y.item),
-s3 AS (SELECT [x.item, y.item, z.item] AS items, count(*) AS freq FROM b x JOIN b y ON x.id = y.id AND x.item < y.item
-       JOIN b z ON y.id = z.id AND y.item < z.item GROUP BY x.item, y.item, z.item),
-fi AS (SELECT items, len(items) AS size, freq, freq / (SELECT n FROM n) AS support FROM
-       (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) WHERE freq / (SELECT n FROM n) >= {ms})"""
+i1 AS (SELECT item, list(id) AS ids FROM b GROUP BY item HAVING count(*) / (SELECT n FROM n) >= {ms}),
+fs AS (SELECT [item] AS items, item AS last, ids FROM i1
+       UNION ALL SELECT list_append(fs.items, i1.item), i1.item, list_intersect(fs.ids, i1.ids) FROM fs JOIN i1 ON i1.item > fs.last
+       WHERE len(list_intersect(fs.ids, i1.ids)) / (SELECT n FROM n) >= {ms}),
+fi AS (SELECT items, len(items) AS size, len(ids) AS freq, len(ids) / (SELECT n FROM n) AS support FROM fs)"""
 
 
-@query("frequent_itemsets", "WITH " + _B.format(ms=MIN_SUPPORT) + """
+@query("frequent_itemsets", "WITH RECURSIVE " + _B.format(ms=MIN_SUPPORT) + """
 SELECT array_to_string(items, '|') AS items, CAST(size AS INTEGER) AS size, CAST(freq AS BIGINT) AS freq, round(support, 8) AS support FROM fi""")
 def q_frequent_itemsets(spark, sf):
-    """A2: frequent item sets (parallel FP-growth), sizes 1-3 compared."""
-    fi = AR.frequent_itemsets(type_baskets(spark, sf), MIN_SUPPORT).filter(F.col("size") <= 3)
+    """A2: frequent item sets (parallel FP-growth), any size."""
+    fi = AR.frequent_itemsets(type_baskets(spark, sf), MIN_SUPPORT)
     return fi.select(F.array_join("items", "|").alias("items"), "size", "freq", rnd("support", 8).alias("support"))
 
 
-@query("frequent_pairs", "WITH " + _B.format(ms=MIN_SUPPORT) + """
+@query("frequent_pairs", "WITH RECURSIVE " + _B.format(ms=MIN_SUPPORT) + """
 SELECT array_to_string(items, '|') AS items, CAST(freq AS BIGINT) AS freq FROM fi WHERE size <= 2""")
 def q_frequent_pairs(spark, sf):
     """A1: frequent single items and pairs (inclusive support threshold)."""
@@ -46,7 +46,7 @@ def q_frequent_pairs(spark, sf):
     return fi.select(F.array_join("items", "|").alias("items"), "freq")
 
 
-_RULES_SQL = "WITH " + _B.format(ms=MIN_SUPPORT) + """,
+_RULES_SQL = "WITH RECURSIVE " + _B.format(ms=MIN_SUPPORT) + """,
 sp AS (SELECT items, support FROM fi),
 r AS (SELECT a.items AS ante, list_filter(f.items, lambda x: NOT list_contains(a.items, x)) AS cons, f.support,
         f.support / a.support AS confidence, a.support AS sa
@@ -59,7 +59,7 @@ FROM rr WHERE confidence >= """ + str(MIN_CONFIDENCE)
 
 
 def _rules(spark, sf):
-    fi = AR.frequent_itemsets(type_baskets(spark, sf), MIN_SUPPORT).filter(F.col("size") <= 3)
+    fi = AR.frequent_itemsets(type_baskets(spark, sf), MIN_SUPPORT)
     return AR.association_rules(fi, MIN_CONFIDENCE)
 
 

@@ -102,12 +102,14 @@ def _ops():
     ]
 
 
-@query("operation_list", f"""
-WITH g AS {EVENTS_GAPPY_SQL},
+_OPS_SQL = f"""WITH g AS {EVENTS_GAPPY_SQL},
 f AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, event_type,
              coalesce(value, (SELECT avg(value) FROM g)) AS value FROM g),
 q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM f),
-o AS (SELECT f.* FROM f, q WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1))
+o AS (SELECT f.* FROM f, q WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1))"""
+
+
+@query("operation_list", _OPS_SQL + """
 SELECT event_id, user_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS event_type, round(value, 4) AS value FROM o""")
 def q_operation_list(spark, sf):
     """P10/F2: an ordered list of cleaning steps (a bad step is reported and skipped)."""
@@ -116,15 +118,17 @@ def q_operation_list(spark, sf):
     return out.select("event_id", "user_id", "event_type", rnd("value", 4).alias("value"))
 
 
-@query("operation_report", """SELECT * FROM (VALUES (1, 'handle_missing', 'value', 'ok', ''),
+@query("operation_report", _OPS_SQL + """
+SELECT * FROM (VALUES (1, 'handle_missing', 'value', 'ok', ''),
  (2, 'fix_data_types', 'user_id', 'ok', ''), (3, 'remove_outliers', 'value', 'ok', ''),
  (4, 'encode_categorical', 'event_type', 'ok', ''),
- (5, 'handle_missing', 'no_such_column', 'warning', 'columns not found: no_such_column'))
- r(step, function, columns, status, message)""")
+ (5, 'handle_missing', 'no_such_column', 'warning', 'columns not found: no_such_column')) r(step, function, columns, status, message)
+UNION ALL SELECT 0, 'shape', '', 'ok',
+  'rows ' || (SELECT count(*) FROM events) || ' -> ' || (SELECT count(*) FROM o) || '; columns 4 -> 4'""")
 def q_operation_report(spark, sf):
-    """P10: per-step report of the operation list over events."""
+    """P10: shapes before and after, and the per-step report of the operation list over events."""
     df = events_gappy(spark, sf).select("event_id", "user_id", "event_type", "value")
-    _out, report = run_operations(df, _ops(), ["event_id"], count_rows=False)
+    _out, report = run_operations(df, _ops(), ["event_id"])
     return report
 
 

@@ -6,6 +6,8 @@ poisons aggregates, so every float column is turned NaN -> NULL once here.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,22 +48,20 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
     return nan_to_null(reader.csv(path))
 
 
-def probe_csv_format(spark: SparkSession, path: str, sample_lines: int = 20) -> tuple[str, str]:
-    """Pick (encoding, separator) from a small header sample.
+def probe_csv_format(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Pick (encoding, separator).
 
-    The separator giving the most columns on the header line wins (a ``;`` file
-    is not taken as one wide column); utf-8 is tried before cp1252.
+    utf-8 unless some line of the whole file is not valid utf-8 (one distributed
+    pass that stops at the first such line), then cp1252. The separator giving
+    the most columns on the header line wins, separators inside quotes aside (a
+    ``;`` file is not taken as one wide column).
     """
-    head = spark.read.text(path).limit(sample_lines).collect()  # bounded sample
-    lines = [r.value for r in head if r.value]
-    if not lines:
-        return CSV_ENCODINGS[0], CSV_SEPARATORS[0]
-    encoding = CSV_ENCODINGS[0]
-    if any("�" in ln for ln in lines):
-        encoding = CSV_ENCODINGS[1]
-    header = lines[0]
-    best = max(CSV_SEPARATORS, key=lambda s: (len(header.split(s)), -CSV_SEPARATORS.index(s)))
-    return encoding, best
+    lines = spark.read.text(path)
+    bad = lines.filter(~F.is_valid_utf8("value")).limit(1).count()
+    header = lines.filter(F.length("value") > 0).limit(1).collect()
+    width = lambda s: len(next(csv.reader([header[0].value], delimiter=s)))
+    best = max(CSV_SEPARATORS, key=lambda s: (width(s), -CSV_SEPARATORS.index(s))) if header else CSV_SEPARATORS[0]
+    return CSV_ENCODINGS[1 if bad else 0], best
 
 
 def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:

@@ -117,8 +117,8 @@ def test_regression_metrics(spark):
     assert [r["sample"] for r in qq] == sorted(y - f)
 
 
-def test_large_input_paths_match_small_paths(spark, monkeypatch):
-    """Force the multi-bucket strategies (as on a cluster) and compare with the small-input ones."""
+def test_many_buckets_match_few_buckets(spark, monkeypatch):
+    """Results don't depend on the number of order buckets."""
     from sparkprep.operators import scan
     from sparkprep.operators import clean as C
     rng = np.random.default_rng(8)
@@ -131,7 +131,8 @@ def test_large_input_paths_match_small_paths(spark, monkeypatch):
     small_prof = sorted(tuple(r) for r in P.feature_profile(df).collect())
     small_fill = sorted(tuple(r) for r in C.fill_missing(df, "v", "forward_fill", ["id"], by=["k"]).collect())
     small_q = scan.quantile_values(df, ["v", "w"], [0.1, 0.5, 0.9])
-    monkeypatch.setattr(scan, "TARGET_ROWS_PER_BUCKET", 40)
+    real = scan.choose_buckets
+    monkeypatch.setattr(scan, "choose_buckets", lambda df, n_buckets=None: real(df, n_buckets or 37))
     assert sorted(tuple(r) for r in P.feature_profile(df).collect()) == small_prof
     assert sorted(tuple(r) for r in C.fill_missing(df, "v", "forward_fill", ["id"], by=["k"]).collect()) == small_fill
     big_q = scan.quantile_values(df, ["v", "w"], [0.1, 0.5, 0.9])
