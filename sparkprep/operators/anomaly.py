@@ -2,16 +2,18 @@
 scored over all rows in Arrow batches) and simple flag summaries.
 
 Plan:
-1. per-tree samples: every row is hashed into m = ceil(3 psi T / n) of the T
-   trees, and each tree keeps the ``psi`` rows with the smallest second hash
-   (a per-tree window over ~3 psi rows) — no n x T expansion;
+1. per-tree samples: about 3 psi rows are drawn for each of the T trees by a hash
+   of the key (a row joins a tree only if its hash falls under 3 psi T / n, or
+   several trees where that is over 1) and each tree keeps the ``psi`` rows with
+   the smallest second hash;
 2. trees are grown by ``groupBy(tree).applyInPandas`` (one task per tree,
    <= psi rows each);
 3. the forest (T x < 2 psi nodes, independent of n) is shipped once in the task
    closure and every row is scored by ``mapInPandas`` with vectorised numpy
    traversal;
-4. the anomaly threshold is the (1 - contamination) quantile of the scores
-   (``percentile_approx``; exact quantiles would hold every distinct score).
+4. the anomaly threshold is the exact (1 - contamination) quantile of the scores
+   (``scan.exact_quantiles``). Missing values are replaced by the column's mean
+   first, so every row gets a score.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, ship_package
+from . import prep, scan
+
 EULER = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size long"
 
@@ -66,17 +71,26 @@ def _grow(pdf: pd.DataFrame, features: list[str], seed: int, psi: int) -> pd.Dat
     return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
 
 
+def _filled(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """(key, features as doubles), missing values replaced by the column's mean (0 if it has none)."""
+    data = prep.impute(df.select(key, *[F.col(c).cast("double").alias(c) for c in features]), features)
+    return data.fillna(0.0, subset=features)
+
+
 def isolation_forest(df: DataFrame, key: str, features: list[str], n_trees: int = 100, max_samples: int = 256,
                      contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``score`` (higher = more anomalous) and ``anomaly`` (bool) to (key, features)."""
-    data = df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).na.drop()
+    ship_package(df.sparkSession)
+    data = _filled(df, key, features)
     n = data.count()
     psi = int(min(max_samples, n))
-    # every row joins m random trees (m ~ 3 psi T / n): each tree sees ~3 psi candidates, keeps the psi first
-    m = max(1, min(n_trees, math.ceil(3.0 * psi * n_trees / max(n, 1))))
+    # each tree sees ~3 psi candidates and keeps the psi first
+    share = 3.0 * psi * n_trees / max(n, 1)
+    m = max(1, min(n_trees, math.ceil(share)))
     picks = F.transform(F.sequence(F.lit(0), F.lit(m - 1)),
                         lambda j: F.pmod(F.xxhash64(F.col(key), j, F.lit(seed)), F.lit(n_trees)).cast("int"))
-    cand = data.select("*", F.explode(F.array_distinct(picks)).alias("tree")) \
+    joins = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 2)), F.lit(1 << 31)) < F.lit(int(min(share, 1.0) * (1 << 31)))
+    cand = data.filter(joins).select("*", F.explode(F.array_distinct(picks)).alias("tree")) \
         .withColumn("u", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
     w = Window.partitionBy("tree").orderBy("u", key)
     sample = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi).drop("_rk", "u")
@@ -112,9 +126,12 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], n_trees: int
             yield out
 
     key_type = data.schema[key].dataType.simpleString()
-    # the scores feed both the threshold and the result: keep them instead of scoring twice in Python
-    scored = data.mapInPandas(score, f"{key} {key_type}, score double").persist()
-    cut = scored.agg(F.percentile_approx("score", 1.0 - contamination, 100_000)).first()[0]
+    # the scores feed both the threshold and the result: written once to the shared folder
+    scored = materialize(data.mapInPandas(score, f"{key} {key_type}, score double"), "forest-scores")
+    cut = scan.quantile_values(scored, ["score"], [1.0 - contamination])["score"]
+    if cut is None:
+        return scored.withColumn("anomaly", F.lit(False))
+    cut = cut[0]
     return scored.withColumn("anomaly", F.col("score") > F.lit(cut))
 
 
@@ -134,17 +151,19 @@ def anomaly_summary(flagged: DataFrame, flag: str = "anomaly") -> DataFrame:
 
 
 def one_class_svm(df: DataFrame, key: str, features: list[str], nu: float = 0.5, kernel: str = "rbf",
-                  gamma: str | float = "scale", n_components: int = 100, iterations: int = 60,
-                  seed: int = 42) -> DataFrame:
+                  gamma: str | float = "scale", n_components: int = 100, iterations: int = 300,
+                  seed: int = 42, tol: float = 1e-3, patience: int = 10) -> DataFrame:
     """One-class SVM, approximated: random Fourier features for the RBF kernel
     (linear kernel: the features themselves), then the primal objective
     0.5|w|^2 - rho + 1/(nu n) sum max(0, rho - w.phi(x)) minimised by full-batch
-    subgradient steps, each step one aggregate over the rows. Results are NOT
-    identical to a libsvm solve; 'poly' and 'sigmoid' kernels are refused.
+    subgradient steps, each step one aggregate over the rows, until the best
+    objective has not improved by ``tol`` (relative) for ``patience`` steps; the
+    best point is kept. Missing values are replaced by the column's mean. Results
+    are NOT identical to a libsvm solve; 'poly' and 'sigmoid' kernels are refused.
     Adds ``decision`` and ``anomaly`` (decision < 0)."""
     if kernel not in ("rbf", "linear"):
         raise ValueError(f"kernel '{kernel}' is not supported (rbf, linear)")
-    data = df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).na.drop()
+    data = _filled(df, key, features)
     d = len(features)
     if kernel == "rbf":
         if gamma == "scale":
@@ -165,10 +184,11 @@ def one_class_svm(df: DataFrame, key: str, features: list[str], nu: float = 0.5,
     else:
         phi = [F.col(c) for c in features]
     k = len(phi)
-    z = data.select(key, F.array(*phi).alias("z")).persist()
-    n = z.count()
+    z = materialize(data.select(key, F.array(*phi).alias("z")), "svm-features")
+    n = max(z.count(), 1)
     w = np.zeros(k)
     rho = 0.0
+    best, best_w, best_rho, since = math.inf, w, rho, 0
     for t in range(1, iterations + 1):
         wl = F.array(*[F.lit(float(v)) for v in w])
         margin = F.aggregate(F.zip_with(F.col("z"), wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
@@ -177,11 +197,18 @@ def one_class_svm(df: DataFrame, key: str, features: list[str], nu: float = 0.5,
             *[F.sum(F.col("z")[j]).alias(f"s{j}") for j in range(k)]).first()
         cnt = agg["cnt"]
         s = np.array([agg[f"s{j}"] or 0.0 for j in range(k)])
+        objective = 0.5 * float(w @ w) - rho + (rho * cnt - float(w @ s)) / (nu * n)
+        since = 0 if objective < best - tol * max(abs(best) if math.isfinite(best) else 1.0, 1e-6) else since + 1
+        if objective < best:
+            best, best_w, best_rho = objective, w, rho
+        if since >= patience:
+            break
         grad_w = w - s / (nu * n)
         grad_rho = -1.0 + cnt / (nu * n)
         lr = 1.0 / math.sqrt(t)
         w = w - lr * grad_w
         rho = rho - lr * grad_rho
+    w, rho = best_w, best_rho
     wl = F.array(*[F.lit(float(v)) for v in w])
     dec = F.aggregate(F.zip_with(F.col("z"), wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v) - F.lit(rho)
     out = z.select(key, dec.alias("decision"))

@@ -109,18 +109,13 @@ def q_lasso(spark, sf):
 
 
 # ------------------------------------------------------------------ training runs (rows-only)
-_CLS_PARAMS = {"random_forest": {"n_estimators": 20, "max_depth": 8}, "gradient_boosting": {"n_estimators": 20}}
-
-
 @query("train_classification")
 def q_train_classification(spark, sf):
     """Every registered classifier (algorithms not
     chosen -> all) with one-hot text features on documents -> quality."""
     d = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(
         t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    params = dict(_CLS_PARAMS, xgboost={"n_estimators": 20})
-    _pred, metrics = SV.train_models(d, "doc_id", "quality", ["lang", "source", "n_chars"], "classification",
-                                     None, params)
+    _pred, metrics = SV.train_models(d, "doc_id", "quality", ["lang", "source", "n_chars"], "classification")
     return metrics
 
 
@@ -132,7 +127,7 @@ def q_train_regression(spark, sf):
         "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
     _pred, metrics = SV.train_models(li, "line_id", "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"],
                                      "regression", ["linear_regression", "ridge", "lasso", "random_forest",
-                                                    "gradient_boosting"], _CLS_PARAMS)
+                                                    "gradient_boosting"])
     return metrics
 
 
@@ -142,7 +137,7 @@ def q_feature_importance(spark, sf):
     li = t(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
                                          "l_returnflag")
     return SV.feature_importance(li, "l_orderkey", "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"],
-                                 "regression", "random_forest", {"n_estimators": 20, "max_depth": 8})
+                                 "regression", "random_forest")
 
 
 # ------------------------------------------------------------------ clustering (labels of embeddings as clusters)
@@ -215,7 +210,7 @@ def q_kmeans_assign(spark, sf):
 def q_kmeans_train(spark, sf):
     """K-means (k=8) and bisecting k-means on the embeddings; sizes and metrics."""
     e = _emb(spark, sf)
-    km, _ = CL.kmeans(e, "x", k=8, max_iter=50)
+    km, _ = CL.kmeans(e, "x", k=8)
     sizes = CL.cluster_sizes(km, "cluster").withColumn("method", F.lit("kmeans"))
     ag = CL.agglomerative(e, "x", k=4)
     return sizes.unionByName(CL.cluster_sizes(ag, "cluster").withColumn("method", F.lit("bisecting")))
@@ -294,10 +289,10 @@ def q_train_unsupervised(spark, sf):
     o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
     feats = ["o_totalprice", "o_custkey"]
     parts = [train_unsupervised(o, "o_orderkey", feats, "clustering", ["kmeans", "agglomerative", "pca"],
-                                {"kmeans": {"n_clusters": 4, "max_iter": 30}, "agglomerative": {"n_clusters": 3}})
+                                {"kmeans": {"n_clusters": 4}, "agglomerative": {"n_clusters": 3}})
              .withColumn("family", F.lit("clustering")),
              train_unsupervised(o, "o_orderkey", feats, "dimensionality_reduction").withColumn("family", F.lit("dimensionality_reduction")),
-             train_unsupervised(o, "o_orderkey", feats, "anomaly", params={"isolation_forest": {"n_estimators": 50}})
+             train_unsupervised(o, "o_orderkey", feats, "anomaly")
              .withColumn("family", F.lit("anomaly")),
              train_unsupervised(type_baskets(spark, sf), "l_orderkey", [], "association", items_col="items",
                                 params={"apriori": {"min_support": 0.1, "min_confidence": 0.3}})
@@ -340,4 +335,4 @@ def q_one_class_svm(spark, sf):
     """One-class SVM (RBF via random Fourier features, nu 0.5) on order features."""
     o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
     s = PR.standard_scale(o, ["o_totalprice", "o_custkey"])
-    return AN.anomaly_summary(AN.one_class_svm(s, "o_orderkey", ["o_totalprice", "o_custkey"], nu=0.5, iterations=30))
+    return AN.anomaly_summary(AN.one_class_svm(s, "o_orderkey", ["o_totalprice", "o_custkey"], nu=0.5))

@@ -237,30 +237,3 @@ def q_class_lookup(spark, sf):
 def q_detections_summary(spark, sf):
     """Objects per image and mean confidence."""
     return DT.summary(_post(spark, sf, 0.5))
-
-
-@query("batch_detection")
-def q_batch_detection(spark, sf):
-    """Batch inference — every embedding rendered as an 8x8 image, a
-    pluggable detector run per image in Arrow batches (mapInPandas), then the
-    threshold / fallback post-processing and the per-image summary."""
-    import numpy as np
-    import pandas as pd
-
-    from ..sources.images import detect_images, png_gray, quadrant_detector
-
-    def render(batches):
-        for pdf in batches:
-            out = []
-            for vid, v in zip(pdf["vec_id"], pdf["embedding"]):
-                a = np.asarray(v, dtype=float)
-                lo, hi = a.min(), a.max()
-                px = np.zeros(64) if hi == lo else (a - lo) / (hi - lo) * 255.0
-                out.append((f"embedding/{vid}", png_gray(px.reshape(8, 8).round().astype(np.uint8))))
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    images = t(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(render, "path string, content binary")
-    raw = detect_images(images, quadrant_detector)
-    names = DT.class_names_frame(spark, CLASS_NAMES)
-    post = DT.postprocess(raw, names, 0.9)
-    return DT.summary(post, raw)

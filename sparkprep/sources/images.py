@@ -48,64 +48,3 @@ def detect_images(images: DataFrame, load_model: Callable[[], Callable[[bytes],
             yield pd.DataFrame(rows, columns=["image_id", "box_id", "class_id", "confidence", "x1", "y1", "x2", "y2"])
 
     return images.select("path", "content").mapInPandas(run, DETECTION_SCHEMA)
-
-
-# ---------------------------------------------------------------- small PNG helpers (8-bit grayscale)
-def png_gray(pixels) -> bytes:
-    """Encode a 2-D uint8 array as an 8-bit grayscale PNG (no external imaging library)."""
-    import struct
-    import zlib
-
-    import numpy as np
-    a = np.asarray(pixels, dtype=np.uint8)
-    h, w = a.shape
-    raw = b"".join(b"\x00" + a[i].tobytes() for i in range(h))
-
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data) & 0xFFFFFFFF)
-    ihdr = struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", ihdr) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
-def decode_png_gray(data: bytes):
-    """Decode an 8-bit grayscale PNG written without row filters (as ``png_gray`` does)."""
-    import struct
-    import zlib
-
-    import numpy as np
-    pos, idat, w, h = 8, b"", 0, 0
-    while pos < len(data):
-        n = struct.unpack(">I", data[pos:pos + 4])[0]
-        kind = data[pos + 4:pos + 8]
-        body = data[pos + 8:pos + 8 + n]
-        if kind == b"IHDR":
-            w, h = struct.unpack(">II", body[:8])
-        elif kind == b"IDAT":
-            idat += body
-        pos += 12 + n
-    raw = zlib.decompress(idat)
-    rows = [raw[i * (w + 1) + 1:(i + 1) * (w + 1)] for i in range(h)]
-    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(h, w)
-
-
-def quadrant_detector(scale: float = 4.0):
-    """Example detector: bright pixels (strictly above the image's 90th percentile) per
-    image quadrant -> one box per quadrant (class = quadrant, confidence = mean
-    brightness / 255, box = extent of the bright pixels, scaled)."""
-    import numpy as np
-
-    def detect(content: bytes):
-        img = decode_png_gray(content).astype(float)
-        h, w = img.shape
-        thr = np.percentile(img, 90)
-        boxes = []
-        for q, (r0, c0) in enumerate([(0, 0), (0, w // 2), (h // 2, 0), (h // 2, w // 2)]):
-            sub = img[r0:r0 + h // 2, c0:c0 + w // 2]
-            ys, xs = np.nonzero(sub > thr)
-            if len(ys) == 0:
-                continue
-            conf = float(sub[ys, xs].mean() / 255.0)
-            boxes.append((q, conf, (c0 + xs.min()) * scale, (r0 + ys.min()) * scale,
-                          (c0 + xs.max() + 1) * scale, (r0 + ys.max() + 1) * scale))
-        return boxes
-    return detect

@@ -71,10 +71,12 @@ def parquet_stream(spark: SparkSession, directory: str, file_glob: str, schema)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream to completion (availableNow) into a memory table; return it as a batch frame."""
+    """Run a stream to completion (availableNow) into parquet files of the shared
+    folder; return them as a batch frame."""
     spark = stream.sparkSession
-    q = (stream.writeStream.format("memory").queryName(name).outputMode("append")
+    path = scratch_path(spark, f"stream-{name}-out")
+    q = (stream.writeStream.format("parquet").option("path", path).outputMode("append")
          .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path)

@@ -106,16 +106,64 @@ def test_dbscan_roles_with_hot_cell(spark):
 
 
 def test_image_source_and_detector(spark, tmp_path):
-    from sparkprep.sources.images import decode_png_gray, detect_images, png_gray, quadrant_detector, read_images
-    img = np.zeros((8, 8), dtype=np.uint8)
-    img[1:3, 5:7] = 250  # bright block in the top-right quadrant
-    data = png_gray(img)
-    assert (decode_png_gray(data) == img).all()
-    (tmp_path / "a.png").write_bytes(data)
+    from sparkprep.sources.images import detect_images, read_images
+    (tmp_path / "a.png").write_bytes(b"12345")
     (tmp_path / "notes.txt").write_bytes(b"not an image")
-    (tmp_path / "big.png").write_bytes(data + b"\x00" * 100)
-    imgs = read_images(spark, str(tmp_path), max_bytes=len(data) + 10)
+    (tmp_path / "big.png").write_bytes(b"x" * 100)
+    imgs = read_images(spark, str(tmp_path), max_bytes=50)
     assert [r["path"].rsplit("/", 1)[1] for r in imgs.collect()] == ["a.png"]
-    boxes = detect_images(imgs, quadrant_detector).collect()
-    assert len(boxes) == 1 and boxes[0]["class_id"] == 1
-    assert (boxes[0]["x1"], boxes[0]["y1"], boxes[0]["x2"], boxes[0]["y2"]) == (20.0, 4.0, 28.0, 12.0)
+    boxes = detect_images(imgs, lambda: lambda content: [(len(content), 0.5, 0, 1, 2, 3)]).collect()
+    assert [tuple(b)[1:] for b in boxes] == [(0, 5, 0.5, 0.0, 1.0, 2.0, 3.0)]
+
+
+def _points(spark, n=400, missing=0):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 2))
+    x[:10] += 8
+    rows = [(i, float(a), None if i >= n - missing else float(b)) for i, (a, b) in enumerate(x)]
+    return spark.createDataFrame(rows, "id long, a double, b double")
+
+
+def test_isolation_forest_scores_every_row(spark):
+    from sparkprep.operators import anomaly as A
+    df = _points(spark, missing=25)
+    out = {r["id"]: r for r in A.isolation_forest(df, "id", ["a", "b"], contamination=0.05).collect()}
+    assert len(out) == 400
+    assert sum(r["anomaly"] for r in out.values()) == 20
+    assert np.mean([out[i]["score"] for i in range(10)]) > np.quantile([r["score"] for r in out.values()], 0.97)
+
+
+def test_one_class_svm_scores_every_row(spark):
+    from sparkprep.operators import anomaly as A
+    out = A.one_class_svm(_points(spark, missing=25), "id", ["a", "b"], nu=0.2, n_components=20, iterations=40).collect()
+    share = np.mean([r["anomaly"] for r in out])
+    assert len(out) == 400 and 0.02 < share < 0.5
+
+
+def test_feature_importance_of_linear_and_multiclass_models(spark):
+    from sparkprep.operators import supervised as S
+    rng = np.random.default_rng(1)
+    rows = [(i, float(v), float(rng.normal()), "abc"[0 if v < -0.4 else 1 if v < 0.4 else 2], 50 * float(v)) for i, v in enumerate(rng.normal(size=300))]
+    df = spark.createDataFrame(rows, "id long, signal double, noise double, cls string, y double")
+    for algo, target, kind in (("gradient_boosting", "cls", "classification"), ("logistic_regression", "cls", "classification"), ("ridge", "y", "regression")):
+        params = {"n_estimators": 5} if algo == "gradient_boosting" else {}
+        got = S.feature_importance(df, "id", target, ["signal", "noise"], kind, algo, params).collect()
+        assert got[0]["feature"] == "signal" and got[0]["importance"] > 2 * got[1]["importance"]
+    ridge = S.feature_importance(df, "id", "y", ["signal", "noise"], "regression", "ridge", {"alpha": 1.0}).first()
+    assert abs(ridge["importance"] / (50 * np.std([r[1] for r in rows])) - 1) < 0.1
+    with pytest.raises(ValueError):
+        S.validate_params("random_forest", {"min_samples_split": 4})
+
+
+def test_comparison_follows_the_metrics_direction(spark):
+    from sparkprep.operators import results as R
+    rows = [("p", "A", a, "regression", "test", "rmse", v, "t", None) for a, v in (("x", 1.0), ("y", 9.0))] + [("p", "B", "x", "regression", "test", "rmse", 5.0, "t", None)]
+    rows += [("p", m, "kmeans", "clustering", None, "silhouette_score", v, "t", None) for m, v in (("C", 0.4), ("D", 0.6))]
+    rows += [("p", "E", "isolation_forest", "anomaly", None, "outlier_ratio", 0.1, "t", None), ("p", "F", "apriori", "association", None, "rules_count", 7.0, "t", None)]
+    df = spark.createDataFrame(rows, "project_id string, model_id string, algorithm string, problem_type string, split string, metric string, value double, created_at string, error string")
+    r = R.compare_models(df, "A", "B").first()
+    assert (r["value_a"], r["value_b"], r["winner"]) == (1.0, 5.0, "A")
+    r = R.compare_models(df, "C", "D").first()
+    assert (r["metric"], r["winner"]) == ("silhouette_score", "B")
+    assert {r["model_id"] for r in R.best_metric(df).collect()} == set("ABCDEF")
+    assert {r["model_id"]: r["display_score"] for r in R.display_score(df).collect()}.items() >= {"C": 40.0, "E": 10.0, "F": 70.0}.items()
