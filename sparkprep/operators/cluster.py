@@ -17,6 +17,7 @@ are passed to the row-level expressions as literals.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -25,6 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rnd
+from ..session import materialize
+from . import prep
+from .graph import connected_components
 
 NOISE = -1
 
@@ -160,48 +164,124 @@ def agglomerative(df: DataFrame, vec: str, k: int = 2, micro: int = 1000, seed:
     return model.transform(d).drop("_features")
 
 
-def dbscan_points(df: DataFrame, key: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """DBSCAN point roles (core / border / noise) on a few numeric columns, exact.
-
-    Grid of side eps / sqrt(d): two points of one cell are always within eps,
-    so a cell holding >= min_samples points is all-core with no pair checked.
-    Only points of SPARSE cells (< min_samples points) are paired with the
-    points of the (2R+1)^d neighbouring cells (R = ceil(sqrt(d))). Every point
-    q is paired with at most (2R+1)^d * (min_samples - 1) sparse points, so the
-    number of pairs is linear in n even when one cell holds a third of the
-    rows. Neighbour counts include the point itself (as the reference does).
-    """
+def _dbscan_parts(df: DataFrame, key: str, cols: list[str], eps: float, min_samples: int):
+    """(points with cell and cell size, pairs (id, qid) within eps whose id lies in
+    a sparse cell, roles (id, core), offsets of the cells that can be within eps)."""
     d = len(cols)
     if d > 4:
-        raise ValueError("grid DBSCAN is meant for up to 4 dimensions")
+        # a point looks at (2 ceil(sqrt(d)) + 1) ** d cells: 625 of 4 dimensions, 16807 of 5
+        raise ValueError("grid DBSCAN is meant for up to 4 dimensions; reduce them first (PCA)")
     side = eps / math.sqrt(d)
     reach = math.ceil(math.sqrt(d))
-    pts = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]) \
-        .na.drop()
+    pts = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    pts = prep.impute(pts, [f"x{i}" for i in range(d)])
     cell = [F.floor(F.col(f"x{i}") / F.lit(side)).cast("long").alias(f"c{i}") for i in range(d)]
     pts = pts.select("*", *cell)
     ckeys = [f"c{i}" for i in range(d)]
-    counts = pts.groupBy(*ckeys).agg(F.count(F.lit(1)).alias("cell_n"))
-    p = pts.join(counts, ckeys)
-    sparse = p.filter(F.col("cell_n") < min_samples)
-    offs = [list(o) for o in __import__("itertools").product(range(-reach, reach + 1), repeat=d)]
-    off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-    probe = sparse.select("id", *[F.col(f"x{i}").alias(f"px{i}") for i in range(d)],
-                          F.explode(off_arr).alias("o"), *ckeys)
+    counts = pts.groupBy(*ckeys).agg(F.count(F.lit(1)).alias("cell_n"), F.min("id").alias("cell_id"))
+    p = materialize(pts.join(counts, ckeys), "dbscan-points")
+    offs = [list(o) for o in itertools.product(range(-reach, reach + 1), repeat=d)]
+    probe = p.filter(F.col("cell_n") < min_samples).select(
+        "id", *[F.col(f"x{i}").alias(f"px{i}") for i in range(d)],
+        F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])).alias("o"), *ckeys)
     probe = probe.select("id", *[f"px{i}" for i in range(d)],
                          *[(F.col(f"c{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(d)])
-    other = p.select(F.col("id").alias("qid"), *[F.col(f"x{i}").alias(f"qx{i}") for i in range(d)], *ckeys,
-                     F.col("cell_n").alias("q_cell_n"))
-    pairs = probe.join(other, ckeys)
+    other = p.select(F.col("id").alias("qid"), *[F.col(f"x{i}").alias(f"qx{i}") for i in range(d)], *ckeys)
     dist2 = sum((F.col(f"px{i}") - F.col(f"qx{i}")) ** 2 for i in range(d))
-    pairs = pairs.filter(dist2 <= F.lit(eps * eps))
+    pairs = materialize(probe.join(other, ckeys).filter(dist2 <= F.lit(eps * eps)).select("id", "qid"), "dbscan-pairs")
     nb = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
-    roles = p.select("id", "cell_n").join(nb, "id", "left").select(
-        "id", ((F.col("cell_n") >= min_samples) | (F.coalesce("neighbours", F.lit(0)) >= min_samples)).alias("core"))
+    roles = p.select("id", "cell_n", "cell_id").join(nb, "id", "left").select(
+        "id", ((F.col("cell_n") >= min_samples) | (F.coalesce("neighbours", F.lit(0)) >= min_samples)).alias("core"),
+        # all points of a full cell are core and of one cluster: one node, named by the least of them
+        F.when(F.col("cell_n") >= min_samples, F.col("cell_id")).otherwise(F.col("id")).alias("node"))
+    return p, pairs, materialize(roles, "dbscan-roles"), offs
+
+
+def dbscan_points(df: DataFrame, key: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """DBSCAN point roles (core / border / noise) on a few numeric columns, exact.
+
+    Grid of side eps / sqrt(d): two points of one cell are always within eps,
+    so a cell holding >= min_samples points is all-core with no pair checked.
+    Only points of SPARSE cells (< min_samples points) are paired with the
+    points of the (2R+1)^d neighbouring cells (R = ceil(sqrt(d))). Every point
+    q is paired with at most (2R+1)^d * (min_samples - 1) sparse points, so the
+    number of pairs is linear in n even when one cell holds a third of the
+    rows. Neighbour counts include the point itself (as the reference does).
+    Missing values are replaced by the column's mean.
+    """
+    _p, pairs, roles, _offs = _dbscan_parts(df, key, cols, eps, min_samples)
     # border: a non-core point (always in a sparse cell) with a core point within eps
-    core_ids = roles.filter("core").select(F.col("id").alias("qid"), F.lit(True).alias("q_core"))
+    core_ids = roles.filter("core").select(F.col("id").alias("qid"))
     near_core = pairs.join(core_ids, "qid").groupBy("id").agg(F.lit(True).alias("near_core"))
     out = roles.join(near_core, "id", "left").select(
         F.col("id").alias(key), "core",
         (~F.col("core") & F.coalesce("near_core", F.lit(False))).alias("border"))
     return out.withColumn("noise", ~F.col("core") & ~F.col("border"))
+
+
+def _touching_cells(p: DataFrame, d: int, offs: list[list[int]], eps: float, min_samples: int) -> DataFrame:
+    """Pairs (a, b) of full cells, named by cell_id, with points within eps of each other.
+
+    Boxes are halved level by level: a pair of boxes whose tight bounds are
+    within eps anywhere connects its cells, one that is farther apart everywhere
+    is dropped, others are looked at again as their halves. A cell pair is left
+    alone once it is connected. No pairs of points are made.
+    """
+    dims = range(d)
+    full = p.filter(F.col("cell_n") >= min_samples).select("cell_id", *[f"x{i}" for i in dims], *[f"c{i}" for i in dims])
+    cells = full.select("cell_id", *[f"c{i}" for i in dims]).distinct()
+    ahead = [o for o in offs if o > [0] * d]
+    near = (cells.select(F.col("cell_id").alias("a"), F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in ahead])).alias("o"), *[f"c{i}" for i in dims])
+            .select("a", *[(F.col(f"c{i}") + F.col("o")[i]).alias(f"c{i}") for i in dims])
+            .join(cells.withColumnRenamed("cell_id", "b"), [f"c{i}" for i in dims]).select("a", "b"))
+    side = eps / math.sqrt(d)
+    root = F.lit("")
+    active = near.select("a", "b", root.alias("box_a"), root.alias("box_b"))
+    done = None
+    level = 0
+    while True:
+        # a box's path: for each level, the half it lies in on each axis
+        halves = [F.concat(*[F.expr(f"cast(pmod(floor(x{i} / {side / 2 ** lv!r}D), 2) as int)").cast("string") for i in dims]) for lv in range(1, level + 1)]
+        path = F.concat(*halves) if halves else root
+        boxes = (full.withColumn("box", path).groupBy("cell_id", "box")
+                 .agg(*[f(f"x{i}").alias(f"{n}{i}") for i in dims for f, n in ((F.min, "lo"), (F.max, "hi"))]))
+        boxes = materialize(boxes, "dbscan-boxes")
+        of = lambda s: boxes.select(F.col("cell_id").alias(s), F.col("box").alias(f"box_{s}"),
+                                    *[F.col(f"{n}{i}").alias(f"{n}{i}_{s}") for i in dims for n in ("lo", "hi")])
+        if level:  # the parents' halves
+            parent = lambda s: of(s).withColumn(f"up_{s}", F.expr(f"substr(box_{s}, 1, {d * (level - 1)})"))
+            active = (active.withColumnsRenamed({"box_a": "up_a", "box_b": "up_b"})
+                      .join(parent("a"), ["a", "up_a"]).join(parent("b"), ["b", "up_b"]).drop("up_a", "up_b"))
+        else:
+            active = active.join(of("a"), ["a", "box_a"]).join(of("b"), ["b", "box_b"])
+        gap = sum(F.greatest(F.col(f"lo{i}_a") - F.col(f"hi{i}_b"), F.col(f"lo{i}_b") - F.col(f"hi{i}_a"), F.lit(0.0)) ** 2 for i in dims)
+        span = sum(F.greatest(F.abs(F.col(f"hi{i}_a") - F.col(f"lo{i}_b")), F.abs(F.col(f"hi{i}_b") - F.col(f"lo{i}_a"))) ** 2 for i in dims)
+        judged = materialize(active.filter(gap <= eps * eps).select("a", "b", "box_a", "box_b", (span <= eps * eps).alias("touch")), "dbscan-boxpairs")
+        found = judged.filter("touch").select("a", "b").distinct()
+        done = found if done is None else done.union(found)
+        active = judged.join(found, ["a", "b"], "left_anti").select("a", "b", "box_a", "box_b")
+        if active.limit(1).count() == 0:
+            return done
+        level += 1
+        if level > 48:  # boxes of one double: what is left is equal to eps but for rounding
+            return done.union(active.select("a", "b").distinct())
+
+
+def dbscan_labels(df: DataFrame, key: str, cols: list[str], eps: float = 0.5, min_samples: int = 5,
+                  out_col: str = "cluster") -> DataFrame:
+    """(key, cluster) by DBSCAN, exact: a cluster is named by its least core key;
+    a border point takes the least name among its core neighbours; noise is -1.
+
+    Full cells (``dbscan_points``) are single nodes; core points of sparse cells
+    are nodes too. Links are the pairs of the role step and the touching full
+    cells; their components come from rounds of joins."""
+    p, pairs, roles, offs = _dbscan_parts(df, key, cols, eps, min_samples)
+    core = roles.filter("core").select("id", "node")
+    links = (pairs.join(core, "id").select(F.col("node").alias("a"), "qid")
+             .join(core.select(F.col("id").alias("qid"), F.col("node").alias("b")), "qid").select("a", "b")
+             .union(_touching_cells(p, len(cols), offs, eps, min_samples)))
+    roots = connected_components(links)
+    named = core.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("name"))
+    border = (pairs.join(named.withColumnRenamed("id", "qid"), "qid").groupBy("id").agg(F.min("name").alias("near")))
+    return (roles.select("id").join(named, "id", "left").join(border, "id", "left")
+            .select(F.col("id").alias(key), F.coalesce("name", "near", F.lit(-1)).alias(out_col)))

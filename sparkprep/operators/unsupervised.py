@@ -1,7 +1,7 @@
 """Unsupervised family routing with per-method failure isolation.
 
-Families: clustering (kmeans, agglomerative), dimensionality_reduction (pca),
-anomaly (isolation_forest), association (apriori = FP-growth item sets and
+Families: clustering (kmeans, agglomerative, dbscan), dimensionality_reduction
+(pca), anomaly (isolation_forest, one_class_svm), association (apriori = FP-growth item sets and
 rules). Each method yields rows of a long metrics table
 (method, metric, value, error); a failing method yields one error row.
 """
@@ -16,8 +16,18 @@ from . import anomaly, cluster, prep, reduce, rules
 # Default method of every family.
 DEFAULT_METHODS = {"clustering": ["kmeans"], "dimensionality_reduction": ["pca"], "anomaly": ["isolation_forest"],
                    "association": ["apriori"]}
-FAMILY_OF = {"kmeans": "clustering", "agglomerative": "clustering", "pca": "dimensionality_reduction",
-             "isolation_forest": "anomaly", "apriori": "association"}
+FAMILY_OF = {"kmeans": "clustering", "agglomerative": "clustering", "dbscan": "clustering", "pca": "dimensionality_reduction",
+             "isolation_forest": "anomaly", "one_class_svm": "anomaly", "apriori": "association"}
+
+
+def _dbscan(df, key, features, params):
+    """Cluster and noise counts; noise is no cluster. The quality metrics of the
+    other methods hold one summary per cluster on the driver, which density
+    clusters, as many as the data have, don't bound, so they are not computed."""
+    lab = cluster.dbscan_labels(df, key, features, params.get("eps", 0.5), params.get("min_samples", 5))
+    r = lab.agg(F.count_distinct(F.when(F.col("cluster") != cluster.NOISE, F.col("cluster"))).alias("k"),
+                F.count_if(F.col("cluster") == cluster.NOISE).alias("noise")).first()
+    return [("n_clusters", float(r["k"])), ("n_noise", float(r["noise"]))]
 
 
 def _clustering(df, key, vec, method, params):
@@ -52,17 +62,23 @@ def train_unsupervised(df: DataFrame, key: str, features: list[str], family: str
                 raise ValueError(f"method '{m}' does not belong to {family}")
             if family == "clustering":
                 d = prep.impute(df.select(key, *features), features)
-                d = prep.standard_scale(d, features).select(key, F.array(*[F.col(c).cast("double") for c in features])
-                                                            .alias("x"))
-                out = _clustering(d, key, "x", m, p)
+                d = prep.standard_scale(d, features)
+                if m == "dbscan":
+                    out = _dbscan(d, key, features, p)
+                else:
+                    out = _clustering(d.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("x")), key, "x", m, p)
             elif family == "dimensionality_reduction":
                 k = p.get("n_components", 2)
                 ratios = reduce.variance_ratio(prep.impute(df.select(*features), features), features, k, scale=True)
                 vals = [r["ratio"] for r in ratios.orderBy("component").collect()]
                 out = [("variance_explained", float(sum(vals))), ("n_components", float(k))]
             elif family == "anomaly":
-                s = anomaly.isolation_forest(df, key, features, p.get("n_estimators", 100),
-                                             contamination=p.get("contamination", 0.1))
+                if m == "one_class_svm":
+                    d = prep.standard_scale(prep.impute(df.select(key, *features), features), features)
+                    s = anomaly.one_class_svm(d, key, features, p.get("nu", 0.5), p.get("kernel", "rbf"), p.get("gamma", "scale"))
+                else:
+                    s = anomaly.isolation_forest(df, key, features, p.get("n_estimators", 100),
+                                                 contamination=p.get("contamination", 0.1))
                 r = anomaly.anomaly_summary(s).first()
                 out = [("anomalies_detected", float(r["anomalies_detected"])), ("outlier_ratio", float(r["outlier_ratio"]))]
             else:

@@ -288,11 +288,11 @@ def q_train_unsupervised(spark, sf):
     from .q_rules import type_baskets
     o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
     feats = ["o_totalprice", "o_custkey"]
-    parts = [train_unsupervised(o, "o_orderkey", feats, "clustering", ["kmeans", "agglomerative", "pca"],
+    parts = [train_unsupervised(o, "o_orderkey", feats, "clustering", ["kmeans", "agglomerative", "dbscan", "pca"],
                                 {"kmeans": {"n_clusters": 4}, "agglomerative": {"n_clusters": 3}})
              .withColumn("family", F.lit("clustering")),
              train_unsupervised(o, "o_orderkey", feats, "dimensionality_reduction").withColumn("family", F.lit("dimensionality_reduction")),
-             train_unsupervised(o, "o_orderkey", feats, "anomaly")
+             train_unsupervised(o, "o_orderkey", feats, "anomaly", ["isolation_forest", "one_class_svm"])
              .withColumn("family", F.lit("anomaly")),
              train_unsupervised(type_baskets(spark, sf), "l_orderkey", [], "association", items_col="items",
                                 params={"apriori": {"min_support": 0.1, "min_confidence": 0.3}})
@@ -330,6 +330,13 @@ def q_dbscan_core(spark, sf):
     return CL.dbscan_points(e, "event_id", ["x", "y"], eps=0.1, min_samples=5)
 
 
+@query("dbscan_labels")
+def q_dbscan_labels(spark, sf):
+    """DBSCAN cluster labels (least core id; border: least of its neighbours'; noise -1), eps 0.1, min_samples 5."""
+    e = t(spark, sf, "events").select("event_id", (F.col("value") / 50.0).alias("x"), (F.col("user_id") / 15.0).alias("y"))
+    return CL.dbscan_labels(e, "event_id", ["x", "y"], eps=0.1, min_samples=5)
+
+
 @query("one_class_svm")
 def q_one_class_svm(spark, sf):
     """One-class SVM (RBF via random Fourier features, nu 0.5) on order features."""

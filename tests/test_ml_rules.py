@@ -167,3 +167,24 @@ def test_comparison_follows_the_metrics_direction(spark):
     assert (r["metric"], r["winner"]) == ("silhouette_score", "B")
     assert {r["model_id"] for r in R.best_metric(df).collect()} == set("ABCDEF")
     assert {r["model_id"]: r["display_score"] for r in R.display_score(df).collect()}.items() >= {"C": 40.0, "E": 10.0, "F": 70.0}.items()
+
+
+@pytest.mark.parametrize("eps, scale", [(0.3, 1.0), (0.12, 1.0), (0.5, 3.0)])
+def test_dbscan_labels_by_brute_force(spark, eps, scale):
+    rng = np.random.default_rng(11)
+    pts = np.concatenate([rng.normal(c, 0.25, (90, 2)) for c in ((0, 0), (1.2, 0), (0, 3), (4, 4))] + [rng.uniform(-2, 6, (60, 2))]) * scale
+    pts[:40] = pts[0]  # many equal points
+    ids = rng.permutation(len(pts)) + 10
+    got = {r["id"]: r["cluster"] for r in CL.dbscan_labels(
+        spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, pts)], "id long, a double, b double"), "id", ["a", "b"], eps, 5).collect()}
+    near = ((pts[:, None] - pts[None]) ** 2).sum(-1) <= eps * eps
+    core = near.sum(1) >= 5
+    label = np.where(core, ids, 10 ** 9)
+    while True:
+        new = np.where(core, np.where(near & core[None], label[None], 10 ** 9).min(1), label)
+        if (new == label).all():
+            break
+        label = new
+    border = np.where(near & core[None], label[None], 10 ** 9).min(1)
+    want = {int(i): int(x) if c else int(b) if b < 10 ** 9 else -1 for i, x, c, b in zip(ids, label, core, border)}
+    assert got == want and len(set(want.values())) > 3
