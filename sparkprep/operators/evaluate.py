@@ -125,6 +125,29 @@ def brier_score(pred: DataFrame, by=None, y_true="y_true", y_score="y_score") ->
     return pred.groupBy(*by).agg(F.avg((F.col(y_score) - F.col(y_true)) ** 2).alias("brier_score"))
 
 
+def log_loss_multiclass(pred: DataFrame, by=None, y_true="y_true", y_prob="y_prob") -> DataFrame:
+    """Log loss over any number of classes: ``y_prob`` holds a probability per
+    class in class order, ``y_true`` the class number; probabilities are scaled to
+    sum to 1 and clipped to [eps, 1 - eps]."""
+    by = list(by or [])
+    total = F.aggregate(y_prob, F.lit(0.0), lambda a, x: a + x)
+    p = F.try_divide(F.get(F.col(y_prob), F.col(y_true).cast("int")), total)
+    p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.coalesce(p, F.lit(0.0))))
+    return pred.groupBy(*by).agg((-F.avg(F.log(p))).alias("log_loss"))
+
+
+def one_vs_rest(pred: DataFrame, keep: list[str] | None = None, y_true="y_true", y_prob="y_prob") -> DataFrame:
+    """A binary row (class, y_true, y_score) per row and class: input of the ROC and PR functions with by=[.., 'class']."""
+    return (pred.select(*(keep or []), F.col(y_true).alias("_c"), F.posexplode(y_prob).alias("class", "y_score"))
+            .select(*(keep or []), "class", (F.col("_c").cast("int") == F.col("class")).cast("int").alias("y_true"), "y_score"))
+
+
+def roc_auc_ovr(pred: DataFrame, by=None, y_true="y_true", y_prob="y_prob") -> DataFrame:
+    """One-vs-rest area under the ROC curve of every class (null if it or its rest has no row)."""
+    by = list(by or [])
+    return roc_auc(one_vs_rest(pred, by, y_true, y_prob), [*by, "class"])
+
+
 def _score_cum(pred: DataFrame, by, y_true, y_score) -> DataFrame:
     """Per distinct score (desc): pos, neg, cumulative tps / fps, totals P / N."""
     by = list(by or [])
@@ -211,8 +234,13 @@ def regression_metrics(pred: DataFrame, by=None, y_true="y_true", y_pred="y_pred
     a = pred.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
         F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPS))).alias("mape"),
-        F.median(F.abs(e)).alias("median_ae"),
         F.sum(e * e).alias("ss_res"), F.var_pop(y).alias("var_y"), F.var_pop(e).alias("var_e"))
+    # exact medians of all groups from one histogram of the errors: no task holds a group's values
+    name = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("all")
+    hist = (pred.select(name.alias("name"), F.abs(e).alias("v")).filter(F.col("v").isNotNull())
+            .groupBy("name", "v").agg(F.count(F.lit(1)).alias("c")))
+    med = scan.quantiles_from_hist(hist, [0.5], scan.choose_buckets(pred)).select(F.col("name").alias("_group"), F.col("value").alias("median_ae"))
+    a = a.withColumn("_group", name).join(med, "_group", "left")
     n = F.col("n")
     ss_tot = F.col("var_y") * n
     r2 = (F.when(ss_tot == 0, F.when(F.col("ss_res") == 0, 1.0).otherwise(0.0))

@@ -7,7 +7,7 @@ layout: every question about stored runs is a filter / groupBy over it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rnd
@@ -54,6 +54,25 @@ def to_long(metrics: DataFrame, id_cols: list[str], metric_cols: list[str]) -> D
     return metrics.select(*id_cols, F.expr(f"stack({len(metric_cols)}, {pairs}) AS (metric, value)"))
 
 
+def run_results(metrics: DataFrame, project_id: str, model_id: str, problem_type: str, created_at: str) -> DataFrame:
+    """Result rows of a run from the metrics that training returns (``algorithm``
+    or ``method``, ``metric``, ``value``, ``error`` and, for supervised runs, ``split``)."""
+    name = "algorithm" if "algorithm" in metrics.columns else "method"
+    split = F.col("split") if "split" in metrics.columns else F.lit(None).cast("string")
+    return metrics.select(F.lit(project_id).alias("project_id"), F.lit(model_id).alias("model_id"), F.col(name).alias("algorithm"),
+                          F.lit(problem_type).alias("problem_type"), split.alias("split"), "metric", "value",
+                          F.lit(created_at).alias("created_at"), "error")
+
+
+def append_results(rows: DataFrame, path: str) -> None:
+    """Add a run's rows to the results table, files in a folder of shared storage."""
+    rows.select(*RESULT_COLUMNS).write.mode("append").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*RESULT_COLUMNS)
+
+
 def best_by(df: DataFrame, metric: str, by: list[str] | None = None, tiebreak: str | None = None,
             higher: bool = True) -> DataFrame:
     """Row with the best ``metric`` (per ``by`` group); ties go to the smallest ``tiebreak``."""

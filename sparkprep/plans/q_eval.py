@@ -180,6 +180,36 @@ def q_roc_curve(spark, sf):
     return E.roc_curve(scores(spark, sf))
 
 
+# three classes (order status) with probabilities made from the order's price
+def class_probs(spark, sf):
+    o = t(spark, sf, "orders")
+    mx = o.agg(F.max("o_totalprice")).first()[0]
+    s = rnd(F.col("o_totalprice") / F.lit(float(mx)), 4)
+    cls = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return o.select(cls.alias("y_true"), F.array(s / 2, (1 - s) / 2, F.lit(0.5)).alias("y_prob"))
+
+
+CLASS_PROBS_SQL = """(SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y_true, [s / 2, (1 - s) / 2, 0.5::DOUBLE] AS y_prob
+  FROM (SELECT o_orderstatus, round(o_totalprice / (SELECT max(o_totalprice) FROM orders), 4) AS s FROM orders))"""
+
+
+@query("log_loss_multiclass", f"""SELECT round(-avg(ln(greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, y_prob[y_true + 1])))), {D}) AS log_loss
+FROM {CLASS_PROBS_SQL} p""")
+def q_log_loss_multiclass(spark, sf):
+    """Log loss over three classes."""
+    return _r(E.log_loss_multiclass(class_probs(spark, sf)))
+
+
+@query("roc_auc_ovr", f"""WITH b AS (SELECT CAST(k - 1 AS INTEGER) AS class, CAST(y_true = k - 1 AS INTEGER) AS y, y_prob[k] AS s FROM {CLASS_PROBS_SQL} p, range(1, 4) r(k)),
+h AS (SELECT class, s, sum(y) AS pos, count(*) - sum(y) AS neg FROM b GROUP BY class, s),
+c AS (SELECT *, sum(pos) OVER w AS pos_cum, sum(pos) OVER (PARTITION BY class) AS p, sum(neg) OVER (PARTITION BY class) AS n FROM h
+      WINDOW w AS (PARTITION BY class ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
+SELECT class, round(sum((neg / n) * (pos_cum / p + (pos_cum - pos) / p) / 2), {D}) AS roc_auc FROM c GROUP BY class""")
+def q_roc_auc_ovr(spark, sf):
+    """One-vs-rest ROC area of every class."""
+    return _r(E.roc_auc_ovr(class_probs(spark, sf)))
+
+
 @query("roc_auc", f"""WITH {_CUM_SQL}
 SELECT round(sum((neg / "N") * (pos_cum / "P" + (pos_cum - pos) / "P") / 2), {D}) AS roc_auc FROM c""")
 def q_roc_auc(spark, sf):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import detections as DT
 from ..operators import evaluate as E
 from ..operators import results as RS
+from ..session import scratch_path
 from ..functions.scalar import sig_round, sig_round_sql, rnd
 from .q_eval import D, LINE_TOTAL_SQL, MODELS_SQL, THRESHOLDS, _metrics_sql, _r, dec, line_total
 from .registry import query
@@ -86,6 +87,15 @@ def q_model_results(spark, sf):
     return model_results(spark, sf)
 
 
+@query("results_sink", RESULTS_SQL)
+def q_results_sink(spark, sf):
+    """Two runs appended to the results table in the shared folder, and read back."""
+    path, r = scratch_path(spark, "results-sink"), model_results(spark, sf)
+    for run in ("m_events_thresholds", "m_orders_price"):
+        RS.append_results(RS.load_results(r, run), path)
+    return RS.read_results(spark, path)
+
+
 @query("load_results", f"SELECT * FROM ({RESULTS_SQL}) WHERE model_id = 'm_orders_price'")
 def q_load_results(spark, sf):
     """Results of one run by id."""
