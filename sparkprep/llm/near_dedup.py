@@ -13,10 +13,17 @@ Who is compared, without all pairs of a band:
 1. Texts with equal shingle sets become one node.
 2. Each node is compared with the least node it shares a band with; confirmed
    links form trees, whose roots are found by pointer jumping.
-3. Only bands that still hold nodes of two or more trees are looked at again:
-   there, nodes outside the band's most frequent tree are compared with the
-   band's nodes of other trees. Links between trees are joined by alternating
-   star contraction.
+3. Only bands that hold nodes of two or more trees are looked at again. In those
+   of more than HOT nodes, nodes outside the band's most frequent tree are first
+   compared with one node of it, picked by one of PICKS hashes of the nodes, so
+   that over its bands a node meets several of them. Links between trees are
+   joined by alternating star contraction.
+4. Of the bands that are still mixed, those of up to HOT nodes compare outside
+   nodes with all nodes of other trees. Larger ones hold many texts just under
+   the threshold; there an exact prefix join finds the partners: of two linked
+   sets, ordered by rarity, the first common shingle stands so early that what
+   follows it in both suffices for the intersection. Sizes are part of the join
+   key, so a shingle too late for partners of a size isn't paired with them.
 
 Only connections are asked for, so pairs inside one tree need no comparison.
 At J = 0.8, a pair shares none of the 54 bands with probability 0.738 ** 54 = 7e-8.
@@ -37,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from . import wordhash as wh
 from .common import arrow_map, reliable, small, written
 
@@ -45,6 +53,9 @@ BANDS, ROWS = 54, 6
 REGISTERS = BANDS * ROWS
 VALUE_BITS, MANTISSA = 40, 10
 EMPTY = np.uint16(0xFFFF)
+HOT = 32  # nodes of a band up to which its outside nodes meet all others
+PICKS = 8
+SIZE_STEP = 1.05  # ratio of size classes in the prefix join
 # estimates this many standard errors under the threshold are dropped
 SIGMAS = 5.0
 _PROBES = np.argsort(np.random.Generator(np.random.PCG64(7)).random((REGISTERS, REGISTERS)), axis=0)
@@ -180,9 +191,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshol
                        .select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), _hopeful(threshold), "a long, b long"))
     asked = hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct()
     places = reliable(nodes.select("node", "rep", "rep_hash").join(asked, "node"))
-    texts = (docs.join(small(places), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
-             .select("node", "text"))
-    sets = reliable(arrow_map(texts, _sets(k), "node long, shingles binary").dropDuplicates(["node"]))
+    sets = reliable(arrow_map(_set_texts(places, docs), _sets(k), "node long, shingles binary").dropDuplicates(["node"]))
     return (arrow_map(hopeful.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
             .select("a", "b", "s_a", "s_b"), _confirmed(threshold), "a long, b long"))
@@ -198,24 +207,68 @@ def _tree_roots(parents: DataFrame) -> DataFrame:
             return parents.select("node", F.col("up").alias("root"))
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge (a, b), root the least node of its
-    component, by alternating large and small stars; each round is checkpointed."""
-    edges = reliable(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    digest = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    last = digest(edges)
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        edges = reliable(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-                         .filter("u != v").distinct())
-        now = digest(edges)
-        if now == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = now
+def _mixed(spots: DataFrame, tree: DataFrame) -> DataFrame:
+    """(key, node, root, main, pick, nodes) of the bands whose nodes lie in two or
+    more trees: the root of most nodes, one node of that tree, the band's size."""
+    rooted = spots.select("node", "key").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mass = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(PICKS))), "node")).alias("p"))
+    of_key = (mass.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("nodes"),
+                                      F.max(F.struct("c", "root", "p.node")).alias("m"))
+              .filter("roots > 1").select("key", F.col("m.root").alias("main"), F.col("m.node").alias("pick"), "nodes"))
+    return rooted.join(of_key, "key").select("key", "node", "root", "main", "pick", "nodes")
+
+
+def _joined(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after the trees of linked nodes are joined."""
+    root_of = lambda x: tree.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    between = (links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+               .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    up = connected_components(between)
+    moved = tree.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    alone = up.join(tree.select("node"), "node", "left_anti").filter("node != root")
+    return reliable(moved.select("node", F.coalesce("top", "root").alias("root")).union(alone.select("node", "root")))
+
+
+def _set_texts(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of nodes given with their representative row."""
+    return docs.join(small(places), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("node", "text")
+
+
+def _tokens(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in wh.slices(whole, "text", 1 << 18):
+                sets = list(shingle_sets(batch, k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])),
+                                                  pa.array(np.concatenate(sets).view(np.int64))], names=["node", "token"])
+    return run
+
+
+def _prefix_pairs(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different trees that can reach the threshold, one of them
+    ``outer``, by an exact prefix and position join over ``crowd`` (node, root, outer, n)."""
+    t = threshold
+    places = reliable(nodes.select("node", "rep", "rep_hash").join(crowd.select("node").distinct(), "node"))
+    tokens = written(arrow_map(_set_texts(places, docs), _tokens(k), "node long, token long").distinct(), "crowd-tokens")
+    seen = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = tokens.join(seen, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    prefix = (ordered.withColumn("n", F.size("all"))
+              .select("node", "n", F.posexplode(F.expr(f"slice(all, 1, n - (n * {t} + 99) div 100 + 1)")).alias("pos", "s"))
+              .select("node", "n", "pos", F.col("s.token").alias("token")))
+    # a node is outer if it is so in any band
+    marks = crowd.groupBy("node", "root").agg(F.max("outer").alias("outer"))
+    prefix = written(prefix.join(marks, "node"), "crowd-prefixes")
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP)))
+    low = F.ceil(F.col("n") * t / 100)
+    high = F.least(F.floor(F.col("n") * 100 / t), F.floor((F.col("n") - F.col("pos")) * (100 + t) / t) - F.col("n"))
+    x = (prefix.filter("outer").withColumn("low", low).withColumn("high", high).filter("low <= high")
+         .select("token", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))).alias("class"), F.col("node").alias("x"),
+                 F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("root").alias("rx")))
+    y = prefix.select("token", size_class(F.col("n")).alias("class"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"),
+                      F.col("root").alias("ry"), F.col("outer").alias("oy"))
+    reach = (F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) * (100 + t) >= t * (F.col("nx") + F.col("ny")))
+    pairs = x.join(y, (x["token"] == y["token"]) & (x["class"] == y["class"]) & (F.col("rx") != F.col("ry")) & reach & (~F.col("oy") | (F.col("x") < F.col("y"))))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, k: int = 4, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,31 +278,28 @@ def near_duplicates(df: DataFrame, k: int = 4, threshold: int = THRESHOLD, id_co
     signed = written(arrow_map(docs, _signatures(k), f"doc_id {kind}, text_hash long, n long, fp1 long, fp2 long, regs binary"), "signatures")
     nodes = written(signed.filter("n > 0").groupBy("fp1", "fp2", "n")
                     .agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.min("doc_id").alias("least_id"), F.first("regs").alias("regs"))
-                    .select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", "n", F.col("r.doc_id").alias("rep"),
+                    # numbered by id: the least of a band is often the text that the others were made from
+                    .orderBy("r").select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", "n", F.col("r.doc_id").alias("rep"),
                             F.col("r.text_hash").alias("rep_hash"), "least_id", "regs"), "nodes")
     bands = arrow_map(nodes.select("node", "regs"), _bands, "node long, key long")
     shared = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("__most")).filter("__most > pivot").drop("__most")
     spots = written(bands.join(shared, "key").select("node", "key", "pivot"), "bands")
     first = spots.groupBy("node").agg(F.min("pivot").alias("p")).filter("p < node").select(F.col("p").alias("a"), F.col("node").alias("b"))
     tree = reliable(_tree_roots(_links(first, nodes, docs, k, threshold).select(F.col("b").alias("node"), F.col("a").alias("up"))))
-    # what is left: bands whose nodes lie in two or more trees
-    rooted = spots.select("node", "key").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mass = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = (mass.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"))
-             .filter("roots > 1").drop("roots"))
-    spread = written(rooted.join(mixed, "key"), "mixed-bands")
-    outer = spread.filter("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
-    inner = spread.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), (F.col("root") == F.col("main")).alias("is_main"))
-    second = (outer.join(inner, "key").filter("root_x != root_y AND (is_main OR x < y)")
-              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = _links(second, nodes, docs, k, threshold)
-    root_of = lambda x: tree.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-    between = (more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-               .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    joined = connected(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    first_mixed = _mixed(spots, tree)
+    picked = (first_mixed.filter(F.col("nodes") > HOT).filter("root != main").select(F.least("node", "pick").alias("a"), F.greatest("node", "pick").alias("b")).distinct())
+    tree = _joined(tree, _links(picked, nodes, docs, k, threshold))
+    mixed = written(_mixed(spots, tree), "mixed-bands")
+    cool, hot = mixed.filter(F.col("nodes") <= HOT), mixed.filter(F.col("nodes") > HOT)
+    outer = cool.filter("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
+    inner = cool.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), (F.col("root") == F.col("main")).alias("is_main"))
+    met = (outer.join(inner, "key").filter("root_x != root_y AND (is_main OR x < y)")
+           .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    crowd = reliable(hot.groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("outer")).join(nodes.select("node", "n"), "node"))
+    rest = met.union(_prefix_pairs(crowd, nodes, docs, k, threshold)).distinct()
+    tree = _joined(tree, _links(rest, nodes, docs, k, threshold)).withColumnRenamed("root", "top")
     placed = (nodes.select("node", "fp1", "fp2", "n", "least_id").join(tree, "node", "left")
-              .withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left")
-              .withColumn("top", F.coalesce("top", "root")))
+              .withColumn("top", F.coalesce("top", "node")))
     placed = reliable(placed)
     names = placed.groupBy("top").agg(F.min("least_id").alias("component_id"), F.count("*").alias("__c")).filter("__c > 1").drop("__c")
     named = (placed.join(names, "top", "left")
