@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rnd
 from . import chat, decontaminate, html_text, licenses, line_dedup, near_dedup, quality, sentence_pieces, sharding, toxicity
 from .common import table
 
@@ -23,14 +24,59 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("op1_quality_rules")
+def _op1_sql() -> str:
+    """Measures, votes and the fit: one recursive step per round of expectation-maximisation."""
+    votes = []
+    for r in quality.RULES:
+        x = f"{r.over}::DOUBLE / greatest({r.under}, 1)"
+        low, high = (f"{x} <= {r.good}", f"{x} >= {r.bad}") if r.good < r.bad else (f"{x} >= {r.good}", f"{x} <= {r.bad}")
+        votes.append(f"CASE WHEN {high} THEN -1 WHEN {low} THEN 1 ELSE 0 END")
+    j = len(quality.RULES)
+    only = lambda c: f"length(regexp_replace(t, '[^{c}]', '', 'g'))"
+    mass = lambda w: (
+                    f"list_transform(range(1, {j + 1}), lambda j: list_transform([-1, 0, 1], lambda v: {quality.SMOOTH} + "
+                    f"list_sum(list_transform(range(1, len(ns) + 1), lambda i: CASE WHEN vs[i][j] = v THEN ns[i] * {w} ELSE 0.0 END))))")
+    share = lambda m: f"list_transform({m}, lambda m: list_transform(m, lambda x: x / list_sum(m)))"
+    chance = lambda p, r: f"list_transform(vs, lambda v: {p} * list_aggregate(list_transform(range(1, {j + 1}), lambda j: {r}[j][v[j] + 2]), 'product'))"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+win AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS x FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, x) > 1),
+again AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
+m AS (SELECT w.rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             coalesce(again.n, 0) AS n_repeat_words, len(list_distinct(ws)) AS n_distinct_words, len(list_filter(ws, lambda x: x = '|')) AS n_cell_words,
+             len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, {only('#*$%&|<>')} AS n_symbols, {only('!')} AS n_exclaims,
+             {only('\\p{L}')} AS n_letters, {only('\\p{Lu}')} AS n_upper FROM w LEFT JOIN again ON w.rid = again.rid),
+v AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed, [{', '.join(votes)}] AS votes FROM m),
+pats AS (SELECT votes, count(*)::DOUBLE AS n FROM v GROUP BY votes),
+p AS (SELECT list(votes ORDER BY votes) AS vs, list(n ORDER BY votes) AS ns, sum(n) AS total FROM pats),
+em AS (
+  SELECT 0 AS it, list_transform(vs, lambda x: CASE WHEN list_min(x) < 0 THEN 0.05 ELSE 0.95 END)::DOUBLE[] AS g, (-1e308)::DOUBLE AS likelihood, FALSE AS done FROM p
+  UNION ALL
+  SELECT it + 1, list_transform(range(1, len(ns) + 1), lambda i: good[i] / (good[i] + bad[i])), lik, lik - last < {quality.TOLERANCE} * abs(lik) FROM (
+    SELECT *, list_sum(list_transform(range(1, len(ns) + 1), lambda i: ns[i] * ln(good[i] + bad[i]))) AS lik FROM (
+      SELECT *, {chance('prior', 'of_good')} AS good, {chance('(1 - prior)', 'of_bad')} AS bad FROM (
+        SELECT it, likelihood AS last, vs, ns, {share(mass('g[i]'))} AS of_good, {share(mass('(1 - g[i])'))} AS of_bad,
+               (list_sum(list_transform(range(1, len(ns) + 1), lambda i: ns[i] * g[i])) + {quality.PRIOR_GOOD}) / (total + 1) AS prior
+        FROM em, p WHERE NOT done AND it < {quality.MAX_ITERATIONS})))),
+fitted AS (SELECT vs, g FROM em, p ORDER BY it DESC LIMIT 1),
+verdict AS (SELECT unnest(vs) AS votes, unnest(g) AS posterior FROM fitted)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       base_failed, NOT base_failed AND posterior >= 0.5 AS kept, round(posterior, 6) AS posterior, array_to_string(v.votes, ',') AS votes
+FROM v JOIN verdict ON v.votes = verdict.votes
+"""
+
+
+@register("op1_quality_rules", _op1_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, base verdict and weak-supervision verdict of every document."""
     rows, _ = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
     m = F.col("__m")
     return rows.select("doc_id", *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
                        F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"),
-                       F.col("__posterior").alias("posterior"), F.col("__votes").alias("votes"))
+                       rnd(F.col("__posterior"), 6).alias("posterior"), F.array_join(F.col("__votes").cast("array<string>"), ",").alias("votes"))
 
 
 OP5_SQL = f"""
@@ -62,7 +108,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 
 
-@register("op6_sharding")
+OP6_SQL = """
+WITH tab AS (SELECT list(c ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) AS c FROM range(256) r(n))),
+d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+             CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4294967295, list_reduce(
+               list_transform(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g')), ' '), lambda h: ('0x' || h)::BIGINT),
+               lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) END AS text_crc32,
+             md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h
+      FROM documents, tab),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32, size) AS r, count(*) OVER (PARTITION BY source) AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END) - 1 AS p,
+             count(*) OVER () AS total FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (p * 16 // total)::INTEGER AS shard,
+       (p - ((p * 16 // total) * total + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM p
+"""
+
+
+@register("op6_sharding", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal mixture, counts at most one apart."""
     out = sharding.interleaved_shards(table(spark, sf_dir, "documents"))
@@ -70,7 +133,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"))
 
 
-@register("op2_minhash_near_dedup")
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+                             lambda x: x <> '') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON r = x),
+least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@register("op2_minhash_near_dedup", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document (4-word shingles, 80 percent)."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("text_hash")
