@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rnd
 from ..operators import anomaly as AN
 from ..operators import cluster as CL
+from ..operators import knn as KN
 from ..operators import prep as PR
 from ..operators import reduce as RD
 from ..operators import supervised as SV
@@ -337,6 +338,37 @@ def q_dbscan_labels(spark, sf):
     return CL.dbscan_labels(e, "event_id", ["x", "y"], eps=0.1, min_samples=5)
 
 
+_KNN_SQL = """WITH e AS (SELECT event_id, event_type, value, user_id, value / 50.0::DOUBLE AS x, user_id / 15.0::DOUBLE AS y FROM events),
+d AS (SELECT q.event_id, t.event_type AS c, t.user_id AS u, row_number() OVER (PARTITION BY q.event_id
+        ORDER BY 0.0::DOUBLE + (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y), t.event_id) AS r
+      FROM (SELECT * FROM e WHERE event_id % 5 = 0) q, (SELECT * FROM e WHERE event_id % 5 <> 0) t),
+n AS (SELECT * FROM d WHERE r <= 5)"""
+
+
+def _knn_parts(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "event_type", F.col("user_id").cast("double").alias("user_id"),
+                                      (F.col("value") / 50.0).alias("x"), (F.col("user_id") / 15.0).alias("y"))
+    test = F.col("event_id") % 5 == 0  # the rows to predict; the others are the training rows
+    return e.filter(~test), e.filter(test)
+
+
+@query("knn_classify", _KNN_SQL + """,
+v AS (SELECT event_id, c, count(*) AS k FROM n GROUP BY ALL)
+SELECT event_id, arg_min(c, (-k, c)) AS prediction FROM v GROUP BY event_id""")
+def q_knn_classify(spark, sf):
+    """M7: class of every fifth event by its five nearest other events, exact (value/50, user/15)."""
+    train, test = _knn_parts(spark, sf)
+    return KN.classify(train, test, "event_id", ["x", "y"], "event_type", 5)
+
+
+@query("knn_regress", _KNN_SQL + """
+SELECT event_id, round(avg(u), 6) AS prediction FROM n GROUP BY event_id""")
+def q_knn_regress(spark, sf):
+    """M7: mean target of the five nearest events, exact."""
+    train, test = _knn_parts(spark, sf)
+    return KN.regress(train, test, "event_id", ["x", "y"], "user_id", 5).select("event_id", rnd("prediction", 6).alias("prediction"))
+
+
 @query("one_class_svm")
 def q_one_class_svm(spark, sf):
     """One-class SVM (RBF via random Fourier features, nu 0.5) on order features."""

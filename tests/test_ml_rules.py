@@ -188,3 +188,45 @@ def test_dbscan_labels_by_brute_force(spark, eps, scale):
     border = np.where(near & core[None], label[None], 10 ** 9).min(1)
     want = {int(i): int(x) if c else int(b) if b < 10 ** 9 else -1 for i, x, c, b in zip(ids, label, core, border)}
     assert got == want and len(set(want.values())) > 3
+
+
+@pytest.mark.parametrize("d, k", [(1, 3), (2, 5), (4, 7)])
+def test_neighbours_by_brute_force(spark, monkeypatch, d, k):
+    from sparkprep.operators import knn
+    monkeypatch.setattr(knn, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(size=(250, d)).round(1), rng.uniform(-9, 9, (60, d)), np.ones((80, d)) * 0.5])
+    q = np.concatenate([rng.normal(size=(60, d)).round(1), rng.uniform(-20, 20, (20, d)), np.ones((1, d)) * 0.5])
+    cols = [f"f{i}" for i in range(d)]
+    frame = lambda a, first: spark.createDataFrame([(first + i, *map(float, r)) for i, r in enumerate(a)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in knn.neighbours(frame(x, 0), frame(q, 1000), "id", cols, k).collect()}
+    want = {}
+    for i, v in enumerate(q):
+        d2 = np.zeros(len(x))
+        for j in range(d):
+            d2 = d2 + (v[j] - x[:, j]) * (v[j] - x[:, j])
+        for rank, j in enumerate(np.lexsort((np.arange(len(x)), d2))[:k], 1):
+            want[1000 + i, rank] = int(j)
+    assert got == want
+    few = knn.neighbours(frame(x[:2], 0), frame(q[:3], 1000), "id", cols, k).collect()
+    assert len(few) == 6
+
+
+def test_training_with_neighbours_and_probabilities(spark):
+    from sparkprep.operators import evaluate as E
+    from sparkprep.operators import supervised as S
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), "xyz"[0 if a < -0.5 else 1 if a < 0.5 else 2]) for i, a in enumerate(rng.normal(size=240))]
+    df = spark.createDataFrame(rows, "id long, a double, cls string")
+    pred, metrics = S.train_models(df, "id", "cls", ["a"], "classification", ["knn", "logistic_regression", "nothing"])
+    got = {(r["algorithm"], r["split"]): r["value"] for r in metrics.filter("metric = 'accuracy'").collect()}
+    assert got["knn", "test"] > 0.9 and got["logistic_regression", "test"] > 0.6
+    assert [r["algorithm"] for r in metrics.filter("error IS NOT NULL").collect()] == ["nothing"]
+    assert pred.filter("algorithm = 'knn'").count() == 240
+    prob = pred.filter("algorithm = 'logistic_regression'")
+    p = np.array([r["y_prob"][int(r["y_true"])] for r in prob.collect()])
+    assert abs(E.log_loss_multiclass(prob).first()[0] + np.log(p).mean()) < 1e-9
+    auc = {r["class"]: r["roc_auc"] for r in E.roc_auc_ovr(prob).collect()}
+    assert set(auc) == {0, 1, 2} and auc[0] > 0.9 and auc[2] > 0.9
+    folds = S.cross_validate(df, "id", "cls", ["a"], "classification", "logistic_regression", 3, method="shuffle").collect()
+    assert [r["fold"] for r in folds] == ["0", "1", "2", "mean", "std"]
