@@ -39,13 +39,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, clean_nan: bool = Tr
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",
              infer_schema: bool = True, schema: T.StructType | str | None = None) -> DataFrame:
     """Plain CSV scan with a header row."""
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    western = encoding.lower() in ("cp1252", "windows-1252")  # Spark reads its near relative latin-1
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", "iso-8859-1" if western else encoding)
     reader = reader.option("mode", "PERMISSIVE").option("multiLine", False)
     if schema is not None:
         reader = reader.schema(schema)
     else:
         reader = reader.option("inferSchema", infer_schema)
-    return nan_to_null(reader.csv(path))
+    df = reader.csv(path)
+    return nan_to_null(_cp1252(df) if western else df)
+
+
+def _cp1252(df: DataFrame) -> DataFrame:
+    """Texts and names read as latin-1, as cp1252 has them: it differs in 0x80-0x9F."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    old, new = (("".join(x) for x in zip(*((a, c) for a, c in pairs if c), strict=True)))
+    table = str.maketrans(old, new)
+    return df.select(*[(F.translate(F.col(f"`{f.name}`"), old, new) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`"))
+                       .alias(f.name.translate(table)) for f in df.schema.fields])
 
 
 def probe_csv_format(spark: SparkSession, path: str) -> tuple[str, str]:

@@ -106,3 +106,11 @@ def test_two_level_lists_match_single_level(spark, method):
     if method == "unique_list":
         exp = list(dict.fromkeys(exp))
     assert one[0] == ", ".join(exp)
+
+
+def test_encoding_is_judged_by_the_whole_file(spark, tmp_path):
+    from sparkprep.sources.ingest import read_csv_tolerant
+    lines = ["id;'name;x'".replace("'", '"')] + [f"{i};plain" for i in range(60)] + ["61;caf\xe9 5\u20ac"]
+    (tmp_path / "late.csv").write_bytes("\n".join(lines).encode("cp1252"))
+    got = read_csv_tolerant(spark, str(tmp_path / "late.csv"))
+    assert got.columns == ["id", "name;x"] and "caf\xe9 5\u20ac" in [r[1] for r in got.collect()]

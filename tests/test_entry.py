@@ -34,6 +34,7 @@ def test_every_oracle_has_a_query():
     assert len(E.queries()) >= 100
 
 
+@pytest.mark.parametrize("name", SAMPLE)
 def test_query_matches_oracle(spark, duck, name):
     import pandas as pd
     sp = E.queries()[name](spark, SF_SMALL).toPandas()
@@ -56,6 +57,22 @@ def test_plan_has_no_cross_join(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["describe", "metrics_regression", "outlier_overview", "feature_profile"])
+def test_plan_has_no_one_task_percentile(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_ordered_scans_have_many_buckets_at_any_size(spark):
+    from sparkprep.operators import scan
+    few = spark.createDataFrame([(i, f"Customer#{i:09d}") for i in range(64)], "id long, name string")
+    for col in ("id", "name"):
+        sizes = [r["count"] for r in scan.add_order_bucket(few, [col]).groupBy(scan.BUCKET_COL).count().collect()]
+        assert len(sizes) >= 6 and max(sizes) <= 24
+    ordered = scan.add_order_bucket(few, ["name"], descending=True).orderBy(scan.BUCKET_COL, "id").collect()
+    assert max(r["id"] for r in ordered[-8:]) < max(r["id"] for r in ordered[:8])
+
+
 def test_scan_pushes_filters_and_prunes_columns(spark):
     plan = E.queries()["scan"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters"):].split("]")[0]  # (the plan text truncates long lists)

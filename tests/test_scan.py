@@ -87,10 +87,10 @@ def test_no_single_partition_exchange_in_fill_plan(spark):
     assert "rangepartitioning" not in plan.lower()
 
 
-@pytest.mark.parametrize("hint", [None, 10 ** 9])
-def test_exact_quantiles_both_strategies(spark, hint):
+@pytest.mark.parametrize("buckets", [1, 2, 37])
+def test_exact_quantiles_do_not_depend_on_buckets(spark, buckets):
     pdf, sdf = _frame(spark, n=400)
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {(r["name"], r["p"]): r["value"] for r in scan.exact_quantiles(sdf, ["w", "ts"], probs, rows_hint=hint).collect()}
+    got = {(r["name"], r["p"]): r["value"] for r in scan.exact_quantiles(sdf, ["w", "ts"], probs, n_buckets=buckets).collect()}
     for c in ("w", "ts"):
         assert np.allclose([got[(c, p)] for p in probs], pdf[c].quantile(probs).to_numpy())
