@@ -42,7 +42,7 @@ SEED = 11
 
 # Insults and second-person pronouns of the four languages.
 INSULTS = frozenset("""
-arschloch asqueroso basura bastard clown con connard cretin dirtbag disgusting dreckig dumb dummkopf estupido estúpido fool
+arschloch asqueroso basura bastard clown connard cretin dirtbag disgusting dreckig dumb dummkopf estupido estúpido fool
 garbage idiot idiota idiote imbecile imbécile jerk loser moron nutzlos pathetic patético salaud scum sinvergüenza stupid stupide
 trash trottel ugly useless vermin worthless
 """.split())
@@ -52,7 +52,6 @@ du dein deine deinen deiner dich dir euch ihr te ti ton tes toi tu tus tú usted
 
 FEATURES = ("insults", "learned", "hits", "near_you", "capitals", "punctuation", "symbols", "obfuscated", "plain_again", "words")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*.\-_][^\W\d_]+)+|[^\W\d_]*[0-9@$!|*][^\W\d_]+")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None, ".": None, "-": None, "_": None})
 
 
@@ -69,55 +68,87 @@ _PUNCTUATION, _SYMBOL = _bytes("!?"), _bytes("#*$%&|<>@^~")
 _INSIDE = _bytes("0123456789@$!|*.-_")
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 @dataclass
 class Lexicon:
+    """Words and word beginnings, all of four letters or more."""
     words: frozenset = frozenset()
     stems: frozenset = frozenset()
-    heads: frozenset = field(default=frozenset())
+    heads: np.ndarray = field(default=None)
 
     def __post_init__(self):
-        # every entry has four letters or more but a few fixed ones
-        self.heads = frozenset(w[:4] for w in self.words | self.stems | INSULTS)
+        entries = self.words | self.stems | INSULTS
+        # the first four bytes of all entries, also with a capital of more than one byte
+        heads = {x.encode()[:4] for w in entries for x in (w, w.capitalize()) if x[0] == w[0] or ord(x[0]) > 127}
+        self.heads = np.unique(np.frombuffer(b"".join(heads), "<u4"))
 
     def learned(self, word: str) -> bool:
         return word in self.words or any(word[:n] in self.stems for n in STEMS)
 
 
+def _candidates(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Numbers of the words that begin like an entry."""
+    long = np.flatnonzero(ends - starts >= 4)
+    s = starts[long]
+    low = lambda d: _LOWER[data[s + d]].astype(np.uint32)
+    first = low(0) | low(1) << np.uint32(8)
+    likely = np.zeros(1 << 16, bool)
+    likely[heads & 0xFFFF] = True
+    keep = likely[first]
+    long, s, first = long[keep], s[keep], first[keep]
+    value = first | low(2) << np.uint32(16) | low(3) << np.uint32(24)
+    return long[heads[np.minimum(np.searchsorted(heads, value), len(heads) - 1)] == value]
+
+
 def features(batch: pa.RecordBatch, lexicon: Lexicon, column: str = "text") -> np.ndarray:
-    """A row of FEATURES per text."""
+    """A row of FEATURES per text. Words are runs of letters (bytes of A-Z, a-z
+    and of all other scripts); only those that begin like an entry of the lexicon
+    are looked at one by one."""
     data, offsets = wh.text_buffers(batch.column(column))
 
     def count(mask: np.ndarray) -> np.ndarray:
         run = np.concatenate([[0], np.cumsum(mask)])
         return (run[offsets[1:]] - run[offsets[:-1]]).astype(np.float64)
 
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+
+    def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins, finishes = mask.copy(), mask.copy()
+        begins[1:] &= ~mask[:-1] | edge[1:-1]
+        finishes[:-1] &= ~mask[1:] | edge[1:-1]
+        return np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+
     letter = _LETTER[data]
-    upper, letters = count(_UPPER[data]), np.maximum(count(letter), 1)
+    starts, ends = runs(letter)
+    at = np.searchsorted(starts, offsets)
+    word = lambda k: data[starts[k]: ends[k]].tobytes().decode("utf-8", "replace").lower()
     inside = np.zeros(len(data), bool)
     if len(data) > 2:
-        inside[1:-1] = letter[:-2] & _INSIDE[data[1:-1]] & letter[2:]
-    out = np.zeros((batch.num_rows, len(FEATURES)))
-    disguised = count(inside)
+        inside[1:-1] = letter[:-2] & _INSIDE[data[1:-1]] & letter[2:] & ~edge[1:-2] & ~edge[2:-1]
+    n_words, disguised = np.diff(at), count(inside)
+    upper, letters = count(_UPPER[data]), np.maximum(count(letter), 1)
     marks, symbols = count(_PUNCTUATION[data]), count(_SYMBOL[data])
-    for r, text in enumerate(batch.column(column).to_pylist()):
-        low = (text or "").lower()
-        words = _LETTERS.findall(low)
-        n = max(len(words), 1)
-        heads = lexicon.heads
-        near = fixed = learned = 0
-        for i in [i for i, w in enumerate(words) if w[:4] in heads]:
-            a, b = words[i] in INSULTS, lexicon.learned(words[i])
-            fixed += a
-            learned += b
-            near += (a or b) and not SECOND_PERSON.isdisjoint(words[max(0, i - WINDOW): i + WINDOW + 1])
-        again = 0
-        if disguised[r]:
-            for m in _DISGUISED.findall(low):
-                w = m.translate(_PLAIN)
-                again += w in INSULTS or lexicon.learned(w)
-        out[r] = (fixed / n, learned / n, math.log1p(fixed + learned + again), near / n, upper[r] / letters[r], marks[r] / n, symbols[r] / n,
-                  disguised[r] / n, again / n, math.log1p(len(words)))
-    return out
+    fixed, learned, near, again = (np.zeros(batch.num_rows) for _ in range(4))
+    for k in _candidates(data, starts, ends, lexicon.heads).tolist():
+        w = word(k)
+        a, b = w in INSULTS, lexicon.learned(w)
+        if a or b:
+            r = int(np.searchsorted(at, k, "right")) - 1
+            fixed[r] += a
+            learned[r] += b
+            around = range(max(int(at[r]), k - WINDOW), min(int(at[r + 1]), k + WINDOW + 1))
+            near[r] += any(word(j) in SECOND_PERSON for j in around)
+    begin, end = runs(letter | _INSIDE[data])
+    for k in np.unique(np.searchsorted(begin, np.flatnonzero(inside), "right") - 1).tolist():
+        w = data[begin[k]: end[k]].tobytes().decode("utf-8", "replace").lower().strip("!|*.-_").translate(_PLAIN)
+        again[int(np.searchsorted(offsets, begin[k], "right")) - 1] += w in INSULTS or lexicon.learned(w)
+    n = np.maximum(n_words, 1)
+    return np.stack([fixed / n, learned / n, np.log1p(fixed + learned + again), near / n, upper / letters, marks / n, symbols / n,
+                     disguised / n, again / n, np.log1p(n_words)], axis=1)
 
 
 def _rows_with_features(lexicon: Lexicon, keep: list[str]):
