@@ -110,13 +110,19 @@ def q_lasso(spark, sf):
 
 
 # ------------------------------------------------------------------ training runs (rows-only)
+# fewer and shallower trees than the defaults (100, unlimited depth, 100 rounds): those take over
+# seven minutes here on lineitem of sf0.01, eight threads
+_QUERY_PARAMS = {"random_forest": {"n_estimators": 20, "max_depth": 8}, "gradient_boosting": {"n_estimators": 20}, "xgboost": {"n_estimators": 20}}
+
+
 @query("train_classification")
 def q_train_classification(spark, sf):
     """Every registered classifier (algorithms not
     chosen -> all) with one-hot text features on documents -> quality."""
     d = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(
         t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    _pred, metrics = SV.train_models(d, "doc_id", "quality", ["lang", "source", "n_chars"], "classification")
+    _pred, metrics = SV.train_models(d, "doc_id", "quality", ["lang", "source", "n_chars"], "classification",
+                                     None, _QUERY_PARAMS)
     return metrics
 
 
@@ -128,7 +134,7 @@ def q_train_regression(spark, sf):
         "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
     _pred, metrics = SV.train_models(li, "line_id", "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"],
                                      "regression", ["linear_regression", "ridge", "lasso", "random_forest",
-                                                    "gradient_boosting"])
+                                                    "gradient_boosting"], _QUERY_PARAMS)
     return metrics
 
 
@@ -138,7 +144,7 @@ def q_feature_importance(spark, sf):
     li = t(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
                                          "l_returnflag")
     return SV.feature_importance(li, "l_orderkey", "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"],
-                                 "regression", "random_forest")
+                                 "regression", "random_forest", _QUERY_PARAMS["random_forest"])
 
 
 # ------------------------------------------------------------------ clustering (labels of embeddings as clusters)
