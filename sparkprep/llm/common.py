@@ -16,6 +16,8 @@ from ..session import checkpoint_root, scratch_path, ship_package
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 # Sizes below which a side may be broadcast (rows of a few dozen bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -48,8 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """mapInArrow with this package on the workers."""
+    """mapInArrow with this package on the workers, in batches of a few megabytes:
+    the buffers of both sides and what Python makes of them stay small."""
     ship_package(df.sparkSession)
+    for name, value in ARROW_BATCH.items():
+        df.sparkSession.conf.set(name, value)
     return df.mapInArrow(fn, schema)
 
 

@@ -211,14 +211,14 @@ def matches(df: DataFrame, benchmark: DataFrame, k: int = SEED_WORDS, id_col: st
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most k rows
     kind = docs.schema["doc_id"].dataType.simpleString()
     runs = written(arrow_map(docs, _shared_runs(seed_bitmap(seeds), sizes),
-                                   f"doc_id {kind}, text_hash long, start long, run string, seeds array<long>"), "shared-runs")
+                             f"doc_id {kind}, text_hash long, start long, run string, seeds array<long>"), "shared-runs")
     pairs = (runs.select("doc_id", "text_hash", "start", "run", F.explode("seeds").alias("seed"))
              .join(small(seeds.select("item", "seed")), "seed")
              .groupBy("doc_id", "text_hash", "item").agg(F.array_sort(F.collect_set(F.struct("start", "run"))).alias("runs")))
     texts = items.select("item", "item_id", F.col("text").alias("item_text"))
-    tiled = (arrow_map(pairs.join(small(texts), "item").select("doc_id", "text_hash", "item", "item_text", "runs")
-             , _tiled(k), f"doc_id {kind}, text_hash long, item long, covered int, item_words int, coverage double, "
-                                    "tiles array<struct<item_start: int, doc_start: long, length: int>>"))
+    tiled = arrow_map(pairs.join(small(texts), "item").select("doc_id", "text_hash", "item", "item_text", "runs"), _tiled(k),
+                      f"doc_id {kind}, text_hash long, item long, covered int, item_words int, coverage double, "
+                      "tiles array<struct<item_start: int, doc_start: long, length: int>>")
     return tiled.join(small(texts.select("item", "item_id")), "item").drop("item")
 
 

@@ -187,14 +187,14 @@ def _confirmed(threshold: int):
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) of nodes that are linked: estimated, then confirmed."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    hopeful = reliable(arrow_map(pairs.join(side("a"), "a").join(side("b"), "b")
-                       .select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), _hopeful(threshold), "a long, b long"))
+    with_regs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
+    hopeful = reliable(arrow_map(with_regs, _hopeful(threshold), "a long, b long"))
     asked = hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct()
     places = reliable(nodes.select("node", "rep", "rep_hash").join(asked, "node"))
     sets = reliable(arrow_map(_set_texts(places, docs), _sets(k), "node long, shingles binary").dropDuplicates(["node"]))
-    return (arrow_map(hopeful.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
-            .select("a", "b", "s_a", "s_b"), _confirmed(threshold), "a long, b long"))
+    with_sets = (hopeful.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
+                 .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b").select("a", "b", "s_a", "s_b"))
+    return arrow_map(with_sets, _confirmed(threshold), "a long, b long")
 
 
 def _tree_roots(parents: DataFrame) -> DataFrame:

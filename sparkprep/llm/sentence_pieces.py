@@ -42,8 +42,8 @@ from .common import arrow_map
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # segments, and pairs of pieces, whose results a task keeps
-KEPT_SEGMENTS = 300_000
-KEPT_PAIRS = 500_000
+KEPT_SEGMENTS = 250_000
+KEPT_PAIRS = 250_000
 KEPT_LENGTH = 48
 UNKNOWN_PENALTY = 10.0
 
@@ -66,6 +66,10 @@ class Kept(dict):
         self[key] = value
         return value
 
+    def rest(self) -> None:
+        """Let the last full table go: workers outlive their tasks."""
+        self.last = {}
+
 
 class Transducer:
     """A compiled model: ``encode(text)`` gives ids as int32 bytes, ``decode(ids)`` the text."""
@@ -129,7 +133,10 @@ class Transducer:
         return self._merged(pair[0] + pair[1]) == [p for p in pair if p]
 
     def _spell(self, arcs: list[str]) -> bytes:
-        out = array("i")
+        try:
+            return array("i", map(self.ids.__getitem__, arcs)).tobytes()
+        except KeyError:
+            out = array("i")
         for a in arcs:
             i = self.ids.get(a)
             if i is None:
@@ -188,7 +195,7 @@ class Transducer:
 
     def decode(self, ids) -> str:
         spelled = self.spelled
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -228,6 +235,8 @@ def encoded(df: DataFrame, model: bytes, text_col: str = "text", id_col: str | N
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists, pa.array(sizes), pa.array(same, pa.bool_())],
                                                  names=[*keep, "piece_ids", "n_pieces", "round_trip"])
+        wfst.paths.rest()
+        wfst.pairs.rest()
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("piece_ids", T.ArrayType(T.IntegerType())),
                            T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
