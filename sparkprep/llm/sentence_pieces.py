@@ -42,7 +42,7 @@ from .common import arrow_map
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # segments, and pairs of pieces, whose results a task keeps
-KEPT_SEGMENTS = 250_000
+KEPT_SEGMENTS = 400_000
 KEPT_PAIRS = 250_000
 KEPT_LENGTH = 48
 UNKNOWN_PENALTY = 10.0
