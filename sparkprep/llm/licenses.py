@@ -1,11 +1,18 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences; those with a trigger word are normalised (lower
-case, one space for what is not a letter, digit or ``. + -``, one spelling of
-"license", no trailing ``.0``) and mapped to the identifier of the first known
-licence sentence they match, else to ``unknown``. The identifiers of a text, in
-order, are then matched against the licence rules in their order: a rule names a
-run of identifiers, and what it matches is used up.
+A text loses its comment marks at line starts and is cut into sentences: at
+sentence ends, blank lines, list items, after copyright lines and before lines
+that open a known sentence; any other line end is a soft wrap. Sentences are
+normalised (lower case, one space for what is not a letter, digit or ``. + -``,
+one spelling of "license", no trailing ``.0``) and mapped to the identifier of
+the first known licence sentence they match; one that matches none is
+``unknown`` if it has a trigger word, else left out. Lines of a wrapped sentence
+are read one by one: a line known by itself, or one that makes what is known so
+far unknown, opens another sentence. The identifiers of a text, in order and
+without the unknown ones, are then matched against the licence rules in their
+order: a rule names a run of identifiers, and what it matches is used up. For
+texts with each sentence on one line and no unknown one inside a rule's run, this
+is the scan that the registered SQL states.
 
 Defined results: a null text or one without a trigger has no identifiers and no
 licences; equal rows get equal results; an empty table gives an empty result;
@@ -96,6 +103,22 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 SENTENCE_END = "\\n|[.!?;][ \\t\\r\\x0B\\f]+"
 
+# Words of known sentences that may hold no trigger word.
+ALSO = "in the hope that it will be|endorse or promote"
+# How a line begins that opens a known sentence, and a copyright line.
+OPENERS = (
+    "copyright (?:\\(c\\)|\u00a9|[12][0-9]{3})|all rights reserved|spdx-license|permission (?:is hereby granted|to use)|the above copyright notice and|"
+    "the software is provided|(?:dual-?)?licensed under|released under|you may (?:not use this|obtain a copy)|unless required by applicable|"
+    "see the license for|this (?:program|library) is (?:free|distributed)|you should have received|redistributions? (?:and use )?(?:of|in) |"
+    "redistribution and use|neither the name|this software is provided")
+COPYRIGHT_LINE = "(?m)^([ \\t]*(?:copyright (?:\\(c\\)|\u00a9|[12][0-9]{3})|\u00a9).*)$"
+COMMENT_MARK = "(?m)^[ \\t]*(?:(?:[/#*;%!>|\"']|--|<!--|\\(\\*)+|(?:rem|dnl|[.]{2})(?=[ \\t]|$))[ \\t]*"
+LIST_ITEM = "(?!\\(c\\) ?[12][0-9])(?:[-+\u2022]|\\(?(?:[0-9]{1,2}|[a-z])[.)])[ \\t]+"
+HARD_END = (f"\\n[ \\t\\x0B\\f]*\\n\\s*|[.!?;:][\"')\\]]*[ \\t]*\\n|[.!?;][ \\t\\x0B\\f]+"
+            f"|\\n[ \\t]*{LIST_ITEM}|\\n(?=[ \\t]*(?:{OPENERS}))")
+# more than the words that any known sentence fixes
+LONGEST = 800
+
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
     """A run of identifiers in a sequence written ``,a,,b,,c,``."""
@@ -110,24 +133,52 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(s, " [./-]+ ", " ")
 
 
+def sentences_of(low: Column) -> Column:
+    """Sentences of a lower-cased text; soft wraps stay as line ends."""
+    plain = F.regexp_replace(F.regexp_replace(low, "\\r\\n?", "\n"), COMMENT_MARK, "")
+    return F.split(F.regexp_replace(plain, COPYRIGHT_LINE, "$1\n"), HARD_END)
+
+
 def scanned(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, licenses, sentence_ids (arrays in order) and n_unknown of every row."""
     known = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(p).alias("pattern")) for i, p in KNOWN))
     rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(rule_pattern(ids)).alias("pattern")) for n, ids in RULES))
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    sentences = F.filter(F.split(low, SENTENCE_END), lambda s: s.rlike(TRIGGER) | s.rlike("spdx-license"))
+    trigger = f"{TRIGGER}|spdx-license"
+    none = F.array().cast("array<string>")
+
+    def known_id(s: Column) -> Column:
+        return let(normalised(s), lambda n: F.get(F.filter(known, lambda k: F.rlike(n, k["pattern"])), F.lit(0))["id"])
+
+    def closed(run: Column) -> Column:
+        """The identifiers up to the end of the open sentence."""
+        last = F.coalesce(run["id"], F.when(run["hit"], F.lit("unknown")))
+        return F.when(last.isNull(), run["ids"]).otherwise(F.concat(run["ids"], F.array(last)))
+
+    def state(ids: Column, cur: Column, id_: Column, hit: Column) -> Column:
+        return F.struct(ids.alias("ids"), cur.alias("cur"), id_.alias("id"), hit.alias("hit"))
+
+    def step(run: Column, line: Column) -> Column:
+        def of(ids: Column) -> Column:
+            hit = F.rlike(line, F.lit(trigger))
+            opens = ids["alone"].isNotNull() | ids["joined"].isNull() & run["id"].isNotNull()
+            return F.when(opens, state(closed(run), line, ids["alone"], hit)).otherwise(
+                state(run["ids"], F.right(F.concat_ws("\n", run["cur"], line), F.lit(LONGEST)), ids["joined"], run["hit"] | hit))
+        return let(F.struct(known_id(line).alias("alone"), known_id(F.concat_ws("\n", run["cur"], line)).alias("joined")), of)
 
     def identified(s: Column) -> Column:
-        return let(normalised(s), lambda n: F.coalesce(
-            F.get(F.filter(known, lambda k: F.rlike(n, k["pattern"])), F.lit(0))["id"], F.lit("unknown")))
+        start = state(none, F.lit(""), F.lit(None).cast("string"), F.lit(False))
+        one = let(F.coalesce(known_id(s), F.when(s.rlike(trigger), F.lit("unknown"))), lambda i: F.when(i.isNull(), none).otherwise(F.array(i)))
+        return F.when(F.instr(s, "\n") > 0, F.aggregate(F.split(s, "\n"), start, step, closed)).otherwise(one)
 
-    ids = F.when(low.rlike(f"{TRIGGER}|spdx-license"), F.transform(sentences, identified)).otherwise(F.array().cast("array<string>"))
+    near = F.filter(sentences_of(low), lambda s: F.rlike(F.regexp_replace(s, "\\s+", " "), F.lit(f"{trigger}|{ALSO}")))
+    ids = F.when(F.rlike(F.regexp_replace(low, "[\\s/#*;%!>|\"']+", " "), F.lit(trigger)), F.flatten(F.transform(near, identified))).otherwise(none)
     rows = df.select(F.col(id_col), ids.alias("__ids"))
-    sequence = F.array_join(F.transform("__ids", lambda i: F.concat(F.lit(","), i, F.lit(","))), "")
-    start = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found"))
+    sequence = F.array_join(F.transform(F.filter("__ids", lambda i: i != "unknown"), lambda i: F.concat(F.lit(","), i, F.lit(","))), "")
+    start = F.struct(sequence.alias("left"), none.alias("found"))
     found = F.aggregate(rules, start, lambda a, r: F.struct(
         F.regexp_replace(a["left"], r["pattern"], F.lit(",#,")).alias("left"),
         F.when(F.rlike(a["left"], r["pattern"]), F.concat(a["found"], F.array(r["name"]))).otherwise(a["found"]).alias("found")),
         lambda a: F.array_distinct(a["found"]))
-    return rows.select(id_col, F.when(F.size("__ids") > 0, found).otherwise(F.array().cast("array<string>")).alias("licenses"),
+    return rows.select(id_col, F.when(F.size("__ids") > 0, found).otherwise(none).alias("licenses"),
                        F.col("__ids").alias("sentence_ids"), F.size(F.filter("__ids", lambda x: x == "unknown")).cast("long").alias("n_unknown"))

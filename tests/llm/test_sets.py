@@ -195,6 +195,87 @@ def test_licences(spark, text, names):
     assert r.licenses == names
 
 
+MIT_TEXT = """The MIT License
+
+Copyright (c) 2020 Some Body
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD_TEXT = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+%s Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+%s Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+%s Neither the name of the University nor the names of its contributors may
+   be used to endorse or promote products derived from this software.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL_TEXT = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD_IDS = ["copyright", "copyright", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is"]
+APACHE_IDS = ["apache-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-see"]
+GPL_IDS = ["gpl-free", "gpl-hope", "gpl-see", "gpl-copy"]
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "// ", "# ", ";; ", "dnl "])
+def test_wrapped_licence_texts(spark, mark):
+    """Texts as they are distributed, plain and as comments; every sentence once."""
+    cases = [(MIT_TEXT, "MIT", ["copyright", "mit-grant", "mit-notice", "mit-as-is"]), (APACHE_TEXT, "Apache-2.0", APACHE_IDS),
+             *((BSD_TEXT % items, "BSD-3-Clause", BSD_IDS) for items in (("1.", "2.", "3."), ("*", "*", "*"), ("(a)", "(b)", "(c)"))),
+             *((GPL_TEXT % end, "GPL", GPL_IDS) for end in (":", ";")),
+             ("This work is licensed under the GNU\nGeneral Public License,\nversion 3", "GPL-3.0", ["ref:GPL-3.0"]),
+             ("Copyright (c) 2020 Some Body\nThe code may be used as it is licensed under\nthe MIT license", "MIT", ["copyright", "ref:MIT"])]
+    rows = [(i, ("\r\n" if i % 2 else "\n").join((mark + x).rstrip() for x in c[0].split("\n"))) for i, c in enumerate(cases)]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (_, name, ids) in enumerate(cases):
+        assert got[i].licenses == [name], (i, got[i])
+        assert [x for x in got[i].sentence_ids if x != "unknown"] == ids
+
+
+def test_lines_without_ends_are_not_one_sentence(spark):
+    text = "Code is licensed under the MIT License\nDocs are licensed under the GNU General\nPublic License, version 3\nThe licence fee went up"
+    cut = "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software and associated documentation files"
+    out = licenses.scanned(spark.createDataFrame([(1, text), (2, cut), (3, "a line of words\n" * 3000 + "Released under\nthe MIT License")], "doc_id long, text string"))
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in out.collect()}
+    assert got == {1: (["MIT", "GPL-3.0"], ["ref:MIT", "ref:GPL-3.0", "unknown"]), 2: ([], ["unknown"]), 3: (["MIT"], ["ref:MIT"])}
+
+
 def test_licence_sql_and_odd_rows(spark, duck, odd, empty):
     got = collections.Counter(map(tuple, queries.op3(spark, SF_SMALL).collect()))
     want = duck.execute(f"SELECT doc_id, licenses, sentence_ids, n_unknown FROM ({queries.SQL['op3_license_scan']})").fetchall()
