@@ -32,7 +32,7 @@ from .common import arrow_map
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:(?P<shut>>)|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"(=?[^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|(\S*)))?")
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -71,19 +71,23 @@ class Dom:
         return len(self.tag) - 1
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of attributes with one name the first."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(attrs):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
 def _hinted(tag: str, attrs: str) -> bool:
     if not attrs or tag in ("body", "html"):
         return False
     names = ASIDE_ARTICLE if tag in ("article", "main") else NOT_CONTENT
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and names.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name == "role" and value.lower() in ROLES or name == "itemprop" and value == "comment":
-            return True
-    return False
+    has = attributes(attrs)
+    if any(names.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", has.get(x, ""))) for x in ("class", "id")):
+        return True
+    return ("hidden" in has or has.get("aria-hidden", "").lower() == "true" or "display:none" in has.get("style", "").replace(" ", "").lower()
+            or has.get("role", "").lower() in ROLES or has.get("itemprop") == "comment")
 
 
 def parse(page: str) -> Dom:

@@ -190,6 +190,19 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("attrs, pruned", [
+    ('title="A hidden valley"', False), ('data-hidden="false"', False), ("data-hidden", False), ('data-id="reply-3"', False), ("alt='id=comments'", False),
+    ('data-role="search"', False), ('title="x style=display:none"', False), ('aria-hidden="false"', False), ("data-x=a/hidden", False), ('class="text" class="comments"', False),
+    ("hidden", True), ('HIDDEN=""', True), ('title="a b" hidden', True), ('aria-hidden="true"', True), ("id = 'comments'", True), ("class=comments", True),
+    ('style="color: red; display: none"', True), ("role=search", True), ('x="1"hidden', True), ("itemprop=comment", True),
+])
+def test_attributes_by_exact_name(attrs, pruned):
+    page = f"<body><p>{'The main text of the page goes on. ' * 9}</p><div {attrs}>Some more words of it.</div></body>"
+    assert ("Some more" not in html_text.main_text(page)) == pruned
+    link = f'<p>{"Words of a text. " * 9}<a href="/wiki/Hidden_Markov_model" title="hidden">A model</a> by name.</p>'
+    assert html_text.main_text(link) == "Words of a text. " * 9 + "A model by name."
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE % ("<article>", "</article>"), "c"), (1, "u", None, None), (None, None, "<p>x", "c")]
     out = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
