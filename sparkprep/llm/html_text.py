@@ -1,7 +1,11 @@
 """Main text of web pages by composite text density.
 
 A page becomes a DOM; nodes that cannot be content (scripts, menus, forms, and
-what class or id calls an advert, a notice, comments and the like) are pruned.
+what class or id calls an advert, a notice, comments and the like) are pruned. A
+name counts if it says that and nothing else: ``site-footer`` does,
+``side-by-side`` does not. Names prune no heading; of paragraphs and inline
+elements only adverts and share links, by class; in an article or main element
+only adverts, comments, share links and related lists.
 Every other node gets the composite text density: characters per tag, weighed
 down by link characters and link tags. The node with the greatest sum of its
 children's densities is the heart of the text; the least density on its way up
@@ -46,12 +50,29 @@ CLOSES_P = BLOCKS - {"caption", "tbody", "tfoot", "thead", "tr", "html", "body"}
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = frozenset("ul ol dl table td th select body html article section div main".split())
-NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|comment|comments|commentlist|disqus|"
-    r"respond|reply|replies|discussion|sidebar|side|widget|nav|navbar|navigation|navi|menu|breadcrumb|breadcrumbs|footer|foot|header|masthead|topbar|"
-    r"toolbar|cookie|cookies|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|"
-    r"social|related|recommended|recommendations|pagination|pager|skip|disclaimer|copyright|legal|hidden)(?:$|[\s_-]|\d)", re.I)
-ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ad|advert|comment|comments|reply|related|promo|sponsored|teaser)(?:$|[\s_-]|\d)", re.I)
+# Parts of class and id names. A name is a hint if it has a part of the
+# hints that apply and all its other parts are numbers or say only what box it is.
+BOX = frozenset(
+    "area article articles bar block box bottom button buttons container content entry form global icon icons inline inner item items left link links "
+    "list main outer page panel post posts primary right secondary section site slot stories story thread tool tools top unit user wrap wrapper".split())
+ADS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsbygoogle adsense sponsored".split())
+SHARE = frozenset("addthis share sharedaddy sharing".split())
+# kinds that are no content in an article either; of ids only those that no heading is called
+INNER = ADS | SHARE | frozenset("comment commentlist comments disqus recommended related relatedposts".split())
+STRUCTURE = frozenset(
+    "adsbygoogle adsense advertisement breadcrumb breadcrumbs commentlist comments cookie cookies disqus footer gdpr masthead nav navbar navi navigation "
+    "pager pagination popup sidebar toolbar topbar".split())
+HINTS = INNER | STRUCTURE | frozenset(
+    "alert banner consent copyright disclaimer discussion foot hidden legal login menu modal newsletter notice notification overlay promo promotion "
+    "recommendations replies reply respond search side signup skip social sponsor subscribe widget".split())
+ASIDE_ARTICLE = ADS | frozenset("comment comments promo related reply teaser".split())
+HEADERS = frozenset("header site-header global-header top-header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# paragraphs and inline elements: never judged by id, by class only as an advert or share link
+PHRASES = frozenset(
+    "a abbr b bdi bdo big blockquote cite code data dd del dfn dt em figcaption figure font i ins kbd mark p pre q rp rt ruby s samp small span strike "
+    "strong sub sup td th time tt u var wbr".split())
+_PARTS = re.compile(r"[a-z]+|[^\W\da-z_]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
@@ -61,6 +82,7 @@ class Dom:
 
     def __init__(self):
         self.parent, self.tag, self.pruned, self.hinted = [-1], ["#root"], [False], [False]
+        self.inside = [False]  # an article or main element, or within one
         self.pieces: list[tuple[int, str | None]] = []  # (node, text), None at a block's edge
 
     def add(self, parent: int, tag: str, pruned: bool, hinted: bool) -> int:
@@ -68,6 +90,7 @@ class Dom:
         self.tag.append(tag)
         self.pruned.append(pruned or self.pruned[parent])
         self.hinted.append(hinted)
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
         return len(self.tag) - 1
 
 
@@ -79,15 +102,31 @@ def attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def _hinted(tag: str, attrs: str) -> bool:
+def _named(name: str, hints: frozenset[str]) -> bool:
+    """Whether a class or id name says one of the hints and nothing else."""
+    parts = set(_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+    return not parts.isdisjoint(hints) and parts <= hints | BOX
+
+
+def _hinted(tag: str, attrs: str, inside: bool) -> bool:
+    """``inside``: the node is within an article or main element."""
     if not attrs or tag in ("body", "html"):
         return False
-    names = ASIDE_ARTICLE if tag in ("article", "main") else NOT_CONTENT
     has = attributes(attrs)
-    if any(names.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", has.get(x, ""))) for x in ("class", "id")):
+    if ("hidden" in has or has.get("aria-hidden", "").lower() == "true" or "display:none" in has.get("style", "").replace(" ", "").lower()
+            or has.get("role", "").lower() in ROLES or has.get("itemprop") == "comment"):
+        return True
+    if tag in HEADINGS:
+        return False
+    classes, name = has.get("class", "").split(), has.get("id", "").strip()
+    if tag in PHRASES:
+        return any(_named(c, ADS | SHARE) for c in classes)
+    if tag in ("article", "main"):
+        return any(_named(c, ASIDE_ARTICLE) for c in [*classes, name])
+    if any(_named(c, INNER if inside else HINTS) or not inside and c.lower() in HEADERS for c in classes):
         return True
-    return ("hidden" in has or has.get("aria-hidden", "").lower() == "true" or "display:none" in has.get("style", "").replace(" ", "").lower()
-            or has.get("role", "").lower() in ROLES or has.get("itemprop") == "comment")
+    # a bare id of one of the other hints may be the anchor of a section
+    return _named(name, INNER & STRUCTURE if inside else STRUCTURE) or bool(re.search(r"[\W_\d]", name)) and _named(name, INNER if inside else HINTS)
 
 
 def parse(page: str) -> Dom:
@@ -134,7 +173,7 @@ def parse(page: str) -> Dom:
         if tag == "body":
             close({"head"})
         kept_header = tag == "header" and any(dom.tag[k] == "article" for k in stack)
-        node = dom.add(stack[-1], tag, tag in PRUNED and not kept_header, _hinted(tag, m["attrs"]))
+        node = dom.add(stack[-1], tag, tag in PRUNED and not kept_header, _hinted(tag, m["attrs"], dom.inside[stack[-1]]))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n

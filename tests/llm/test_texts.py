@@ -203,6 +203,32 @@ def test_attributes_by_exact_name(attrs, pruned):
     assert html_text.main_text(link) == "Words of a text. " * 9 + "A model by name."
 
 
+LOREM = "The main text of the page goes on for some words. " * 6
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<main>%s</main>", "<div class=entry>%s</div>"])
+@pytest.mark.parametrize("block, kept", [
+    ('<h2 id="related-work">X1</h2>', True), ('<h2 id="search">X1</h2>', True), ('<h3 class="comments">X1</h3>', True), ('<p class="legal-note">X1 and more.</p>', True),
+    ('<div class="post-header"><h1>X1</h1></div>', True), ('<div class="overflow-hidden"><p>X1 %s</p></div>' % LOREM, True), ('<p id="copyright">X1 is a right.</p>', True),
+    ('<div class="side-by-side"><p>X1 %s</p></div>' % LOREM, True), ('<section id="discussion"><h2>X1</h2><p>%s</p></section>' % LOREM, True),
+    ('<div class="section" id="related-work"><h2>X1</h2><p>%s</p></div>' % LOREM, True), ('<div id="ad-hoc-networks"><p>X1 %s</p></div>' % LOREM, True),
+    ('<p>A <span class="comment" id="reply">X1</span> in code.</p>', True), ('<div id="search"><h2>X1</h2><p>%s</p></div>' % LOREM, True),
+    ('<div class="ad">X1 is on sale.</div>', False), ('<div class="inline-ad-2">X1 is on sale.</div>', False), ('<p class="advertisement">X1</p>', False),
+    ('<div id="comments"><p>X1 says a reader.</p></div>', False), ('<div class="post-comments"><p>X1 says a reader.</p></div>', False),
+    ('<div class="share-buttons"><a href=1>X1</a></div>', False), ('<ul class="relatedPosts"><li><a href=1>X1</a></ul>', False), ('<div id="related-posts">X1</div>', False),
+])
+def test_names_of_blocks(around, block, kept):
+    body = f"<h1>Title</h1><p>{LOREM}</p>{block}<p>{LOREM}</p>"
+    text = html_text.main_text(f"<body><nav><a href=1>One</a></nav>{around % body}<div class='site-footer'>Site</div></body>")
+    assert ("X1" in text) == kept and text.count(LOREM.strip()) == 2 + (LOREM in block) and "Site" not in text
+
+
+@pytest.mark.parametrize("inner", ['class="legal-notice"', 'class="notice"', 'class="widget"', 'id="discussion"', 'class="header"', 'class="hidden"'])
+def test_only_plain_kinds_are_pruned_in_an_article(inner):
+    page = f"<body><article><p>{LOREM}</p><div {inner}><p>X1 {LOREM}</p></div></article></body>"
+    assert "X1" in html_text.main_text(page)
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE % ("<article>", "</article>"), "c"), (1, "u", None, None), (None, None, "<p>x", "c")]
     out = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
