@@ -17,14 +17,17 @@ with arguments ``{"prompt": text}``, which the assistant's turn t + 1 answers.
 Order: an event's time is its turn, or that of the latest event it must follow
 if that is later; events are ordered by time, then by depth (the length of the
 longest chain that leads to them at this time), turn, and place in the turn.
-Times are found by rounds of joins, one per link of the longest chain that runs
-against the turns; the order within a conversation is a rank in two levels, so a
-conversation of any length is spread over tasks.
+Circles are found first, by rounds of joins over the ``after`` lists of the
+conversations in which a call waits for a later one; then times, by rounds of
+joins, one per link of the longest chain that runs against the turns. The order
+within a conversation is a rank in two levels, so a conversation of any length is
+spread over tasks.
 
 Defined results: of calls with one identifier in a conversation the first is
 linked, later ones are ``duplicate``; a call without a result is ``unanswered``, a
 result without a call is an ``orphan``; calls that wait for each other in a circle
-keep their own turns and are ``cyclic``; text that holds no valid JSON where a call
+keep their own turns and are ``cyclic`` (not what merely waits for them, nor what
+they wait for outside the circle); text that holds no valid JSON where a call
 or result is due stays a message; null text counts as empty, null turns come
 first, a null conversation is one of its own; repeated rows each give an event;
 an empty table gives an empty result; further columns are ignored.
@@ -167,15 +170,52 @@ def _events(schemas: dict, turns_are_calls: bool):
     return run
 
 
-def _timed(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """(event, time, depth, cyclic) by relaxing the edges (event, before) round by
-    round, until nothing changes or a chain is longer than it can be."""
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges (event, before) without those that lead out of no other edge or
+    into none: what is left lies on circles or between them."""
+    n, kept = -1, reliable(edges)
+    while (m := kept.count()) != n and m:
+        n = m
+        kept = reliable(kept.join(kept.select(F.col("event").alias("before")).distinct(), "before", "left_semi")
+                        .join(kept.select(F.col("before").alias("event")).distinct(), "event", "left_semi").select("event", "before"))
+    return kept
+
+
+def _circles(edges: DataFrame) -> DataFrame:
+    """The events on circles of the edges (event, before): each takes the greatest
+    event that leads to it as its colour; an event of its own colour and what leads
+    back to it within the colour are on circles. The rest goes round again."""
+    found = edges.select("event").limit(0)
+    edges = _trimmed(edges)
+    while not edges.isEmpty():
+        colours = reliable(edges.select("event").union(edges.select("before")).distinct().withColumn("colour", F.col("event")))
+        while True:
+            led = edges.join(colours.select(F.col("event").alias("before"), "colour"), "before").groupBy("event").agg(F.max("colour").alias("led"))
+            step = reliable(colours.join(led, "event", "left").select("event", F.greatest("colour", F.coalesce("led", "colour")).alias("colour"),
+                                                                      F.coalesce(F.col("led") > F.col("colour"), F.lit(False)).alias("moved")))
+            colours = step.select("event", "colour")
+            if step.filter("moved").isEmpty():
+                break
+        within = reliable(edges.join(colours, "event").join(colours.select(F.col("event").alias("before"), F.col("colour").alias("of")), "before")
+                          .filter("colour = of").select("event", "before"))
+        roots = reliable(colours.filter("event = colour").select("event"))
+        back, last = reliable(roots.limit(0)), roots
+        while not last.isEmpty():
+            last = reliable(within.join(last, "event", "left_semi").select(F.col("before").alias("event")).distinct().join(back, "event", "left_anti"))
+            back = reliable(back.union(last))
+        found = reliable(found.union(back))
+        gone = back.union(roots).distinct()
+        edges = _trimmed(within.join(gone, "event", "left_anti").join(gone.select(F.col("event").alias("before")), "before", "left_anti").select("event", "before"))
+    return found
+
+
+def _timed(events: DataFrame, edges: DataFrame, circles: DataFrame) -> DataFrame:
+    """(event, time and depth, cyclic) by relaxing the edges (event, before) round by
+    round until nothing changes. Events on circles wait for nothing, so no circle is left."""
     times = events.select("event", F.struct(F.col("turn").alias("time"), F.lit(0).alias("depth")).alias("at"))
-    waits = reliable(edges)
+    waits = reliable(edges.join(circles, "event", "left_anti").select("event", "before"))
     ends = reliable(waits.select("event").union(waits.select(F.col("before").alias("event"))).distinct())
     open_times = reliable(times.join(ends, "event"))
-    n = ends.count()
-    rounds = 0
     while True:
         late = (waits.join(open_times.select(F.col("event").alias("before"), F.col("at").alias("b")), "before")
                 .groupBy("event").agg(F.max(F.struct(F.col("b.time").alias("time"), (F.col("b.depth") + 1).alias("depth"))).alias("need")))
@@ -184,17 +224,10 @@ def _timed(events: DataFrame, edges: DataFrame) -> DataFrame:
         step = reliable(step.select("event", F.coalesce(F.greatest("at", need), "at").alias("at"),
                                     F.coalesce(F.greatest("at", need) > F.col("at"), F.lit(False)).alias("moved")))
         open_times = step.select("event", "at")
-        moved = step.filter("moved")
-        rounds += 1
-        if moved.limit(1).count() == 0:
-            stuck = moved.select("event")
-            break
-        if rounds > n:  # only a circle moves longer than there are events
-            stuck = moved.select("event")
+        if step.filter("moved").limit(1).count() == 0:
             break
-    return (times.join(open_times.withColumnRenamed("at", "late"), "event", "left").join(stuck.withColumn("cyclic", F.lit(True)), "event", "left")
-            .select("event", F.when(F.col("cyclic"), F.col("at")).otherwise(F.coalesce("late", "at")).alias("at"),
-                    F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
+    return (times.join(open_times.withColumnRenamed("at", "late"), "event", "left").join(circles.withColumn("cyclic", F.lit(True)), "event", "left")
+            .select("event", F.coalesce("late", "at").alias("at"), F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
 
 
 def linked(conversations: DataFrame, schemas: dict | None = None, turns_are_calls: bool = True) -> DataFrame:
@@ -207,15 +240,20 @@ def linked(conversations: DataFrame, schemas: dict | None = None, turns_are_call
                                f"conv_id {conv}, turn long, role string, kind string, place int, call_id string, name string, body string, "
                                "after array<string>, errors array<string>")
                      .withColumn("event", F.monotonically_increasing_id()), "chat-events")
-    key = F.concat(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")), F.lit("/"), F.col("call_id"))
-    calls = events.filter("kind = 'call'").select(key.alias("k"), "event", "turn", "place")
-    first = reliable(calls.groupBy("k").agg(F.min(F.struct(F.coalesce("turn", F.lit(-(1 << 62))), "place", "event")).alias("f")).select("k", F.col("f.event").alias("call")))
+    conversation = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
+    key = F.concat(conversation, F.lit("/"), F.col("call_id"))
+    place = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "place")
+    calls = events.filter("kind = 'call'").select(key.alias("k"), "event", place.alias("at"))
+    first = reliable(calls.groupBy("k").agg(F.min(F.struct("at", "event")).alias("f")).select("k", F.col("f.event").alias("call"), F.col("f.at").alias("call_at")))
     results = events.filter("kind = 'result'").select(key.alias("k"), "event")
     answers = reliable(results.join(first, "k", "left").select("event", "call"))
-    waits = (events.filter("kind = 'call'").select("event", F.col("conv_id"), F.explode("after").alias("call_id"))
-             .select("event", key.alias("k")).join(first, "k").select("event", F.col("call").alias("before")).filter("event != before"))
-    edges = answers.filter("call IS NOT NULL").select("event", F.col("call").alias("before")).union(waits)
-    times = _timed(events, edges)
+    waits = reliable(events.filter("kind = 'call'").select("event", "conv_id", place.alias("at"), F.explode("after").alias("call_id"))
+                     .select("event", "at", conversation.alias("c"), key.alias("k")).join(first, "k").filter("event != call")
+                     .select("event", F.col("call").alias("before"), "c", (F.col("at") <= F.col("call_at")).alias("against")))
+    # a circle has a call that waits for a later one
+    circles = _circles(waits.join(waits.filter("against").select("c").distinct(), "c", "left_semi").select("event", "before").distinct())
+    edges = answers.filter("call IS NOT NULL").select("event", F.col("call").alias("before")).union(waits.select("event", "before"))
+    times = _timed(events, edges, circles)
     answered = answers.filter("call IS NOT NULL").select(F.col("call").alias("event")).distinct().withColumn("answered", F.lit(True))
     state = (events.join(times, "event").join(answers.withColumnRenamed("call", "of"), "event", "left").join(answered, "event", "left")
              .join(first.select(F.col("call").alias("event"), F.lit(True).alias("is_first")), "event", "left"))

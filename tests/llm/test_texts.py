@@ -119,6 +119,42 @@ def test_circles_and_long_chains(spark):
     assert {r.call_id for r in out if r.status == "cyclic"} >= {"p", "q"}
 
 
+def test_circles_over_turns(spark, monkeypatch):
+    waits = {1: {"p": "q", "q": "p", "r": "p", "s": "r", "o": "", "z": "z"},  # r and s stand behind the circle
+             2: {"a": "bo", "b": "a", "m": "b", "c": "md", "d": "e", "e": "c", "o": "", "f": "e"},  # o before, m between two circles, f behind
+             None: {"u": "v", "v": "w", "w": "u", "x": "wy", "y": "x"}, 4: {"i": "", "j": "i", "k": "j"}}
+    circles = {1: "pq", 2: "abcde", None: "uvwxy", 4: ""}
+    rows = [(c, t, "assistant", call(i, after=list(after))) for c, ws in waits.items() for t, (i, after) in enumerate(ws.items())]
+    rows += [(1, 9, "tool", result("p", 1)), (1, 0, "tool", result("s", 1))]
+    rows += [(5, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(200)]
+    rounds, reliable = [], chat.reliable
+    monkeypatch.setattr(chat, "reliable", lambda df: rounds.append(1) or reliable(df))
+    out = linked(spark, rows)
+    assert len(rounds) < 100  # however many events have edges
+    for c, ws in waits.items():
+        order = [r for r in out if r.conv_id == c and r.kind == "call"]
+        assert {r.call_id for r in order if r.status == "cyclic"} == set(circles[c])
+        at = {r.call_id: r.position for r in order}
+        assert all(at[b] < at[i] for i, after in ws.items() if i not in circles[c] for b in after if b != i)
+        own = [r.call_id for r in order if r.call_id in circles[c]]
+        assert own == [i for i in ws if i in circles[c]]  # in their own turns' order
+    results = {r.call_id: (r.status, r.position) for r in out if r.conv_id == 1 and r.kind == "result" and r.call_id in "ps"}
+    assert {i: s for i, (s, _) in results.items()} == {"p": "linked", "s": "linked"}
+    assert results["s"][1] > next(r.position for r in out if r.call_id == "s" and r.kind == "call")
+
+
+def test_circles_by_brute_force(spark):
+    rnd = random.Random(11)
+    edges = list({(rnd.randrange(60), rnd.randrange(60)) for _ in range(75)})
+    reach = {i: {b for e, b in edges if e == i} for i in range(60)}
+    for _ in range(60):
+        reach = {i: r | {y for x in r for y in reach[x]} for i, r in reach.items()}
+    edges = [(e, b) for e, b in edges if e != b]
+    inside = {i for i, _ in edges if any(b in reach[i] and i in reach[b] for b in range(60) if b != i)}
+    got = chat._circles(spark.createDataFrame(edges, "event long, before long")).collect()
+    assert sorted(r.event for r in got) == sorted(inside) and inside
+
+
 def test_one_long_conversation(spark):
     rows = [(7, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(2000)] + [(t, 0, "user", "x") for t in range(20, 40)]
     random.Random(2).shuffle(rows)
