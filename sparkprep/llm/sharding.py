@@ -7,7 +7,9 @@ counts at most one apart, so every shard holds the mixture of the whole.
 
 Both ranks are computed in two levels: a row's bucket (a range of the order)
 comes from the row alone, bucket totals give offsets, and only the rows of one
-bucket are ordered in a task. The text is read once, for its size and checksum,
+bucket are ordered in a task. Many small strata share a few fractional ranks: a
+bucket much larger than it should be is split by fractional rank and range of the
+stratum, a third level. The text is read once, for its size and checksum,
 and is never shuffled.
 
 Defined results: a null text has size 1 and checksum 0; a null stratum is a
@@ -21,9 +23,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import BUCKET_COL, add_order_bucket
 from .common import reliable, running_offsets
 
 ROWS_PER_BUCKET = 500
+# a bucket of so many times its rows is split
+CROWDED = 4
+
+
+def _cells(ranked: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """``ranked`` by (__g, __cf, __cs), cells in their order that no task need
+    split, and ``offset``, the number of rows before a row's cell."""
+    whole = reliable(running_offsets(ranked.groupBy("__g").agg(F.count("*").alias("n")), [], "__g").select("__g", "n", "offset"))
+    placed = ranked.join(whole, "__g")
+    crowded = F.col("n") > CROWDED * rows_per_bucket
+    cells = placed.filter(~crowded).drop("n").withColumns({"__cf": F.lit(0.0), "__cs": F.lit(0)})
+    if whole.filter(crowded).isEmpty():
+        return cells
+    tied = reliable(placed.filter(crowded).drop("n"))
+    tied = (add_order_bucket(tied, ["__s"]).withColumn("__cf", F.col("__f")).withColumn("__cs", F.col(BUCKET_COL).cast("int")).drop(BUCKET_COL))
+    w = Window.partitionBy("__g").orderBy("__cf", "__cs").rowsBetween(Window.unboundedPreceding, 0)
+    before = (tied.groupBy("__g", "__cf", "__cs").agg(F.count("*").alias("n"))
+              .select("__g", "__cf", "__cs", (F.sum("n").over(w) - F.col("n")).alias("__low")))
+    tied = tied.join(before, ["__g", "__cf", "__cs"]).withColumn("offset", F.col("offset") + F.col("__low")).drop("__low")
+    return cells.unionByName(tied)
 
 
 def interleaved_shards(df: DataFrame, n_shards: int = 16, seed: str = "mix-1", stratum: str = "source",
@@ -52,9 +75,8 @@ def interleaved_shards(df: DataFrame, n_shards: int = 16, seed: str = "mix-1", s
               .withColumn("__g", F.floor(F.col("__f") * n_buckets))
               .select("__id", "__s", "__r", "__f", "__g", "__size", "__crc"))
     ranked = reliable(ranked)
-    goffs = running_offsets(ranked.groupBy("__g").agg(F.count("*").alias("n")), [], "__g")
-    wg = Window.partitionBy("__g").orderBy("__f", "__s")
-    out = (ranked.join(goffs.select("__g", "offset"), "__g")
+    wg = Window.partitionBy("__g", "__cf", "__cs").orderBy("__f", "__s")
+    out = (_cells(ranked, rows_per_bucket)
            .withColumn("__p", F.col("offset") + F.row_number().over(wg) - 1)
            .withColumn("__k", F.expr(f"(__p * {n_shards}) div {max(n, 1)}")))
     return out.select(

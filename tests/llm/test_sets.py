@@ -167,6 +167,24 @@ def test_shards_by_brute_force(spark, odd, bucket):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.shard, r.slot) for r in got) == sorted(expected)
 
 
+def test_shards_of_many_small_sources(spark, monkeypatch):
+    """Every source has one row or three: half of all rows and more have one fractional rank."""
+    rows = [(i, f"t{i}", f"s{i * 7919 % 2000:05d}") for i in range(2000)] + [(5000 + i, "t", f"three{i // 3}") for i in range(300)]
+    sizes, cells = [], sharding._cells
+
+    def watched(*a):
+        out = cells(*a)
+        sizes.append(out.groupBy("__g", "__cf", "__cs").count().agg(F.max("count")).first()[0])
+        return out
+    monkeypatch.setattr(sharding, "_cells", watched)
+    got = sharding.interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 4, rows_per_bucket=50).collect()
+    assert sizes[0] < 700  # 2,100 rows of the same fractional rank
+    assert sorted(r.position for r in got) == list(range(2300))
+    n = collections.Counter(r[2] for r in rows)
+    order = [((2 * r.stratum_rank - 1) / (2 * n[r.stratum]), "s" + r.stratum) for r in sorted(got, key=lambda r: r.position)]
+    assert order == sorted(order) and len(set(order)) == 2300
+
+
 def test_shards_of_nothing(empty):
     assert sharding.interleaved_shards(empty).count() == 0
 
