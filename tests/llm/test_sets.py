@@ -291,7 +291,7 @@ def test_lines_without_ends_are_not_one_sentence(spark):
     cut = "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software and associated documentation files"
     out = licenses.scanned(spark.createDataFrame([(1, text), (2, cut), (3, "a line of words\n" * 3000 + "Released under\nthe MIT License")], "doc_id long, text string"))
     got = {r.doc_id: (r.licenses, r.sentence_ids) for r in out.collect()}
-    assert got == {1: (["MIT", "GPL-3.0"], ["ref:MIT", "ref:GPL-3.0", "unknown"]), 2: ([], ["unknown"]), 3: (["MIT"], ["ref:MIT"])}
+    assert got == {1: (["GPL-3.0", "MIT"], ["ref:MIT", "ref:GPL-3.0", "unknown"]), 2: ([], ["unknown"]), 3: (["MIT"], ["ref:MIT"])}
 
 
 def test_licence_sql_and_odd_rows(spark, duck, odd, empty):
