@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rnd
-from . import chat, decontaminate, html_text, licenses, line_dedup, near_dedup, quality, sentence_pieces, sharding, toxicity
+from . import byte_pairs, chat, decontaminate, html_text, licenses, line_dedup, near_dedup, quality, sentence_pieces, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@register("op11_byte_pairs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document and the text that they decode to, as digests."""
+    out = byte_pairs.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_pairs.read_vocabulary(), id_col="doc_id")
+    return out.select("doc_id", "n_tokens", byte_pairs.ids_digest(F.col("token_ids")).alias("ids_sha256"),
+                      byte_pairs.text_digest(F.col("decoded")).alias("decoded_sha256"))
