@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rnd
-from . import byte_pairs, chat, decontaminate, html_text, licenses, line_dedup, near_dedup, quality, sentence_pieces, sharding, toxicity
+from . import byte_pairs, chat, decontaminate, html_text, licenses, line_dedup, near_dedup, negatives, quality, sentence_pieces, sharding, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,35 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_pairs.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_pairs.read_vocabulary(), id_col="doc_id")
     return out.select("doc_id", "n_tokens", byte_pairs.ids_digest(F.col("token_ids")).alias("ids_sha256"),
                       byte_pairs.text_digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened components of every embedding."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), id_col="vec_id")
+
+
+OP13_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scores AS (
+  SELECT a.rid, a.vec_id AS anchor_id, b.rid AS other, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+positives AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, other, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST, other) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.rid = p.rid AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY p.rid, p.other ORDER BY s.score DESC, s.vec_id NULLS LAST, s.other)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@register("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, for each of its five positives."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows, F.col("vec_id") % 100 == 0, label=label)
