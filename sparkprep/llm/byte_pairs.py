@@ -58,6 +58,16 @@ _UNCLASSED = regex.compile(f"[{UNCLASSED}]")
 _NO_CLASS = "\u0378"  # assigned in no version
 
 NEVER = 1 << 62
+FEW = 1000  # symbols up to which plain lists serve
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100: a fast test that spares most texts a search."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def byte_characters() -> list[str]:
@@ -96,55 +106,57 @@ class PairMerger:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """``symbols`` after all merges, the lowest-ranked and then leftmost pair first."""
-        n, rank, made = len(symbols), self.rank, self.made
+        n, known, made = len(symbols), self.rank.get, self.made
         if n < 2:
             return symbols
         size = 1 << (n - 2).bit_length()  # leaves, one for each of the n - 1 pairs at least
-        leaves = [NEVER] * size
-        for i, pair in enumerate(itertools.pairwise(symbols)):
-            r = rank.get(pair)
+        whole = 2 * size
+        # node k has the children 2k and 2k + 1, the root is node 1; a leaf holds its pair's rank * whole + its own place
+        if n < FEW:
+            tree, after, before = [NEVER] * whole, list(range(1, n + 1)), list(range(-1, n - 1))
+        else:  # compact: words may be as long as a text
+            tree, after, before = array("q", [NEVER]) * whole, array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        leaf = size
+        for r in map(known, itertools.pairwise(symbols)):
             if r is not None:
-                leaves[i] = r * size + i
-        levels = [leaves]
-        while len(levels[-1]) > 1:
-            below = levels[-1]
-            levels.append(list(map(min, below[::2], below[1::2])))
-        root = levels[-1]
-        if root[0] == NEVER:
-            return symbols
-        tree = array("q", [0])  # node k has the children 2k and 2k + 1; the root is node 1
-        for level in reversed(levels):
-            tree.extend(level)
-        if n < 1000:
-            tree = tree.tolist()  # faster; arrays only where memory counts
-        after, before, gone = array("i", range(1, n + 1)), array("i", range(-1, n - 1)), bytearray(n)
-
+                tree[leaf] = r * whole + leaf
+            leaf += 1
+        for k in range(size - 1, 0, -1):
+            a, b = tree[2 * k], tree[2 * k + 1]
+            tree[k] = a if a < b else b
         while (best := tree[1]) != NEVER:
-            r, i = divmod(best, size)
+            r, i = divmod(best, whole)
+            i -= size
             j = after[i]
-            symbols[i], gone[j] = made[r], 1
-            k = after[i] = after[j]
-            changed = [(j, NEVER)]
+            symbols[i] = s = made[r]
+            symbols[j] = -1
+            k, h = after[j], before[i]
+            after[i] = k
+            value = NEVER
             if k < n:
                 before[k] = i
-                r = rank.get((symbols[i], symbols[k]))
-                changed.append((i, NEVER if r is None else r * size + i))
-            else:
-                changed.append((i, NEVER))
-            h = before[i]
+                r = known((s, symbols[k]))
+                if r is not None:
+                    value = r * whole + size + i
+            changed = [(size + i, value)]
+            if j < size:  # the last symbol has no leaf
+                changed.append((size + j, NEVER))
             if h >= 0:
-                r = rank.get((symbols[h], symbols[i]))
-                changed.append((h, NEVER if r is None else r * size + h))
+                r = known((symbols[h], s))
+                changed.append((size + h, NEVER if r is None else r * whole + size + h))
             for at, value in changed:
-                if at >= size:  # the last symbol starts no pair
+                if tree[at] == value:
                     continue
-                at += size
-                while at and tree[at] != value:
-                    tree[at] = value
-                    other = tree[at ^ 1] if at > 1 else value
-                    value = other if other < value else value
+                tree[at] = value
+                while at > 1:
+                    other = tree[at ^ 1]
+                    if other < value:
+                        value = other
                     at >>= 1
-        return [s for s, g in zip(symbols, gone, strict=True) if not g]
+                    if tree[at] == value:
+                        break
+                    tree[at] = value
+        return [s for s in symbols if s >= 0]
 
     def _encode_word(self, word: str) -> bytes:
         return array("i", self.merged(list(map(self.first.__getitem__, word.encode())))).tobytes()
@@ -155,7 +167,7 @@ class PairMerger:
 
     def _encode_plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
-        if not text.isascii() and _UNCLASSED.search(text):
+        if not _is_latin(text) and _UNCLASSED.search(text):
             shape = _UNCLASSED.sub(_NO_CLASS, text)
             words = (text[m.start():m.end()] for m in self.words.finditer(shape))
         elif len(text) <= LONG_TEXT:
