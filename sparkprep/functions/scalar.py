@@ -118,3 +118,8 @@ def rnd(x, digits: int = 0) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     m = F.lit(float(10 ** digits))
     return F.round(c * m, 0) / m
+
+
+def quoted(name: str) -> Column:
+    """The column called ``name``, whatever characters (dots too) the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")

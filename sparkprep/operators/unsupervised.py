@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import anomaly, cluster, prep, reduce, rules
+from ..session import materialize
+from . import anomaly, cluster, linkage, prep, reduce, rules
 
 # Default method of every family.
 DEFAULT_METHODS = {"clustering": ["kmeans"], "dimensionality_reduction": ["pca"], "anomaly": ["isolation_forest"],
@@ -35,9 +36,14 @@ def _clustering(df, key, vec, method, params):
         lab, _ = cluster.kmeans(df, vec, k=params.get("n_clusters", 8), init=params.get("init", "k-means++"),
                                 max_iter=params.get("max_iter", 300), seed=params.get("random_state", 42))
     else:
-        lab = cluster.agglomerative(df, vec, k=params.get("n_clusters", 2))
+        size = df.select(F.size(vec)).first()[0]
+        wide = df.select(key, *[F.col(vec)[i].alias(f"d{i}") for i in range(size)])
+        found, error = linkage.agglomerative_labels(wide, key, [f"d{i}" for i in range(size)], params.get("n_clusters", 2), params.get("linkage", "ward"))
+        lab = materialize(df.join(found, key), "agglomerative")
     summ = cluster.summaries(lab, "cluster", vec)
     out = [("n_clusters", float(len(summ)))]
+    if method == "agglomerative":
+        out.append(("linkage_error", error))
     if len(summ) >= 2:
         out.append(("silhouette_score", cluster.silhouette_sq(lab, "cluster", vec, summ).first()[0]))
         out.append(("calinski_harabasz_score", cluster.calinski_harabasz(lab, "cluster", vec, summ).first()[0]))

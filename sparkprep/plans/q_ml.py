@@ -9,6 +9,7 @@ from ..functions.scalar import rnd
 from ..operators import anomaly as AN
 from ..operators import cluster as CL
 from ..operators import knn as KN
+from ..operators import linkage as LK
 from ..operators import prep as PR
 from ..operators import reduce as RD
 from ..operators import supervised as SV
@@ -375,6 +376,58 @@ def q_knn_regress(spark, sf):
     return KN.regress(train, test, "event_id", ["x", "y"], "user_id", 5).select("event_id", rnd("prediction", 6).alias("prediction"))
 
 
+_NEAR = "(SELECT event_id, c, u, sqrt(d2) AS d, min(d2) OVER (PARTITION BY event_id) AS least FROM n)"
+_WEIGHT = "CASE WHEN least = 0 THEN (d = 0)::INT::DOUBLE ELSE 1.0::DOUBLE / d END"
+_KNN_WEIGHTED = _KNN_SQL.replace("SELECT q.event_id, t.event_type AS c,", "SELECT q.event_id, 0.0::DOUBLE + (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) AS d2, t.event_type AS c,")
+
+
+@query("knn_weighted", _KNN_WEIGHTED + f""",
+w AS (SELECT *, {_WEIGHT} AS w FROM {_NEAR})
+SELECT event_id, round(sum(w * u) / sum(w), 6) AS prediction FROM w GROUP BY event_id""")
+def q_knn_weighted(spark, sf):
+    """M7: mean target of the five nearest events, weighted by one over the distance."""
+    train, test = _knn_parts(spark, sf)
+    return KN.regress(train, test, "event_id", ["x", "y"], "user_id", 5, weights="distance").select("event_id", rnd("prediction", 6).alias("prediction"))
+
+
+LINKED = 10
+
+
+@query("agglomerative_labels", f"""WITH RECURSIVE c AS (SELECT c_custkey, c_acctbal / 100.0::DOUBLE AS x, c_nationkey::DOUBLE AS y FROM customer),
+p AS (SELECT min(c_custkey) AS id, x, y FROM c GROUP BY x, y),
+first AS (SELECT * FROM p ORDER BY id LIMIT 1),
+prim AS (
+  SELECT 0 AS step, p.id, p.x, p.y, sqrt((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y)) AS d, least(p.id, f.id) AS a, greatest(p.id, f.id) AS b
+  FROM p, first f WHERE p.id <> f.id
+  UNION ALL
+  SELECT step + 1, id, x, y, CASE WHEN closer THEN nd ELSE d END, CASE WHEN closer THEN na ELSE a END, CASE WHEN closer THEN nb ELSE b END FROM (
+    SELECT *, (nd, na, nb) < (d, a, b) AS closer FROM (
+      SELECT t.*, sqrt((t.x - c.x) * (t.x - c.x) + (t.y - c.y) * (t.y - c.y)) AS nd, least(t.id, c.id) AS na, greatest(t.id, c.id) AS nb
+      FROM prim t, (SELECT id, x, y FROM prim ORDER BY d, a, b LIMIT 1) c WHERE t.id <> c.id))),
+tree AS (SELECT d, a, b FROM prim QUALIFY row_number() OVER (PARTITION BY step ORDER BY d, a, b) = 1),
+kept AS (SELECT a, b FROM tree ORDER BY d DESC, a DESC, b DESC OFFSET {LINKED - 1}),
+ends AS (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept),
+reach AS (SELECT id, id AS r FROM p UNION SELECT reach.id, ends.b FROM reach JOIN ends ON ends.a = reach.r),
+named AS (SELECT id, min(r) AS name FROM reach GROUP BY id),
+numbered AS (SELECT id, (dense_rank() OVER (ORDER BY name) - 1)::INT AS cluster FROM named)
+SELECT c.c_custkey, numbered.cluster FROM c JOIN p ON c.x = p.x AND c.y = p.y JOIN numbered ON numbered.id = p.id""")
+def q_agglomerative_labels(spark, sf):
+    """Single-linkage clusters of all customers (account balance / 100, nation), exact."""
+    return LK.agglomerative_labels(_customers(spark, sf), "c_custkey", ["x", "y"], k=LINKED, linkage="single")[0]
+
+
+@query("agglomerative_ward")
+def q_agglomerative_ward(spark, sf):
+    """Sizes of the Ward clusters of all customers, with the stated error."""
+    lab, error = LK.agglomerative_labels(_customers(spark, sf), "c_custkey", ["x", "y"], k=5, linkage="ward")
+    return CL.cluster_sizes(lab, "cluster").withColumn("error", rnd(F.lit(error), D))
+
+
+def _customers(spark, sf):
+    c = t(spark, sf, "customer")
+    return c.select("c_custkey", (F.col("c_acctbal") / 100.0).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+
+
 @query("one_class_svm")
 def q_one_class_svm(spark, sf):
     """One-class SVM (RBF via random Fourier features, nu 0.5) on order features."""
