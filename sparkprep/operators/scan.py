@@ -4,9 +4,9 @@ pandas code relies on an implicit row order for running sums, forward/backward
 fill and ranks. A global Spark window without ``partitionBy`` would move every
 row through a single task, so these primitives use a two-level scan instead:
 
-1. range-bucket the leading order column with boundaries computed once
-   (``percentile_approx`` of a number, a bounded row sample of a text; the driver
-   sees at most a few dozen values per bucket). There are as many buckets as
+1. range-bucket the whole order key with splitters from a bounded row sample (the
+   driver gets one key per bucket), so that many rows of one leading value, or of
+   one day, are parted by the columns behind it. There are as many buckets as
    ``spark.sql.shuffle.partitions``, whatever the size of the input;
 2. aggregate per segment = (partition keys, bucket) — small;
 3. carry totals / last values across segments with a window over that small
@@ -19,34 +19,112 @@ A key holding a third of all rows is therefore split over every bucket.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import quoted
+
 BUCKET_COL = "_sp_bucket"
-KEY_COL = "_sp_okey"
 SAMPLE_PER_BUCKET = 40
 
 
-def _numeric_key(df: DataFrame, col: str) -> Column | None:
-    """A double that is monotone in ``col`` (None if the type has no such key)."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, T.NumericType):
-        return c.cast("double")
+def _splitters(df: DataFrame, cols: list[str], nb: int) -> list[tuple]:
+    """At most ``nb - 1`` keys (tuples of the columns' values, some texts cut) that part
+    the rows of ``df`` about evenly in the order of all ``cols``, nulls first.
+
+    They are every ``SAMPLE_PER_BUCKET``-th of a row sample, sorted by Spark; the
+    driver gets one key per bucket. A text or binary value is cut behind the first
+    character that differs from the sampled row before, unless the two are equal:
+    any value may part the rows, short ones do as well.
+    """
+    keys = [f"_k{i}" for i in range(len(cols))]
+    named = df.select(*[quoted(c).alias(k) for c, k in zip(cols, keys, strict=True)])
+    sample = named.orderBy(F.rand(7)).limit(SAMPLE_PER_BUCKET * nb)
+    order = Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])  # over the bounded sample
+    ranked = sample.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy()))
+    step = F.greatest(F.lit(1), F.floor(F.col("_m") / nb))
+    shown = []
+    for k in keys:
+        value = F.col(k)
+        if isinstance(named.schema[k].dataType, (T.StringType, T.BinaryType)):
+            text = value.cast("string") if isinstance(named.schema[k].dataType, T.StringType) else F.hex(value)
+            before = F.lag(text).over(order)
+            last = F.coalesce(F.least(F.length(text), F.length(before)), F.lit(0))
+            letters = lambda t: F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(t, i, F.lit(1)))
+            same = F.when(last > 0, F.array_position(F.zip_with(letters(text), letters(before), lambda x, y: x == y), False)).otherwise(1)
+            first = F.when(text == before, F.length(text)).when(same == 0, last + 1).otherwise(same)
+            # a position inside the value, in whole bytes for binary ones
+            cut = F.when(before.isNull(), F.lit(1)).otherwise(first)
+            value = F.substring(value, F.lit(1), cut) if isinstance(named.schema[k].dataType, T.StringType) else F.substring(value, F.lit(1), F.ceil(cut / 2).cast("int"))
+        elif isinstance(named.schema[k].dataType, T.TimestampType):
+            value = F.unix_micros(value)
+        elif isinstance(named.schema[k].dataType, T.TimestampNTZType):
+            value = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), value)
+        elif isinstance(named.schema[k].dataType, T.DateType):
+            value = F.unix_date(value)
+        shown.append(value.alias(f"_v{len(shown)}"))
+    rows = ranked.select("_r", step.alias("_s"), *shown).filter((F.col("_r") > 1) & ((F.col("_r") - 1) % F.col("_s") == 0)).orderBy("_r").collect()
+    out: list[tuple] = []
+    for r in rows:
+        key = tuple(r)[2:]
+        if not out or not all(map(_same, key, out[-1])):
+            out.append(key)
+    return out
+
+
+def _same(a, b) -> bool:
+    return a == b or (a != a and b != b)  # NaN is one value, as for Spark
+
+
+def _comparable(df: DataFrame, col: str) -> Column:
+    """The column as its splitters are given: dates and times as numbers."""
+    dt, c = df.schema[col].dataType, quoted(col)
     if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)") \
-            .cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.BooleanType):
-        return c.cast("double")
-    return None
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    return F.unix_micros(c) if isinstance(dt, T.TimestampType) else F.unix_date(c) if isinstance(dt, T.DateType) else c
+
+
+def _literal(value, dt: T.DataType) -> Column:
+    """``value`` as a literal of its column's type, also of nested types."""
+    if value is None:
+        return F.lit(None).cast(dt)
+    if isinstance(dt, T.ArrayType):
+        return F.array(*[_literal(v, dt.elementType) for v in value]).cast(dt)
+    if isinstance(dt, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, dt.fields, strict=True)])
+    return F.lit(value) if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(bytes(value) if isinstance(dt, T.BinaryType) else value).cast(dt)
+
+
+def _tree(df: DataFrame, cols: list[str], splits: list[tuple]) -> Column:
+    """How many of the sorted ``splits`` are not above the row's key: a search tree of
+    comparisons with the first column's values; within one value, of the next column's."""
+    groups: list[tuple] = []  # (value, its places among the splits); null comes first
+    for i, key in enumerate(splits):
+        if groups and _same(groups[-1][0], key[0]):
+            groups[-1][1].append(i)
+        else:
+            groups.append((key[0], [i]))
+    c, dt = _comparable(df, cols[0]), df.schema[cols[0]].dataType
+
+    def inside(at: list[int]) -> Column:
+        """The count for rows whose first column is the value at these places."""
+        if len(cols) == 1:
+            return F.lit(at[-1] + 1)
+        return F.lit(at[0]) + _tree(df, cols[1:], [splits[i][1:] for i in at])
+
+    nulls = groups[0][1] if groups[0][0] is None else []
+    known = groups[1:] if nulls else groups
+
+    def search(lo: int, hi: int) -> Column:
+        """For rows known to lie above known[lo - 1] and below known[hi]."""
+        if lo == hi:
+            return F.lit(known[lo - 1][1][-1] + 1 if lo else len(nulls))
+        mid = (lo + hi) // 2
+        v = _literal(known[mid][0], dt)
+        return F.when(c < v, search(lo, mid)).when(c == v, inside(known[mid][1])).otherwise(search(mid + 1, hi))
+
+    return F.when(c.isNull(), inside(nulls) if nulls else F.lit(0)).otherwise(search(0, len(known)))
 
 
 def choose_buckets(df: DataFrame, n_buckets: int | None = None) -> int:
@@ -56,54 +134,22 @@ def choose_buckets(df: DataFrame, n_buckets: int | None = None) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def _text_bucket(df: DataFrame, col: str, nb: int, descending: bool) -> Column | None:
-    """Range bucket of a text: a balanced tree of comparisons with full values
-    from a row sample (its size depends on the bucket count only)."""
-    rows = (df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
-            .orderBy(F.rand(7)).limit(SAMPLE_PER_BUCKET * nb).collect())
-    values = sorted((r["v"] for r in rows), key=lambda v: v.encode("utf-8", "surrogatepass"))
-    splits = list(dict.fromkeys(values[i * len(values) // nb] for i in range(1, nb))) if values else []
-    if not splits:
-        return None
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(-lo if descending else lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(F.col(col) < F.lit(splits[mid - 1]), tree(lo, mid - 1)).otherwise(tree(mid, hi))
-
-    return F.when(F.col(col).isNull(), F.lit(1 if descending else -1)).otherwise(tree(0, len(splits)))
-
-
 def add_order_bucket(df: DataFrame, order_cols: list[str], descending: bool = False,
                      n_buckets: int | None = None) -> DataFrame:
-    """Add ``BUCKET_COL``: a range bucket of the leading order column.
+    """Add ``BUCKET_COL``: a range bucket of the whole order key.
 
-    Buckets are monotone in the order (reversed when ``descending``); ties of
-    the leading column always share a bucket; NULL keys go to the first bucket
-    of an ascending order and the last of a descending one (Spark's default
-    null placement).
+    Buckets are monotone in the order of all ``order_cols`` (reversed when
+    ``descending``); NULL comes first in an ascending order and last in a
+    descending one (Spark's default). Rows of one leading value are parted by the
+    columns behind it; only rows equal in all of them always share a bucket. Any
+    orderable type will do.
     """
     nb = choose_buckets(df, n_buckets)
-    if nb > 1 and isinstance(df.schema[order_cols[0]].dataType, T.StringType):
-        bucket = _text_bucket(df, order_cols[0], nb, descending)
-        return df.withColumn(BUCKET_COL, F.lit(0) if bucket is None else bucket)
-    key = _numeric_key(df, order_cols[0])
-    if nb <= 1 or key is None:
-        return df.withColumn(BUCKET_COL, F.lit(0))
-    if descending:
-        key = -key
-    probs = [i / nb for i in range(1, nb)]
-    acc = max(10_000, 20 * nb)
-    bounds = df.agg(F.percentile_approx(key, probs, acc).alias("b")).first()["b"] or []
-    splits = sorted({float(b) for b in bounds if b is not None and not math.isinf(b)})
+    splits = _splitters(df, order_cols, nb) if nb > 1 else []
     if not splits:
         return df.withColumn(BUCKET_COL, F.lit(0))
-    splits = [-math.inf] + splits + [math.inf]
-    null_fill = -math.inf if not descending else math.inf
-    keyed = df.withColumn(KEY_COL, F.coalesce(key, F.lit(null_fill)))
-    out = Bucketizer(splits=splits, inputCol=KEY_COL, outputCol=BUCKET_COL).transform(keyed)
-    return out.withColumn(BUCKET_COL, F.col(BUCKET_COL).cast("int")).drop(KEY_COL)
+    bucket = _tree(df, order_cols, splits)
+    return df.withColumn(BUCKET_COL, (-bucket if descending else bucket).cast("int"))
 
 
 def _order_exprs(order_cols: list[str], descending: bool) -> list[Column]:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import records
+
 FLOAT_TYPES = (T.DoubleType, T.FloatType)
 
 # Encodings and separators probed by the tolerant CSV reader.
@@ -76,9 +78,30 @@ def probe_csv_format(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """CSV scan that finds encoding and separator first, then reads once."""
+    """CSV scan as pandas does it: finds encoding and separator, keeps line ends inside
+    quotes, takes the usual texts for missing values and types whole columns (``records``).
+
+    Where no line holds an odd number of quotes, each line is a record and Spark's own
+    reader cuts it; else records are put together from lines."""
     encoding, sep = probe_csv_format(spark, path)
-    return read_csv(spark, path, sep=sep, encoding=encoding)
+    western = encoding != "utf-8"
+    lines = records.lines_of(spark, path, western)
+    odd = lines.filter((F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1)
+    if odd.limit(1).count():
+        rows = records.records_of(lines)
+        head = rows.filter("first").limit(1).collect()
+        if not head:
+            return spark.createDataFrame([], T.StructType([]))
+        texts = records.fields_of(rows, records.header_names(head[0].record, sep), sep)
+    else:
+        head = lines.filter("start = 0 AND line NOT IN ('', '\r')").orderBy("file", "seq").limit(1).collect()
+        if not head:
+            return spark.createDataFrame([], T.StructType([]))
+        names = records.header_names(head[0].line.rstrip("\r"), sep)
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"').option("maxCharsPerColumn", -1)
+        texts = reader.option("encoding", "iso-8859-1" if western else "utf-8").csv(path).toDF(*names)
+    return records.typed(_cp1252(texts) if western else texts)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
