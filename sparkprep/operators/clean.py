@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.ingest import is_numeric
-from . import scan
+from ..functions.scalar import quoted
+from . import scan, sparse
 
 KEEP_CHOICES = ("first", "last", "none")
 FILL_METHODS = ("drop", "mean", "median", "mode", "forward_fill", "backward_fill")
 TYPE_CHOICES = ("int", "float", "str", "category", "bool")
-ENCODINGS = ("onehot", "label", "ordinal")
+ENCODINGS = ("onehot", "onehot_vector", "label", "ordinal")
 OUTLIER_METHODS = ("IQR", "Z-score", "percentile")
 
 # The only text forms mapped by the bool conversion.
@@ -135,9 +136,8 @@ def type_expr(df: DataFrame, col: str, dtype: str) -> Column:
         d = c.cast("double") if isinstance(src, (T.NumericType, T.BooleanType)) else c.try_cast("double")
         return F.bround(d, 0).try_cast("long")
     if dtype == "float":
-        if isinstance(src, (T.NumericType, T.BooleanType)):
-            return c.cast("double")
-        return c.try_cast("double")
+        d = c.cast("double") if isinstance(src, (T.NumericType, T.BooleanType)) else c.try_cast("double")
+        return F.nanvl(d, F.lit(None).cast("double"))  # the texts of NaN are missing values, as at ingest
     if dtype in ("str", "category"):
         return c.cast("string")
     # bool
@@ -156,7 +156,7 @@ def fit_domain(df: DataFrame, col: str, max_domain: int = 1000) -> list:
     d = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(max_domain + 1).collect()
     if len(d) > max_domain:
         raise ValueError(f"column '{col}' has more than {max_domain} distinct values; "
-                         f"use encode(..., 'label') or the sparse ML path")
+                         f"use encode(..., 'onehot_vector') or encode(..., 'label')")
     return sorted(r[0] for r in d)
 
 
@@ -169,13 +169,17 @@ def onehot(df: DataFrame, col: str, domain: list, prefix: str | None = None) ->
 
 
 def encode(df: DataFrame, col: str, method: str = "onehot", max_domain: int = 1000) -> DataFrame:
-    """onehot / label (0-based code of the sorted text) / ordinal (same, as double)."""
+    """onehot (a column per value, as many as a table may have) / onehot_vector (one sparse
+    vector column, for any number of values) / label (0-based code of the sorted text) /
+    ordinal (same, as double)."""
     if method not in ENCODINGS:
         raise ValueError(f"method must be one of {ENCODINGS}")
     if is_numeric(df, col) or isinstance(df.schema[col].dataType, T.BooleanType):
         raise ValueError(f"Column '{col}' is numeric and cannot be encoded as categorical.")
     if method == "onehot":
         return onehot(df, col, fit_domain(df, col, max_domain))
+    if method == "onehot_vector":
+        return sparse.onehot_vector(df, col).drop(quoted(col))
     codes = label_codes(df, col)
     out_t = "long" if method == "label" else "double"
     j = df.join(codes, on=col, how="left")

@@ -8,6 +8,7 @@ from ..functions.scalar import rnd
 from ..operators import clean as C
 from ..session import scratch_path
 from ..sources import ingest as I
+from ..sources import records as R
 from ..sources import versions as V
 from .oplist import run_operations
 from .registry import query
@@ -35,6 +36,16 @@ def q_csv_roundtrip(spark, sf):
                        F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
 
 
+_TEXT_OR_NULL = "CASE WHEN text NOT IN (" + ", ".join("'" + x + "'" for x in R.NA_TEXTS) + ") THEN text END"
+
+
+@query("csv_quoted", f"SELECT doc_id, source, {_TEXT_OR_NULL} AS text, length({_TEXT_OR_NULL}) AS n FROM documents")
+def q_csv_quoted(spark, sf):
+    """Write all documents as quoted CSV, line ends inside quotes, and read them back."""
+    path = I.write_table(t(spark, sf, "documents").select("doc_id", "source", "text"), scratch_path(spark, "csv-quoted"), "csv")
+    return I.read_csv_tolerant(spark, path).withColumn("n", F.length("text").cast("long"))
+
+
 @query("schema_peek", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def q_schema_peek(spark, sf):
     """S3: the first five rows (a bounded preview)."""

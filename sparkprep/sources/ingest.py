@@ -105,10 +105,11 @@ def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
-    """File sink (parquet by default; ``csv`` writes a header and no index)."""
+    """File sink (parquet by default; ``csv`` writes a header and no index, doubles quotes
+    and keeps white space)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt == "json":
         w.json(path)
     else:
