@@ -165,7 +165,7 @@ def typed(texts: DataFrame) -> DataFrame:
              "double": lambda c: ~c.rlike(r"(?i)[dfx]\s*$|^\s*$") & F.trim(c).try_cast("double").isNotNull(),
              "boolean": lambda c: c.isin(*TRUE_TEXTS, *FALSE_TEXTS)}
     names = list(texts.columns)
-    fits = clean.agg(*[F.coalesce(F.bool_and(f(quoted(c))), F.lit(False)).alias(f"{kind}{i}") for i, c in enumerate(names) for kind, f in tests.items()]).first()
+    fits = clean.agg(*[F.coalesce(F.bool_and(F.when(quoted(c).isNotNull(), f(quoted(c)))), F.lit(False)).alias(f"{kind}{i}") for i, c in enumerate(names) for kind, f in tests.items()]).first()
     out = []
     for i, c in enumerate(names):
         kind = next((k for k in tests if fits[f"{k}{i}"]), None)
