@@ -28,7 +28,7 @@ linked, later ones are ``duplicate``; a call without a result is ``unanswered``,
 result without a call is an ``orphan``; calls that wait for each other in a circle
 keep their own turns and are ``cyclic`` (not what merely waits for them, nor what
 they wait for outside the circle); text that holds no valid JSON where a call
-or result is due stays a message; null text counts as empty, null turns come
+or result is due, or JSON that UTF-8 and doubles can't hold (``_loads``), stays a message; null text counts as empty, null turns come
 first, a null conversation is one of its own; repeated rows each give an event;
 an empty table gives an empty result; further columns are ignored.
 """
@@ -67,15 +67,34 @@ def canonical(value) -> str:
 
 
 def _loads(text: str):
-    """Strict JSON; None if it isn't."""
+    """Strict JSON; None if it isn't, or if it can't be written as canonical JSON in
+    UTF-8: numbers beyond a double or of thousands of digits, halves of surrogate
+    pairs, nesting deeper than Python's recursion."""
     def bad(_):
         raise ValueError("not a JSON number")
+
+    def number(digits: str) -> float:
+        x = float(digits)
+        return x if math.isfinite(x) else bad(digits)
     try:
-        return json.loads(text, parse_constant=bad)
+        value = json.loads(text, parse_constant=bad, parse_float=number)
+        canonical({"content": value, "of": [value]}).encode()  # one level more than any line holds it in
+        return value
     except (ValueError, RecursionError):
         return None
 
 
+def same_json(a, b) -> bool:
+    """Equality of JSON values: a truth value is no number, 1 and 1.0 are one number."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same_json(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same_json, a, b))
+    return type(a) is type(b) and a == b or isinstance(a, int | float) and isinstance(b, int | float) and a == b
+
+
 def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
     """Where a value breaks a JSON schema (the keywords below)."""
     kind = schema.get("type")
@@ -83,14 +102,14 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
     number = isinstance(value, int | float) and not isinstance(value, bool)
 
     def is_a(k: str) -> bool:
-        return number and (k == "number" or k == "integer" and float(value).is_integer()) or k in _TYPES and isinstance(value, _TYPES[k])
+        return number and (k == "number" or k == "integer" and (isinstance(value, int) or value.is_integer())) or k in _TYPES and isinstance(value, _TYPES[k])
 
     if kinds and not any(is_a(k) for k in kinds):
         return [f"{at}: not of type {'/'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same_json(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and not same_json(value, schema["const"]):
         out.append(f"{at}: not the constant")
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):

@@ -26,6 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Packed:
+    """A caller's rows with names of our own: ``df`` has the column ``__row``, a struct of all the
+    caller's columns, and the columns used, so that no name of theirs meets one of ours."""
+
+    def __init__(self, rows: DataFrame, **used: str):
+        self.columns = rows.columns
+        named = lambda c: rows[f"`{c.replace('`', '``')}`"]
+        whole = F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(self.columns))).alias("__row")
+        self.df = rows.select(whole, *(named(c).alias(ours) for ours, c in used.items()))
+
+    def unpacked(self, out: DataFrame, results: tuple[str, ...] = (), **changed: str) -> DataFrame:
+        """The caller's columns and ``results``, which replace theirs of equal name; ``changed`` gives
+        the new value (our column) of theirs."""
+        new = {c: ours for ours, c in changed.items()}
+        row = [(F.col(new[c]) if c in new else F.col("__row")[f"c{i}"]).alias(c) for i, c in enumerate(self.columns) if c not in results]
+        return out.select(*row, *results)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times (also inside lambdas).
 

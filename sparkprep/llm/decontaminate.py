@@ -14,8 +14,8 @@ matches of a document.
 
 Defined results: null or blank documents and items match nothing; an item of
 fewer than ``k`` words is a seed as a whole; rows with equal id and text are one
-document; ids may be null; empty tables give no matches; further columns are
-ignored.
+document; ids may be null; empty tables give no matches; ``decontaminated`` keeps
+further columns, but for those of its own names, which it replaces.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import arrow_map, reliable, small, written
+from .common import Packed, arrow_map, reliable, small, written
 
 SEED_WORDS = 5
 THRESHOLD = 0.5
@@ -226,13 +226,15 @@ def decontaminated(df: DataFrame, benchmark: DataFrame, k: int = SEED_WORDS, thr
                    id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
     """``df`` with ``__coverage`` (of the most covered item), ``__items`` (leaked
     item ids, sorted) and ``__leaked``."""
-    found = matches(df, benchmark, k, id_col, text_col, **names)
+    packed = Packed(df, doc_id=id_col, text=text_col)
+    found = matches(packed.df, benchmark, k, **names)
     leaked = F.col("coverage") >= threshold
     by_doc = reliable(found.groupBy("doc_id", "text_hash").agg(
         F.max("coverage").alias("__coverage"), F.array_sort(F.collect_set(F.when(leaked, F.col("item_id")))).alias("__items"),
         F.bool_or(leaked).alias("__leaked")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}))
-    rows = df.withColumn("__h", F.xxhash64(text_col))
-    out = rows.join(small(by_doc), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
-    return (out.withColumn("__coverage", F.coalesce("__coverage", F.lit(0.0))).withColumn("__leaked", F.coalesce("__leaked", F.lit(False)))
+    rows = packed.df.withColumn("__h", F.xxhash64("text"))
+    out = rows.join(small(by_doc), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
+    out = (out.withColumn("__coverage", F.coalesce("__coverage", F.lit(0.0))).withColumn("__leaked", F.coalesce("__leaked", F.lit(False)))
             .withColumn("__items", F.coalesce("__items", F.array().cast(by_doc.schema["__items"].dataType)))
             .drop("__h", "__id", "__hash"))
+    return packed.unpacked(out, ("__coverage", "__items", "__leaked"))

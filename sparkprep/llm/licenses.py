@@ -8,7 +8,7 @@ one spelling of "license", no trailing ``.0``) and mapped to the identifier of
 the first known licence sentence they match; one that matches none is
 ``unknown`` if it has a trigger word, else left out. Lines of a wrapped sentence
 are read one by one: a line known by itself, or one that makes what is known so
-far unknown, opens another sentence. The identifiers of a text, in order and
+far unknown, opens another sentence; sentences may be of any length. The identifiers of a text, in order and
 without the unknown ones, are then matched against the licence rules in their
 order: a rule names a run of identifiers, and what it matches is used up. For
 texts with each sentence on one line and no unknown one inside a rule's run, this
@@ -52,6 +52,12 @@ NAMED = {
     "Unlicense": "(?:the )?unlicense",
 }
 
+# The GNU licences: name in sentences, version (normalised).
+GNU = {"AGPL-3.0": ("affero general public license", "3"), "LGPL-3.0": ("lesser general public license", "3"),
+       "LGPL-2.1": ("lesser general public license", "2.1"), "LGPL-2.0": ("(?:library|lesser) general public license", "2"),
+       "GPL-3.0": ("general public license", "3"), "GPL-2.0": ("general public license", "2"), "GPL-1.0": ("general public license", "1")}
+FAMILIES = {"AGPL": "affero general public license", "LGPL": "(?:library|lesser) general public license", "GPL": "general public license"}
+
 # Normalised sentences of licence texts, by identifier.
 SENTENCES = {
     "copyright": "copyright (?:c )?[12][0-9]{3}.*|copyright c .*|(?:.* )?all rights reserved",
@@ -65,6 +71,16 @@ SENTENCES = {
     "apache-copy": "you may obtain a copy of the license at.*",
     "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
+    **{f"gnu:{k}": f"(?:this (?:program|library) is free software )?you can redistribute it and/or modify it under the terms of the gnu {p} .*version {v}(?: .*)?"
+       for k, (p, v) in GNU.items()},
+    **{f"gnu-terms:{k}": f"(?:this (?:program|library) is free software )?you can redistribute it and/or modify it under the terms of the gnu {p}"
+                         "(?: as published by the free software foundation)?" for k, p in FAMILIES.items()},
+    **{f"gnu-version:{v}": f"(?:either )?version {v} of the license(?: .*)?" for v in ("1", "2", "2.1", "3")},
+    **{f"gnu-title:{k}": f"gnu {p}(?: version)? {v} (?:[0-9]+ )?(?:june|november|february) [12][0-9]{{3}}.*" for k, (p, v) in GNU.items()},
+    "apache-title": "apache license version 2 january 2004.*",
+    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v.*",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications.*",
+    "negated": "(?:.* )?(?:not|never|no longer|neither|isn t|aren t) (?:.* )?(?:licensed|released|distributed|available|published|provided) under .*",
     "gpl-free": "this (?:program|library) is free software.*",
     "gpl-hope": "this (?:program|library) is distributed in the hope that it will be useful.*",
     "gpl-see": "see the gnu (?:lesser |affero )?general public license for more details",
@@ -76,7 +92,7 @@ SENTENCES = {
     "bsd-as-is": "this software is provided by the copyright holders and contributors as is.*",
     "public-domain": ".*(?:released|dedicated|is|placed) (?:in|into|to) the public domain.*",
 }
-_VERBS = "(?:.* )?(?:is |are )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?(?:terms and conditions of the )?"
+_VERBS = "(?:.* )?(?:is |are )?(?:(?:dual-|dual |multi-)?licensed|released|distributed|available|published|provided) under (?:either )?(?:the |an? )?(?:terms of the )?(?:terms and conditions of the )?"
 _OPTION = "(?: license)?(?: or (?:at your option )?any later version)?"
 KNOWN: list[tuple[str, str]] = [
     *((k, f"^(?:{p})$") for k, p in SENTENCES.items()),
@@ -94,6 +110,13 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("apache-grant",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
+    *((k, (f"gnu:{k}",)) for k in GNU),
+    *((k, (f"gnu-terms:{k.split('-')[0]}", f"gnu-version:{v}")) for k, (_, v) in GNU.items()),
+    *((k, (f"gnu-terms:{k}",)) for k in FAMILIES),
+    *((k, (f"gnu-title:{k}",)) for k in GNU),
+    ("Apache-2.0", ("apache-title",)),
+    ("MPL-2.0", ("mpl-notice",)),
+    ("zlib", ("zlib-grant",)),
     ("GPL", ("gpl-free", "gpl-hope", "gpl-see", "gpl-copy")),
     ("GPL", ("gpl-free", "gpl-hope")),
     ("MIT", ("mit-grant",)),
@@ -116,8 +139,18 @@ COMMENT_MARK = "(?m)^[ \\t]*(?:(?:[/#*;%!>|\"']|--|<!--|\\(\\*)+|(?:rem|dnl|[.]{
 LIST_ITEM = "(?!\\(c\\) ?[12][0-9])(?:[-+\u2022]|\\(?(?:[0-9]{1,2}|[a-z])[.)])[ \\t]+"
 HARD_END = (f"\\n[ \\t\\x0B\\f]*\\n\\s*|[.!?;:][\"')\\]]*[ \\t]*\\n|[.!?;][ \\t\\x0B\\f]+"
             f"|\\n[ \\t]*{LIST_ITEM}|\\n(?=[ \\t]*(?:{OPENERS}))")
-# more than the words that any known sentence fixes
-LONGEST = 800
+# more characters than any known sentence fixes: a longer one is known by its open ends
+FIXED = 800
+# Licence expressions (lower case) that are rewritten, each licence as a sentence of its own; two rounds part three.
+_LICENCE = "mit|apache|bsd|gnu|gpl|lgpl|agpl|mpl|mozilla|isc|epl|eclipse|cc|cc0|creative commons|unlicense"
+EXPRESSIONS = [
+    ("(spdx-license-identifier:?[ ]+)[(]([^()\n]*)[)]", "\\1\\2"),
+    *[("(spdx-license-identifier:?[ ]+[^ \n]+) with [^ \n]+", "\\1"),
+      ("(spdx-license-identifier:?[ ]+[^ \n]+) (?:or|and) [(]?([^ \n)]+)[)]?", "\\1\nspdx-license-identifier: \\2")] * 3,
+    *[(f"(licensed under [^\n.;]*?[^\n.; ]),? (?:and/or|and|or) (?:under )?((?:either |the |an? )?(?:{_LICENCE})[ -])", "\\1\nlicensed under \\2")] * 2,
+]
+# identifiers whose sentences may go on in any way
+OPEN_ENDED = [k for k, p in SENTENCES.items() if p.endswith(".*") or p.endswith("(?: .*)?")]
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
@@ -133,6 +166,14 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(s, " [./-]+ ", " ")
 
 
+def parted(low: Column) -> Column:
+    """A lower-cased text with the licences of an expression as sentences of their own."""
+    out = low
+    for pattern, by in EXPRESSIONS:
+        out = F.regexp_replace(out, pattern, by.replace("\\1", "$1").replace("\\2", "$2"))
+    return F.when(F.rlike(low, F.lit("spdx-license|licensed under")), out).otherwise(low)
+
+
 def sentences_of(low: Column) -> Column:
     """Sentences of a lower-cased text; soft wraps stay as line ends."""
     plain = F.regexp_replace(F.regexp_replace(low, "\\r\\n?", "\n"), COMMENT_MARK, "")
@@ -143,33 +184,52 @@ def scanned(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     """id, licenses, sentence_ids (arrays in order) and n_unknown of every row."""
     known = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(p).alias("pattern")) for i, p in KNOWN))
     rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(rule_pattern(ids)).alias("pattern")) for n, ids in RULES))
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    low = parted(F.lower(F.coalesce(F.col(text), F.lit(""))))
     trigger = f"{TRIGGER}|spdx-license"
     none = F.array().cast("array<string>")
 
-    def known_id(s: Column) -> Column:
-        return let(normalised(s), lambda n: F.get(F.filter(known, lambda k: F.rlike(n, k["pattern"])), F.lit(0))["id"])
-
-    def closed(run: Column) -> Column:
-        """The identifiers up to the end of the open sentence."""
-        last = F.coalesce(run["id"], F.when(run["hit"], F.lit("unknown")))
-        return F.when(last.isNull(), run["ids"]).otherwise(F.concat(run["ids"], F.array(last)))
+    def known_of(n: Column) -> Column:
+        return F.get(F.filter(known, lambda k: F.rlike(n, k["pattern"])), F.lit(0))["id"]
 
-    def state(ids: Column, cur: Column, id_: Column, hit: Column) -> Column:
-        return F.struct(ids.alias("ids"), cur.alias("cur"), id_.alias("id"), hit.alias("hit"))
-
-    def step(run: Column, line: Column) -> Column:
-        def of(ids: Column) -> Column:
-            hit = F.rlike(line, F.lit(trigger))
-            opens = ids["alone"].isNotNull() | ids["joined"].isNull() & run["id"].isNotNull()
-            return F.when(opens, state(closed(run), line, ids["alone"], hit)).otherwise(
-                state(run["ids"], F.right(F.concat_ws("\n", run["cur"], line), F.lit(LONGEST)), ids["joined"], run["hit"] | hit))
-        return let(F.struct(known_id(line).alias("alone"), known_id(F.concat_ws("\n", run["cur"], line)).alias("joined")), of)
+    def known_id(s: Column) -> Column:
+        return let(normalised(s), known_of)
 
     def identified(s: Column) -> Column:
-        start = state(none, F.lit(""), F.lit(None).cast("string"), F.lit(False))
+        """Identifiers of one sentence that may be wrapped. The state while its lines are read: ``cur``, the open
+        sentence as far as it matters, ``id``, what it is known as, ``hit``, a trigger was seen, ``first`` and ``n``,
+        its lines, and ``long``: beyond FIXED characters only sentences open at their beginning can become known (of
+        these the end of the sentence tells, behind a word that keeps others from matching), and what is known and open-ended
+        stays so; sentences open in several places are looked at whole when they end."""
+        lines = F.split(s, "\n")
+
+        def closed(run: Column) -> Column:
+            whole = F.when(run["long"] & run["id"].isNull(), known_id(F.array_join(F.slice(lines, run["first"] + 1, run["n"]), "\n")))
+            last = F.coalesce(run["id"], whole, F.when(run["hit"], F.lit("unknown")))
+            return let(last, lambda i: F.when(i.isNull(), run["ids"]).otherwise(F.concat(run["ids"], F.array(i))))
+
+        def state(ids: Column, cur: Column, id_: Column, hit: Column, first: Column, n: Column, long: Column) -> Column:
+            return F.struct(ids.alias("ids"), cur.alias("cur"), id_.alias("id"), hit.alias("hit"), first.alias("first"), n.alias("n"), long.alias("long"))
+
+        def step(run: Column, line: Column) -> Column:
+            joined = F.concat_ws("\n", run["cur"], line)
+
+            def of(now: Column) -> Column:
+                hit = F.rlike(line, F.lit(trigger))
+                opens = now["alone"].isNotNull() | now["joined"].isNull() & run["id"].isNotNull()
+                begun = state(closed(run), line, now["alone"], hit, run["first"] + run["n"], F.lit(1), F.length(line) > 4 * FIXED)
+                cur = F.when(run["long"], F.right(joined, F.lit(4 * FIXED))).otherwise(joined)
+                gone_on = state(run["ids"], cur, now["joined"], run["hit"] | hit, run["first"], run["n"] + 1, run["long"] | (now["size"] > FIXED))
+                return F.when(opens, begun).otherwise(gone_on)
+
+            sticky = run["long"] & run["id"].isin(OPEN_ENDED)
+            later = F.when(sticky, run["id"]).otherwise(let(F.concat(F.lit("x "), normalised(F.right(joined, F.lit(4 * FIXED)))), known_of))
+            first = let(normalised(joined), lambda n: F.struct(known_of(n).alias("id"), F.length(n).alias("size")))
+            found = F.when(run["long"], F.struct(later.alias("id"), F.lit(0).alias("size"))).otherwise(first)
+            return let(found, lambda f: let(F.struct(known_id(line).alias("alone"), f["id"].alias("joined"), f["size"].alias("size")), of))
+
+        start = state(none, F.lit(""), F.lit(None).cast("string"), F.lit(False), F.lit(0), F.lit(0), F.lit(False))
         one = let(F.coalesce(known_id(s), F.when(s.rlike(trigger), F.lit("unknown"))), lambda i: F.when(i.isNull(), none).otherwise(F.array(i)))
-        return F.when(F.instr(s, "\n") > 0, F.aggregate(F.split(s, "\n"), start, step, closed)).otherwise(one)
+        return F.when(F.instr(s, "\n") > 0, F.aggregate(lines, start, step, closed)).otherwise(one)
 
     near = F.filter(sentences_of(low), lambda s: F.rlike(F.regexp_replace(s, "\\s+", " "), F.lit(f"{trigger}|{ALSO}")))
     ids = F.when(F.rlike(F.regexp_replace(low, "[\\s/#*;%!>|\"']+", " "), F.lit(trigger)), F.flatten(F.transform(near, identified))).otherwise(none)

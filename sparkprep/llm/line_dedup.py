@@ -11,7 +11,8 @@ business of document deduplication and must not make an article boilerplate.
 Defined results: a null text stays null, a text that loses all its lines becomes
 empty; lines of fewer than ``min_words`` words are never removed; a null site
 counts for no spread but its texts are cleaned too; repeated rows each give a
-row; an empty table gives an empty result; further columns are kept.
+row; an empty table gives an empty result; further columns are kept, but for those
+called ``__n_lines`` or ``__n_removed``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, let, small, written
+from .common import SPACE_CHARS, SPACE_CLASS, Packed, let, small, written
 
-MIN_SITES = 9
+MIN_SITES = 3
 MIN_WORDS = 3
 LG_K = 8
 # three standard errors of a sketch with 2**LG_K registers
@@ -88,5 +89,7 @@ def remove_boilerplate(df: DataFrame, boilerplate: DataFrame, text: str = "text"
 def dedup_lines(df: DataFrame, site: str = "source", text: str = "text", id_col: str = "doc_id",
                 min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` without boilerplate lines, plus ``__n_lines`` and ``__n_removed``."""
-    found = boilerplate_lines(df, site, text, min_sites, min_words)
-    return remove_boilerplate(df, found, text, id_col, min_words)
+    packed = Packed(df, doc_id=id_col, text=text, source=site)
+    found = boilerplate_lines(packed.df, "source", "text", min_sites, min_words)
+    out = remove_boilerplate(packed.df, found, "text", "doc_id", min_words)
+    return packed.unpacked(out, ("__n_lines", "__n_removed"), text=text)

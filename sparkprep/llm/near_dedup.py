@@ -32,7 +32,8 @@ Defined results: a text without words has no shingles and is linked with
 nothing; with fewer words than a shingle the whole sequence is one; equal rows
 get equal results; ids may repeat (each row is judged by its text); a group
 whose ids are all null has a null component and its rows are kept; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; further columns are ignored by ``near_duplicates`` and
+kept, whatever their names, by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import wordhash as wh
-from .common import arrow_map, reliable, small, written
+from .common import Packed, arrow_map, reliable, small, written
 
 THRESHOLD = 80  # percent
 BANDS, ROWS = 54, 6
@@ -314,17 +315,18 @@ def one_of_each(df: DataFrame, k: int = 5, threshold: int = THRESHOLD, id_col: s
     """``df`` with one row of each group: that of the least id and, of rows with
     this id, of the least text hash; equal rows stay once. Rows without words and
     groups without an id stay as they are."""
-    found = written(near_duplicates(df, k, threshold, id_col, text_col), "near-duplicates")
+    packed = Packed(df, doc_id=id_col, text=text_col)
+    found = written(near_duplicates(packed.df, k, threshold), "near-duplicates")
     stays = found.filter("kept AND n_shingles > 0 AND component_id IS NOT NULL")
     first = stays.groupBy("component_id").agg(F.min("text_hash").alias("__first"), F.count("*").alias("__c")).filter("__c > 1")
     later = stays.join(small(reliable(first)), "component_id").filter("text_hash != __first")
     gone = found.filter("NOT kept").select("doc_id", "text_hash").union(later.select("doc_id", "text_hash")).distinct()
     gone = reliable(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
-    rows = df.withColumn("__h", F.xxhash64(text_col)).join(small(gone), same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
+    rows = packed.df.withColumn("__h", F.xxhash64("text")).join(small(gone), same, "left_anti")
     twice = reliable(stays.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__c")).filter("__c > 1")
                      .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")))
     if twice.limit(1).count():
-        again = rows.join(small(twice), same, "left_semi").dropDuplicates([id_col, "__h"])
+        again = rows.join(small(twice), same, "left_semi").dropDuplicates(["doc_id", "__h"])
         rows = rows.join(small(twice), same, "left_anti").unionByName(again)
-    return rows.drop("__h")
+    return packed.unpacked(rows)

@@ -12,7 +12,8 @@ whatever the input; the posterior goes back into the plan as a sum of literals.
 
 Defined results: a null or blank text has no words and fails the base rules; an
 empty table gives an empty result; equal rows get equal results; measures of a
-text without words are 0.
+text without words are 0; further columns are kept, but for those called like one of
+``RESULTS``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_of, written
+from .common import Packed, let, words_of, written
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -32,6 +33,7 @@ TOLERANCE = 1e-10
 # pseudo-counts: a rule that never speaks keeps a likelihood ratio near 1
 SMOOTH = 1.0
 PRIOR_GOOD = 0.9
+RESULTS = ("__m", "__votes", "__posterior", "__base_failed", "__kept")
 
 
 @dataclass(frozen=True)
@@ -165,16 +167,17 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int = len(RULES))
 
 
 def judged(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, Model]:
-    """The columns ``keep`` with ``__m``, ``__votes``, ``__posterior``,
+    """The columns ``keep`` (all; theirs of equal name are replaced) with ``__m``, ``__votes``, ``__posterior``,
     ``__base_failed`` and ``__kept``, and the fitted model. Measures are taken
     once and written to the shared folder; the fit reads the votes there."""
-    keep = df.columns if keep is None else keep
+    packed = Packed(df if keep is None else df.select(*dict.fromkeys([*keep, text])), text=text)
     base = (F.col("__m")["n_words"] < MIN_WORDS) | (100 * F.col("__m")["n_repeat_words"] > REPEAT_PERCENT * F.col("__m")["n_words"])
-    rows = written(with_measures(df.select(*dict.fromkeys([*keep, text])), text).select(*keep, "__m")
+    rows = written(with_measures(packed.df, "text").select("__row", "__m")
                    .withColumn("__votes", F.array(*(r.vote().cast("tinyint") for r in RULES)))
                    .withColumn("__base_failed", base), "quality")
     # at most 3 ** len(RULES) rows
     model = fit(sorted((tuple(p["__votes"]), p["n"]) for p in rows.groupBy("__votes").agg(F.count("*").alias("n")).collect()))
     odds = model.log_odds(F.col("__votes"))
-    return (rows.withColumn("__posterior", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
-            .withColumn("__kept", ~F.col("__base_failed") & (odds >= 0))), model
+    rows = (rows.withColumn("__posterior", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
+            .withColumn("__kept", ~F.col("__base_failed") & (odds >= 0)))
+    return packed.unpacked(rows, RESULTS), model

@@ -172,6 +172,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3_sql() -> str:
     """The scan as SQL: sentences by position, then one step per licence rule."""
     text = lambda s: "'" + s.replace("'", "''") + "'"
+    parted = "lower(coalesce(text, ''))"
+    for pattern, by in licenses.EXPRESSIONS:
+        parted = f"regexp_replace({parted}, {text(pattern)}, {text(by)}, 'g')"
     known = " ".join(f"WHEN regexp_matches(norm, {text(p)}) THEN {text(i)}" for i, p in licenses.KNOWN)
     steps = ["step_0 AS (SELECT doc_id, n_unknown, ids, coalesce(list_aggregate(list_transform(ids, lambda i: ',' || i || ','), 'string_agg', ''), '') AS rest, "
              "[]::VARCHAR[] AS found FROM docs)"]
@@ -180,7 +183,7 @@ def _op3_sql() -> str:
         steps.append(f"step_{k + 1} AS (SELECT doc_id, n_unknown, ids, regexp_replace(rest, {p}, ',#,', 'g') AS rest, "
                      f"CASE WHEN regexp_matches(rest, {p}) AND NOT list_contains(found, {text(name)}) THEN list_append(found, {text(name)}) ELSE found END AS found FROM step_{k})")
     return f"""
-WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS t, row_number() OVER () AS rid FROM documents),
+WITH low AS (SELECT doc_id, {parted} AS t, row_number() OVER () AS rid FROM documents),
 cut AS (SELECT rid, unnest(string_split_regex(t, {text(licenses.SENTENCE_END)})) AS s,
                generate_subscripts(string_split_regex(t, {text(licenses.SENTENCE_END)}), 1) AS pos
         FROM low WHERE regexp_matches(t, '{licenses.TRIGGER}|spdx-license')),

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from conftest import SF_CHECK, SF_SMALL
 from pyspark.sql import functions as F
-from sparkprep.llm import licenses, line_dedup, quality, queries, sharding
+from sparkprep.llm import decontaminate, licenses, line_dedup, near_dedup, quality, queries, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, shard string, score string, n_words string, h1 string"
 LONG = "word one two three. " * 30_000
@@ -113,13 +113,49 @@ def test_line_dedup_near_and_clear_lines(spark):
     rows = [(i, f"wide line shown all over\nnear line shown here\nown words {i} only {s}", f"s{s}") for i, s in enumerate(range(40))]
     rows += [(100 + i, "near line not quite enough\nrest of it " + str(i), f"s{i}") for i in range(8)]
     rows += [(200 + i, "whole copy on many sites\nits second line too", f"s{i}") for i in range(30)]
-    found = line_dedup.boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    found = line_dedup.boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=9).collect()
     assert len(found) == 2  # copies of one text count once; eight sites are too few
     assert all(r.sites is None for r in found)  # both are clear of the threshold
     exact = line_dedup.boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8).collect()
     assert sorted(r.sites or 0 for r in exact) == [0, 0, 8]
 
 
+def test_passages_on_few_sites(spark):
+    """Passages of over 50 words and short notices planted on 2 to 8 sites: from three on they go, wherever they
+    stand, and nothing else does; clean documents beside them, one on many sites, keep every line."""
+    passage = lambda n: " ".join(f"p{n}w{j}" for j in range(60))
+    rows, expect = [], {}
+    for n in range(2, 9):
+        for site in range(n):
+            i = 100 * n + site
+            lines = [f"own line {i} of this text", passage(n), f"another own line {i}", f"short notice number {n}"]
+            rows.append((i, "\n".join(lines), f"s{site}"))
+            expect[i] = "\n".join(lines if n < 3 else lines[::2])
+    for i in range(30):
+        rows.append((i, f"clean text {i} with its words\nand a second line {i} of it\nyes", f"s{i % 9}"))
+        expect[i] = rows[-1][1]
+    rows += [(5000 + i, "a whole document\nthat stands on many sites", f"s{i}") for i in range(9)]
+    expect |= {5000 + i: rows[-1][1] for i in range(9)}
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.text for r in out} == expect
+
+
+def test_stages_take_any_column_name(spark):
+    """Names of the operators' own columns, dots and marks: kept as they are, or replaced by a result of that name."""
+    names = ["__m", "__w", "__l", "__h", "__id", "__th", "__gone", "__row", "__hash", "__first", "__c", "c0", "a.b", "x`y", "text_hash", "node"]
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names}).withColumn("__kept", F.lit("old"))
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumn("__h", F.lit(1))
+    plain = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    pairs = [(quality.judged(docs)[0].filter("__kept"), quality.judged(plain)[0].filter("__kept")), (line_dedup.dedup_lines(docs), line_dedup.dedup_lines(plain)),
+             (near_dedup.one_of_each(docs), near_dedup.one_of_each(plain)), (decontaminate.decontaminated(docs, bench), decontaminate.decontaminated(plain, bench))]
+    for k, (wide, narrow) in enumerate(pairs):
+        rows = wide.collect()
+        assert set(docs.columns) <= set(wide.columns) and len(set(wide.columns)) == len(wide.columns)
+        own = [n for n in names if n not in quality.RESULTS or k]
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in own) and (k == 0 or {r["__kept"] for r in rows} == {"old"})
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in narrow.collect())
+
+
 def test_line_dedup_odd_rows(odd, empty):
     out = line_dedup.dedup_lines(odd, min_sites=1)
     assert out.count() == len(ODD) and set(odd.columns) <= set(out.columns)
@@ -268,7 +304,7 @@ You should have received a copy of the GNU General Public License
 along with this program.  If not, see <https://www.gnu.org/licenses/>."""
 BSD_IDS = ["copyright", "copyright", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is"]
 APACHE_IDS = ["apache-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-see"]
-GPL_IDS = ["gpl-free", "gpl-hope", "gpl-see", "gpl-copy"]
+GPL_IDS = ["gnu:GPL-3.0", "gpl-hope", "gpl-see", "gpl-copy"]
 
 
 @pytest.mark.parametrize("mark", ["", " * ", "// ", "# ", ";; ", "dnl "])
@@ -276,7 +312,7 @@ def test_wrapped_licence_texts(spark, mark):
     """Texts as they are distributed, plain and as comments; every sentence once."""
     cases = [(MIT_TEXT, "MIT", ["copyright", "mit-grant", "mit-notice", "mit-as-is"]), (APACHE_TEXT, "Apache-2.0", APACHE_IDS),
              *((BSD_TEXT % items, "BSD-3-Clause", BSD_IDS) for items in (("1.", "2.", "3."), ("*", "*", "*"), ("(a)", "(b)", "(c)"))),
-             *((GPL_TEXT % end, "GPL", GPL_IDS) for end in (":", ";")),
+             (GPL_TEXT % ":", "GPL-3.0", GPL_IDS), (GPL_TEXT % ";", "GPL-3.0", ["gpl-free", *GPL_IDS]),
              ("This work is licensed under the GNU\nGeneral Public License,\nversion 3", "GPL-3.0", ["ref:GPL-3.0"]),
              ("Copyright (c) 2020 Some Body\nThe code may be used as it is licensed under\nthe MIT license", "MIT", ["copyright", "ref:MIT"])]
     rows = [(i, ("\r\n" if i % 2 else "\n").join((mark + x).rstrip() for x in c[0].split("\n"))) for i, c in enumerate(cases)]
@@ -307,3 +343,43 @@ def test_line_sql(spark, duck):
     got = collections.Counter(map(tuple, queries.op5(spark, SF_SMALL).collect()))
     want = duck.execute(f"SELECT doc_id, n_lines, n_removed, text FROM ({queries.SQL['op5_line_dedup']})").fetchall()
     assert got == collections.Counter(want)
+
+
+GNU_NOTICE = """This %s is free software%s you can redistribute it and/or
+modify it under the terms of the GNU %sGeneral Public
+License as published by the Free Software Foundation; either
+version %s of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize("text, names", [
+    (GNU_NOTICE % ("library", ";", "Lesser ", "2.1"), ["LGPL-2.1"]), (GNU_NOTICE % ("program", ":", "Affero ", "3"), ["AGPL-3.0"]),
+    (GNU_NOTICE % ("program", ";", "", "2"), ["GPL-2.0"]), (GNU_NOTICE % ("library", ";", "Library ", "2"), ["LGPL-2.0"]),
+    ("This code is not licensed under the MIT license.", []), ("It is no longer released under the GPL version 2.", []),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0)", ["GPL-2.0"]),
+    ("# SPDX-License-Identifier: BSD-3-Clause AND (MIT OR ISC)", ["BSD-3-Clause", "MIT", "ISC"]),
+    ("This crate is dual-licensed under the MIT license and the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+    ("Licensed under either the MIT license or the Apache License 2.0.", ["Apache-2.0", "MIT"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one.", ["MPL-2.0"]),
+    ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely.", ["zlib"]),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\nEveryone is permitted to copy", ["GPL-3.0"]),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", ["Apache-2.0"]),
+])
+def test_families_expressions_and_titles(spark, text, names):
+    row = licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert sorted(row.licenses) == sorted(names), row
+
+
+def test_sentences_of_any_length(spark):
+    """A wrapped sentence is known as the same sentence on one line is."""
+    more = [f"and some further words of this grant number {i}" for i in range(60)]
+    cases = ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"),\n" + "\n".join(more) + ".",
+             "\n".join([*more, "and all that is licensed under the", "MIT license."]),
+             "Neither the name of\n" + "\n".join(more) + "\nmay be used to endorse or promote products under this license.",
+             "\n".join([*more, "Redistributions of source code must", "retain the above copyright notice."])]
+    rows = [(2 * i, c) for i, c in enumerate(cases)] + [(2 * i + 1, c.replace("\n", " ")) for i, c in enumerate(cases)]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(len(cases)):
+        assert got[2 * i].sentence_ids == got[2 * i + 1].sentence_ids and got[2 * i].n_unknown == 0 and len(got[2 * i].sentence_ids) == 1
+    long = "\n".join(f"words {i} without an end, and a warranty" for i in range(20_000))
+    assert licenses.scanned(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().n_unknown == 1

@@ -175,6 +175,27 @@ def test_odd_messages(spark):
     assert chat.linked(spark.createDataFrame([], MESSAGES)).count() == 0
 
 
+DEEP = "[" * 3000 + "]" * 3000
+
+
+@pytest.mark.parametrize("raw", ['{"id": "a", "name": "f", "arguments": {"x": 1e400}}', '{"id": "a", "name": "f", "arguments": {"x": "\\ud800"}}',
+                                 '{"id": "\\ud800", "name": "f"}', '{"id": "a", "name": "f", "arguments": {"x": %s}}' % DEEP,
+                                 '{"id": "a", "name": "f", "arguments": {"x": NaN}}', '{"id": "a", "name": "f", "arguments": {"x": %s}}' % ("9" * 5000)])
+def test_json_that_cannot_be_kept_stays_a_message(spark, raw):
+    rows = [(1, 0, "assistant", f"<tool_call>{raw}</tool_call>"), (1, 1, "tool", raw.replace('"id"', '"tool_call_id"')), (2, 0, "user", "fine")]
+    out = linked(spark, rows)
+    assert sorted(r.kind for r in out if r.turn == 1) == ["message"] and [r.kind for r in out if r.conv_id == 1 and r.turn == 0] == ["result"]
+    assert json.loads(next(r.json for r in out if r.turn == 1))["content"] == raw.replace('"id"', '"tool_call_id"')
+
+
+@pytest.mark.parametrize("value, schema, n", [
+    (1, {"enum": [True]}, 1), (True, {"enum": [1]}, 1), ([1], {"const": [True]}, 1), (1, {"enum": [1.0]}, 0), ({"a": [0]}, {"const": {"a": [False]}}, 1),
+    ({"a": [0, None]}, {"const": {"a": [0.0, None]}}, 0), (None, {"enum": [0, "", False]}, 1), (10 ** 400, {"type": "integer"}, 0), (10 ** 400, {"maximum": 5}, 1), ("1", {"const": 1}, 1),
+])
+def test_schemas_compare_values_as_json_with_types(value, schema, n):
+    assert len(chat.schema_errors(value, schema)) == n
+
+
 def test_every_turn_is_there_once(spark):
     given = spark.read.parquet(f"{SF_CHECK}/conversations.parquet").collect()
     out = queries.op8(spark, SF_CHECK).collect()
