@@ -2,7 +2,7 @@
 
 Seeds are runs of ``k`` words (lower-cased A-Z). One pass over the documents
 keeps only the word runs whose seeds pass a Bloom filter of the benchmark's
-seeds (a bitmap of fixed size, whatever the benchmark's); these join the
+seeds (sized by their number); these join the
 benchmark on the seed. For each document and item that share a seed, tiles are
 placed greedily: the longest matches, found by running Karp-Rabin hashes of
 falling window lengths, are marked first and marked words take part in no other
@@ -32,7 +32,9 @@ from .common import Packed, arrow_map, reliable, small, written
 
 SEED_WORDS = 5
 THRESHOLD = 0.5
-BITMAP_BITS = 1 << 23  # one megabyte
+# bits of the filter: 16 a seed (of other words two in a hundred pass), from one megabyte to 32
+SEED_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 23, 1 << 28
+BROADCAST_BYTES = 64 << 20
 FIRST_WINDOW = 20
 _MODULUS = (1 << 61) - 1
 
@@ -41,9 +43,13 @@ def _grams(words: np.ndarray, length: int) -> np.ndarray:
     return wh.gram_hashes(words, length) ^ np.uint64(length)
 
 
-def _probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(BITMAP_BITS - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have both their bits in the filter."""
+    mask = np.uint64(8 * len(bitmap) - 1)
+
+    def bit(at: np.ndarray) -> np.ndarray:
+        return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+    return (bit(hashes & mask) & bit((hashes >> np.uint64(32)) & mask)).astype(bool)
 
 
 def _item_seeds(k: int):
@@ -66,13 +72,17 @@ def _item_seeds(k: int):
 
 
 def seed_bitmap(seeds: DataFrame) -> bytes:
-    """BITMAP_BITS bits, two set for each seed; at most BITMAP_BITS / 32768 rows reach the driver."""
-    mask = BITMAP_BITS - 1
+    """Two bits set for each seed, in a filter sized by their number; a row for each 32768 bits reaches the driver."""
+    bits = LEAST_BITS
+    n = seeds.count()
+    while bits < min(SEED_BITS * n, MOST_BITS):
+        bits *= 2
+    mask = bits - 1
     spots = seeds.select(F.explode(F.array(F.col("seed").bitwiseAND(F.lit(mask).cast("long")),
                                            F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(mask).cast("long")))).alias("p"))
     rows = spots.select(F.expr("p div 32768").alias("part"), F.expr("p % 32768").alias("bit")) \
         .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    bitmap = bytearray(BITMAP_BITS // 8)
+    bitmap = bytearray(bits // 8)
     for r in rows:
         bitmap[r["part"] * 4096: (r["part"] + 1) * 4096] = r["bits"]
     return bytes(bitmap)
@@ -80,7 +90,7 @@ def seed_bitmap(seeds: DataFrame) -> bytes:
 
 def _shared_runs(bitmap: bytes, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+        bits = np.frombuffer(bitmap, np.uint8)
         for whole in batches:
             for batch in wh.slices(whole, "text"):
                 data, offsets = wh.text_buffers(batch.column("text"))
@@ -89,8 +99,7 @@ def _shared_runs(bitmap: bytes, sizes: list[int]):
                 found: dict[int, list[int]] = {}
                 for size in sizes:
                     g = _grams(words, size)
-                    p, q = _probes(g)
-                    hits = np.flatnonzero(bits[p] & bits[q])
+                    hits = np.flatnonzero(_passes(bits, g))
                     hits = hits[hits + size <= at[np.searchsorted(at, hits, "right")]]
                     np.add.at(inside, hits, 1)
                     np.add.at(inside, hits + size, -1)
@@ -211,12 +220,14 @@ def matches(df: DataFrame, benchmark: DataFrame, k: int = SEED_WORDS, id_col: st
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most k rows
     kind = docs.schema["doc_id"].dataType.simpleString()
     runs = written(arrow_map(docs, _shared_runs(seed_bitmap(seeds), sizes),
-                             f"doc_id {kind}, text_hash long, start long, run string, seeds array<long>"), "shared-runs")
-    pairs = (runs.select("doc_id", "text_hash", "start", "run", F.explode("seeds").alias("seed"))
-             .join(small(seeds.select("item", "seed")), "seed")
+                             f"doc_id {kind}, text_hash long, start long, run string, seeds array<long>").withColumn("at", F.monotonically_increasing_id()), "shared-runs")
+    # runs and items meet by number; the runs' texts are fetched once for each item that they meet
+    met = runs.select("at", F.explode("seeds").alias("seed")).join(small(seeds.select("item", "seed")), "seed").select("at", "item").distinct()
+    pairs = (runs.select("at", "doc_id", "text_hash", "start", "run").join(met, "at")
              .groupBy("doc_id", "text_hash", "item").agg(F.array_sort(F.collect_set(F.struct("start", "run"))).alias("runs")))
     texts = items.select("item", "item_id", F.col("text").alias("item_text"))
-    tiled = arrow_map(pairs.join(small(texts), "item").select("doc_id", "text_hash", "item", "item_text", "runs"), _tiled(k),
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tiled = arrow_map(pairs.join(small(texts) if size <= BROADCAST_BYTES else texts, "item").select("doc_id", "text_hash", "item", "item_text", "runs"), _tiled(k),
                       f"doc_id {kind}, text_hash long, item long, covered int, item_words int, coverage double, "
                       "tiles array<struct<item_start: int, doc_start: long, length: int>>")
     return tiled.join(small(texts.select("item", "item_id")), "item").drop("item")

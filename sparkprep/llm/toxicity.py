@@ -27,7 +27,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
@@ -61,11 +61,20 @@ def _bytes(chars: str) -> np.ndarray:
     return t
 
 
-_UPPER = _bytes("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_LETTER = _UPPER | _bytes("abcdefghijklmnopqrstuvwxyz")
+# full-width forms and the ASCII characters that they stand for
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+
+
+def letters_only(text: Column) -> Column:
+    """A text whose only characters beyond ASCII are letters and their marks: full-width forms become
+    ASCII, dashes, typographic quotes, spaces and the like become spaces."""
+    return F.regexp_replace(F.translate(text, _WIDE, _NARROW), r"[^\p{L}\p{M}\x00-\x7F]", " ")
+
+
+_LETTER = _bytes("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LETTER[128:] = True
 _PUNCTUATION, _SYMBOL = _bytes("!?"), _bytes("#*$%&|<>@^~")
-_INSIDE = _bytes("0123456789@$!|*.-_")
+_STRONG, _WEAK = _bytes("0123456789@$"), _bytes("!|*.-_")  # signs in a word; weak ones only between its other characters
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,10 +112,25 @@ def _candidates(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: n
     return long[heads[np.minimum(np.searchsorted(heads, value), len(heads) - 1)] == value]
 
 
+def _disguised(data: np.ndarray, letter: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Of runs of letters and signs those with both, without weak signs at their ends (one in front may
+    stand for a letter: ``!diot``)."""
+    core = np.flatnonzero(letter | _STRONG[data])
+    sums = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    n_letters, n_signs = sums(letter), sums(_STRONG[data] | _WEAK[data])
+    first, last = np.searchsorted(core, begin), np.searchsorted(core, end) - 1
+    some = first <= last
+    a, b = core[first[some]], core[last[some]] + 1
+    lead = (a > begin[some]) & (data[np.maximum(a - 1, 0)] == ord("!"))
+    a = a - lead
+    both = (n_letters[b] > n_letters[a]) & (n_signs[b] > n_signs[a])
+    return list(zip(a[both].tolist(), b[both].tolist(), strict=True))
+
+
 def features(batch: pa.RecordBatch, lexicon: Lexicon, column: str = "text") -> np.ndarray:
-    """A row of FEATURES per text. Words are runs of letters (bytes of A-Z, a-z
-    and of all other scripts); only those that begin like an entry of the lexicon
-    are looked at one by one."""
+    """A row of FEATURES per text (as ``letters_only`` gives it; a column ``capitals`` counts its
+    capitals). Words are runs of letters (bytes of A-Z, a-z and of all other scripts); only those that
+    begin like an entry of the lexicon, and words with signs in them, are looked at one by one."""
     data, offsets = wh.text_buffers(batch.column(column))
 
     def count(mask: np.ndarray) -> np.ndarray:
@@ -126,13 +150,11 @@ def features(batch: pa.RecordBatch, lexicon: Lexicon, column: str = "text") -> n
     starts, ends = runs(letter)
     at = np.searchsorted(starts, offsets)
     word = lambda k: data[starts[k]: ends[k]].tobytes().decode("utf-8", "replace").lower()
-    inside = np.zeros(len(data), bool)
-    if len(data) > 2:
-        inside[1:-1] = letter[:-2] & _INSIDE[data[1:-1]] & letter[2:] & ~edge[1:-2] & ~edge[2:-1]
-    n_words, disguised = np.diff(at), count(inside)
-    upper, letters = count(_UPPER[data]), np.maximum(count(letter), 1)
+    n_words = np.diff(at)
+    upper = batch.column("capitals").to_numpy(zero_copy_only=False).astype(np.float64)
+    letters = np.maximum(count(letter & ((data & 0xC0) != 0x80)), 1)  # characters, not bytes
     marks, symbols = count(_PUNCTUATION[data]), count(_SYMBOL[data])
-    fixed, learned, near, again = (np.zeros(batch.num_rows) for _ in range(4))
+    fixed, learned, near, disguised, again = (np.zeros(batch.num_rows) for _ in range(5))
     for k in _candidates(data, starts, ends, lexicon.heads).tolist():
         w = word(k)
         a, b = w in INSULTS, lexicon.learned(w)
@@ -142,10 +164,11 @@ def features(batch: pa.RecordBatch, lexicon: Lexicon, column: str = "text") -> n
             learned[r] += b
             around = range(max(int(at[r]), k - WINDOW), min(int(at[r + 1]), k + WINDOW + 1))
             near[r] += any(word(j) in SECOND_PERSON for j in around)
-    begin, end = runs(letter | _INSIDE[data])
-    for k in np.unique(np.searchsorted(begin, np.flatnonzero(inside), "right") - 1).tolist():
-        w = data[begin[k]: end[k]].tobytes().decode("utf-8", "replace").lower().strip("!|*.-_").translate(_PLAIN)
-        again[int(np.searchsorted(offsets, begin[k], "right")) - 1] += w in INSULTS or lexicon.learned(w)
+    for a, b in _disguised(data, letter, *runs(letter | _STRONG[data] | _WEAK[data])):
+        w = data[a:b].tobytes().decode("utf-8", "replace").lower().translate(_PLAIN)
+        r = int(np.searchsorted(offsets, a, "right")) - 1
+        disguised[r] += 1
+        again[r] += w in INSULTS or lexicon.learned(w)
     n = np.maximum(n_words, 1)
     return np.stack([fixed / n, learned / n, np.log1p(fixed + learned + again), near / n, upper / letters, marks / n, symbols / n,
                      disguised / n, again / n, np.log1p(n_words)], axis=1)
@@ -163,7 +186,8 @@ def _rows_with_features(lexicon: Lexicon, keep: list[str]):
 
 def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     kinds = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{f} double" for f in FEATURES)])
-    return arrow_map(df.select(*keep, "text"), _rows_with_features(lexicon, keep), kinds)
+    rows = df.select(*keep, letters_only(F.col("text")).alias("text")).withColumn("capitals", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\P{Lu}+", "")))
+    return arrow_map(rows, _rows_with_features(lexicon, keep), kinds)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, i
                 .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     order = F.md5(F.col("__id").cast("string").cast("binary"))
     labelled = labelled.orderBy(order, "__id").limit(max_rows)  # at most max_rows rows, so they may be broadcast
-    training = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(labelled), "__id")
+    training = docs.select(F.col(id_col).alias("__id"), letters_only(F.col(text_col)).alias("text")).join(F.broadcast(labelled), "__id")
     training = reliable(training.withColumn("part", F.expr("conv(substr(md5(cast(concat('part-', __id) as binary)), 1, 4), 16, 10) % 5")).repartition(12, "__id"))
     n, k = training.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not k or k == n:
         return Model(Lexicon(), share=float(k or 0) / max(n, 1))
-    lexicon = learn_lexicon(training)
+    lexicon = learn_lexicon(training.filter("part > 0"))  # the calibration's rows are new to the lexicon too
     rows = reliable(VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(with_features(training, lexicon, ["toxic", "part"]))
                     .select("__x", F.col("toxic").cast("double").alias("toxic"), "part"))
     booster = GBTClassifier(featuresCol="__x", labelCol="toxic", predictionCol="__label", maxIter=15, maxDepth=4, stepSize=0.2, seed=SEED)

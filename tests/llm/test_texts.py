@@ -327,5 +327,43 @@ def test_toxicity_odd_rows(spark):
     one = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (4, None), (6, 1)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.fit(docs, one).score(docs, ["doc_id"]).collect()} == {1.0}
     import pyarrow as pa
-    x = toxicity.features(pa.RecordBatch.from_pydict({"text": [r[1] for r in ODD] + ["You 1d1ot! m-o-r-o-n?"]}), toxicity.Lexicon())
+    texts = [r[1] for r in ODD] + ["You 1d1ot! m-o-r-o-n?"]
+    x = toxicity.features(pa.RecordBatch.from_pydict({"text": texts, "capitals": [0] * len(texts)}), toxicity.Lexicon())
     assert np.isfinite(x).all() and not x[0].any() and x[-1][toxicity.FEATURES.index("plain_again")] > 0
+
+
+def features_by_rows(text):
+    """The features straight from their definitions, word by word."""
+    import re
+    import regex
+    wide = {chr(c): chr(c - 0xFF01 + 0x21) for c in range(0xFF01, 0xFF5F)}
+    text = regex.sub(r"[^\p{L}\p{M}\x00-\x7F]", " ", "".join(wide.get(c, c) for c in text or ""))
+    words = [w.lower() for w in regex.findall(r"[A-Za-z\x80-\U0010FFFF]+", text)]
+    n = max(len(words), 1)
+    bad = [w in toxicity.INSULTS for w in words]
+    near = sum(b and any(words[j] in toxicity.SECOND_PERSON for j in range(max(0, k - 3), min(len(words), k + 4))) for k, b in enumerate(bad))
+    disguised = again = 0
+    for run in regex.findall(r"[A-Za-z\x80-\U0010FFFF0-9@$!|*.\-_]+", text):
+        core = run.rstrip("!|*.-_")
+        inner = core.lstrip("!|*.-_")
+        core = ("!" if core[:-len(inner) or None].endswith("!") and inner != core else "") + inner
+        if re.search(r"[0-9@$!|*.\-_]", core) and regex.search(r"[A-Za-z\x80-\U0010FFFF]", core):
+            disguised += 1
+            again += core.lower().translate(toxicity._PLAIN) in toxicity.INSULTS
+    letters = len(regex.findall(r"[A-Za-z\x80-\U0010FFFF]", text))
+    return [sum(bad) / n, 0.0, np.log1p(sum(bad) + again), near / n, len(regex.findall(r"\p{Lu}", text)) / max(letters, 1), sum(text.count(c) for c in "!?") / n,
+            sum(text.count(c) for c in "#*$%&|<>@^~") / n, disguised / n, again / n, np.log1p(len(words))]
+
+
+@pytest.mark.parametrize("text", [
+    None, "", "You \u201cidiot\u201d \u2014 what an idiot\u2026 you\u00a0idiot", "\uff49\uff44\uff49\uff4f\uff54 you", "st00pid id10t 1diot $tupid !diot f*** m-o-r-o-n", "\u00c9T\u00c9 \u00dcBER \u00e9t\u00e9 imb\u00e9cile",
+    "self-made e.g. 3d 2nd covid19 end. really!! --", "\u4f60\u597d idiot\uff01 \U0001f600moron\U0001f600"])
+def test_toxicity_features_by_definition(spark, text):
+    row = toxicity.with_features(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxicity.Lexicon(), ["doc_id"]).first()
+    assert [row[f] for f in toxicity.FEATURES] == pytest.approx(features_by_rows(text))
+
+
+def test_disguised_insults_count(spark):
+    rows = [(i, w) for i, w in enumerate(["st00pid", "id10t", "1diot", "$tupid", "!diot", "\u201cidiot\u201d", "idiot\u2014", "idiot\u2026", "you\u00a0idiot", "\uff49\uff44\uff49\uff4f\uff54"])]
+    out = toxicity.with_features(spark.createDataFrame(rows, "doc_id long, text string"), toxicity.Lexicon(), ["doc_id"]).collect()
+    assert {r.doc_id for r in out if r.insults + r.plain_again > 0} >= {2, 3, 4, 5, 6, 7, 8, 9}
