@@ -17,7 +17,6 @@ are passed to the row-level expressions as literals.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -25,9 +24,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rnd
+from ..functions.scalar import quoted, rnd
 from ..session import materialize
-from . import prep
+from . import balls, prep
 from .graph import connected_components
 
 NOISE = -1
@@ -166,50 +165,53 @@ def agglomerative(df: DataFrame, vec: str, k: int = 2, micro: int = 1000, seed:
 
 def _dbscan_parts(df: DataFrame, key: str, cols: list[str], eps: float, min_samples: int):
     """(points with cell and cell size, pairs (id, qid) within eps whose id lies in
-    a sparse cell, roles (id, core), offsets of the cells that can be within eps)."""
+    a sparse cell, roles (id, core), pairs (a, b) of cells that can hold points within eps)."""
     d = len(cols)
-    if d > 4:
-        # a point looks at (2 ceil(sqrt(d)) + 1) ** d cells: 625 of 4 dimensions, 16807 of 5
-        raise ValueError("grid DBSCAN is meant for up to 4 dimensions; reduce them first (PCA)")
     side = eps / math.sqrt(d)
-    reach = math.ceil(math.sqrt(d))
-    pts = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    pts = df.select(quoted(key).alias("id"), *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     pts = prep.impute(pts, [f"x{i}" for i in range(d)])
     cell = [F.floor(F.col(f"x{i}") / F.lit(side)).cast("long").alias(f"c{i}") for i in range(d)]
     pts = pts.select("*", *cell)
     ckeys = [f"c{i}" for i in range(d)]
     counts = pts.groupBy(*ckeys).agg(F.count(F.lit(1)).alias("cell_n"), F.min("id").alias("cell_id"))
     p = materialize(pts.join(counts, ckeys), "dbscan-points")
-    offs = [list(o) for o in itertools.product(range(-reach, reach + 1), repeat=d)]
-    probe = p.filter(F.col("cell_n") < min_samples).select(
-        "id", *[F.col(f"x{i}").alias(f"px{i}") for i in range(d)],
-        F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])).alias("o"), *ckeys)
-    probe = probe.select("id", *[f"px{i}" for i in range(d)],
-                         *[(F.col(f"c{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(d)])
-    other = p.select(F.col("id").alias("qid"), *[F.col(f"x{i}").alias(f"qx{i}") for i in range(d)], *ckeys)
+    near = materialize(_near_cells(p.select("cell_id", *ckeys).distinct(), d, side, eps), "dbscan-cells")
+    probe = p.filter(F.col("cell_n") < min_samples).select("id", *[F.col(f"x{i}").alias(f"px{i}") for i in range(d)], F.col("cell_id").alias("a")).join(near, "a")
+    other = p.select(F.col("id").alias("qid"), *[F.col(f"x{i}").alias(f"qx{i}") for i in range(d)], F.col("cell_id").alias("b"))
     dist2 = sum((F.col(f"px{i}") - F.col(f"qx{i}")) ** 2 for i in range(d))
-    pairs = materialize(probe.join(other, ckeys).filter(dist2 <= F.lit(eps * eps)).select("id", "qid"), "dbscan-pairs")
+    pairs = materialize(probe.join(other, "b").filter(dist2 <= F.lit(eps * eps)).select("id", "qid"), "dbscan-pairs")
     nb = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
     roles = p.select("id", "cell_n", "cell_id").join(nb, "id", "left").select(
         "id", ((F.col("cell_n") >= min_samples) | (F.coalesce("neighbours", F.lit(0)) >= min_samples)).alias("core"),
         # all points of a full cell are core and of one cluster: one node, named by the least of them
         F.when(F.col("cell_n") >= min_samples, F.col("cell_id")).otherwise(F.col("id")).alias("node"))
-    return p, pairs, materialize(roles, "dbscan-roles"), offs
+    return p, pairs, materialize(roles, "dbscan-roles"), near
+
+
+def _near_cells(cells: DataFrame, d: int, side: float, eps: float) -> DataFrame:
+    """(a, b): pairs of non-empty cells (named by cell_id, each with itself too) that are nowhere farther
+    apart than ``eps``. The cells' middles lie in balls, walked down from the root: what is looked at
+    follows from the cells that there are, not from the number of neighbours that a cell may have."""
+    middles = materialize(cells.select(F.col("cell_id").alias("id"), F.array(*[(F.col(f"c{i}") + 0.5) * F.lit(side) for i in range(d)]).alias("x")), "dbscan-middles")
+    tree = balls.build(middles)
+    asked = middles.select(F.col("id").alias("a"), "x", F.lit(eps + side * math.sqrt(d)).alias("bound"))
+    other = tree.points.select("ball", F.col("id").alias("b"), F.col("x").alias("y"))
+    gap = F.aggregate(F.zip_with("x", "y", lambda u, v: F.pow(F.greatest(F.abs(u - v) - F.lit(side), F.lit(0.0)), 2)), F.lit(0.0), lambda s, v: s + v)
+    return tree.reached(asked, "bound").join(other, "ball").filter(balls.within(F.sqrt(gap), F.lit(eps))).select("a", "b")
 
 
 def dbscan_points(df: DataFrame, key: str, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """DBSCAN point roles (core / border / noise) on a few numeric columns, exact.
+    """DBSCAN point roles (core / border / noise) on numeric columns, exact.
 
     Grid of side eps / sqrt(d): two points of one cell are always within eps,
     so a cell holding >= min_samples points is all-core with no pair checked.
     Only points of SPARSE cells (< min_samples points) are paired with the
-    points of the (2R+1)^d neighbouring cells (R = ceil(sqrt(d))). Every point
-    q is paired with at most (2R+1)^d * (min_samples - 1) sparse points, so the
-    number of pairs is linear in n even when one cell holds a third of the
-    rows. Neighbour counts include the point itself (as the reference does).
+    points of the non-empty cells near theirs. Every point is paired with fewer than
+    min_samples points of each of these cells, so the number of pairs is linear
+    in n even when one cell holds a third of the rows. Neighbour counts include the point itself (as the reference does).
     Missing values are replaced by the column's mean.
     """
-    _p, pairs, roles, _offs = _dbscan_parts(df, key, cols, eps, min_samples)
+    _p, pairs, roles, _near = _dbscan_parts(df, key, cols, eps, min_samples)
     # border: a non-core point (always in a sparse cell) with a core point within eps
     core_ids = roles.filter("core").select(F.col("id").alias("qid"))
     near_core = pairs.join(core_ids, "qid").groupBy("id").agg(F.lit(True).alias("near_core"))
@@ -219,7 +221,7 @@ def dbscan_points(df: DataFrame, key: str, cols: list[str], eps: float = 0.5, mi
     return out.withColumn("noise", ~F.col("core") & ~F.col("border"))
 
 
-def _touching_cells(p: DataFrame, d: int, offs: list[list[int]], eps: float, min_samples: int) -> DataFrame:
+def _touching_cells(p: DataFrame, d: int, near: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """Pairs (a, b) of full cells, named by cell_id, with points within eps of each other.
 
     Boxes are halved level by level: a pair of boxes whose tight bounds are
@@ -229,11 +231,8 @@ def _touching_cells(p: DataFrame, d: int, offs: list[list[int]], eps: float, min
     """
     dims = range(d)
     full = p.filter(F.col("cell_n") >= min_samples).select("cell_id", *[f"x{i}" for i in dims], *[f"c{i}" for i in dims])
-    cells = full.select("cell_id", *[f"c{i}" for i in dims]).distinct()
-    ahead = [o for o in offs if o > [0] * d]
-    near = (cells.select(F.col("cell_id").alias("a"), F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in ahead])).alias("o"), *[f"c{i}" for i in dims])
-            .select("a", *[(F.col(f"c{i}") + F.col("o")[i]).alias(f"c{i}") for i in dims])
-            .join(cells.withColumnRenamed("cell_id", "b"), [f"c{i}" for i in dims]).select("a", "b"))
+    cells = full.select("cell_id").distinct()
+    near = near.filter("a < b").join(cells.withColumnRenamed("cell_id", "a"), "a").join(cells.withColumnRenamed("cell_id", "b"), "b").select("a", "b")
     side = eps / math.sqrt(d)
     root = F.lit("")
     active = near.select("a", "b", root.alias("box_a"), root.alias("box_b"))
@@ -275,11 +274,11 @@ def dbscan_labels(df: DataFrame, key: str, cols: list[str], eps: float = 0.5, mi
     Full cells (``dbscan_points``) are single nodes; core points of sparse cells
     are nodes too. Links are the pairs of the role step and the touching full
     cells; their components come from rounds of joins."""
-    p, pairs, roles, offs = _dbscan_parts(df, key, cols, eps, min_samples)
+    p, pairs, roles, near = _dbscan_parts(df, key, cols, eps, min_samples)
     core = roles.filter("core").select("id", "node")
     links = (pairs.join(core, "id").select(F.col("node").alias("a"), "qid")
              .join(core.select(F.col("id").alias("qid"), F.col("node").alias("b")), "qid").select("a", "b")
-             .union(_touching_cells(p, len(cols), offs, eps, min_samples)))
+             .union(_touching_cells(p, len(cols), near, eps, min_samples)))
     roots = connected_components(links)
     named = core.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("name"))
     border = (pairs.join(named.withColumnRenamed("id", "qid"), "qid").groupBy("id").agg(F.min("name").alias("near")))

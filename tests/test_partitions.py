@@ -267,3 +267,24 @@ def test_texts_of_nan_are_missing(spark):
     assert clean.fit_fill_value(out, "v", "median") == 1.5 == clean.fit_fill_value(out, "v", "mean")
     wild = spark.createDataFrame([(float("nan"), 1), (1.0, 2), (2.0, 3)], "v double, w long")
     assert [r["w_cum"] for r in scan.prefix_sums(wild, ["v"], ["w"], n_buckets=3).orderBy("v").collect()] == [2, 5, 6]
+
+
+# ------------------------------------------------------------------ density clusters
+@pytest.mark.parametrize("d,eps,least", [(6, 1.3, 4), (2, 0.25, 5), (1, 0.05, 3)])
+def test_density_clusters_by_brute_force(spark, d, eps, least):
+    from sparkprep.operators import cluster
+    rng = np.random.default_rng(d)
+    x = np.vstack([rng.normal(size=(120, d)) * 0.5, rng.normal(size=(80, d)) * 0.6 + 3.0, rng.uniform(-4, 6, size=(60, d))])
+    x[10:30] = x[9]  # copies fill a cell
+    df, cols = frame(spark, x)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+    core = near.sum(1) >= least
+    name = np.arange(len(x))
+    changed = True
+    while changed:
+        new = np.array([min(name[j] for j in np.flatnonzero(near[i] & core)) if core[i] else name[i] for i in range(len(x))])
+        changed = (new != name).any()
+        name = new
+    want = {i: int(name[i]) if core[i] else min((int(name[j]) for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))}
+    got = {r["id"]: r["cluster"] for r in cluster.dbscan_labels(df, "id", cols, eps, least).collect()}
+    assert got == want and len(set(want.values())) > 2
