@@ -14,13 +14,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quoted
 from ..sources.ingest import is_numeric
 from . import scan
 from .clean import fit_domain, onehot
 
-ITEM_SEP = "|"
-
-
 def binarize(df: DataFrame, cols: list[str], max_levels: int = 5) -> DataFrame:
     """0/1 columns pass through; other numeric -> ``<col>_high`` = value > median;
     text with <= ``max_levels`` values -> one-hot; other columns are dropped."""
@@ -52,11 +50,11 @@ def binarize(df: DataFrame, cols: list[str], max_levels: int = 5) -> DataFrame:
     return out.select(*keep)
 
 
-def onehot_to_baskets(binary: DataFrame, id_col: str) -> DataFrame:
+def onehot_to_baskets(binary: DataFrame, id_col: str | None = None) -> DataFrame:
     """0/1 indicator columns -> (id, items) with the names of the columns set to 1."""
     cols = [c for c in binary.columns if c != id_col]
-    items = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in cols]), lambda x: x.isNotNull())
-    return binary.select(id_col, F.array_sort(items).alias("items"))
+    items = F.filter(F.array(*[F.when(quoted(c) == 1, F.lit(c)) for c in cols]), lambda x: x.isNotNull())
+    return binary.select(*([quoted(id_col)] if id_col else []), F.array_sort(items).alias("items"))
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, items_col: str = "items",
@@ -78,10 +76,11 @@ def association_rules(itemsets: DataFrame, min_confidence: float = 0.5) -> DataF
     """All rules A -> C with A, C non-empty, A u C frequent; confidence >= threshold.
 
     Columns: antecedents, consequents (sorted arrays), support, confidence,
-    lift, leverage, conviction (NULL when confidence is 1).
+    lift, leverage, conviction (NULL when confidence is 1). Rules come by falling
+    lift, then confidence and support, then by their items. Item sets are compared as
+    sorted arrays, so items may hold any character.
     """
-    key = lambda c: F.array_join(c, ITEM_SEP)
-    sup = itemsets.select(key(F.col("items")).alias("k"), F.col("support").alias("s"))
+    sup = itemsets.select(F.col("items").alias("k"), F.col("support").alias("s"))
     big = itemsets.filter(F.col("size") >= 2)
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.col("size")).cast("int") - 2)
     splits = big.select("items", F.col("support").alias("support"), F.explode(masks).alias("mask"))
@@ -90,14 +89,13 @@ def association_rules(itemsets: DataFrame, min_confidence: float = 0.5) -> DataF
         .withColumn("consequents", F.array_except("items", "antecedents"))
     a = sup.select(F.col("k").alias("ka"), F.col("s").alias("support_a"))
     c = sup.select(F.col("k").alias("kc"), F.col("s").alias("support_c"))
-    r = (r.join(a, key(F.col("antecedents")) == F.col("ka"))
-         .join(c, key(F.col("consequents")) == F.col("kc")))
+    r = r.join(a, F.col("antecedents") == F.col("ka")).join(c, F.col("consequents") == F.col("kc"))
     conf = F.col("support") / F.col("support_a")
     r = r.select("antecedents", "consequents", "support", conf.alias("confidence"),
                  (conf / F.col("support_c")).alias("lift"),
                  (F.col("support") - F.col("support_a") * F.col("support_c")).alias("leverage"),
                  F.when(conf < 1, (1 - F.col("support_c")) / (1 - conf)).alias("conviction"))
-    return r.filter(F.col("confidence") >= F.lit(min_confidence))
+    return r.filter(F.col("confidence") >= F.lit(min_confidence)).orderBy(F.desc("lift"), F.desc("confidence"), F.desc("support"), "antecedents", "consequents")
 
 
 def rule_summary(rules: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ def train_unsupervised(df: DataFrame, key: str, features: list[str], family: str
                 r = anomaly.anomaly_summary(s).first()
                 out = [("anomalies_detected", float(r["anomalies_detected"])), ("outlier_ratio", float(r["outlier_ratio"]))]
             else:
-                fi = rules.frequent_itemsets(df.select(F.col(items_col).alias("items")), p.get("min_support", 0.1))
+                baskets = df.select(F.col(items_col).alias("items")) if items_col else rules.onehot_to_baskets(rules.binarize(df, features))
+                fi = rules.frequent_itemsets(baskets, p.get("min_support", 0.1))
                 rl = rules.association_rules(fi, p.get("min_confidence", 0.5))
                 s = rules.rule_summary(rl).first()
                 out = [("rules_count", float(s["rules_count"])), ("max_lift", float(s["max_lift"])),

@@ -3,19 +3,28 @@ append-only manifest log.
 
 Layout under ``root``::
 
-    <root>/<dataset>/v=<N>/            parquet data of version N
-    <root>/<dataset>/_manifest/        JSON lines, one entry per event
+    <root>/<dataset>/data-<id>/             parquet data of a version
+    <root>/<dataset>/_manifest/<seq>.json   one entry per event
 
 Entries are never rewritten: "current" is the version named by the latest
 entry (highest ``seq``), every other version is "previous". Updating a version
 writes a NEW directory and a new entry, so an interrupted job never leaves a
-half-overwritten version behind. Everything goes through Spark / the Hadoop
-FileSystem API, so ``root`` can be any shared filesystem.
+half-overwritten version behind.
+
+Data are written first, under a name of their own; the entry is then created
+whole under the next number, or not at all if another writer took that number.
+A writer that comes second reads the manifest again, takes the next version number and
+tries anew, so writers at one time get versions of their own. On HDFS the creation is
+a rename that refuses an existing target, on a local or mounted file system a hard
+link; an object store must offer one of these.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,29 +52,56 @@ def manifest(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(path)
 
 
-def _append_entry(spark: SparkSession, root: str, dataset: str, version: int, user: str, changes: str,
-                  rows: int, columns: int, path: str) -> None:
-    m = manifest(spark, root, dataset)
-    seq = (m.agg(F.max("seq")).first()[0] or 0) + 1  # bounded: one row per event
-    now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    entry = spark.createDataFrame([(dataset, version, seq, now, user, changes, rows, columns, path)], MANIFEST_SCHEMA)
-    entry.coalesce(1).write.mode("append").json(f"{root}/{dataset}/_manifest")
-
-
-def _next_version(spark: SparkSession, root: str, dataset: str) -> int:
-    return (manifest(spark, root, dataset).agg(F.max("version")).first()[0] or 0) + 1
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole content, unless it exists: atomic, one of many writers succeeds."""
+    jvm = spark.sparkContext._jvm
+    fs, target = _fs(spark, path)
+    fs.mkdirs(target.getParent())
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}.tmp")  # hidden from readers
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            local = lambda p: jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri())
+            jvm.java.nio.file.Files.createLink(local(target), local(part))
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # no overwriting
+            context.rename(part, target, options)
+        return True
+    except Exception as e:
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+    finally:
+        if fs.exists(part):
+            fs.delete(part, False)
+
+
+def _commit(spark: SparkSession, root: str, dataset: str, entry: Callable[[int, int], dict]) -> dict:
+    """Append ``entry(next sequence number, next version)`` under a number that no other writer has."""
+    while True:
+        last = manifest(spark, root, dataset).agg(F.max("seq").alias("seq"), F.max("version").alias("version")).first()  # one row per event
+        seq = (last["seq"] or 0) + 1
+        now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        new = {"dataset": dataset, "seq": seq, "date": now, **entry(seq, (last["version"] or 0) + 1)}
+        if _create(spark, f"{root}/{dataset}/_manifest/{seq:012d}.json", json.dumps(new) + "\n"):
+            return new
+
+
+def _written(df: DataFrame, root: str, dataset: str) -> dict:
+    """Write the data and describe them; rows are counted from the written files."""
+    path = f"{root}/{dataset}/data-{uuid.uuid4().hex[:12]}"
+    df.write.mode("errorifexists").parquet(path)
+    return {"path": path, "rows": df.sparkSession.read.parquet(path).count(), "columns": len(df.columns)}
 
 
 def save_version(df: DataFrame, root: str, dataset: str, changes: str = "Initial version",
                  user: str = "system") -> int:
-    """Write ``df`` as version max+1 and make it current; returns the version number."""
-    spark = df.sparkSession
-    v = _next_version(spark, root, dataset)
-    path = f"{root}/{dataset}/v={v}"
-    df.write.mode("errorifexists").parquet(path)
-    rows = spark.read.parquet(path).count()  # counted from the written files
-    _append_entry(spark, root, dataset, v, user, changes, rows, len(df.columns), path)
-    return v
+    """Write ``df`` as the next version and make it current; returns the version number."""
+    data = _written(df, root, dataset)
+    return _commit(df.sparkSession, root, dataset, lambda seq, version: {**data, "version": version, "user": user, "changes": changes})["version"]
 
 
 def list_versions(spark: SparkSession, root: str, dataset: str) -> DataFrame:
@@ -105,14 +141,9 @@ def restore_version(spark: SparkSession, root: str, dataset: str, version: int,
 def update_version(df: DataFrame, root: str, dataset: str, version: int, changes: str,
                    user: str = "system") -> str:
     """Replace the content of version N: new directory, new entry, N becomes current."""
-    spark = df.sparkSession
-    m = manifest(spark, root, dataset)
-    seq = (m.agg(F.max("seq")).first()[0] or 0) + 1
-    path = f"{root}/{dataset}/v={version}.r{seq}"
-    df.write.mode("errorifexists").parquet(path)
-    rows = spark.read.parquet(path).count()
-    _append_entry(spark, root, dataset, version, user, changes, rows, len(df.columns), path)
-    return path
+    data = _written(df, root, dataset)
+    _commit(df.sparkSession, root, dataset, lambda seq, _: {**data, "version": version, "user": user, "changes": changes})
+    return data["path"]
 
 
 def snapshot(spark: SparkSession, root: str, dataset: str, changes: str = "Manual snapshot",

@@ -288,3 +288,52 @@ def test_density_clusters_by_brute_force(spark, d, eps, least):
     want = {i: int(name[i]) if core[i] else min((int(name[j]) for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))}
     got = {r["id"]: r["cluster"] for r in cluster.dbscan_labels(df, "id", cols, eps, least).collect()}
     assert got == want and len(set(want.values())) > 2
+
+
+# ------------------------------------------------------------------ rules and versions
+def test_items_with_any_character_and_order_by_lift(spark):
+    from sparkprep.operators import rules
+    baskets = [["a|b", "c"], ["a", "b"], ["a", "b", "c"], ["a|b", "a", "b"], ["c"], ["a|b", "c"], ["a", "b", "a|b", "c"]]
+    fi = rules.frequent_itemsets(spark.createDataFrame([(b,) for b in baskets], "items array<string>"), 0.1)
+    got = [(tuple(r["antecedents"]), tuple(r["consequents"]), r["support"], r["confidence"], r["lift"]) for r in rules.association_rules(fi, 0.0).collect()]
+    n = len(baskets)
+    share = lambda s: sum(set(s) <= set(b) for b in baskets) / n
+    assert len(got) == len({g[:2] for g in got}) > 20
+    for a, c, s, conf, lift in got:
+        assert s == pytest.approx(share(a + c)) and conf == pytest.approx(share(a + c) / share(a)) and lift == pytest.approx(share(a + c) / share(a) / share(c))
+    assert [g[4] for g in got] == sorted((g[4] for g in got), reverse=True)
+
+
+def test_rules_of_plain_features(spark):
+    from sparkprep.operators import rules, unsupervised
+    df = spark.createDataFrame([(i, i % 2, float(i), "x" if i < 6 else "y") for i in range(12)], "id long, `flag.1` int, v double, t string")
+    baskets = rules.onehot_to_baskets(df.select("id", "`flag.1`", (F.col("v") > 3).cast("int").alias("big")), "id")
+    assert {r["id"]: r["items"] for r in baskets.collect()} == {i: [c for c, on in (("big", i > 3), ("flag.1", i % 2)) if on] for i in range(12)}
+    out = unsupervised.train_unsupervised(df.withColumnRenamed("flag.1", "flag"), "id", ["flag", "v", "t"], "association", params={"apriori": {"min_support": 0.2}}).collect()
+    assert {r["metric"] for r in out} == {"rules_count", "max_lift", "frequent_itemsets_count"} and not any(r["error"] for r in out)
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    import threading
+    from sparkprep.sources import versions
+    root, got, errors = str(tmp_path), [], []
+    start = threading.Barrier(4)
+
+    def save(i):
+        try:
+            start.wait()
+            got.append(versions.save_version(spark.range(i + 1).toDF("x"), root, "d", f"writer {i}"))
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=save, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and sorted(got) == [1, 2, 3, 4]
+    rows = versions.list_versions(spark, root, "d").collect()
+    assert sorted((r["changes"], r["rows"]) for r in rows) == [(f"writer {i}", i + 1) for i in range(4)]
+    assert sorted(versions.read_version(spark, root, "d", v).count() for v in got) == [1, 2, 3, 4]
+    assert not versions._create(spark, f"{root}/d/_manifest/{1:012d}.json", "taken")
+    assert versions.manifest(spark, root, "d").count() == 4
