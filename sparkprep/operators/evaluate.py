@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import norm_ppf, rnd
+from ..session import materialize
 from . import scan
 
 EPS = sys.float_info.epsilon  # float64 machine epsilon (clip / MAPE guard)
@@ -153,10 +154,11 @@ def _score_cum(pred: DataFrame, by, y_true, y_score) -> DataFrame:
     by = list(by or [])
     h = pred.filter(F.col(y_score).isNotNull()).groupBy(*by, F.col(y_score).alias("score")).agg(
         F.sum(F.col(y_true).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
-    h = h.withColumn("neg", F.col("cnt") - F.col("pos"))
+    # read for the splitters, the totals and the result
+    h = materialize(h.withColumn("neg", F.col("cnt") - F.col("pos")), "score-histogram")
+    tot = h.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     nb = scan.choose_buckets(pred)
     h = scan.prefix_sums(h, ["score"], ["pos", "neg"], partition_cols=by, descending=True, n_buckets=nb)
-    tot = h.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if by:
         return h.join(tot, by)  # one row per group
     r = tot.first()  # two scalars
@@ -263,13 +265,14 @@ def qq_points(resid: DataFrame, col: str = "residual", by=None) -> DataFrame:
     of (i + 0.5) / n. Positions come from the residual histogram and a running
     count; tied values are expanded to one point per row."""
     by = list(by or [])
-    h = scan.value_histogram(resid, col, by, "c")
+    h = materialize(scan.value_histogram(resid, col, by, "c"), "residual-histogram")  # read for the splitters, the count and the result
+    total = None if by else h.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     nb = scan.choose_buckets(resid)
     h = scan.prefix_sums(h, [col], ["c"], by, n_buckets=nb)
     if by:
         h = h.join(h.groupBy(*by).agg(F.sum("c").alias("n")), by)
     else:
-        h = h.withColumn("n", F.lit(resid.filter(F.col(col).isNotNull()).count()))
+        h = h.withColumn("n", F.lit(total))
     pts = h.select(*by, col, "n", F.explode(F.sequence(F.col("c_cum") - F.col("c"), F.col("c_cum") - 1)).alias("position"))
     return pts.select(*by, "position", norm_ppf((F.col("position") + 0.5) / F.col("n")).alias("theoretical"),
                       F.col(col).alias("sample"))

@@ -10,9 +10,9 @@ Plan shape (never one job per column):
   group limit before the shuffle) and IQR outlier counts (joined with the
   per-column bounds, one row per column).
 
-Exact quartiles use ``percentile``, whose buffer is a value->count map: fine up
-to ~10^7 distinct values per column. ``approx=True`` switches to
-``percentile_approx`` for wider domains.
+Exact quartiles come from ``scan.quantile_values`` (selection by brackets: a few
+aggregates of all columns, hardly any shuffle); ``approx=True`` takes the sketch's
+values as they are.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ def _first_value(c: Column, order_by: list[str] | None) -> Column:
 
 
 def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[str] | None = None,
-                 approx: bool = False, hist: DataFrame | None = None) -> DataFrame:
-    """One row per column from ONE aggregate pass.
+                 approx: bool = False) -> DataFrame:
+    """One row per column from one wide aggregate; exact quartiles from ``scan.quantile_values``.
 
     Columns: pos, name, kind, integral, total, non_null, min, max, mean, std,
     q25, median, q75, first_text, dmin, dmax.
@@ -113,16 +113,11 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
     num_cols = [c for c in cols if column_kind(df.schema[c].dataType) == "numeric"]
     if inline_q or not num_cols:
         return stats
-    # exact quartiles by histogram refine (the caller's value histogram when it has one)
-    if hist is not None:
-        h = hist.filter(F.col("name").isin(*num_cols)).select("name", F.col("num").alias("v"), F.col("n").alias("c"))
-        q = scan.quantiles_from_hist(h, QUARTILES, scan.choose_buckets(df))
-    else:
-        q = scan.exact_quantiles(df, num_cols, QUARTILES)
-    qp = q.groupBy("name").agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-12, F.col("value"))).alias(a)
-                                 for p, a in zip(QUARTILES, ("q25", "median", "q75"))])
-    order = stats.columns
-    return stats.drop("q25", "median", "q75").join(qp, "name", "left").select(*order)
+    # exact quartiles: three numbers per column
+    found = scan.quantile_values(df, num_cols, QUARTILES)
+    quartiles = {a: F.coalesce(*[F.when(F.col("name") == c, F.lit(q[i])) for c, q in found.items() if q], null_d)
+                 for i, a in enumerate(("q25", "median", "q75"))}
+    return stats.withColumns(quartiles).select(*stats.columns)
 
 
 def value_counts_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -215,7 +210,7 @@ def profile_frame(df: DataFrame, cols: list[str] | None = None, order_by: list[s
     """Per-column profile with every intermediate field (used by the views below)."""
     cols = cols or [c for c in df.columns if c not in (order_by or [])] or df.columns
     hist = value_counts_long(df, cols)
-    stats = column_stats(df, cols, order_by, approx, hist)
+    stats = column_stats(df, cols, order_by, approx)
     card = hist.groupBy("name").agg(F.count(F.lit(1)).alias("nunique"))
     top = top_values(hist, 5)
     top_agg = top.groupBy("name").agg(

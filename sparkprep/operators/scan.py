@@ -19,14 +19,18 @@ A key holding a third of all rows is therefore split over every bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import quoted
+from ..session import materialize
 
 BUCKET_COL = "_sp_bucket"
 SAMPLE_PER_BUCKET = 40
+QUANTILE_ACCURACY = 100_000
 
 
 def _splitters(df: DataFrame, cols: list[str], nb: int) -> list[tuple]:
@@ -257,22 +261,11 @@ def dense_codes(df: DataFrame, col: str, out_col: str = "code", n_buckets: int |
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_buckets: int | None = None) -> DataFrame:
-    """(name, p, value): exact linearly interpolated quantiles of several columns.
-
-    Same definition as ``percentile`` / pandas ``quantile``: with n non-null
-    values sorted ascending, h = (n - 1) p and the value is
-    v[floor h] + (h - floor h) (v[ceil h] - v[floor h]).
-
-    Histogram refine instead of a one-task value->count map merge: values are
-    counted per column (one shuffle, combined map-side), range-bucketed, and
-    the per-(column, bucket) totals — a small table — locate the bucket that
-    holds each target rank. Only those buckets are sorted; one join with the
-    (columns x probs) targets picks both neighbouring ranks.
-    """
-    structs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]
-    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*").filter(F.col("v").isNotNull())
-    hist = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    return quantiles_from_hist(hist, probs, choose_buckets(df, n_buckets))
+    """(name, p, value): exact linearly interpolated quantiles of several columns (``quantile_values``
+    as a table; columns without a value have no rows). Results don't depend on ``n_buckets``."""
+    found = quantile_values(df, cols, probs)
+    rows = [(c, float(p), v) for c in cols for p, v in zip(probs, found[c] or [], strict=False)]
+    return df.sparkSession.createDataFrame(rows, "name string, p double, value double")
 
 
 def quantiles_from_hist(hist: DataFrame, probs: list[float], n_buckets: int = 1) -> DataFrame:
@@ -281,6 +274,8 @@ def quantiles_from_hist(hist: DataFrame, probs: list[float], n_buckets: int = 1)
     The per-(column, bucket) totals locate the bucket holding each target rank;
     only those buckets are sorted (all of them when ``n_buckets`` is 1).
     """
+    if n_buckets > 1:  # read for the splitters and for the result
+        hist = materialize(hist, "histogram")
     b = add_order_bucket(hist, ["v"], n_buckets=n_buckets) if n_buckets > 1 else hist.withColumn(BUCKET_COL, F.lit(0))
     seg = b.groupBy("name", BUCKET_COL).agg(F.sum("c").alias("t"))
     w_prev = Window.partitionBy("name").orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
@@ -306,8 +301,63 @@ def quantiles_from_hist(hist: DataFrame, probs: list[float], n_buckets: int = 1)
 
 
 def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    """{col: [q(p) for p in probs]} (None for an all-null column); bounded by cols x probs."""
-    rows = exact_quantiles(df, cols, probs).collect()
-    got = {(r["name"], round(r["p"], 12)): r["value"] for r in rows}
-    return {c: ([got.get((c, round(float(p), 12))) for p in probs] if (c, round(float(probs[0]), 12)) in got else None)
-            for c in cols}
+    """{col: [q(p) for p in probs]} (None for a column without values): exact quantiles.
+
+    Same definition as ``percentile`` / pandas ``quantile``: with n values sorted
+    ascending, h = (n - 1) p and the value is v[floor h] + (h - floor h) (v[ceil h] - v[floor h]).
+    NULL and NaN are no values.
+
+    Selection by brackets: one aggregate of all columns gives n and, from a mergeable sketch,
+    an interval around each quantile that surely holds both ranks but few rows; a second one
+    counts the rows below the intervals; only values inside them (a few in a hundred
+    thousand) are shuffled, counted and ranked. An interval that misses its ranks is
+    widened and looked at again. The driver sees a few numbers per column and quantile.
+    """
+    xs = [f"x{i}" for i in range(len(cols))]
+    clean = df.select(*[F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")).alias(x) for c, x in zip(cols, xs, strict=True)])
+    ps = [float(p) for p in probs]
+    out: dict = dict.fromkeys(cols)
+    if not ps or not cols:
+        return out
+    todo, width = [(i, j) for i in range(len(cols)) for j in range(len(ps))], 3.0 / QUANTILE_ACCURACY
+    found: dict[tuple[int, int], float] = {}
+    while todo:
+        asked = {i: [j for k, j in todo if k == i] for i in sorted({i for i, _ in todo})}
+        ends = {i: [e for j in js for e in (max(0.0, ps[j] - width), min(1.0, ps[j] + width))] for i, js in asked.items()}
+        row = clean.agg(*[F.count(xs[i]).alias(f"n{i}") for i in asked], *[F.percentile_approx(xs[i], ends[i], QUANTILE_ACCURACY).alias(f"e{i}") for i in asked],
+                        *[F.min(xs[i]).alias(f"a{i}") for i in asked], *[F.max(xs[i]).alias(f"b{i}") for i in asked]).first()
+        spans = []  # (i, j, low, high, first rank, second rank)
+        for i, js in asked.items():
+            n = row[f"n{i}"]
+            for m, j in enumerate(js if n else []):
+                h = (n - 1) * ps[j]
+                low = row[f"a{i}"] if ps[j] <= width else row[f"e{i}"][2 * m]
+                high = row[f"b{i}"] if ps[j] >= 1 - width else row[f"e{i}"][2 * m + 1]
+                spans.append((i, j, low, high, math.floor(h), math.ceil(h)))
+        if not spans:
+            break
+        below = clean.agg(*[F.count_if(F.col(xs[i]) < F.lit(low)).alias(f"c{s}") for s, (i, _, low, *_) in enumerate(spans)]).first()
+        inside = [F.when((F.col(xs[i]) >= F.lit(low)) & (F.col(xs[i]) <= F.lit(high)), F.struct(F.lit(s).alias("s"), (F.col(xs[i]) + F.lit(0.0)).alias("v")))
+                  for s, (i, _, low, high, *_) in enumerate(spans)]
+        near = F.filter(F.array(*inside), lambda x: x.isNotNull())
+        hist = clean.select(F.explode(near).alias("s")).select("s.*").groupBy("s", "v").agg(F.count("*").alias("c"))
+        ranks = F.array(*[F.array(F.lit(lo - below[f"c{s}"]), F.lit(hi - below[f"c{s}"])) for s, (*_, lo, hi) in enumerate(spans)]).cast("array<array<long>>")
+        upto = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        held = (hist.withColumn("last", F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c")).withColumn("r", F.element_at(ranks, F.col("s") + 1)))
+        holds = lambda k: (F.col("first") <= F.col("r")[k]) & (F.col("r")[k] < F.col("last"))
+        picked: dict[tuple[int, int], float] = {}
+        for r in held.select("s", "v", holds(0).alias("lo"), holds(1).alias("hi")).filter("lo OR hi").collect():  # two rows a span at most
+            picked |= {(r["s"], k): r["v"] for k, hit in ((0, r["lo"]), (1, r["hi"])) if hit}
+        missed = []
+        for s, (i, j, *_) in enumerate(spans):
+            if (s, 0) in picked and (s, 1) in picked:
+                lo, hi = picked[s, 0], picked[s, 1]
+                h = (row[f"n{i}"] - 1) * ps[j]
+                found[i, j] = lo if lo == hi else lo + (h - math.floor(h)) * (hi - lo)
+            else:
+                missed.append((i, j))
+        todo, width = missed, width * 64
+    for i, c in enumerate(cols):
+        if (i, 0) in found:
+            out[c] = [found[i, j] for j in range(len(ps))]
+    return out
