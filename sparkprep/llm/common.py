@@ -27,11 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Packed:
-    """A caller's rows with names of our own: ``df`` has the column ``__row``, a struct of all the
-    caller's columns, and the columns used, so that no name of theirs meets one of ours."""
+    """A caller's rows with names of our own: ``df`` has the column ``__row``, a struct of the
+    caller's columns (those to ``keep``; all), and the columns used, so that no name of theirs
+    meets one of ours."""
 
-    def __init__(self, rows: DataFrame, **used: str):
-        self.columns = rows.columns
+    def __init__(self, rows: DataFrame, keep: list[str] | None = None, **used: str):
+        self.columns = rows.columns if keep is None else list(keep)
         named = lambda c: rows[f"`{c.replace('`', '``')}`"]
         whole = F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(self.columns))).alias("__row")
         self.df = rows.select(whole, *(named(c).alias(ours) for ours, c in used.items()))

@@ -170,7 +170,7 @@ def judged(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     """The columns ``keep`` (all; theirs of equal name are replaced) with ``__m``, ``__votes``, ``__posterior``,
     ``__base_failed`` and ``__kept``, and the fitted model. Measures are taken
     once and written to the shared folder; the fit reads the votes there."""
-    packed = Packed(df if keep is None else df.select(*dict.fromkeys([*keep, text])), text=text)
+    packed = Packed(df, keep, text=text)
     base = (F.col("__m")["n_words"] < MIN_WORDS) | (100 * F.col("__m")["n_repeat_words"] > REPEAT_PERCENT * F.col("__m")["n_words"])
     rows = written(with_measures(packed.df, "text").select("__row", "__m")
                    .withColumn("__votes", F.array(*(r.vote().cast("tinyint") for r in RULES)))
