@@ -120,6 +120,11 @@ def rnd(x, digits: int = 0) -> Column:
     return F.round(c * m, 0) / m
 
 
-def quoted(name: str) -> Column:
+def quoted(name: str | Column) -> Column:
     """The column called ``name``, whatever characters (dots too) the name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return name if isinstance(name, Column) else F.col("`" + name.replace("`", "``") + "`")
+
+
+def named(names) -> list[Column]:
+    """Columns by name; what are columns already stay so."""
+    return [quoted(n) for n in names]

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quoted
 from ..session import materialize, ship_package
 from . import prep, scan
 
@@ -73,26 +74,27 @@ def _grow(pdf: pd.DataFrame, features: list[str], seed: int, psi: int) -> pd.Dat
 
 def _filled(df: DataFrame, key: str, features: list[str]) -> DataFrame:
     """(key, features as doubles), missing values replaced by the column's mean (0 if it has none)."""
-    data = prep.impute(df.select(key, *[F.col(c).cast("double").alias(c) for c in features]), features)
-    return data.fillna(0.0, subset=features)
+    data = prep.impute(df.select(quoted(key), *[quoted(c).cast("double").alias(c) for c in features]), features)
+    return data.withColumns({c: F.nanvl(F.coalesce(quoted(c), F.lit(0.0)), F.lit(0.0)) for c in features})
 
 
 def isolation_forest(df: DataFrame, key: str, features: list[str], n_trees: int = 100, max_samples: int = 256,
                      contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``score`` (higher = more anomalous) and ``anomaly`` (bool) to (key, features)."""
     ship_package(df.sparkSession)
-    data = _filled(df, key, features)
+    data = _filled(df, key, features).toDF("_key", *[f"x{i}" for i in range(len(features))])
+    name, key, features = key, "_key", [f"x{i}" for i in range(len(features))]
     n = data.count()
     psi = int(min(max_samples, n))
     # each tree sees ~3 psi candidates and keeps the psi first
     share = 3.0 * psi * n_trees / max(n, 1)
     m = max(1, min(n_trees, math.ceil(share)))
     picks = F.transform(F.sequence(F.lit(0), F.lit(m - 1)),
-                        lambda j: F.pmod(F.xxhash64(F.col(key), j, F.lit(seed)), F.lit(n_trees)).cast("int"))
-    joins = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 2)), F.lit(1 << 31)) < F.lit(int(min(share, 1.0) * (1 << 31)))
+                        lambda j: F.pmod(F.xxhash64(quoted(key), j, F.lit(seed)), F.lit(n_trees)).cast("int"))
+    joins = F.pmod(F.xxhash64(quoted(key), F.lit(seed + 2)), F.lit(1 << 31)) < F.lit(int(min(share, 1.0) * (1 << 31)))
     cand = data.filter(joins).select("*", F.explode(F.array_distinct(picks)).alias("tree")) \
-        .withColumn("u", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
-    w = Window.partitionBy("tree").orderBy("u", key)
+        .withColumn("u", F.xxhash64(quoted(key), F.col("tree"), F.lit(seed + 1)))
+    w = Window.partitionBy("tree").orderBy("u", quoted(key))
     sample = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi).drop("_rk", "u")
     nodes = sample.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, features, seed, psi), NODE_SCHEMA)
     forest = nodes.toPandas()  # bounded: n_trees x (< 2 psi) nodes, independent of the data size
@@ -127,7 +129,7 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], n_trees: int
 
     key_type = data.schema[key].dataType.simpleString()
     # the scores feed both the threshold and the result: written once to the shared folder
-    scored = materialize(data.mapInPandas(score, f"{key} {key_type}, score double"), "forest-scores")
+    scored = materialize(data.mapInPandas(score, f"{key} {key_type}, score double").toDF(name, "score"), "forest-scores")
     cut = scan.quantile_values(scored, ["score"], [1.0 - contamination])["score"]
     if cut is None:
         return scored.withColumn("anomaly", F.lit(False))
@@ -137,10 +139,10 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], n_trees: int
 
 def zscore_flags(df: DataFrame, col: str, threshold: float = 3.0) -> DataFrame:
     """|z| > threshold (sample std) as an ``anomaly`` flag."""
-    r = df.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).first()
+    r = df.agg(F.avg(quoted(col)).alias("m"), F.stddev_samp(quoted(col)).alias("s")).first()
     if not r["s"]:
         return df.withColumn("anomaly", F.lit(False))
-    return df.withColumn("anomaly", F.coalesce(F.abs((F.col(col) - F.lit(r["m"])) / F.lit(r["s"])) > threshold,
+    return df.withColumn("anomaly", F.coalesce(F.abs((quoted(col) - F.lit(r["m"])) / F.lit(r["s"])) > threshold,
                                                F.lit(False)))
 
 
@@ -167,8 +169,8 @@ def one_class_svm(df: DataFrame, key: str, features: list[str], nu: float = 0.5,
     d = len(features)
     if kernel == "rbf":
         if gamma == "scale":
-            var = data.agg(F.avg(sum(F.col(c) * F.col(c) for c in features) / d).alias("m2"),
-                           *[F.avg(c).alias(f"m_{c}") for c in features]).first()
+            var = data.agg(F.avg(sum(quoted(c) * quoted(c) for c in features) / d).alias("m2"),
+                           *[F.avg(quoted(c)).alias(f"m_{c}") for c in features]).first()
             mean_all = sum(var[f"m_{c}"] for c in features) / d  # variance of all values, as X.var()
             g = 1.0 / (d * max(var["m2"] - mean_all ** 2, 1e-12))
         elif gamma == "auto":
@@ -179,12 +181,12 @@ def one_class_svm(df: DataFrame, key: str, features: list[str], nu: float = 0.5,
         W = rng.normal(0.0, math.sqrt(2 * g), (n_components, d))
         b = rng.uniform(0, 2 * math.pi, n_components)
         scale = math.sqrt(2.0 / n_components)
-        phi = [F.lit(scale) * F.cos(sum(F.col(c) * F.lit(float(W[j, i])) for i, c in enumerate(features))
+        phi = [F.lit(scale) * F.cos(sum(quoted(c) * F.lit(float(W[j, i])) for i, c in enumerate(features))
                                     + F.lit(float(b[j]))) for j in range(n_components)]
     else:
-        phi = [F.col(c) for c in features]
+        phi = [quoted(c) for c in features]
     k = len(phi)
-    z = materialize(data.select(key, F.array(*phi).alias("z")), "svm-features")
+    z = materialize(data.select(quoted(key), F.array(*phi).alias("z")), "svm-features")
     n = max(z.count(), 1)
     w = np.zeros(k)
     rho = 0.0
@@ -211,5 +213,5 @@ def one_class_svm(df: DataFrame, key: str, features: list[str], nu: float = 0.5,
     w, rho = best_w, best_rho
     wl = F.array(*[F.lit(float(v)) for v in w])
     dec = F.aggregate(F.zip_with(F.col("z"), wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v) - F.lit(rho)
-    out = z.select(key, dec.alias("decision"))
+    out = z.select(quoted(key), dec.alias("decision"))
     return out.withColumn("anomaly", F.col("decision") < 0)

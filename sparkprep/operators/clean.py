@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.ingest import is_numeric
-from ..functions.scalar import quoted
+from ..functions.scalar import named, quoted
 from . import scan, sparse
 
 KEEP_CHOICES = ("first", "last", "none")
@@ -35,7 +35,7 @@ BOOL_FALSE_TEXT = ["False", "false", "0"]
 def _ord(order_by: list[str] | str) -> Column:
     if isinstance(order_by, str):
         order_by = [order_by]
-    return F.struct(*[F.col(c) for c in order_by])
+    return F.struct(*[quoted(c) for c in order_by])
 
 
 # ---------------------------------------------------------------- duplicates
@@ -57,27 +57,27 @@ def drop_duplicates(df: DataFrame, subset: list[str] | None = None, keep: str =
     if keep == "none":
         aggs = [F.count(F.lit(1)).alias("_n")]
         if others:
-            aggs.append(F.first(F.struct(*others)).alias("_r"))
-        g = df.groupBy(*subset).agg(*aggs).filter(F.col("_n") == 1)
-        return g.select(*[F.col(c) if c in subset else F.col(f"_r.{c}").alias(c) for c in cols])
+            aggs.append(F.first(F.struct(*named(others))).alias("_r"))
+        g = df.groupBy(*named(subset)).agg(*aggs).filter(F.col("_n") == 1)
+        return g.select(*[quoted(c) if c in subset else F.col("_r").getField(c).alias(c) for c in cols])
     if not others:
         return df.dropDuplicates(subset)
     if order_by is None:
         raise ValueError("order_by is required to choose the first/last row of a duplicate group")
     pick = F.min_by if keep == "first" else F.max_by
-    g = df.groupBy(*subset).agg(pick(F.struct(*others), _ord(order_by)).alias("_r"))
-    return g.select(*[F.col(c) if c in subset else F.col(f"_r.{c}").alias(c) for c in cols])
+    g = df.groupBy(*named(subset)).agg(pick(F.struct(*named(others)), _ord(order_by)).alias("_r"))
+    return g.select(*[quoted(c) if c in subset else F.col("_r").getField(c).alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------- missing
 def fit_fill_value(df: DataFrame, col: str, method: str, approx: bool = False):
     """The scalar a mean / median / mode fill uses (None when not applicable)."""
-    c = F.col(col)
+    c = quoted(col)
     if method in ("mean", "median"):
         if not is_numeric(df, col):
             return None  # reference behaviour: silent no-op on text
         if method == "mean":
-            return df.agg(F.avg(c)).first()[0]
+            return df.agg(F.avg(quoted(c))).first()[0]
         if approx:
             return df.agg(F.percentile_approx(c, 0.5, 100_000)).first()[0]
         q = scan.quantile_values(df, [col], [0.5])[col]
@@ -90,7 +90,7 @@ def fit_fill_value(df: DataFrame, col: str, method: str, approx: bool = False):
 def mode_value(df: DataFrame, col: str):
     """Most frequent non-null value, smallest on ties (distributed value histogram)."""
     h = scan.value_histogram(df, col, count_col="_n")
-    r = h.orderBy(F.col("_n").desc(), F.col(col).asc()).first()
+    r = h.orderBy(F.col("_n").desc(), quoted(col).asc()).first()
     return None if r is None else r[col]
 
 
@@ -102,14 +102,14 @@ def fill_missing(df: DataFrame, col: str, method: str, order_by: list[str] | str
     if method not in FILL_METHODS:
         raise ValueError(f"method must be one of {FILL_METHODS}")
     if method == "drop":
-        return df.filter(F.col(col).isNotNull())
+        return df.filter(quoted(col).isNotNull())
     if method in ("forward_fill", "backward_fill"):
         if order_by is None:
             raise ValueError("order_by is required for forward/backward fill")
         order = [order_by] if isinstance(order_by, str) else list(order_by)
         direction = "forward" if method == "forward_fill" else "backward"
         out = scan.carry_fill(df, col, order, by, direction)
-        return out.select(*df.columns)
+        return out.select(*named(df.columns))
     value = fit_fill_value(df, col, method, approx)
     return apply_fill(df, col, value)
 
@@ -118,7 +118,7 @@ def apply_fill(df: DataFrame, col: str, value) -> DataFrame:
     """Row-local half of a fitted fill (works on streams)."""
     if value is None:
         return df
-    return df.withColumn(col, F.coalesce(F.col(col), F.lit(value)))
+    return df.withColumn(col, F.coalesce(quoted(col), F.lit(value)))
 
 
 # ---------------------------------------------------------------- types
@@ -130,7 +130,7 @@ def convert_type(df: DataFrame, col: str, dtype: str) -> DataFrame:
 
 
 def type_expr(df: DataFrame, col: str, dtype: str) -> Column:
-    c = F.col(col)
+    c = quoted(col)
     src = df.schema[col].dataType
     if dtype == "int":
         d = c.cast("double") if isinstance(src, (T.NumericType, T.BooleanType)) else c.try_cast("double")
@@ -153,7 +153,7 @@ def type_expr(df: DataFrame, col: str, dtype: str) -> Column:
 # ---------------------------------------------------------------- encodings
 def fit_domain(df: DataFrame, col: str, max_domain: int = 1000) -> list:
     """Sorted distinct non-null values, refused above ``max_domain`` values."""
-    d = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(max_domain + 1).collect()
+    d = df.select(quoted(col)).filter(quoted(col).isNotNull()).distinct().limit(max_domain + 1).collect()
     if len(d) > max_domain:
         raise ValueError(f"column '{col}' has more than {max_domain} distinct values; "
                          f"use encode(..., 'onehot_vector') or encode(..., 'label')")
@@ -163,9 +163,9 @@ def fit_domain(df: DataFrame, col: str, max_domain: int = 1000) -> list:
 def onehot(df: DataFrame, col: str, domain: list, prefix: str | None = None) -> DataFrame:
     """Row-local one-hot for a fitted domain: 0/1 ints, NULL -> all 0, source dropped."""
     prefix = prefix or col
-    c = F.col(col)
+    c = quoted(col)
     new = [F.coalesce((c == F.lit(v)).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in domain]
-    return df.select(*[F.col(x) for x in df.columns if x != col], *new)
+    return df.select(*[quoted(x) for x in df.columns if x != col], *new)
 
 
 def encode(df: DataFrame, col: str, method: str = "onehot", max_domain: int = 1000) -> DataFrame:
@@ -183,12 +183,12 @@ def encode(df: DataFrame, col: str, method: str = "onehot", max_domain: int = 10
     codes = label_codes(df, col)
     out_t = "long" if method == "label" else "double"
     j = df.join(codes, on=col, how="left")
-    return j.select(*[F.col("_code").cast(out_t).alias(col) if x == col else F.col(x) for x in df.columns])
+    return j.select(*[F.col("_code").cast(out_t).alias(col) if x == col else quoted(x) for x in df.columns])
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """(value, _code) for every distinct value, computed without a single-task sort."""
-    txt = df.select(F.col(col).cast("string").alias(col))
+    txt = df.select(quoted(col).cast("string").alias(col))
     return scan.dense_codes(txt, col, "_code")
 
 
@@ -199,9 +199,9 @@ def fit_outlier_bounds(df: DataFrame, col: str, method: str = "IQR", approx: boo
         raise ValueError(f"method must be one of {OUTLIER_METHODS}")
     if not is_numeric(df, col):
         return None
-    c = F.col(col).cast("double")
+    c = quoted(col).cast("double")
     if method == "Z-score":
-        r = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"), F.count(c).alias("n")).first()
+        r = df.agg(F.avg(quoted(c)).alias("m"), F.stddev_samp(quoted(c)).alias("s"), F.count(quoted(c)).alias("n")).first()
         if r["s"] is None or r["s"] == 0:
             return None
         return {"method": method, "mean": r["m"], "std": r["s"], "threshold": 3.0}
@@ -220,14 +220,14 @@ def fit_outlier_bounds(df: DataFrame, col: str, method: str = "IQR", approx: boo
 
 
 def inlier_expr(col: str, b: dict) -> Column:
-    c = F.col(col)
+    c = quoted(col)
     if b["method"] == "Z-score":
         return F.abs((c - F.lit(b["mean"])) / F.lit(b["std"])) <= F.lit(b["threshold"])
     return (c >= F.lit(b["lower"])) & (c <= F.lit(b["upper"]))
 
 
 def outlier_expr(col: str, b: dict) -> Column:
-    c = F.col(col)
+    c = quoted(col)
     if b["method"] == "Z-score":
         return F.abs((c - F.lit(b["mean"])) / F.lit(b["std"])) > F.lit(b["threshold"])
     return (c < F.lit(b["lower"])) | (c > F.lit(b["upper"]))
@@ -245,5 +245,5 @@ def remove_outliers(df: DataFrame, col: str, method: str = "IQR", keep_nulls: bo
         return df
     keep = inlier_expr(col, b)
     if keep_nulls:
-        keep = keep | F.col(col).isNull()
+        keep = keep | quoted(col).isNull()
     return df.filter(keep)

@@ -43,12 +43,12 @@ def _sqnorm(x: Column) -> Column:
 
 def summaries(df: DataFrame, label: str, vec: str) -> list[dict]:
     """Per cluster: label, n, sum vector, sum of squared norms, centroid (bounded: k rows)."""
-    d = df.filter(F.col(label) != NOISE)
-    ex = d.select(F.col(label).alias("l"), F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "v"))
+    d = df.filter(quoted(label) != NOISE)
+    ex = d.select(quoted(label).alias("l"), F.posexplode(quoted(vec).cast("array<double>")).alias("pos", "v"))
     per = ex.groupBy("l", "pos").agg(F.sum("v").alias("s"))
     sums = per.groupBy("l").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("ps"))
-    cnt = d.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"),
-                                                 F.sum(_sqnorm(F.col(vec).cast("array<double>"))).alias("q"))
+    cnt = d.groupBy(quoted(label).alias("l")).agg(F.count(F.lit(1)).alias("n"),
+                                                 F.sum(_sqnorm(quoted(vec).cast("array<double>"))).alias("q"))
     rows = cnt.join(sums, "l").orderBy("l").collect()
     out = []
     for r in rows:
@@ -60,7 +60,7 @@ def summaries(df: DataFrame, label: str, vec: str) -> list[dict]:
 def silhouette_sq(df: DataFrame, label: str, vec: str, summ: list[dict] | None = None) -> DataFrame:
     """Mean silhouette with squared Euclidean distances (noise rows excluded)."""
     summ = summ if summ is not None else summaries(df, label, vec)
-    d = df.filter(F.col(label) != NOISE).select(F.col(label).alias("l"), F.col(vec).cast("array<double>").alias("x"))
+    d = df.filter(quoted(label) != NOISE).select(quoted(label).alias("l"), quoted(vec).cast("array<double>").alias("x"))
     xx = _sqnorm(F.col("x"))
     dist = {c["label"]: (F.lit(float(c["n"])) * xx - 2 * _dot(F.col("x"), c["sum"]) + F.lit(float(c["q"])))
             for c in summ}
@@ -97,14 +97,14 @@ def davies_bouldin(df: DataFrame, label: str, vec: str, summ: list[dict] | None
     spark = df.sparkSession
     if len(summ) < 2:
         return spark.createDataFrame([(None,)], "davies_bouldin double")
-    x = F.col(vec).cast("array<double>")
+    x = quoted(vec).cast("array<double>")
     dist = F.lit(None).cast("double")
     for c in summ:
         cen = F.array(*[F.lit(float(v)) for v in c["centroid"]])
         e = F.sqrt(F.aggregate(F.zip_with(x, cen, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))
-        dist = F.when(F.col(label) == c["label"], e).otherwise(dist)
-    spread = {r["l"]: r["s"] for r in df.filter(F.col(label) != NOISE)
-              .groupBy(F.col(label).alias("l")).agg(F.avg(dist).alias("s")).collect()}  # k rows
+        dist = F.when(quoted(label) == c["label"], e).otherwise(dist)
+    spread = {r["l"]: r["s"] for r in df.filter(quoted(label) != NOISE)
+              .groupBy(quoted(label).alias("l")).agg(F.avg(dist).alias("s")).collect()}  # k rows
     cents = {c["label"]: c["centroid"] for c in summ}
     labs = sorted(cents)
     worst = []
@@ -121,12 +121,12 @@ def davies_bouldin(df: DataFrame, label: str, vec: str, summ: list[dict] | None
 
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     """Rows per cluster label (noise -1 included)."""
-    return df.groupBy(F.col(label).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    return df.groupBy(quoted(label).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
 
 
 def cluster_stats(df: DataFrame, label: str, vec: str, digits: int = 6) -> DataFrame:
     """Per cluster and dimension: mean, population std, min, max."""
-    ex = df.select(F.col(label).alias("cluster"), F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "v"))
+    ex = df.select(quoted(label).alias("cluster"), F.posexplode(quoted(vec).cast("array<double>")).alias("dim", "v"))
     return ex.groupBy("cluster", "dim").agg(
         F.count(F.lit(1)).alias("size"), rnd(F.avg("v"), digits).alias("mean"),
         rnd(F.stddev_pop("v"), digits).alias("std"), rnd(F.min("v"), digits).alias("min"),
@@ -135,7 +135,7 @@ def cluster_stats(df: DataFrame, label: str, vec: str, digits: int = 6) -> DataF
 
 def assign_nearest(df: DataFrame, vec: str, centroids: list[tuple[int, list[float]]], out_col: str = "cluster") -> DataFrame:
     """Nearest fixed centroid by squared distance (smallest label on ties)."""
-    x = F.col(vec).cast("array<double>")
+    x = quoted(vec).cast("array<double>")
     items = []
     for lab, c in centroids:
         cen = F.array(*[F.lit(float(v)) for v in c])
@@ -148,7 +148,7 @@ def kmeans(df: DataFrame, vec: str, k: int = 8, init: str = "k-means++", max_ite
            out_col: str = "cluster") -> tuple[DataFrame, list[list[float]]]:
     """Spark ML k-means (``k-means||`` stands in for k-means++); returns (labelled rows, centers)."""
     mode = "random" if init == "random" else "k-means||"
-    d = df.withColumn("_features", array_to_vector(F.col(vec).cast("array<double>")))
+    d = df.withColumn("_features", array_to_vector(quoted(vec).cast("array<double>")))
     model = KMeans(k=k, initMode=mode, maxIter=max_iter, seed=seed, featuresCol="_features",
                    predictionCol=out_col).fit(d)
     return model.transform(d).drop("_features"), [list(map(float, c)) for c in model.clusterCenters()]
@@ -158,7 +158,7 @@ def agglomerative(df: DataFrame, vec: str, k: int = 2, micro: int = 1000, seed:
                   out_col: str = "cluster") -> DataFrame:
     """Approximate agglomerative clustering: bisecting k-means (divisive, Spark
     ML) to ``k`` clusters. Results are NOT identical to exact linkage."""
-    d = df.withColumn("_features", array_to_vector(F.col(vec).cast("array<double>")))
+    d = df.withColumn("_features", array_to_vector(quoted(vec).cast("array<double>")))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="_features", predictionCol=out_col).fit(d)
     return model.transform(d).drop("_features")
 
@@ -170,15 +170,15 @@ def _dbscan_parts(df: DataFrame, key: str, cols: list[str], eps: float, min_samp
     side = eps / math.sqrt(d)
     pts = df.select(quoted(key).alias("id"), *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     pts = prep.impute(pts, [f"x{i}" for i in range(d)])
-    cell = [F.floor(F.col(f"x{i}") / F.lit(side)).cast("long").alias(f"c{i}") for i in range(d)]
+    cell = [F.floor(quoted(f"x{i}") / F.lit(side)).cast("long").alias(f"c{i}") for i in range(d)]
     pts = pts.select("*", *cell)
     ckeys = [f"c{i}" for i in range(d)]
     counts = pts.groupBy(*ckeys).agg(F.count(F.lit(1)).alias("cell_n"), F.min("id").alias("cell_id"))
     p = materialize(pts.join(counts, ckeys), "dbscan-points")
     near = materialize(_near_cells(p.select("cell_id", *ckeys).distinct(), d, side, eps), "dbscan-cells")
-    probe = p.filter(F.col("cell_n") < min_samples).select("id", *[F.col(f"x{i}").alias(f"px{i}") for i in range(d)], F.col("cell_id").alias("a")).join(near, "a")
-    other = p.select(F.col("id").alias("qid"), *[F.col(f"x{i}").alias(f"qx{i}") for i in range(d)], F.col("cell_id").alias("b"))
-    dist2 = sum((F.col(f"px{i}") - F.col(f"qx{i}")) ** 2 for i in range(d))
+    probe = p.filter(F.col("cell_n") < min_samples).select("id", *[quoted(f"x{i}").alias(f"px{i}") for i in range(d)], F.col("cell_id").alias("a")).join(near, "a")
+    other = p.select(F.col("id").alias("qid"), *[quoted(f"x{i}").alias(f"qx{i}") for i in range(d)], F.col("cell_id").alias("b"))
+    dist2 = sum((quoted(f"px{i}") - quoted(f"qx{i}")) ** 2 for i in range(d))
     pairs = materialize(probe.join(other, "b").filter(dist2 <= F.lit(eps * eps)).select("id", "qid"), "dbscan-pairs")
     nb = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
     roles = p.select("id", "cell_n", "cell_id").join(nb, "id", "left").select(
@@ -192,7 +192,7 @@ def _near_cells(cells: DataFrame, d: int, side: float, eps: float) -> DataFrame:
     """(a, b): pairs of non-empty cells (named by cell_id, each with itself too) that are nowhere farther
     apart than ``eps``. The cells' middles lie in balls, walked down from the root: what is looked at
     follows from the cells that there are, not from the number of neighbours that a cell may have."""
-    middles = materialize(cells.select(F.col("cell_id").alias("id"), F.array(*[(F.col(f"c{i}") + 0.5) * F.lit(side) for i in range(d)]).alias("x")), "dbscan-middles")
+    middles = materialize(cells.select(F.col("cell_id").alias("id"), F.array(*[(quoted(f"c{i}") + 0.5) * F.lit(side) for i in range(d)]).alias("x")), "dbscan-middles")
     tree = balls.build(middles)
     asked = middles.select(F.col("id").alias("a"), "x", F.lit(eps + side * math.sqrt(d)).alias("bound"))
     other = tree.points.select("ball", F.col("id").alias("b"), F.col("x").alias("y"))
@@ -246,15 +246,15 @@ def _touching_cells(p: DataFrame, d: int, near: DataFrame, eps: float, min_sampl
                  .agg(*[f(f"x{i}").alias(f"{n}{i}") for i in dims for f, n in ((F.min, "lo"), (F.max, "hi"))]))
         boxes = materialize(boxes, "dbscan-boxes")
         of = lambda s: boxes.select(F.col("cell_id").alias(s), F.col("box").alias(f"box_{s}"),
-                                    *[F.col(f"{n}{i}").alias(f"{n}{i}_{s}") for i in dims for n in ("lo", "hi")])
+                                    *[quoted(f"{n}{i}").alias(f"{n}{i}_{s}") for i in dims for n in ("lo", "hi")])
         if level:  # the parents' halves
             parent = lambda s: of(s).withColumn(f"up_{s}", F.expr(f"substr(box_{s}, 1, {d * (level - 1)})"))
             active = (active.withColumnsRenamed({"box_a": "up_a", "box_b": "up_b"})
                       .join(parent("a"), ["a", "up_a"]).join(parent("b"), ["b", "up_b"]).drop("up_a", "up_b"))
         else:
             active = active.join(of("a"), ["a", "box_a"]).join(of("b"), ["b", "box_b"])
-        gap = sum(F.greatest(F.col(f"lo{i}_a") - F.col(f"hi{i}_b"), F.col(f"lo{i}_b") - F.col(f"hi{i}_a"), F.lit(0.0)) ** 2 for i in dims)
-        span = sum(F.greatest(F.abs(F.col(f"hi{i}_a") - F.col(f"lo{i}_b")), F.abs(F.col(f"hi{i}_b") - F.col(f"lo{i}_a"))) ** 2 for i in dims)
+        gap = sum(F.greatest(quoted(f"lo{i}_a") - quoted(f"hi{i}_b"), quoted(f"lo{i}_b") - quoted(f"hi{i}_a"), F.lit(0.0)) ** 2 for i in dims)
+        span = sum(F.greatest(F.abs(quoted(f"hi{i}_a") - quoted(f"lo{i}_b")), F.abs(quoted(f"hi{i}_b") - quoted(f"lo{i}_a"))) ** 2 for i in dims)
         judged = materialize(active.filter(gap <= eps * eps).select("a", "b", "box_a", "box_b", (span <= eps * eps).alias("touch")), "dbscan-boxpairs")
         found = judged.filter("touch").select("a", "b").distinct()
         done = found if done is None else done.union(found)

@@ -20,7 +20,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rnd
+from ..functions.scalar import quoted, rnd
+from ..session import materialize
 from . import scan
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -37,7 +38,7 @@ def _pearson_pairs(df: DataFrame, cols: list[str], digits: int | None) -> DataFr
         for j, b in enumerate(cols):
             if j < i:
                 continue
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            x, y = quoted(a).cast("double"), quoted(b).cast("double")
             both = x.isNotNull() & y.isNotNull()
             xs, ys = F.when(both, x), F.when(both, y)
             r = F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
@@ -46,7 +47,7 @@ def _pearson_pairs(df: DataFrame, cols: list[str], digits: int | None) -> DataFr
     wide = df.agg(*aggs)
     structs = []
     for i, j, a, b in pairs:
-        rv = F.col(f"r{i}_{j}")
+        rv = quoted(f"r{i}_{j}")
         if digits is not None:
             rv = rnd(rv, digits)
         structs.append(F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), rv.alias("r")))
@@ -65,46 +66,44 @@ def pearson(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
 def spearman(df: DataFrame, cols: list[str], digits: int | None = 4, order_key: str | None = None) -> DataFrame:
     """Pearson of average ranks.
 
-    Columns without NULLs are ranked once each; when a column has NULLs, the
-    pandas semantics (rank within the pairwise-complete rows) needs a ranking
-    per pair, which is done pair by pair.
+    Columns without NULLs are ranked once each. Where a column has NULLs, ranks are
+    taken within the pairwise-complete rows (as pandas does): the cells (pair, x, y,
+    count) of all pairs are stacked and ranked in one plan, keyed by the pair.
     """
     if len(cols) < 2:
         raise ValueError("Please select at least 2 columns.")
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    if all(v == 0 for v in nulls.values()):
-        ranked = _with_ranks(df, cols, order_key)
-        return _pearson_pairs(ranked, [f"_r_{c}" for c in cols], digits).select(
-            F.regexp_replace("col_x", "^_r_", "").alias("col_x"),
-            F.regexp_replace("col_y", "^_r_", "").alias("col_y"), "r")
-    out = None
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            sub = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-            rk = _with_ranks(sub, [a] if a == b else [a, b], None)
-            ra, rb = f"_r_{a}", f"_r_{b}"
-            r = rk.agg(F.try_divide(F.covar_samp(ra, rb), F.stddev_samp(ra) * F.stddev_samp(rb)).alias("r"))
-            if digits is not None:
-                r = r.select(rnd("r", digits).alias("r"))
-            part = r.select(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), "r")
-            if a != b:
-                part = part.unionByName(r.select(F.lit(b).alias("col_x"), F.lit(a).alias("col_y"), "r"))
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _with_ranks(df: DataFrame, cols: list[str], order_key: str | None) -> DataFrame:
-    """Attach ``_r_<col>`` average ranks; each rank table joins back on the value."""
-    out = df
-    nb = scan.choose_buckets(df)
-    for c in cols:
-        out = scan.average_rank(out, c, f"_r_{c}", n_buckets=nb)
-    return out
+    nulls = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    if not any(nulls):
+        ranked = df.select(*[quoted(c).alias(f"v{i}") for i, c in enumerate(cols)])
+        for i in range(len(cols)):
+            ranked = scan.average_rank(ranked, f"v{i}", f"r{i}")
+        return _pearson_pairs(ranked.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(cols)]), cols, digits)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    both = [F.when(quoted(a).isNotNull() & quoted(b).isNotNull(), F.struct(F.lit(i).alias("pair"), quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y")))
+            for i, (a, b) in enumerate(pairs)]
+    cells = df.select(F.explode(F.filter(F.array(*both), lambda s: s.isNotNull())).alias("s")).select("s.*")
+    cells = materialize(cells.groupBy("pair", "x", "y").agg(F.count("*").alias("c")), "rank-cells")
+
+    def ranks(side: str) -> DataFrame:
+        h = cells.groupBy("pair", side).agg(F.sum("c").alias("n"))
+        h = scan.prefix_sums(h, [side], ["n"], ["pair"])
+        return h.select("pair", side, (F.col("n_cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias(f"r{side}"))
+
+    j = cells.join(ranks("x"), ["pair", "x"]).join(ranks("y"), ["pair", "y"])
+    c, x, y = F.col("c"), F.col("rx"), F.col("ry")
+    sums = j.groupBy("pair").agg(F.sum("c").alias("n"), F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
+    square = F.col("n") * F.pow((F.col("n") + 1) / 2.0, 2)  # n times the squared mean rank
+    r = F.try_divide(F.col("xy") - square, F.sqrt((F.col("xx") - square) * (F.col("yy") - square)))
+    # pairs without rows, and of one value, have no coefficient
+    every = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    out = every.join(sums.select("pair", (rnd(r, digits) if digits is not None else r).alias("r")), "pair", "left")
+    return out.select(F.col("a").alias("col_x"), F.col("b").alias("col_y"), "r").unionByName(
+        out.filter("a <> b").select(F.col("b").alias("col_x"), F.col("a").alias("col_y"), "r"))
 
 
 def kendall_pair(df: DataFrame, x: str, y: str, distinct_y: int | None = None) -> DataFrame:
     """tau-b of one pair (one row: tau, n)."""
-    d = df.select(F.col(x).alias("x"), F.col(y).alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    d = df.select(quoted(x).alias("x"), quoted(y).alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     if distinct_y is None:
         distinct_y = d.select("y").distinct().count()
     cells = d.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
@@ -152,7 +151,7 @@ def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     cells = None
     for pid, (a, b) in enumerate(pairs):
-        c = (df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        c = (df.select(quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y"))
              .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
              .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).withColumn("pair", F.lit(pid)))
         cells = c if cells is None else cells.unionByName(c)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rnd
+from ..functions.scalar import quoted, rnd
 
 DEFAULT_THRESHOLD = 0.25
 LOW_CONFIDENCE_SUFFIX = " (Low Confidence)"
@@ -54,7 +54,7 @@ def postprocess(det: DataFrame, names: DataFrame, threshold: float = DEFAULT_THR
     best = (d.groupBy("image_id")
             .agg(F.max(above.cast("int")).alias("_any"),
                  F.max_by(F.struct(*[c for c in cols if c != "image_id"]),
-                          F.struct(F.col("confidence"), -F.col(order_col))).alias("_b"))
+                          F.struct(F.col("confidence"), -quoted(order_col))).alias("_b"))
             .filter(F.col("_any") == 0).select("image_id", "_b.*")
             .withColumn("name", F.concat(F.col("name"), F.lit(LOW_CONFIDENCE_SUFFIX))))
     out = kept.unionByName(best.select(*cols))

@@ -20,7 +20,7 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import norm_ppf, rnd
+from ..functions.scalar import named, norm_ppf, quoted, rnd
 from ..session import materialize
 from . import scan
 
@@ -30,18 +30,18 @@ EPS = sys.float_info.epsilon  # float64 machine epsilon (clip / MAPE guard)
 # ---------------------------------------------------------------- confusion based
 def confusion_counts(pred: DataFrame, by: list[str] | None = None, y_true="y_true", y_pred="y_pred") -> DataFrame:
     by = list(by or [])
-    return (pred.select(*by, F.col(y_true).cast("string").alias("t"), F.col(y_pred).cast("string").alias("p"))
-            .groupBy(*by, "t", "p").agg(F.count(F.lit(1)).alias("c")))
+    return (pred.select(*named(by), quoted(y_true).cast("string").alias("t"), quoted(y_pred).cast("string").alias("p"))
+            .groupBy(*named(by), "t", "p").agg(F.count(F.lit(1)).alias("c")))
 
 
 def _per_class(cc: DataFrame, by: list[str]) -> DataFrame:
     """(by, label, tp, support, predicted) over the union of true and predicted labels."""
-    tp = cc.filter(F.col("t") == F.col("p")).groupBy(*by, F.col("t").alias("label")).agg(F.sum("c").alias("tp"))
-    sup = cc.groupBy(*by, F.col("t").alias("label")).agg(F.sum("c").alias("support"))
-    prd = cc.groupBy(*by, F.col("p").alias("label")).agg(F.sum("c").alias("predicted"))
+    tp = cc.filter(F.col("t") == F.col("p")).groupBy(*named(by), F.col("t").alias("label")).agg(F.sum("c").alias("tp"))
+    sup = cc.groupBy(*named(by), F.col("t").alias("label")).agg(F.sum("c").alias("support"))
+    prd = cc.groupBy(*named(by), F.col("p").alias("label")).agg(F.sum("c").alias("predicted"))
     keys = by + ["label"]
     j = sup.join(prd, keys, "full").join(tp, keys, "left")
-    return j.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "support", "predicted")])
+    return j.select(*named(keys), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "support", "predicted")])
 
 
 def _prf(pc: DataFrame) -> DataFrame:
@@ -57,11 +57,11 @@ def classification_report(pred: DataFrame, by: list[str] | None = None, **kw) ->
     """Per class precision / recall / f1 / support, plus macro and weighted averages."""
     by = list(by or [])
     pc = _prf(_per_class(confusion_counts(pred, by, **kw), by))
-    per = pc.select(*by, "label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
+    per = pc.select(*named(by), "label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
     tot = F.sum("support")
-    macro = pc.groupBy(*by).agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
+    macro = pc.groupBy(*named(by)).agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
                                 F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), tot.cast("long").alias("support"))
-    weighted = pc.groupBy(*by).agg(
+    weighted = pc.groupBy(*named(by)).agg(
         F.lit("weighted avg").alias("label"),
         (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
         (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
@@ -75,7 +75,7 @@ def classification_metrics(pred: DataFrame, by: list[str] | None = None, **kw) -
     cc = confusion_counts(pred, by, **kw)
     pc = _prf(_per_class(cc, by))
     n = F.sum("support")
-    agg = pc.groupBy(*by).agg(
+    agg = pc.groupBy(*named(by)).agg(
         n.cast("long").alias("n"), F.sum("tp").cast("double").alias("correct"),
         (F.sum(F.col("precision") * F.col("support")) / n).alias("precision"),
         (F.sum(F.col("recall") * F.col("support")) / n).alias("recall"),
@@ -89,7 +89,7 @@ def classification_metrics(pred: DataFrame, by: list[str] | None = None, **kw) -
     po = F.col("correct") / s
     pe = F.col("tp_sum") / (s * s)
     kappa = F.when(pe == 1, F.lit(None).cast("double")).otherwise((po - pe) / (1 - pe))
-    return agg.select(*by, "n", (F.col("correct") / s).alias("accuracy"), "precision", "recall", "f1",
+    return agg.select(*named(by), "n", (F.col("correct") / s).alias("accuracy"), "precision", "recall", "f1",
                       mcc.alias("mcc"), kappa.alias("cohen_kappa"))
 
 
@@ -97,15 +97,15 @@ def confusion_matrix(pred: DataFrame, by: list[str] | None = None, **kw) -> Data
     """Long zero-filled matrix (by, true_label, pred_label, count) over the label union."""
     by = list(by or [])
     cc = confusion_counts(pred, by, **kw)
-    labels = (cc.select(*by, F.col("t").alias("l")).unionByName(cc.select(*by, F.col("p").alias("l")))
+    labels = (cc.select(*named(by), F.col("t").alias("l")).unionByName(cc.select(*named(by), F.col("p").alias("l")))
               .filter(F.col("l").isNotNull()).distinct())
     # the label set of a group is small (number of classes): build the k x k grid per group
-    lists = labels.groupBy(*by).agg(F.array_sort(F.collect_set("l")).alias("ls"))
-    grid = lists.select(*by, F.explode("ls").alias("true_label"), "ls").select(
+    lists = labels.groupBy(*named(by)).agg(F.array_sort(F.collect_set("l")).alias("ls"))
+    grid = lists.select(*named(by), F.explode("ls").alias("true_label"), "ls").select(
         *by, "true_label", F.explode("ls").alias("pred_label"))
-    cnt = cc.select(*by, F.col("t").alias("true_label"), F.col("p").alias("pred_label"), "c")
+    cnt = cc.select(*named(by), F.col("t").alias("true_label"), F.col("p").alias("pred_label"), "c")
     j = grid.join(cnt, by + ["true_label", "pred_label"], "left")
-    return j.select(*by, "true_label", "pred_label", F.coalesce("c", F.lit(0)).cast("long").alias("count"))
+    return j.select(*named(by), "true_label", "pred_label", F.coalesce("c", F.lit(0)).cast("long").alias("count"))
 
 
 def f1_from_pr(p: Column, r: Column) -> Column:
@@ -116,14 +116,14 @@ def f1_from_pr(p: Column, r: Column) -> Column:
 def log_loss(pred: DataFrame, by=None, y_true="y_true", y_score="y_score") -> DataFrame:
     """Binary log loss with probabilities clipped to [eps, 1 - eps]."""
     by = list(by or [])
-    p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.col(y_score).cast("double")))
-    y = F.col(y_true).cast("double")
-    return pred.groupBy(*by).agg((-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
+    p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), quoted(y_score).cast("double")))
+    y = quoted(y_true).cast("double")
+    return pred.groupBy(*named(by)).agg((-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
 
 
 def brier_score(pred: DataFrame, by=None, y_true="y_true", y_score="y_score") -> DataFrame:
     by = list(by or [])
-    return pred.groupBy(*by).agg(F.avg((F.col(y_score) - F.col(y_true)) ** 2).alias("brier_score"))
+    return pred.groupBy(*named(by)).agg(F.avg((quoted(y_score) - quoted(y_true)) ** 2).alias("brier_score"))
 
 
 def log_loss_multiclass(pred: DataFrame, by=None, y_true="y_true", y_prob="y_prob") -> DataFrame:
@@ -132,14 +132,14 @@ def log_loss_multiclass(pred: DataFrame, by=None, y_true="y_true", y_prob="y_pro
     sum to 1 and clipped to [eps, 1 - eps]."""
     by = list(by or [])
     total = F.aggregate(y_prob, F.lit(0.0), lambda a, x: a + x)
-    p = F.try_divide(F.get(F.col(y_prob), F.col(y_true).cast("int")), total)
+    p = F.try_divide(F.get(quoted(y_prob), quoted(y_true).cast("int")), total)
     p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.coalesce(p, F.lit(0.0))))
-    return pred.groupBy(*by).agg((-F.avg(F.log(p))).alias("log_loss"))
+    return pred.groupBy(*named(by)).agg((-F.avg(F.log(p))).alias("log_loss"))
 
 
 def one_vs_rest(pred: DataFrame, keep: list[str] | None = None, y_true="y_true", y_prob="y_prob") -> DataFrame:
     """A binary row (class, y_true, y_score) per row and class: input of the ROC and PR functions with by=[.., 'class']."""
-    return (pred.select(*(keep or []), F.col(y_true).alias("_c"), F.posexplode(y_prob).alias("class", "y_score"))
+    return (pred.select(*(keep or []), quoted(y_true).alias("_c"), F.posexplode(y_prob).alias("class", "y_score"))
             .select(*(keep or []), "class", (F.col("_c").cast("int") == F.col("class")).cast("int").alias("y_true"), "y_score"))
 
 
@@ -152,11 +152,11 @@ def roc_auc_ovr(pred: DataFrame, by=None, y_true="y_true", y_prob="y_prob") -> D
 def _score_cum(pred: DataFrame, by, y_true, y_score) -> DataFrame:
     """Per distinct score (desc): pos, neg, cumulative tps / fps, totals P / N."""
     by = list(by or [])
-    h = pred.filter(F.col(y_score).isNotNull()).groupBy(*by, F.col(y_score).alias("score")).agg(
-        F.sum(F.col(y_true).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
+    h = pred.filter(quoted(y_score).isNotNull()).groupBy(*named(by), quoted(y_score).alias("score")).agg(
+        F.sum(quoted(y_true).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
     # read for the splitters, the totals and the result
     h = materialize(h.withColumn("neg", F.col("cnt") - F.col("pos")), "score-histogram")
-    tot = h.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = h.groupBy(*named(by)).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     nb = scan.choose_buckets(pred)
     h = scan.prefix_sums(h, ["score"], ["pos", "neg"], partition_cols=by, descending=True, n_buckets=nb)
     if by:
@@ -169,10 +169,10 @@ def roc_curve(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", digi
     """(threshold, fpr, tpr) at every distinct score, plus the (inf, 0, 0) start point."""
     by = list(by or [])
     h = _score_cum(pred, by, y_true, y_score)
-    pts = h.select(*by, F.col("score").cast("double").alias("threshold"),
+    pts = h.select(*named(by), F.col("score").cast("double").alias("threshold"),
                    rnd(F.col("neg_cum") / F.col("N"), digits).alias("fpr"),
                    rnd(F.col("pos_cum") / F.col("P"), digits).alias("tpr"))
-    start = h.select(*by).distinct().select(*by, F.lit(float("inf")).alias("threshold"),
+    start = h.select(*named(by)).distinct().select(*named(by), F.lit(float("inf")).alias("threshold"),
                                              F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
@@ -184,7 +184,7 @@ def roc_auc(pred: DataFrame, by=None, y_true="y_true", y_score="y_score") -> Dat
     prev_tpr = (F.col("pos_cum") - F.col("pos")) / F.col("P")
     tpr = F.col("pos_cum") / F.col("P")
     area = (F.col("neg") / F.col("N")) * (tpr + prev_tpr) / 2
-    return h.groupBy(*by).agg(F.sum(area).alias("roc_auc"))
+    return h.groupBy(*named(by)).agg(F.sum(area).alias("roc_auc"))
 
 
 def pr_curve(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", digits: int = 6) -> DataFrame:
@@ -197,7 +197,7 @@ def pr_curve(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", digit
         *by, F.col("score").cast("double").alias("threshold"),
         rnd(F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum")), digits).alias("precision"),
         rnd(F.col("pos_cum") / F.col("P"), digits).alias("recall"))
-    end = h.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("threshold"),
+    end = h.select(*named(by)).distinct().select(*named(by), F.lit(None).cast("double").alias("threshold"),
                                            F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)
 
@@ -212,7 +212,7 @@ def pr_auc(pred: DataFrame, by=None, y_true="y_true", y_score="y_score") -> Data
     prev_prec = F.when(prev_all > 0, prev_tp / prev_all).otherwise(F.lit(1.0))
     prec = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
     area = (F.col("pos") / F.col("P")) * (prec + prev_prec) / 2
-    return h.filter(~full_before).groupBy(*by).agg(F.sum(area).alias("pr_auc"))
+    return h.filter(~full_before).groupBy(*named(by)).agg(F.sum(area).alias("pr_auc"))
 
 
 def lift_chart(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", digits: int = 6) -> DataFrame:
@@ -222,7 +222,7 @@ def lift_chart(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", dig
     n = F.col("P") + F.col("N")
     pct_s = (F.col("pos_cum") + F.col("neg_cum")) / n
     pct_p = F.col("pos_cum") / F.col("P")
-    return h.select(*by, F.col("score").cast("double").alias("threshold"),
+    return h.select(*named(by), F.col("score").cast("double").alias("threshold"),
                     rnd(pct_s, digits).alias("percent_samples"), rnd(pct_p, digits).alias("percent_positives"),
                     rnd(pct_p / pct_s, digits).alias("lift"))
 
@@ -231,14 +231,14 @@ def lift_chart(pred: DataFrame, by=None, y_true="y_true", y_score="y_score", dig
 def regression_metrics(pred: DataFrame, by=None, y_true="y_true", y_pred="y_pred", p: int = 1) -> DataFrame:
     """MSE, RMSE, MAE, R^2, MAPE (fraction), median AE, explained variance, adjusted R^2."""
     by = list(by or [])
-    y, f = F.col(y_true).cast("double"), F.col(y_pred).cast("double")
+    y, f = quoted(y_true).cast("double"), quoted(y_pred).cast("double")
     e = y - f
-    a = pred.groupBy(*by).agg(
+    a = pred.groupBy(*named(by)).agg(
         F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
         F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPS))).alias("mape"),
         F.sum(e * e).alias("ss_res"), F.var_pop(y).alias("var_y"), F.var_pop(e).alias("var_e"))
     # exact medians of all groups from one histogram of the errors: no task holds a group's values
-    name = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("all")
+    name = F.to_json(F.struct(*[quoted(c) for c in by])) if by else F.lit("all")
     hist = (pred.select(name.alias("name"), F.abs(e).alias("v")).filter(F.col("v").isNotNull())
             .groupBy("name", "v").agg(F.count(F.lit(1)).alias("c")))
     med = scan.quantiles_from_hist(hist, [0.5], scan.choose_buckets(pred)).select(F.col("name").alias("_group"), F.col("value").alias("median_ae"))
@@ -250,14 +250,14 @@ def regression_metrics(pred: DataFrame, by=None, y_true="y_true", y_pred="y_pred
     ev = (F.when(F.col("var_y") == 0, F.when(F.col("var_e") == 0, 1.0).otherwise(0.0))
           .otherwise(1 - F.col("var_e") / F.col("var_y")))
     adj = F.when(n > p + 1, 1 - (1 - F.col("r2")) * (n - 1) / (n - p - 1)).otherwise(F.col("r2"))
-    out = a.select(*by, "n", "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"), "mape", "median_ae",
+    out = a.select(*named(by), "n", "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"), "mape", "median_ae",
                    ev.alias("explained_variance"))
     return out.withColumn("adjusted_r2", adj)
 
 
 def residuals(pred: DataFrame, y_true="y_true", y_pred="y_pred", keep: list[str] | None = None) -> DataFrame:
-    return pred.select(*(keep or []), F.col(y_pred).alias("y_pred"),
-                       (F.col(y_true) - F.col(y_pred)).alias("residual"))
+    return pred.select(*(keep or []), quoted(y_pred).alias("y_pred"),
+                       (quoted(y_true) - quoted(y_pred)).alias("residual"))
 
 
 def qq_points(resid: DataFrame, col: str = "residual", by=None) -> DataFrame:
@@ -270,12 +270,12 @@ def qq_points(resid: DataFrame, col: str = "residual", by=None) -> DataFrame:
     nb = scan.choose_buckets(resid)
     h = scan.prefix_sums(h, [col], ["c"], by, n_buckets=nb)
     if by:
-        h = h.join(h.groupBy(*by).agg(F.sum("c").alias("n")), by)
+        h = h.join(h.groupBy(*named(by)).agg(F.sum("c").alias("n")), by)
     else:
         h = h.withColumn("n", F.lit(total))
-    pts = h.select(*by, col, "n", F.explode(F.sequence(F.col("c_cum") - F.col("c"), F.col("c_cum") - 1)).alias("position"))
-    return pts.select(*by, "position", norm_ppf((F.col("position") + 0.5) / F.col("n")).alias("theoretical"),
-                      F.col(col).alias("sample"))
+    pts = h.select(*named(by), col, "n", F.explode(F.sequence(F.col("c_cum") - F.col("c"), F.col("c_cum") - 1)).alias("position"))
+    return pts.select(*named(by), "position", norm_ppf((F.col("position") + 0.5) / F.col("n")).alias("theoretical"),
+                      quoted(col).alias("sample"))
 
 
 # ---------------------------------------------------------------- summaries

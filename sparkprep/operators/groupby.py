@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import named, quoted
 from ..sources.ingest import is_numeric
 from . import scan
 
@@ -24,16 +25,16 @@ LIST_SEPARATOR = ", "
 def _ord(order_by) -> Column:
     if isinstance(order_by, str):
         order_by = [order_by]
-    return F.struct(*[F.col(c) for c in order_by])
+    return F.struct(*[quoted(c) for c in order_by])
 
 
 def first_non_null(c: str, order_by) -> Column:
     """First non-null value of ``c`` in ``order_by`` order (partial-aggregatable)."""
-    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), _ord(order_by)))
+    return F.min_by(quoted(c), F.when(quoted(c).isNotNull(), _ord(order_by)))
 
 
 def last_non_null(c: str, order_by) -> Column:
-    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), _ord(order_by)))
+    return F.max_by(quoted(c), F.when(quoted(c).isNotNull(), _ord(order_by)))
 
 
 def ordered_list(value: Column, order: Column, sep: str = LIST_SEPARATOR, distinct: bool = False) -> Column:
@@ -55,12 +56,12 @@ def two_level_list(rows: DataFrame, key: str, value: str, order_by: list[str], o
     """
     nb = scan.choose_buckets(rows, n_buckets)
     if nb <= 1:
-        return rows.groupBy(key).agg(ordered_list(F.col(value), _ord(order_by), sep).alias(out_name))
-    b = scan.add_order_bucket(rows.filter(F.col(value).isNotNull()), order_by, n_buckets=nb)
-    parts = b.groupBy(key, scan.BUCKET_COL).agg(ordered_list(F.col(value), _ord(order_by), sep).alias("_part"))
+        return rows.groupBy(quoted(key)).agg(ordered_list(quoted(value), _ord(order_by), sep).alias(out_name))
+    b = scan.add_order_bucket(rows.filter(quoted(value).isNotNull()), order_by, n_buckets=nb)
+    parts = b.groupBy(quoted(key), scan.BUCKET_COL).agg(ordered_list(quoted(value), _ord(order_by), sep).alias("_part"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(scan.BUCKET_COL, "_part"))),
                                      lambda x: x["_part"]), sep)
-    return parts.groupBy(key).agg(whole.alias(out_name))
+    return parts.groupBy(quoted(key)).agg(whole.alias(out_name))
 
 
 def group_aggregate(df: DataFrame, key: str, col: str, method: str = "list", order_by=None,
@@ -81,29 +82,29 @@ def group_aggregate(df: DataFrame, key: str, col: str, method: str = "list", ord
     others = [c for c in df.columns if c not in (key, col)] if carry else []
     if needs_order and order_by is None and (method in ("list", "unique_list", "first", "last") or others):
         raise ValueError("order_by is required for row-order dependent aggregation")
-    src = df.filter(F.col(key).isNotNull())
+    src = df.filter(quoted(key).isNotNull())
     out_name = f"{col}_{method}"
-    v = F.col(col)
+    v = quoted(col)
     carry_aggs = [first_non_null(c, order_by).alias(c) for c in others]
 
     if method in ("unique_list", "list"):
         order = [order_by] if isinstance(order_by, str) else list(order_by)
         if method == "unique_list":
             # (key, value) first-seen position, combined map-side before any list is built
-            firsts = (src.filter(v.isNotNull()).groupBy(key, col)
+            firsts = (src.filter(v.isNotNull()).groupBy(quoted(key), quoted(col))
                       .agg(F.min(_ord(order)).alias("_o")))
-            firsts = firsts.select(key, col, *[F.col(f"_o.{c}").alias(c) for c in order])
+            firsts = firsts.select(quoted(key), quoted(col), *[F.col("_o").getField(c).alias(c) for c in order])
             lists = two_level_list(firsts, key, col, order, out_name, n_buckets)
         else:
-            lists = two_level_list(src.select(key, col, *[c for c in order if c not in (key, col)]),
+            lists = two_level_list(src.select(quoted(key), quoted(col), *[c for c in order if c not in (key, col)]),
                                    key, col, order, out_name, n_buckets)
         if carry_aggs:
-            rest = src.groupBy(key).agg(*carry_aggs)
+            rest = src.groupBy(quoted(key)).agg(*carry_aggs)
             out = rest.join(lists, key, "left").withColumn(out_name, F.coalesce(out_name, F.lit("")))
         else:
-            keys = src.select(key).distinct()
+            keys = src.select(quoted(key)).distinct()
             out = keys.join(lists, key, "left").withColumn(out_name, F.coalesce(out_name, F.lit("")))
-        out = out.select(key, out_name, *others)
+        out = out.select(quoted(key), out_name, *named(others))
     else:
         if method == "count":
             main = F.count(v)
@@ -115,11 +116,11 @@ def group_aggregate(df: DataFrame, key: str, col: str, method: str = "list", ord
             main = first_non_null(col, order_by)
         else:
             main = last_non_null(col, order_by)
-        out = src.groupBy(key).agg(main.alias(out_name), *carry_aggs)
-    return out.orderBy(key) if sort else out
+        out = src.groupBy(quoted(key)).agg(main.alias(out_name), *carry_aggs)
+    return out.orderBy(quoted(key)) if sort else out
 
 
 def baskets(df: DataFrame, key: str, item: str) -> DataFrame:
     """(key, items): the distinct items of each transaction as a sorted array."""
-    return (df.filter(F.col(key).isNotNull() & F.col(item).isNotNull())
-            .groupBy(key).agg(F.array_sort(F.collect_set(F.col(item).cast("string"))).alias("items")))
+    return (df.filter(quoted(key).isNotNull() & quoted(item).isNotNull())
+            .groupBy(quoted(key)).agg(F.array_sort(F.collect_set(quoted(item).cast("string"))).alias("items")))

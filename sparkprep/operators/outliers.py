@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rnd
+from ..functions.scalar import named, quoted, rnd
 from ..sources.ingest import column_kind
 from . import scan
 from .clean import fit_outlier_bounds, outlier_expr
@@ -49,8 +49,8 @@ def outlier_sample(df: DataFrame, col: str, order_by: list[str], method: str = "
     """The first ``k`` outlier values in row order (TakeOrderedAndProject)."""
     b = fit_outlier_bounds(df, col, method)
     if b is None:
-        return df.limit(0).select(*order_by, col)
-    return df.filter(outlier_expr(col, b)).orderBy(*order_by).limit(k).select(*order_by, col)
+        return df.limit(0).select(*named([*order_by, col]))
+    return df.filter(outlier_expr(col, b)).orderBy(*named(order_by)).limit(k).select(*named([*order_by, col]))
 
 
 def outlier_overview(df: DataFrame, cols: list[str] | None = None, digits: int = 2) -> DataFrame:
@@ -66,19 +66,19 @@ def outlier_overview(df: DataFrame, cols: list[str] | None = None, digits: int =
             aggs.append(F.lit(0).cast("long").alias(f"k{i}"))
             continue
         iqr = q[1] - q[0]
-        x = F.col(c)
+        x = quoted(c)
         aggs.append(F.count_if((x < F.lit(q[0] - 1.5 * iqr)) | (x > F.lit(q[1] + 1.5 * iqr))).alias(f"k{i}"))
     wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"k{i}").alias("total_outliers"),
-                        F.when(F.col("_n") > 0, rnd(F.col(f"k{i}") * 100.0 / F.col("_n"), digits))
+    structs = [F.struct(F.lit(c).alias("column"), quoted(f"k{i}").alias("total_outliers"),
+                        F.when(F.col("_n") > 0, rnd(quoted(f"k{i}") * 100.0 / F.col("_n"), digits))
                         .otherwise(0.0).alias("outlier_percentage")) for i, c in enumerate(cols)]
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, digits: int = 4) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed): bin, lo, hi, count, density."""
-    c = F.col(col).cast("double")
-    r = df.agg(F.min(c).alias("mn"), F.max(c).alias("mx"), F.count(c).alias("n")).first()
+    c = quoted(col).cast("double")
+    r = df.agg(F.min(quoted(c)).alias("mn"), F.max(quoted(c)).alias("mx"), F.count(quoted(c)).alias("n")).first()
     if r["n"] == 0:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, count long, density double")
     mn, mx, n = r["mn"], r["mx"], r["n"]
@@ -95,7 +95,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, digits: int = 4) -> DataF
 
 def box_stats(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers (extreme values within 1.5 IQR), outlier count."""
-    c = F.col(col).cast("double")
+    c = quoted(col).cast("double")
     q = scan.quantile_values(df, [col], [0.25, 0.5, 0.75])[col]
     if q is None:
         return df.sparkSession.createDataFrame([], "column string")
@@ -118,8 +118,8 @@ def index_scatter(df: DataFrame, col: str, order_by: list[str], method: str = "I
     single-partition window.
     """
     from .scan import prefix_sums
-    f = flag_outliers(df.select(*order_by, col), col, method, "is_outlier").withColumn("_one", F.lit(1))
+    f = flag_outliers(df.select(*named([*order_by, col])), col, method, "is_outlier").withColumn("_one", F.lit(1))
     p = prefix_sums(f, order_by, ["_one"])
-    return p.select((F.col("_one_cum") - 1).alias("position"), col, "is_outlier")
+    return p.select((F.col("_one_cum") - 1).alias("position"), quoted(col), "is_outlier")
 
 

@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import named, quoted
 from ..sources.ingest import is_numeric
 from . import scan
 from .profile import top_values, value_counts_long
@@ -33,7 +34,7 @@ def fit_impute(df: DataFrame, cols: list[str]) -> dict:
     txt = [c for c in cols if c not in num]
     fill = {}
     if num:
-        row = df.agg(*[F.avg(c).alias(c) for c in num]).first().asDict()
+        row = df.agg(*[F.avg(quoted(c)).alias(c) for c in num]).first().asDict()
         fill.update({c: v for c, v in row.items() if v is not None})
     if txt:
         modes = {r["name"]: r["value"] for r in top_values(value_counts_long(df, txt), 1).collect()}  # one per column
@@ -42,7 +43,7 @@ def fit_impute(df: DataFrame, cols: list[str]) -> dict:
 
 
 def apply_impute(df: DataFrame, fill: dict) -> DataFrame:
-    return df.select(*[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in df.columns])
+    return df.select(*[F.coalesce(quoted(c), F.lit(fill[c])).alias(c) if c in fill else quoted(c) for c in df.columns])
 
 
 def impute(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -54,7 +55,7 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> dict:
     """{col: (mean, population std or 1 when zero)} from one aggregate."""
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+        aggs += [F.avg(quoted(c)).alias(f"m_{c}"), F.stddev_pop(quoted(c)).alias(f"s_{c}")]
     r = df.agg(*aggs).first().asDict()
     out = {}
     for c in cols:
@@ -65,10 +66,10 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> dict:
 
 def apply_scaler(df: DataFrame, scaler: dict, suffix: str = "") -> DataFrame:
     """(x - mean) / std as literal expressions; replaces the columns unless ``suffix``."""
-    scaled = {c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()}
+    scaled = {c: (quoted(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()}
     if suffix:
         return df.select("*", *[e.alias(c + suffix) for c, e in scaled.items()])
-    return df.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
+    return df.select(*[scaled[c].alias(c) if c in scaled else quoted(c) for c in df.columns])
 
 
 def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -77,7 +78,7 @@ def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
 
 # ---------------------------------------------------------------- splits
 def _hash(key: str, salt: str) -> Column:
-    return F.md5(F.concat(F.lit(str(salt)), F.col(key).cast("string")))
+    return F.md5(F.concat(F.lit(str(salt)), quoted(key).cast("string")))
 
 
 def stratified_split(df: DataFrame, key: str, label: str | None, test_size: float = 0.2,
@@ -85,7 +86,7 @@ def stratified_split(df: DataFrame, key: str, label: str | None, test_size: floa
     """Add ``split`` = test/train; per class, test gets round(test_size * n_class)
     rows: those with the smallest (md5(salt || key), key)."""
     strat = label if label else None
-    cls = F.col(strat) if strat else F.lit(0)
+    cls = quoted(strat) if strat else F.lit(0)
     h = _hash(key, salt)
     d = df.withColumn("_cls", cls).withColumn("_h", h) \
         .withColumn("_b", F.conv(F.substring("_h", 1, HASH_DIGITS), 16, 10).cast("long"))
@@ -102,28 +103,28 @@ def stratified_split(df: DataFrame, key: str, label: str | None, test_size: floa
     j = d.join(F.broadcast(cut), "_cls", "left")  # one row per class
     inside = j.filter(F.col("_b") == F.col("_cb"))
     rest = j.filter(F.col("_cb").isNull() | (F.col("_b") != F.col("_cb")))
-    wr = Window.partitionBy("_cls").orderBy("_h", key)
+    wr = Window.partitionBy("_cls").orderBy("_h", quoted(key))
     inside = inside.withColumn(out_col, F.when(F.row_number().over(wr) <= F.col("_w") - F.col("_before"), "test")
                                .otherwise("train"))
     rest = rest.withColumn(out_col, F.when(F.col("_cb").isNotNull() & (F.col("_b") < F.col("_cb")), "test")
                            .otherwise("train"))
-    return inside.unionByName(rest).select(*df.columns, out_col)
+    return inside.unionByName(rest).select(*named(df.columns), out_col)
 
 
 def assign_folds(df: DataFrame, key: str, label: str | None, k: int = 5, salt: str = "42",
                  out_col: str = "fold") -> DataFrame:
     """Stratified k-fold: fold = (position of the row inside its class, in
     md5 order) mod k. Positions come from the two-level running count."""
-    d = df.withColumn("_cls", F.col(label) if label else F.lit(0)).withColumn("_h", _hash(key, salt)) \
+    d = df.withColumn("_cls", quoted(label) if label else F.lit(0)).withColumn("_h", _hash(key, salt)) \
         .withColumn("_one", F.lit(1))
     p = scan.prefix_sums(d, ["_h", key], ["_one"], partition_cols=["_cls"])
-    return p.withColumn(out_col, ((F.col("_one_cum") - 1) % k).cast("int")).select(*df.columns, out_col)
+    return p.withColumn(out_col, ((F.col("_one_cum") - 1) % k).cast("int")).select(*named(df.columns), out_col)
 
 
 def shuffle_split(df: DataFrame, key: str, label: str | None, n_splits: int = 5, test_size: float = 0.2,
                   salt: str = "42") -> DataFrame:
     """Repeated stratified splits with salts ``salt-0..n``: (split_id, key, split)."""
-    parts = [stratified_split(df.select(key, *([label] if label else [])), key, label, test_size, f"{salt}-{i}")
+    parts = [stratified_split(df.select(quoted(key), *([label] if label else [])), key, label, test_size, f"{salt}-{i}")
              .select(F.lit(i).alias("split_id"), key, "split") for i in range(n_splits)]
     out = parts[0]
     for p in parts[1:]:
@@ -134,5 +135,5 @@ def shuffle_split(df: DataFrame, key: str, label: str | None, n_splits: int = 5,
 def legacy_prepare(df: DataFrame, cols: list[str]) -> DataFrame:
     """Drop rows with NULLs, keep numeric columns, scale (population std)."""
     num = [c for c in cols if is_numeric(df, c)]
-    d = df.select(*num).na.drop()
+    d = df.select(*named(num)).na.drop()
     return standard_scale(d, num)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import rnd
+from ..functions.scalar import named, quoted, rnd
 from ..sources.ingest import column_kind
 from . import scan
 
@@ -51,8 +51,8 @@ def _pct(q: Column, probs: list[float], approx: bool) -> Column:
 def _first_value(c: Column, order_by: list[str] | None) -> Column:
     """First non-null value in row order (min value when no order is given)."""
     if order_by:
-        return F.min_by(c, F.when(c.isNotNull(), F.struct(*[F.col(o) for o in order_by])))
-    return F.min(c)
+        return F.min_by(c, F.when(c.isNotNull(), F.struct(*[quoted(o) for o in order_by])))
+    return F.min(quoted(c))
 
 
 def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[str] | None = None,
@@ -68,8 +68,8 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
         kind = column_kind(dt)
-        col = F.col(c)
-        aggs.append(F.count(col).alias(f"nn{i}"))
+        col = quoted(c)
+        aggs.append(F.count(quoted(col)).alias(f"nn{i}"))
         if kind == "numeric":
             d = col.cast("double")
             aggs += [F.min(d).alias(f"mn{i}"), F.max(d).alias(f"mx{i}"), F.avg(d).alias(f"av{i}"),
@@ -77,8 +77,8 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
             if inline_q:
                 aggs.append(_pct(d, QUARTILES, approx).alias(f"q{i}"))
         elif kind == "datetime":
-            aggs += [F.min(col).cast("string").alias(f"dmn{i}"), F.max(col).cast("string").alias(f"dmx{i}"),
-                     F.min(col).cast("timestamp").alias(f"tmn{i}"), F.max(col).cast("timestamp").alias(f"tmx{i}")]
+            aggs += [F.min(quoted(col)).cast("string").alias(f"dmn{i}"), F.max(quoted(col)).cast("string").alias(f"dmx{i}"),
+                     F.min(quoted(col)).cast("timestamp").alias(f"tmn{i}"), F.max(quoted(col)).cast("timestamp").alias(f"tmx{i}")]
         elif kind == "categorical":
             aggs.append(_first_value(col, order_by).alias(f"ft{i}"))
     wide = df.agg(*aggs)
@@ -95,19 +95,19 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, order_by: list[st
         structs.append(F.struct(
             F.lit(i).alias("pos"), F.lit(c).alias("name"), F.lit(kind).alias("kind"),
             F.lit(isinstance(dt, T.IntegralType)).alias("integral"),
-            F.col("_total").alias("total"), F.col(f"nn{i}").alias("non_null"),
-            (F.col(f"mn{i}") if num else null_d).alias("min"),
-            (F.col(f"mx{i}") if num else null_d).alias("max"),
-            (F.col(f"av{i}") if num else null_d).alias("mean"),
-            (F.col(f"sd{i}") if num else null_d).alias("std"),
-            (F.col(f"q{i}")[0] if num and inline_q else null_d).alias("q25"),
-            (F.col(f"q{i}")[1] if num and inline_q else null_d).alias("median"),
-            (F.col(f"q{i}")[2] if num and inline_q else null_d).alias("q75"),
-            (F.col(f"ft{i}").cast("string") if kind == "categorical" else null_s).alias("first_text"),
-            (F.col(f"dmn{i}") if dtm else null_s).alias("dmin"),
-            (F.col(f"dmx{i}") if dtm else null_s).alias("dmax"),
-            (F.col(f"tmn{i}") if dtm else null_t).alias("tmin"),
-            (F.col(f"tmx{i}") if dtm else null_t).alias("tmax"),
+            F.col("_total").alias("total"), quoted(f"nn{i}").alias("non_null"),
+            (quoted(f"mn{i}") if num else null_d).alias("min"),
+            (quoted(f"mx{i}") if num else null_d).alias("max"),
+            (quoted(f"av{i}") if num else null_d).alias("mean"),
+            (quoted(f"sd{i}") if num else null_d).alias("std"),
+            (quoted(f"q{i}")[0] if num and inline_q else null_d).alias("q25"),
+            (quoted(f"q{i}")[1] if num and inline_q else null_d).alias("median"),
+            (quoted(f"q{i}")[2] if num and inline_q else null_d).alias("q75"),
+            (quoted(f"ft{i}").cast("string") if kind == "categorical" else null_s).alias("first_text"),
+            (quoted(f"dmn{i}") if dtm else null_s).alias("dmin"),
+            (quoted(f"dmx{i}") if dtm else null_s).alias("dmax"),
+            (quoted(f"tmn{i}") if dtm else null_t).alias("tmin"),
+            (quoted(f"tmx{i}") if dtm else null_t).alias("tmax"),
         ))
     stats = wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     num_cols = [c for c in cols if column_kind(df.schema[c].dataType) == "numeric"]
@@ -130,8 +130,8 @@ def value_counts_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     structs = []
     for c in cols:
         dt = df.schema[c].dataType
-        num = F.col(c).cast("double") if isinstance(dt, T.NumericType) else F.lit(None).cast("double")
-        structs.append(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"),
+        num = quoted(c).cast("double") if isinstance(dt, T.NumericType) else F.lit(None).cast("double")
+        structs.append(F.struct(F.lit(c).alias("name"), quoted(c).cast("string").alias("value"),
                                 num.alias("num")))
     long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     return (long.filter(F.col("value").isNotNull())
@@ -289,15 +289,15 @@ def stats_date(df: DataFrame, cols=None) -> DataFrame:
     for c in cols:
         kind = column_kind(df.schema[c].dataType)
         if kind == "datetime":
-            out.append((c, F.col(c).cast("timestamp")))
+            out.append((c, quoted(c).cast("timestamp")))
         elif kind == "categorical":
-            out.append((c, F.try_to_timestamp(F.col(c))))
+            out.append((c, F.try_to_timestamp(quoted(c))))
     aggs = []
     for i, (c, e) in enumerate(out):
         aggs += [F.min(e).alias(f"a{i}"), F.max(e).alias(f"b{i}"), F.count(e).alias(f"n{i}")]
     wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("name"), F.col(f"a{i}").alias("t0"), F.col(f"b{i}").alias("t1"),
-                        F.col(f"n{i}").alias("n")) for i, (c, _) in enumerate(out)]
+    structs = [F.struct(F.lit(c).alias("name"), quoted(f"a{i}").alias("t0"), quoted(f"b{i}").alias("t1"),
+                        quoted(f"n{i}").alias("n")) for i, (c, _) in enumerate(out)]
     long = wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*").filter(F.col("n") > 0)
     secs = F.unix_timestamp("t1") - F.unix_timestamp("t0")
     return long.select(
@@ -319,10 +319,10 @@ def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 4, appr
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Columns with at least one missing value: count and % of rows (2 dp)."""
-    aggs = [F.count(F.lit(1)).alias("_t")] + [F.count_if(F.col(c).isNull()).alias(f"m{i}")
+    aggs = [F.count(F.lit(1)).alias("_t")] + [F.count_if(quoted(c).isNull()).alias(f"m{i}")
                                                for i, c in enumerate(df.columns)]
     wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_count"), F.col("_t").alias("t"))
+    structs = [F.struct(F.lit(c).alias("column"), quoted(f"m{i}").alias("missing_count"), F.col("_t").alias("t"))
                for i, c in enumerate(df.columns)]
     long = wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     return long.filter(F.col("missing_count") > 0).select(
@@ -331,7 +331,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of identical rows (nulls equal)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c"))
+    g = df.groupBy(*named(df.columns)).agg(F.count(F.lit(1)).alias("c"))
     return g.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -345,8 +345,8 @@ def dataset_info(df: DataFrame) -> DataFrame:
     n_cols = len(df.columns)
     row_missing = F.lit(0)
     for c in df.columns:
-        row_missing = row_missing + F.col(c).isNull().cast("int")
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c")).withColumn("_m", row_missing)
+        row_missing = row_missing + quoted(c).isNull().cast("int")
+    g = df.groupBy(*named(df.columns)).agg(F.count(F.lit(1)).alias("_c")).withColumn("_m", row_missing)
     out = g.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("rows"),
                 F.coalesce(F.sum(F.col("_c") * F.col("_m")), F.lit(0)).cast("long").alias("total_missing"),
                 F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
@@ -366,8 +366,8 @@ def nunique(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
     """Distinct non-null values per column (one histogram shuffle, or HLL)."""
     cols = cols or df.columns
     if approx:
-        wide = df.agg(*[F.approx_count_distinct(c).alias(f"u{i}") for i, c in enumerate(cols)])
-        structs = [F.struct(F.lit(c).alias("name"), F.col(f"u{i}").alias("nunique")) for i, c in enumerate(cols)]
+        wide = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"u{i}") for i, c in enumerate(cols)])
+        structs = [F.struct(F.lit(c).alias("name"), quoted(f"u{i}").alias("nunique")) for i, c in enumerate(cols)]
         return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     hist = value_counts_long(df, cols)
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "name string")
@@ -378,8 +378,8 @@ def nunique(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
 def problem_type(df: DataFrame, target: str) -> DataFrame:
     """classification / regression from the target's type and cardinality."""
     numeric = column_kind(df.schema[target].dataType) == "numeric"
-    t = df.select(target).filter(F.col(target).isNotNull())
-    s = t.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(target).alias("u"))
+    t = df.select(quoted(target)).filter(quoted(target).isNotNull())
+    s = t.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(quoted(target)).alias("u"))
     if not numeric:
         kind = F.lit("classification")
     else:
@@ -393,23 +393,23 @@ def column_info(df: DataFrame, order_by: list[str], cols: list[str] | None = Non
     """Training-page column table: dtype, missing, nunique, numeric flag,
     target-candidate flag, first three non-null samples in row order, task."""
     cols = cols or [c for c in df.columns if c not in order_by]
-    ordv = F.struct(*[F.col(o) for o in order_by])
+    ordv = F.struct(*[quoted(o) for o in order_by])
     hist = value_counts_long(df, cols)
     card = hist.groupBy("name").agg(F.count(F.lit(1)).alias("u"))
     # three first non-null values per column: partial top-k per group before the shuffle
-    structs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cols]
+    structs = [F.struct(F.lit(c).alias("name"), quoted(c).cast("string").alias("value")) for c in cols]
     long = df.select(ordv.alias("o"), F.explode(F.array(*structs)).alias("s")) \
         .select("o", "s.*").filter(F.col("value").isNotNull())
     w = Window.partitionBy("name").orderBy("o")
     samples = (long.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= 3)
                .groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "value"))),
                                                              lambda x: x["value"]), ", ").alias("sample_values")))
-    nn = df.agg(F.count(F.lit(1)).alias("t"), *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+    nn = df.agg(F.count(F.lit(1)).alias("t"), *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     nn_long = nn.select(F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"),
                                                       F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
                                                       F.lit(column_kind(df.schema[c].dataType) == "numeric")
                                                       .alias("is_numeric"),
-                                                      F.col(f"n{i}").alias("nn"), F.col("t").alias("t"))
+                                                      quoted(f"n{i}").alias("nn"), F.col("t").alias("t"))
                                             for i, c in enumerate(cols)])).alias("s")).select("s.*")
     j = nn_long.join(card, "name", "left").join(samples, "name", "left") \
         .withColumn("u", F.coalesce("u", F.lit(0)))

@@ -3,11 +3,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quoted
 from . import prep
 
 
@@ -19,7 +20,7 @@ def pca(df: DataFrame, cols: list[str], k: int = 2, scale: bool = False) -> tupl
     if not scale:
         fit = {c: (m, 1.0) for c, (m, _) in fit.items()}
     d = prep.apply_scaler(df, fit)
-    v = VectorAssembler(inputCols=cols, outputCol="_x").transform(d)
+    v = d.withColumn("_x", array_to_vector(F.array(*[quoted(c).cast("double") for c in cols])))
     model = PCA(k=k, inputCol="_x", outputCol="_pc").fit(v)
     out = model.transform(v).withColumn("pc", vector_to_array("_pc")).drop("_x", "_pc")
     comps = model.pc.toArray().T.tolist()
@@ -35,7 +36,7 @@ def variance_ratio(df: DataFrame, cols: list[str], k: int | None = None, scale:
 def reconstruction_error(df: DataFrame, cols: list[str], k: int, scale: bool = True) -> DataFrame:
     """Mean squared residual per value after projecting on ``k`` components."""
     out, _, comps = pca(df, cols, k, scale)
-    z = [F.col(c) for c in cols]  # ``out`` holds the centred (and scaled) values
+    z = [quoted(c) for c in cols]  # ``out`` holds the centred (and scaled) values
     rec = [sum(F.col("pc")[j] * F.lit(comps[j][i]) for j in range(k)) for i in range(len(cols))]
     sq = sum((zi - ri) * (zi - ri) for zi, ri in zip(z, rec))
     return out.agg((F.avg(sq) / len(cols)).alias("reconstruction_error"))

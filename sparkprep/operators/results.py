@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rnd
+from ..functions.scalar import named, rnd
 
 RESULT_COLUMNS = ["project_id", "model_id", "algorithm", "problem_type", "split", "metric", "value",
                   "created_at", "error"]
@@ -82,7 +82,7 @@ def best_by(df: DataFrame, metric: str, by: list[str] | None = None, tiebreak: s
         order.append(F.col(tiebreak).asc())
     if not by:
         return df.orderBy(*order).limit(1)
-    w = Window.partitionBy(*by).orderBy(*order)
+    w = Window.partitionBy(*named(by)).orderBy(*order)
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
 
 

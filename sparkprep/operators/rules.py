@@ -14,7 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import quoted
+from ..functions.scalar import named, quoted
 from ..sources.ingest import is_numeric
 from . import scan
 from .clean import fit_domain, onehot
@@ -29,25 +29,25 @@ def binarize(df: DataFrame, cols: list[str], max_levels: int = 5) -> DataFrame:
     medians = {c: (v[0] if v else None) for c, v in qv.items()}
     binary = set()
     for c in numeric:  # already 0/1 indicator columns pass through unchanged
-        vals = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(3).collect()]
+        vals = [r[0] for r in df.select(quoted(c)).filter(quoted(c).isNotNull()).distinct().limit(3).collect()]
         if vals and set(vals) <= {0, 1}:
             binary.add(c)
     for c in cols:
         if c in binary:
-            out = out.withColumn(c, F.col(c).cast("int"))
+            out = out.withColumn(c, quoted(c).cast("int"))
             keep.append(c)
         elif c in numeric:
             if medians[c] is not None:
-                out = out.withColumn(f"{c}_high", (F.col(c) > F.lit(medians[c])).cast("int"))
+                out = out.withColumn(f"{c}_high", (quoted(c) > F.lit(medians[c])).cast("int"))
                 keep.append(f"{c}_high")
         else:
-            dom = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(max_levels + 1).count()
+            dom = df.select(quoted(c)).filter(quoted(c).isNotNull()).distinct().limit(max_levels + 1).count()
             if dom <= max_levels:
                 values = fit_domain(df, c, max_levels)
                 before = set(out.columns)
                 out = onehot(out, c, values)
                 keep += [x for x in out.columns if x not in before]
-    return out.select(*keep)
+    return out.select(*named(keep))
 
 
 def onehot_to_baskets(binary: DataFrame, id_col: str | None = None) -> DataFrame:
@@ -60,7 +60,7 @@ def onehot_to_baskets(binary: DataFrame, id_col: str | None = None) -> DataFrame
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, items_col: str = "items",
                       num_partitions: int | None = None) -> DataFrame:
     """(items sorted array, size, freq, support) of every item set with support >= min_support."""
-    b = baskets.select(F.array_distinct(F.col(items_col)).alias("items"))  # FP-growth needs distinct items
+    b = baskets.select(F.array_distinct(quoted(items_col)).alias("items"))  # FP-growth needs distinct items
     n = b.count()
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
     if num_partitions:

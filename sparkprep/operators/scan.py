@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import quoted
+from ..functions.scalar import named, quoted
 from ..session import materialize
 
 BUCKET_COL = "_sp_bucket"
@@ -45,12 +45,12 @@ def _splitters(df: DataFrame, cols: list[str], nb: int) -> list[tuple]:
     keys = [f"_k{i}" for i in range(len(cols))]
     named = df.select(*[quoted(c).alias(k) for c, k in zip(cols, keys, strict=True)])
     sample = named.orderBy(F.rand(7)).limit(SAMPLE_PER_BUCKET * nb)
-    order = Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])  # over the bounded sample
+    order = Window.orderBy(*[quoted(k).asc_nulls_first() for k in keys])  # over the bounded sample
     ranked = sample.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy()))
     step = F.greatest(F.lit(1), F.floor(F.col("_m") / nb))
     shown = []
     for k in keys:
-        value = F.col(k)
+        value = quoted(k)
         if isinstance(named.schema[k].dataType, (T.StringType, T.BinaryType)):
             text = value.cast("string") if isinstance(named.schema[k].dataType, T.StringType) else F.hex(value)
             before = F.lag(text).over(order)
@@ -158,8 +158,8 @@ def add_order_bucket(df: DataFrame, order_cols: list[str], descending: bool = Fa
 
 def _order_exprs(order_cols: list[str], descending: bool) -> list[Column]:
     if descending:
-        return [F.col(c).desc_nulls_last() for c in order_cols]
-    return [F.col(c).asc_nulls_first() for c in order_cols]
+        return [quoted(c).desc_nulls_last() for c in order_cols]
+    return [quoted(c).asc_nulls_first() for c in order_cols]
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
@@ -176,25 +176,25 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     frame_end = 0 if inclusive else -1
     if nb <= 1:
         # one bucket was asked for: a plain window
-        w1 = Window.partitionBy(*keys).orderBy(*_order_exprs(order_cols, descending)) \
+        w1 = Window.partitionBy(*named(keys)).orderBy(*_order_exprs(order_cols, descending)) \
             .rowsBetween(Window.unboundedPreceding, frame_end)
         out = df
         for c in sum_cols:
-            out = out.withColumn(f"{c}{suffix}", F.coalesce(F.sum(c).over(w1), F.lit(0)))
+            out = out.withColumn(f"{c}{suffix}", F.coalesce(F.sum(quoted(c)).over(w1), F.lit(0)))
         return out
     b = add_order_bucket(df, order_cols, descending, nb)
     seg = keys + [BUCKET_COL]
-    tot = b.groupBy(*seg).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_prev = Window.partitionBy(*keys).orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*seg, *[F.coalesce(F.sum(f"_t_{c}").over(w_prev), F.lit(0)).alias(f"_o_{c}")
+    tot = b.groupBy(*named(seg)).agg(*[F.sum(quoted(c)).alias(f"_t_{c}") for c in sum_cols])
+    w_prev = Window.partitionBy(*named(keys)).orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*named(seg), *[F.coalesce(F.sum(f"_t_{c}").over(w_prev), F.lit(0)).alias(f"_o_{c}")
                              for c in sum_cols])
     if not keys:
         off = F.broadcast(off)  # one row per bucket
     j = b.join(off, on=seg, how="left")
-    w_in = Window.partitionBy(*seg).orderBy(*_order_exprs(order_cols, descending)) \
+    w_in = Window.partitionBy(*named(seg)).orderBy(*_order_exprs(order_cols, descending)) \
         .rowsBetween(Window.unboundedPreceding, frame_end)
     for c in sum_cols:
-        j = j.withColumn(f"{c}{suffix}", F.coalesce(F.sum(c).over(w_in), F.lit(0)) + F.col(f"_o_{c}"))
+        j = j.withColumn(f"{c}{suffix}", F.coalesce(F.sum(quoted(c)).over(w_in), F.lit(0)) + quoted(f"_o_{c}"))
     return j.drop(*[f"_o_{c}" for c in sum_cols], BUCKET_COL)
 
 
@@ -208,25 +208,25 @@ def carry_fill(df: DataFrame, value_col: str, order_cols: list[str],
     keys = list(partition_cols or [])
     out_col = out_col or value_col
     fwd = direction == "forward"
-    v = F.col(value_col)
+    v = quoted(value_col)
     nb = choose_buckets(df, n_buckets)
     if nb <= 1:
-        w1 = Window.partitionBy(*keys).orderBy(*_order_exprs(order_cols, not fwd)) \
+        w1 = Window.partitionBy(*named(keys)).orderBy(*_order_exprs(order_cols, not fwd)) \
             .rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out_col, F.last(v, ignorenulls=True).over(w1))
     b = add_order_bucket(df, order_cols, descending=not fwd, n_buckets=nb)
     seg = keys + [BUCKET_COL]
-    ordv = F.struct(*[F.col(c) for c in order_cols])
+    ordv = F.struct(*[quoted(c) for c in order_cols])
     pick = F.when(v.isNotNull(), ordv)
     agg = F.max_by(v, pick) if fwd else F.min_by(v, pick)
-    segs = b.groupBy(*seg).agg(agg.alias("_seg_v"))
-    w_prev = Window.partitionBy(*keys).orderBy(BUCKET_COL if fwd else F.col(BUCKET_COL)) \
+    segs = b.groupBy(*named(seg)).agg(agg.alias("_seg_v"))
+    w_prev = Window.partitionBy(*named(keys)).orderBy(BUCKET_COL if fwd else quoted(BUCKET_COL)) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    carried = segs.select(*seg, F.last("_seg_v", ignorenulls=True).over(w_prev).alias("_carry"))
+    carried = segs.select(*named(seg), F.last("_seg_v", ignorenulls=True).over(w_prev).alias("_carry"))
     if not keys:
         carried = F.broadcast(carried)
     j = b.join(carried, on=seg, how="left")
-    w_in = Window.partitionBy(*seg).orderBy(*_order_exprs(order_cols, not fwd)) \
+    w_in = Window.partitionBy(*named(seg)).orderBy(*_order_exprs(order_cols, not fwd)) \
         .rowsBetween(Window.unboundedPreceding, 0)
     filled = F.coalesce(F.last(v, ignorenulls=True).over(w_in), F.col("_carry"))
     return j.withColumn(out_col, filled).drop("_carry", BUCKET_COL)
@@ -236,7 +236,7 @@ def value_histogram(df: DataFrame, col: str, partition_cols: list[str] | None =
                     count_col: str = "n") -> DataFrame:
     """(keys, value, n) for non-null values: ranks, ROC, PR and lift work on this."""
     keys = list(partition_cols or [])
-    return df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias(count_col))
+    return df.filter(quoted(col).isNotNull()).groupBy(*named([*keys, col])).agg(F.count(F.lit(1)).alias(count_col))
 
 
 def average_rank(df: DataFrame, col: str, out_col: str = "rank",
@@ -249,15 +249,15 @@ def average_rank(df: DataFrame, col: str, out_col: str = "rank",
     keys = list(partition_cols or [])
     h = value_histogram(df, col, keys, "_n")
     h = prefix_sums(h, [col], ["_n"], keys, n_buckets=n_buckets)
-    h = h.select(*keys, col, (F.col("_n_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out_col))
+    h = h.select(*named([*keys, col]), (F.col("_n_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out_col))
     return df.join(h, on=keys + [col], how="left")
 
 
 def dense_codes(df: DataFrame, col: str, out_col: str = "code", n_buckets: int | None = None) -> DataFrame:
     """(value, code): 0-based position of every distinct non-null value in sort order."""
-    d = df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    d = df.select(quoted(col)).filter(quoted(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
     d = prefix_sums(d, [col], ["_one"], n_buckets=n_buckets)
-    return d.select(col, (F.col("_one_cum") - 1).cast("long").alias(out_col))
+    return d.select(quoted(col), (F.col("_one_cum") - 1).cast("long").alias(out_col))
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_buckets: int | None = None) -> DataFrame:
@@ -285,7 +285,7 @@ def quantiles_from_hist(hist: DataFrame, probs: list[float], n_buckets: int = 1)
         "name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     tg = tg.withColumn("h", (F.col("n") - 1) * F.col("p")).withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
     # (target, bucket) pairs whose rank range holds rank lo or rank hi: at most 2 per target
-    holds = lambda r: (F.col("off") <= F.col(r)) & (F.col(r) < F.col("off") + F.col("t"))
+    holds = lambda r: (F.col("off") <= quoted(r)) & (quoted(r) < F.col("off") + F.col("t"))
     need = seg.join(tg, "name").filter(holds("lo") | holds("hi")) \
         .select("name", BUCKET_COL, "off", "p", "h", "lo", "hi")
     keys = need.select("name", BUCKET_COL, "off").distinct()  # <= 2 x probs rows per column
@@ -293,7 +293,7 @@ def quantiles_from_hist(hist: DataFrame, probs: list[float], n_buckets: int = 1)
     w_in = Window.partitionBy("name", BUCKET_COL).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("last", F.col("off") + F.sum("c").over(w_in)).withColumn("first", F.col("last") - F.col("c"))
     pick = rows.join(F.broadcast(need.select("name", BUCKET_COL, "p", "h", "lo", "hi")), ["name", BUCKET_COL])
-    inside = lambda r: (F.col("first") <= F.col(r)) & (F.col(r) < F.col("last"))
+    inside = lambda r: (F.col("first") <= quoted(r)) & (quoted(r) < F.col("last"))
     g = pick.groupBy("name", "p").agg(F.max("h").alias("h"), F.max("lo").alias("lo"),
                                       F.max(F.when(inside("lo"), F.col("v"))).alias("v_lo"),
                                       F.max(F.when(inside("hi"), F.col("v"))).alias("v_hi"))
@@ -336,8 +336,8 @@ def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
                 spans.append((i, j, low, high, math.floor(h), math.ceil(h)))
         if not spans:
             break
-        below = clean.agg(*[F.count_if(F.col(xs[i]) < F.lit(low)).alias(f"c{s}") for s, (i, _, low, *_) in enumerate(spans)]).first()
-        inside = [F.when((F.col(xs[i]) >= F.lit(low)) & (F.col(xs[i]) <= F.lit(high)), F.struct(F.lit(s).alias("s"), (F.col(xs[i]) + F.lit(0.0)).alias("v")))
+        below = clean.agg(*[F.count_if(quoted(xs[i]) < F.lit(low)).alias(f"c{s}") for s, (i, _, low, *_) in enumerate(spans)]).first()
+        inside = [F.when((quoted(xs[i]) >= F.lit(low)) & (quoted(xs[i]) <= F.lit(high)), F.struct(F.lit(s).alias("s"), (quoted(xs[i]) + F.lit(0.0)).alias("v")))
                   for s, (i, _, low, high, *_) in enumerate(spans)]
         near = F.filter(F.array(*inside), lambda x: x.isNotNull())
         hist = clean.select(F.explode(near).alias("s")).select("s.*").groupBy("s", "v").agg(F.count("*").alias("c"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import named, quoted
 from ..session import materialize
 from . import anomaly, cluster, linkage, prep, reduce, rules
 
@@ -37,7 +38,7 @@ def _clustering(df, key, vec, method, params):
                                 max_iter=params.get("max_iter", 300), seed=params.get("random_state", 42))
     else:
         size = df.select(F.size(vec)).first()[0]
-        wide = df.select(key, *[F.col(vec)[i].alias(f"d{i}") for i in range(size)])
+        wide = df.select(quoted(key), *[F.col(vec)[i].alias(f"d{i}") for i in range(size)])
         found, error = linkage.agglomerative_labels(wide, key, [f"d{i}" for i in range(size)], params.get("n_clusters", 2), params.get("linkage", "ward"))
         lab = materialize(df.join(found, key), "agglomerative")
     summ = cluster.summaries(lab, "cluster", vec)
@@ -67,20 +68,20 @@ def train_unsupervised(df: DataFrame, key: str, features: list[str], family: str
             if FAMILY_OF.get(m) != family:
                 raise ValueError(f"method '{m}' does not belong to {family}")
             if family == "clustering":
-                d = prep.impute(df.select(key, *features), features)
+                d = prep.impute(df.select(quoted(key), *named(features)), features)
                 d = prep.standard_scale(d, features)
                 if m == "dbscan":
                     out = _dbscan(d, key, features, p)
                 else:
-                    out = _clustering(d.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("x")), key, "x", m, p)
+                    out = _clustering(d.select(quoted(key), F.array(*[quoted(c).cast("double") for c in features]).alias("x")), key, "x", m, p)
             elif family == "dimensionality_reduction":
                 k = p.get("n_components", 2)
-                ratios = reduce.variance_ratio(prep.impute(df.select(*features), features), features, k, scale=True)
+                ratios = reduce.variance_ratio(prep.impute(df.select(*named(features)), features), features, k, scale=True)
                 vals = [r["ratio"] for r in ratios.orderBy("component").collect()]
                 out = [("variance_explained", float(sum(vals))), ("n_components", float(k))]
             elif family == "anomaly":
                 if m == "one_class_svm":
-                    d = prep.standard_scale(prep.impute(df.select(key, *features), features), features)
+                    d = prep.standard_scale(prep.impute(df.select(quoted(key), *named(features)), features), features)
                     s = anomaly.one_class_svm(d, key, features, p.get("nu", 0.5), p.get("kernel", "rbf"), p.get("gamma", "scale"))
                 else:
                     s = anomaly.isolation_forest(df, key, features, p.get("n_estimators", 100),
@@ -88,7 +89,7 @@ def train_unsupervised(df: DataFrame, key: str, features: list[str], family: str
                 r = anomaly.anomaly_summary(s).first()
                 out = [("anomalies_detected", float(r["anomalies_detected"])), ("outlier_ratio", float(r["outlier_ratio"]))]
             else:
-                baskets = df.select(F.col(items_col).alias("items")) if items_col else rules.onehot_to_baskets(rules.binarize(df, features))
+                baskets = df.select(quoted(items_col).alias("items")) if items_col else rules.onehot_to_baskets(rules.binarize(df, features))
                 fi = rules.frequent_itemsets(baskets, p.get("min_support", 0.1))
                 rl = rules.association_rules(fi, p.get("min_confidence", 0.5))
                 s = rules.rule_summary(rl).first()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import named
 from . import records
 
 FLOAT_TYPES = (T.DoubleType, T.FloatType)
@@ -26,9 +27,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, FLOAT_TYPES):
-            cols.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
+            cols.append(F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
@@ -120,7 +121,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def schema_peek(df: DataFrame, order_by: list[str] | None = None, n: int = 5) -> DataFrame:
     """First ``n`` rows (in ``order_by`` order when given) — a bounded preview."""
     if order_by:
-        df = df.orderBy(*order_by)
+        df = df.orderBy(*named(order_by))
     return df.limit(n)
 
 
@@ -165,8 +166,8 @@ def scan_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
         cond = predicate
         for c in predicate_cols or []:
             if isinstance(df.schema[c].dataType, FLOAT_TYPES):
-                cond = cond & ~F.isnan(F.col(c))
+                cond = cond & ~F.isnan(F.col(f"`{c}`"))
         df = df.filter(cond)
     if columns:
-        df = df.select(*columns)
+        df = df.select(*named(columns))
     return nan_to_null(df)
