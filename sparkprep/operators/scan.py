@@ -19,7 +19,9 @@ A key holding a third of all rows is therefore split over every bucket.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,8 @@ from ..session import materialize
 
 BUCKET_COL = "_sp_bucket"
 SAMPLE_PER_BUCKET = 40
-QUANTILE_ACCURACY = 100_000
+# size of the KLL sketches, thrice the rank error to expect of it, and tables of sketches that merge first
+SKETCH_K, SKETCH_ERROR, SKETCH_GROUPS = 4000, 0.004, 256
 
 
 def _splitters(df: DataFrame, cols: list[str], nb: int) -> list[tuple]:
@@ -307,11 +310,11 @@ def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
     ascending, h = (n - 1) p and the value is v[floor h] + (h - floor h) (v[ceil h] - v[floor h]).
     NULL and NaN are no values.
 
-    Selection by brackets: one aggregate of all columns gives n and, from a mergeable sketch,
-    an interval around each quantile that surely holds both ranks but few rows; a second one
-    counts the rows below the intervals; only values inside them (a few in a hundred
-    thousand) are shuffled, counted and ranked. An interval that misses its ranks is
-    widened and looked at again. The driver sees a few numbers per column and quantile.
+    Selection by brackets: one aggregate of all columns gives n and, from KLL sketches merged in
+    two levels, an interval around each quantile that should hold both ranks but few rows; a
+    second one counts the rows below the intervals; only values inside them (below one in a
+    hundred) are shuffled, counted and ranked. An interval that misses its ranks is widened
+    and looked at again. The driver sees a few numbers per column and quantile.
     """
     xs = [f"x{i}" for i in range(len(cols))]
     clean = df.select(*[F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")).alias(x) for c, x in zip(cols, xs, strict=True)])
@@ -319,16 +322,19 @@ def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
     out: dict = dict.fromkeys(cols)
     if not ps or not cols:
         return out
-    todo, width = [(i, j) for i in range(len(cols)) for j in range(len(ps))], 3.0 / QUANTILE_ACCURACY
+    todo, width = [(i, j) for i in range(len(cols)) for j in range(len(ps))], SKETCH_ERROR
     found: dict[tuple[int, int], float] = {}
     while todo:
         asked = {i: [j for k, j in todo if k == i] for i in sorted({i for i, _ in todo})}
         ends = {i: [e for j in js for e in (max(0.0, ps[j] - width), min(1.0, ps[j] + width))] for i, js in asked.items()}
-        row = clean.agg(*[F.count(xs[i]).alias(f"n{i}") for i in asked], *[F.percentile_approx(xs[i], ends[i], QUANTILE_ACCURACY).alias(f"e{i}") for i in asked],
-                        *[F.min(xs[i]).alias(f"a{i}") for i in asked], *[F.max(xs[i]).alias(f"b{i}") for i in asked]).first()
+        parts = clean.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part")).agg(
+            *[f.alias(f"{n}{i}") for i in asked for n, f in (("n", F.count(xs[i])), ("a", F.min(xs[i])), ("b", F.max(xs[i])), ("s", F.kll_sketch_agg_double(xs[i], SKETCH_K)))])
+        row = parts.agg(*[f.alias(f"{n}{i}") for i in asked for n, f in (("n", F.sum(f"n{i}")), ("a", F.min(f"a{i}")), ("b", F.max(f"b{i}")), ("s", F.kll_merge_agg_double(f"s{i}")))]).select(
+            *[F.col(f"{n}{i}") for i in asked for n in ("n", "a", "b")],
+            *[F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", F.array(*map(F.lit, ends[i])))).alias(f"e{i}") for i in asked]).first()
         spans = []  # (i, j, low, high, first rank, second rank)
         for i, js in asked.items():
-            n = row[f"n{i}"]
+            n = row[f"n{i}"] or 0
             for m, j in enumerate(js if n else []):
                 h = (n - 1) * ps[j]
                 low = row[f"a{i}"] if ps[j] <= width else row[f"e{i}"][2 * m]
@@ -336,18 +342,29 @@ def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
                 spans.append((i, j, low, high, math.floor(h), math.ceil(h)))
         if not spans:
             break
-        below = clean.agg(*[F.count_if(quoted(xs[i]) < F.lit(low)).alias(f"c{s}") for s, (i, _, low, *_) in enumerate(spans)]).first()
-        inside = [F.when((quoted(xs[i]) >= F.lit(low)) & (quoted(xs[i]) <= F.lit(high)), F.struct(F.lit(s).alias("s"), (quoted(xs[i]) + F.lit(0.0)).alias("v")))
-                  for s, (i, _, low, high, *_) in enumerate(spans)]
-        near = F.filter(F.array(*inside), lambda x: x.isNotNull())
-        hist = clean.select(F.explode(near).alias("s")).select("s.*").groupBy("s", "v").agg(F.count("*").alias("c"))
-        ranks = F.array(*[F.array(F.lit(lo - below[f"c{s}"]), F.lit(hi - below[f"c{s}"])) for s, (*_, lo, hi) in enumerate(spans)]).cast("array<array<long>>")
-        upto = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        held = (hist.withColumn("last", F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c")).withColumn("r", F.element_at(ranks, F.col("s") + 1)))
-        holds = lambda k: (F.col("first") <= F.col("r")[k]) & (F.col("r")[k] < F.col("last"))
+        parts_of = lambda x, low, high: {"under": x < low, "low": x == low, "inside": (x > low) & (x < high), "high": (x == high) & F.lit(low < high)}
+        tests = [parts_of(quoted(xs[i]), low, high) for i, _, low, high, *_ in spans]
+        counts = clean.agg(*[F.count_if(test).alias(f"{name}{s}") for s, of in enumerate(tests) for name, test in of.items()]).first()
         picked: dict[tuple[int, int], float] = {}
-        for r in held.select("s", "v", holds(0).alias("lo"), holds(1).alias("hi")).filter("lo OR hi").collect():  # two rows a span at most
-            picked |= {(r["s"], k): r["v"] for k, hit in ((0, r["lo"]), (1, r["hi"])) if hit}
+        within: list[tuple[int, int, int]] = []  # (span, 0 or 1, rank among the values strictly inside)
+        for s, (_, _, low, high, *ranks) in enumerate(spans):
+            for k, rank in enumerate(ranks):
+                at = rank - counts[f"under{s}"]
+                if 0 <= at < counts[f"low{s}"]:
+                    picked[s, k] = low
+                elif 0 <= (at := at - counts[f"low{s}"]) < counts[f"inside{s}"]:
+                    within.append((s, k, at))
+                elif 0 <= (at := at - counts[f"inside{s}"]) < counts[f"high{s}"]:
+                    picked[s, k] = high
+        if within:  # the ends are counted already, however many rows share them
+            asked_of = sorted({s for s, *_ in within})
+            inside = [F.when(tests[s]["inside"], F.struct(F.lit(s).alias("s"), (quoted(xs[spans[s][0]]) + F.lit(0.0)).alias("v"))) for s in asked_of]
+            rows = clean.filter(functools.reduce(operator.or_, [tests[s]["inside"] for s in asked_of])).select(F.explode(F.array(*inside)).alias("s")).filter("s IS NOT NULL")
+            upto = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            held = rows.select("s.*").groupBy("s", "v").agg(F.count("*").alias("c")).withColumn("last", F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c"))
+            wanted = df.sparkSession.createDataFrame(within, "s int, k int, rank long")
+            for r in held.join(F.broadcast(wanted), "s").filter("first <= rank AND rank < last").select("s", "k", "v").collect():  # two rows a span at most
+                picked[r["s"], r["k"]] = r["v"]
         missed = []
         for s, (i, j, *_) in enumerate(spans):
             if (s, 0) in picked and (s, 1) in picked:
