@@ -5,7 +5,9 @@ lower-casing) a HyperLogLog sketch of the sites that show it is built map-side
 and merged by aggregation. Lines whose estimate is clear of the threshold are
 decided by it; lines near it get an exact distinct count. Lines shown by
 ``min_sites`` sites or more are removed from every text. Copies of one whole
-text count as one showing (on the least of their sites): whole copies are the
+text count as one showing (on the least of their sites), and texts more than half
+of whose words stand in lines of ``min_sites`` sites or more don't count as
+showings at all: they are near copies of each other. Whole and near copies are the
 business of document deduplication and must not make an article boilerplate.
 
 Defined results: a null text stays null, a text that loses all its lines becomes
@@ -44,16 +46,17 @@ def _lines(rows: DataFrame, text: str, min_words: int, *keep: Column) -> DataFra
     return (rows.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("__pos", "__line"))
             .withColumn("__line", _normal(F.col("__line")))
             .filter(_long_enough(F.col("__line"), min_words))
-            .withColumns({"h1": F.xxhash64("__line"), "h2": F.hash("__line")}).drop("__line"))
+            .withColumns({"h1": F.xxhash64("__line"), "h2": F.hash("__line"), "__words": F.size(F.split("__line", SPACE_CLASS))}).drop("__line"))
 
 
 def boilerplate_lines(df: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES,
                       min_words: int = MIN_WORDS) -> DataFrame:
     """(h1, h2, estimate, sites): hashes of the lines on ``min_sites`` sites or
-    more; ``sites`` is the exact count, null where the estimate was clear."""
+    more, near copies aside; ``sites`` is their exact count, null where the estimate
+    of all showings was clear."""
     known = df.filter(F.col(site).isNotNull())
     lines = _lines(known, text, min_words, F.col(site).cast("string").alias("__site"), F.xxhash64(text).alias("__text"))
-    shown = written(lines.groupBy("h1", "h2", "__text").agg(F.min("__site").alias("__site")), "line-shown")
+    shown = written(lines.groupBy("h1", "h2", "__text").agg(F.min("__site").alias("__site"), F.first("__words").alias("__words")), "line-shown")
     # sketches over numbers: an empty site name counts like any other
     spread = (shown.groupBy("h1", "h2").agg(F.hll_sketch_agg(F.xxhash64("__site"), F.lit(LG_K)).alias("__sk"))
               .select("h1", "h2", F.hll_sketch_estimate("__sk").alias("estimate"))
@@ -65,7 +68,15 @@ def boilerplate_lines(df: DataFrame, site: str = "source", text: str = "text", m
              .groupBy("h1", "h2", "estimate", "__site").agg(F.count("*").alias("__n"))
              .groupBy("h1", "h2", "estimate").agg(F.count("*").alias("sites"))
              .filter(F.col("sites") >= min_sites))
-    return written(clear.withColumn("sites", F.lit(None).cast("long")).unionByName(exact), "boilerplate")
+    shared = written(clear.withColumn("sites", F.lit(None).cast("long")).unionByName(exact), "shared-lines")
+    # near copies: texts more than half of whose words (each line once) stand in shared lines
+    inside = shown.join(small(shared.select("h1", "h2")), ["h1", "h2"])
+    whole = shown.groupBy("__text").agg(F.sum("__words").alias("__all"))
+    copies = (inside.groupBy("__text").agg(F.sum("__words").alias("__in")).join(whole, "__text").filter(2 * F.col("__in") > F.col("__all")).select("__text"))
+    copies = written(copies, "near-copies")
+    own = inside.join(small(copies), "__text", "left_anti").groupBy("h1", "h2", "__site").agg(F.count("*").alias("__n"))
+    own = own.groupBy("h1", "h2").agg(F.count("*").alias("__own")).filter(F.col("__own") >= min_sites)
+    return written(shared.join(own, ["h1", "h2"]).withColumn("sites", F.when(F.col("sites").isNotNull(), F.col("__own"))).drop("__own"), "boilerplate")
 
 
 def remove_boilerplate(df: DataFrame, boilerplate: DataFrame, text: str = "text", id_col: str = "doc_id",

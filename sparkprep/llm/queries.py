@@ -89,9 +89,15 @@ normal AS (
 long_enough AS (
   SELECT *, regexp_matches(norm, '^[^\\x20\\x09-\\x0D]+(?:[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+){{{line_dedup.MIN_WORDS - 1}}}') AS counts FROM normal),
 shown AS (
-  SELECT norm, text, min(source) AS site FROM long_enough WHERE counts AND source IS NOT NULL GROUP BY norm, text),
-boilerplate AS (
+  SELECT norm, text, min(source) AS site, len(string_split_regex(norm, '[\\x20\\x09-\\x0D]+')) AS words
+  FROM long_enough WHERE counts AND source IS NOT NULL GROUP BY norm, text),
+shared AS (
   SELECT norm FROM shown GROUP BY norm HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}),
+copies AS (
+  SELECT text FROM shown GROUP BY text HAVING 2 * sum(CASE WHEN norm IN (SELECT norm FROM shared) THEN words ELSE 0 END) > sum(words)),
+boilerplate AS (
+  SELECT norm FROM shown WHERE norm IN (SELECT norm FROM shared) AND text NOT IN (SELECT text FROM copies)
+  GROUP BY norm HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}),
 marked AS (
   SELECT l.*, l.counts AND b.norm IS NOT NULL AS gone FROM long_enough l LEFT JOIN boilerplate b ON l.norm = b.norm)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
@@ -103,7 +109,7 @@ UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 
 @register("op5_line_dedup", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that nine sites or more show."""
+    """Every document without the lines that three sites or more show, near copies aside."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 

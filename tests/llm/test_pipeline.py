@@ -8,7 +8,7 @@ from conftest import SF_SMALL
 from sparkprep.llm import line_dedup, queries
 from sparkprep.llm.common import written
 from test_pairs import components, covered_by_brute_force, low
-from test_sets import ODD, SCHEMA
+from test_sets import ODD, SCHEMA, boilerplate_by_hand
 
 import __spark_entry__ as entry
 
@@ -31,7 +31,7 @@ def test_names_and_registration(stages):
     assert [n for n, *_ in stages] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "sentence_pieces"]
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(queries.QUERIES) | {"pipeline"} <= set(q) and set(queries.SQL) <= set(sql)
-    assert [sum(k.startswith(f"op{n}_") for k in q) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in q) for n in range(1, 14)] == [1] * 13
     for _, before, after in stages[:-1]:
         assert after.columns == before.columns
 
@@ -41,13 +41,7 @@ def test_every_stage_on_its_own_input(spark, stages):
     verdict = {r.doc_id: r.kept for r in queries.op1(spark, SF_SMALL).collect()}
     assert set(by_id(good)) == {i for i, k in verdict.items() if k}
     before, after = by_id(good), by_id(lines)
-    shown = collections.defaultdict(dict)
-    for r in before.values():
-        for x in r.text.split("\n"):
-            n = x.strip(" \t\n\x0b\x0c\r").lower()
-            if len(n.split()) >= line_dedup.MIN_WORDS:
-                shown[n][r.text] = min(r.source, shown[n].get(r.text, r.source))
-    gone = {n for n, s in shown.items() if len(set(s.values())) >= line_dedup.MIN_SITES}
+    gone = boilerplate_by_hand([(r.doc_id, r.source, r.text) for r in before.values()], line_dedup.MIN_SITES)
     assert set(after) == set(before)
     for i, r in after.items():
         assert r.text == "\n".join(x for x in before[i].text.split("\n") if x.strip(" \t\n\x0b\x0c\r").lower() not in gone)

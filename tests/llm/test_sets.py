@@ -90,16 +90,40 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.fit([]).prior == quality.PRIOR_GOOD
 
 
+def boilerplate_by_hand(docs, least):
+    """Lines on enough sites, texts that mostly consist of such lines aside."""
+    shown = collections.defaultdict(dict)
+    for _, site, text in docs:
+        for x in (text or "").split("\n"):
+            n = x.strip(" \t\n\x0b\x0c\r").lower()
+            if len(n.split()) >= line_dedup.MIN_WORDS:
+                shown[n][text] = min(site, shown[n].get(text, site))
+    shared = {n for n, sites in shown.items() if len(set(sites.values())) >= least}
+    words = collections.defaultdict(lambda: [0, 0])
+    for n, sites in shown.items():
+        for text in sites:
+            words[text][0] += len(n.split()) * (n in shared)
+            words[text][1] += len(n.split())
+    return {n for n in shared if len({s for t, s in shown[n].items() if 2 * words[t][0] <= words[t][1]}) >= least}
+
+
+def test_near_copies_make_no_boilerplate(spark):
+    """Twenty near copies of an article on as many sites keep their lines; a notice that they carry, shown by others too, goes."""
+    article = [f"line {j} of an article that many sites print alike" for j in range(10)]
+    rows = []
+    for i in range(20):
+        lines = list(article)
+        lines[i % 10] = f"line changed by the editor of site {i} in his own words"
+        rows.append((i, "\n".join([*lines, "a notice of every site"]), f"s{i}"))
+    rows += [(100 + i, f"some own words {i} of a page and more of them\na notice of every site\nthe end of page {i} after all of this", f"s{i}") for i in range(4)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(out[i] == text.replace("\na notice of every site", "") for i, text, _ in rows)
+
+
 def test_line_dedup_by_brute_force(spark):
     docs = [(r.doc_id, r.source, r.text) for r in spark.read.parquet(f"{SF_CHECK}/documents.parquet").collect()]
     for least in (3, line_dedup.MIN_SITES):
-        shown = collections.defaultdict(dict)
-        for _, site, text in docs:
-            for x in (text or "").split("\n"):
-                n = x.strip(" \t\n\x0b\x0c\r").lower()
-                if len(n.split()) >= line_dedup.MIN_WORDS:
-                    shown[n][text] = min(site, shown[n].get(text, site))
-        gone = {n for n, sites in shown.items() if len(set(sites.values())) >= least}
+        gone = boilerplate_by_hand(docs, least)
         out = line_dedup.dedup_lines(spark.read.parquet(f"{SF_CHECK}/documents.parquet"), min_sites=least)
         got = {r.doc_id: r for r in out.collect()}
         assert len(got) == len(docs) and gone
@@ -110,8 +134,8 @@ def test_line_dedup_by_brute_force(spark):
 
 
 def test_line_dedup_near_and_clear_lines(spark):
-    rows = [(i, f"wide line shown all over\nnear line shown here\nown words {i} only {s}", f"s{s}") for i, s in enumerate(range(40))]
-    rows += [(100 + i, "near line not quite enough\nrest of it " + str(i), f"s{i}") for i in range(8)]
+    rows = [(i, f"wide line shown all over\nnear line shown here\nown words {i} only {s} " + " ".join(f"x{i}y{j}" for j in range(12)), f"s{s}") for i, s in enumerate(range(40))]
+    rows += [(100 + i, "near line not quite enough\nrest of it " + " ".join(f"z{i}y{j}" for j in range(12)), f"s{i}") for i in range(8)]
     rows += [(200 + i, "whole copy on many sites\nits second line too", f"s{i}") for i in range(30)]
     found = line_dedup.boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=9).collect()
     assert len(found) == 2  # copies of one text count once; eight sites are too few
@@ -128,7 +152,8 @@ def test_passages_on_few_sites(spark):
     for n in range(2, 9):
         for site in range(n):
             i = 100 * n + site
-            lines = [f"own line {i} of this text", passage(n), f"another own line {i}", f"short notice number {n}"]
+            own = " ".join(f"d{i}v{j}" for j in range(70))
+            lines = [own, passage(n), f"another own line {i}", f"short notice number {n}"]
             rows.append((i, "\n".join(lines), f"s{site}"))
             expect[i] = "\n".join(lines if n < 3 else lines[::2])
     for i in range(30):
