@@ -144,17 +144,23 @@ def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
     """Long tau-b matrix (col_x, col_y, r): every pair in ONE plan.
 
     Cells (pair, x, y, count) of all pairs are stacked; dense y codes, bit
-    levels and the keyed running counts all carry the pair id as a key.
+    levels and the keyed running counts all carry the pair id as a key. tau-b is
+    symmetric: of each pair the column of fewer values is y, for there are as many bit
+    levels as its codes have bits. A column has tau 1 with itself (none if constant).
     """
     if len(cols) < 2:
         raise ValueError("Please select at least 2 columns.")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    cells = None
-    for pid, (a, b) in enumerate(pairs):
-        c = (df.select(quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y"))
-             .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-             .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).withColumn("pair", F.lit(pid)))
-        cells = c if cells is None else cells.unionByName(c)
+    shape = df.agg(*[f.alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (
+        ("n", F.approx_count_distinct(quoted(c))), ("a", F.min(quoted(c).cast("double"))), ("b", F.max(quoted(c).cast("double"))))]).first()
+    width = {c: shape[f"n{i}"] for i, c in enumerate(cols)}
+    own = [(c, c, 1.0 if shape[f"a{i}"] is not None and shape[f"a{i}"] < shape[f"b{i}"] else None) for i, c in enumerate(cols)]
+    pairs = [(a, b) if width[b] <= width[a] else (b, a) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame(own, "col_x string, col_y string, r double")
+    both = [F.when(quoted(a).isNotNull() & quoted(b).isNotNull(), F.struct(F.lit(i).alias("pair"), quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y")))
+            for i, (a, b) in enumerate(pairs)]
+    cells = df.select(F.explode(F.array(*both)).alias("s")).filter("s IS NOT NULL").select("s.*")
+    cells = materialize(cells.groupBy("pair", "x", "y").agg(F.count("*").alias("c")), "tau-cells")  # read for codes, levels and ties
     ys = cells.select("pair", "y").distinct().withColumn("_one", F.lit(1))
     ys = scan.prefix_sums(ys, ["y"], ["_one"], partition_cols=["pair"],
                           n_buckets=scan.choose_buckets(df))
@@ -169,6 +175,7 @@ def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
                    F.when(bit == 1, F.col("c")).otherwise(0).alias("ones"),
                    F.when(bit == 0, F.col("c")).otherwise(0).alias("zeros"))
     g = lv.groupBy("pair", "lvl", "g", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    g = materialize(g, "tau-levels")  # read for the splitters and the running counts
     g = scan.prefix_sums(g, ["x"], ["ones"], partition_cols=["pair", "lvl", "g"], inclusive=False, suffix="_before",
                          n_buckets=scan.choose_buckets(df))
     disc = g.groupBy("pair").agg(F.sum(F.col("zeros") * F.col("ones_before")).cast("double").alias("d"))
@@ -189,8 +196,8 @@ def kendall(df: DataFrame, cols: list[str], digits: int | None = 4) -> DataFrame
     j = j.join(df.sparkSession.range(1).select(F.explode(names).alias("s")).select("s.*"), "pair")
     res = j.select("a", "b", tau.alias("r"))
     both = res.select(F.col("a").alias("col_x"), F.col("b").alias("col_y"), "r").unionByName(
-        res.filter(F.col("a") != F.col("b")).select(F.col("b").alias("col_x"), F.col("a").alias("col_y"), "r"))
-    return both
+        res.select(F.col("b").alias("col_x"), F.col("a").alias("col_y"), "r"))
+    return both.unionByName(df.sparkSession.createDataFrame(own, "col_x string, col_y string, r double"))
 
 
 def correlate(df: DataFrame, cols: list[str], method: str = "pearson", digits: int | None = 4) -> DataFrame:

@@ -337,3 +337,20 @@ def test_two_writers_get_two_versions(spark, tmp_path):
     assert sorted(versions.read_version(spark, root, "d", v).count() for v in got) == [1, 2, 3, 4]
     assert not versions._create(spark, f"{root}/d/_manifest/{1:012d}.json", "taken")
     assert versions.manifest(spark, root, "d").count() == 4
+
+
+def test_kendall_of_many_values(spark):
+    """tau-b by all pairs, with ties, nulls and columns of hardly any equal values."""
+    from sparkprep.operators import correlate
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=300), np.round(rng.normal(size=300), 1), rng.integers(0, 4, 300)])
+    x[:, 1] += np.round(x[:, 0], 1)
+    df, cols = frame(spark, x)
+    df = df.withColumn("b", F.when(F.col("id") % 11 != 0, F.col("b")))
+    got = {(r["col_x"], r["col_y"]): r["r"] for r in correlate.kendall(df, cols, digits=None).collect()}
+    x[::11, 1] = np.nan
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            both = x[~np.isnan(x[:, [i, j]]).any(axis=1)][:, [i, j]]
+            u, v = (np.sign(both[:, k][:, None] - both[:, k][None, :]) for k in (0, 1))
+            assert got[a, b] == pytest.approx((u * v).sum() / np.sqrt((u * u).sum() * (v * v).sum()))
