@@ -24,8 +24,9 @@ def class_names_frame(spark: SparkSession, names: dict[int, str]) -> DataFrame:
 
 
 def resolve_names(det: DataFrame, names: DataFrame) -> DataFrame:
-    """Class name by id with the ``Class_<id>`` fallback (broadcast: one row per class)."""
-    j = det.join(F.broadcast(names), "class_id", "left")
+    """Class name by id with the ``Class_<id>`` fallback. ``names`` is the caller's: Spark
+    broadcasts it if it is small."""
+    j = det.join(names, "class_id", "left")
     return j.withColumn("name", F.coalesce(F.col("class_name"), F.concat(F.lit("Class_"), F.col("class_id").cast("string")))) \
         .drop("class_name")
 

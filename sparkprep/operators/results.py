@@ -70,7 +70,9 @@ def append_results(rows: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*RESULT_COLUMNS)
+    """All results. A run (project, model, time) that was appended twice, as by a job that was tried
+    again, counts once: its equal rows are one."""
+    return spark.read.parquet(path).select(*RESULT_COLUMNS).distinct()
 
 
 def best_by(df: DataFrame, metric: str, by: list[str] | None = None, tiebreak: str | None = None,

@@ -354,3 +354,12 @@ def test_kendall_of_many_values(spark):
             both = x[~np.isnan(x[:, [i, j]]).any(axis=1)][:, [i, j]]
             u, v = (np.sign(both[:, k][:, None] - both[:, k][None, :]) for k in (0, 1))
             assert got[a, b] == pytest.approx((u * v).sum() / np.sqrt((u * u).sum() * (v * v).sum()))
+
+
+def test_results_appended_twice_count_once(spark, tmp_path):
+    from sparkprep.operators import results
+    rows = spark.createDataFrame([("p", "m", "a", "regression", "test", "rmse", 1.0, "t", None), ("p", "m", "a", "regression", "test", "r2", 0.5, "t", None)],
+                                 "project_id string, model_id string, algorithm string, problem_type string, split string, metric string, value double, created_at string, error string")
+    for _ in range(2):
+        results.append_results(rows, str(tmp_path / "r"))
+    assert results.read_results(spark, str(tmp_path / "r")).count() == 2
