@@ -338,7 +338,20 @@ def q_dbscan_core(spark, sf):
     return CL.dbscan_points(e, "event_id", ["x", "y"], eps=0.1, min_samples=5)
 
 
-@query("dbscan_labels")
+# names spread over the links until a round moves none
+@query("dbscan_labels", f"""WITH RECURSIVE p AS {_DB_PTS},
+pr AS (SELECT a.id, b.id AS qid FROM p a JOIN p b ON b.x BETWEEN a.x - 0.1::DOUBLE AND a.x + 0.1::DOUBLE
+       AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.1::DOUBLE * 0.1::DOUBLE),
+core AS (SELECT id FROM pr GROUP BY id HAVING count(*) >= 5),
+links AS (SELECT pr.id, qid FROM pr JOIN core a ON a.id = pr.id JOIN core b ON b.id = qid),
+lab AS (
+  SELECT id, id AS name, TRUE AS moved FROM core
+  UNION ALL
+  SELECT id, least(name, near), bool_or(near < name) OVER () FROM (
+    SELECT l.id, l.name, min(n.name) AS near FROM lab l JOIN links k ON k.id = l.id JOIN lab n ON n.id = k.qid WHERE l.moved GROUP BY l.id, l.name)),
+named AS (SELECT id, min(name) AS name FROM lab GROUP BY id),
+border AS (SELECT pr.id, min(name) AS name FROM pr JOIN named ON named.id = pr.qid GROUP BY pr.id)
+SELECT p.id AS event_id, coalesce(named.name, border.name, -1) AS cluster FROM p LEFT JOIN named USING (id) LEFT JOIN border USING (id)""")
 def q_dbscan_labels(spark, sf):
     """DBSCAN cluster labels (least core id; border: least of its neighbours'; noise -1), eps 0.1, min_samples 5."""
     e = t(spark, sf, "events").select("event_id", (F.col("value") / 50.0).alias("x"), (F.col("user_id") / 15.0).alias("y"))
