@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkprep.operators import clean, knn, linkage, scan, sparse, supervised
+from sparkprep.operators import clean, graph, knn, linkage, scan, sparse, supervised
 from sparkprep.sources import ingest, records
 
 
@@ -363,3 +363,43 @@ def test_results_appended_twice_count_once(spark, tmp_path):
     for _ in range(2):
         results.append_results(rows, str(tmp_path / "r"))
     assert results.read_results(spark, str(tmp_path / "r")).count() == 2
+
+
+def test_leaf_joins_only_sure_links():
+    x = np.array([[0.0], [1.0], [3.0], [3.5]])
+    comp, links = linkage.joined_inside(x, np.array([9.0, 9.0, 9.0, 0.1]), np.zeros(4, bool))
+    # the last point may have a nearer one elsewhere, and so may all that it joins
+    assert sorted(links) == [(0.5, 2, 3), (1.0, 0, 1), (2.0, 1, 2)] and comp.tolist() == [0, 0, 0, 0]
+    comp, links = linkage.joined_inside(x, np.array([9.0, 9.0, 0.1, 0.1]), np.array([True, False, False, False]))
+    assert links == [] and comp.tolist() == [0, 1, 2, 3]  # the nearest point is alone, or the link longer than the gap
+
+
+def test_spanning_tree_takes_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.c_[np.round(rng.uniform(0, 40, 700), 2), rng.integers(0, 4, 700)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double")
+    _, points = linkage.locations(df, "id", ["x", "y"])
+    met = []
+    monkeypatch.setattr(linkage, "connected_components", lambda e: met.append(1) or graph.connected_components(e))
+    got = sorted(map(tuple, linkage.spanning_tree(points, 64).collect()))
+    pts = [(r.id, np.array(r.x)) for r in points.collect()]
+    every = sorted((float(np.sqrt(((p - r) ** 2).sum())), min(a, b), max(a, b)) for i, (a, p) in enumerate(pts) for b, r in pts[:i])
+    root = {a: a for a, _ in pts}
+
+    def top(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    want = []
+    for d, a, b in every:
+        if top(a) != top(b):
+            root[top(a)] = top(b)
+            want.append((d, a, b))
+    assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in sorted(want)] and len(met) <= 6
+
+
+@pytest.mark.parametrize("few", [0, graph.FEW])
+def test_components_on_and_off_the_driver(spark, few):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (7, 7), (9, 8), (8, 5), (3, 1), (5, 4)], "a long, b long")
+    assert sorted(map(tuple, graph.connected_components(edges, few).collect())) == [(2, 1), (3, 1), (5, 4), (8, 4), (9, 4)]
