@@ -3,8 +3,8 @@
 A text falls apart at its special tokens and then, by the tokenizer's pattern,
 into words; merges never cross a word. Of a word, the leaves of a segment tree
 hold the rank of each adjacent pair with its position (infinite where no merge is
-known). The root is thus the leftmost pair of the lowest rank. Merging it changes
-at most three leaves, each a point update of logarithmic cost; the word is done
+known); a node holds the least of its 16 children. The root is thus the leftmost pair of the
+lowest rank. Merging it changes at most three leaves, point updates of logarithmic cost; the word is done
 when the root is infinite. A word of n bytes costs n log n, however repetitive.
 Words repeat, so a task keeps the ids of those it has met, in a table of bounded size.
 
@@ -59,6 +59,7 @@ _NO_CLASS = "\u0378"  # assigned in no version
 
 NEVER = 1 << 62
 FEW = 1000  # symbols up to which plain lists serve
+FAN = 16  # children of a node of the segment tree
 
 
 def _is_latin(text: str) -> bool:
@@ -109,53 +110,40 @@ class PairMerger:
         n, known, made = len(symbols), self.rank.get, self.made
         if n < 2:
             return symbols
-        size = 1 << (n - 2).bit_length()  # leaves, one for each of the n - 1 pairs at least
-        whole = 2 * size
-        # node k has the children 2k and 2k + 1, the root is node 1; a leaf holds its pair's rank * whole + its own place
-        if n < FEW:
-            tree, after, before = [NEVER] * whole, list(range(1, n + 1)), list(range(-1, n - 1))
-        else:  # compact: words may be as long as a text
-            tree, after, before = array("q", [NEVER]) * whole, array("i", range(1, n + 1)), array("i", range(-1, n - 1))
-        leaf = size
-        for r in map(known, itertools.pairwise(symbols)):
-            if r is not None:
-                tree[leaf] = r * whole + leaf
-            leaf += 1
-        for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
-        while (best := tree[1]) != NEVER:
-            r, i = divmod(best, whole)
-            i -= size
+        shift = n.bit_length()
+        place = (1 << shift) - 1
+        # a leaf holds its pair's rank and, in the low bits, its own place; a node the least of its FAN children
+        tree = [[NEVER if r is None else r << shift | i for i, r in enumerate(map(known, itertools.pairwise(symbols)))]]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        if n >= FEW:  # compact: words may be as long as a text
+            tree, after, before = [array("q", tree[0])], array("i", after), array("i", before)
+        while len(below := tree[-1]) > FAN:
+            tree.append([min(below[k:k + FAN]) for k in range(0, len(below), FAN)])
+        leaves, top, last = tree[0], tree[-1], n - 1
+        while (best := min(top)) != NEVER:
+            i = best & place
             j = after[i]
-            symbols[i] = s = made[r]
+            symbols[i] = s = made[best >> shift]
             symbols[j] = -1
             k, h = after[j], before[i]
             after[i] = k
-            value = NEVER
             if k < n:
                 before[k] = i
                 r = known((s, symbols[k]))
-                if r is not None:
-                    value = r * whole + size + i
-            changed = [(size + i, value)]
-            if j < size:  # the last symbol has no leaf
-                changed.append((size + j, NEVER))
+                leaves[i] = NEVER if r is None else r << shift | i
+            else:
+                leaves[i] = NEVER
+            if j < last:  # the last symbol has no leaf
+                leaves[j] = NEVER
             if h >= 0:
                 r = known((symbols[h], s))
-                changed.append((size + h, NEVER if r is None else r * whole + size + h))
-            for at, value in changed:
-                if tree[at] == value:
-                    continue
-                tree[at] = value
-                while at > 1:
-                    other = tree[at ^ 1]
-                    if other < value:
-                        value = other
-                    at >>= 1
-                    if tree[at] == value:
-                        break
-                    tree[at] = value
+                leaves[h] = NEVER if r is None else r << shift | h
+            if top is not leaves:
+                changed = {i, min(j, last - 1), max(h, 0)}
+                for below, above in itertools.pairwise(tree):
+                    changed = {c // FAN for c in changed}
+                    for c in changed:
+                        above[c] = min(below[c * FAN:c * FAN + FAN])
         return [s for s in symbols if s >= 0]
 
     def _encode_word(self, word: str) -> bytes:

@@ -223,3 +223,16 @@ def test_vector_queries_on_all_rows(spark):
     blocks = negatives._blocks(vectors.integer_vectors(rows.select(F.col("vec_id").alias("id"), F.col("label").cast("long"), F.lit(1).cast("long").alias("uid"), "embedding"), F.col("embedding")), 64)
     plan = blocks.crossJoin(blocks.hint("shuffle_replicate_nl"))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_merging_by_a_tree_of_any_fan_out(merger, monkeypatch, fan):
+    monkeypatch.setattr(byte_pairs, "FAN", fan)
+    rng = np.random.default_rng(fan)
+    for size in (2, 3, 15, 17, 18, 40, 257, 1200):
+        for letters in ("ab", "etaoinshr", "0123456789abcdef", "aaaaaab", "é中a"):
+            symbols = [merger.first[b] for b in "".join(rng.choice(list(letters), size)).encode()]
+            want = list(symbols)
+            while len(want) > 1 and (best := min((merger.rank.get(p, byte_pairs.NEVER), i) for i, p in enumerate(zip(want, want[1:], strict=False))))[0] != byte_pairs.NEVER:
+                want[best[1]:best[1] + 2] = [merger.made[best[0]]]
+            assert merger.merged(symbols) == want
