@@ -278,6 +278,6 @@ def _name_type_sql(col: str) -> str:
   {_name_type_sql('name')} AS name_type FROM ({profile_sql(DOC_LABELS_SQL, DOCLABEL_COLS)})""")
 def q_profile_name_types(spark, sf):
     """Quality colour band and the name-based type guess next to the profiled type."""
-    p = P.profile_frame(doc_labels(spark, sf))
+    p = P.profile_frame(doc_labels(spark, sf), top=0)
     return p.select("name", "type", "quality_score", P.quality_band(F.col("quality_score")).alias("quality_band"),
                     P.infer_type_by_name(F.col("name")).alias("name_type"))

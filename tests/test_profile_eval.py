@@ -138,3 +138,14 @@ def test_many_buckets_match_few_buckets(spark, monkeypatch):
     big_q = scan.quantile_values(df, ["v", "w"], [0.1, 0.5, 0.9])
     for c in ("v", "w"):
         assert np.allclose(big_q[c], small_q[c])
+
+
+def test_profile_reads_the_value_histogram_once(spark):
+    df = spark.createDataFrame([(i, i % 5, None if i % 3 else "a", float(i % 4) if i != 9 else 900.0) for i in range(60)], "k long, g int, t string, v double")
+    plan = P.feature_profile(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(struct(name, k") == 1
+    full = {r["name"]: r for r in P.profile_frame(df).collect()}
+    assert {n: (r["nunique"], r["outliers"], r["top"][0]["value"]) for n, r in full.items()} == {
+        "k": (60, 0, "0"), "g": (5, 0, "0"), "t": (1, 0, "a"), "v": (5, 1, "0.0")}
+    bare = {r["name"]: r.asDict() for r in P.profile_frame(df, top=0).collect()}
+    assert bare == {n: {k: v for k, v in r.asDict().items() if k != "top"} for n, r in full.items()}
