@@ -24,6 +24,10 @@ Who is compared, without all pairs of a band:
    sets, ordered by rarity, the first common shingle stands so early that what
    follows it in both suffices for the intersection. Sizes are part of the join
    key, so a shingle too late for partners of a size isn't paired with them.
+   Either way a pair is made only if the sets' parity bitmaps allow it: a shingle
+   of one set alone changes one bit, so sets that differ in more bits than linked
+   sets have unequal shingles are not linked. Of texts just under the threshold
+   few pairs are left, and no link is lost.
 
 Only connections are asked for, so pairs inside one tree need no comparison.
 At J = 0.8, a pair shares none of the 54 bands with probability 0.738 ** 54 = 7e-8.
@@ -39,10 +43,12 @@ kept, whatever their names, by ``one_of_each``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -57,6 +63,7 @@ EMPTY = np.uint16(0xFFFF)
 HOT = 32  # nodes of a band up to which its outside nodes meet all others
 PICKS = 8
 SIZE_STEP = 1.05  # ratio of size classes in the prefix join
+PARITY = 16  # 64-bit words of a parity bitmap
 # estimates this many standard errors under the threshold are dropped
 SIGMAS = 5.0
 _PROBES = np.argsort(np.random.Generator(np.random.PCG64(7)).random((REGISTERS, REGISTERS)), axis=0)
@@ -88,6 +95,15 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return code.reshape(len(sets), REGISTERS)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of PARITY words per set: a bit for every residue of the hashes, set if
+    an odd number of the shingles has it."""
+    odd = np.zeros((len(sets), PARITY * 64), np.uint8)
+    for i, s in enumerate(sets):
+        odd[i] = np.bincount((s % np.uint64(PARITY * 64)).astype(np.intp), minlength=PARITY * 64) & 1
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def densified(regs: np.ndarray) -> np.ndarray:
     """Registers whose empty places hold that of the first full bucket in the
     place's own probe order. Every row must have a full one."""
@@ -130,11 +146,12 @@ def _signatures(k: int):
                 sets = list(shingle_sets(batch, k))
                 prints = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(wh.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))) if len(s) else 0) for s in sets]
                 regs = registers(sets)
+                bits = pa.ListArray.from_arrays(np.arange(0, (len(sets) + 1) * PARITY, PARITY, dtype=np.int32), pa.array(parities(sets).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([p[0] for p in prints], np.uint64).view(np.int64)),
                     pa.array(np.array([p[1] for p in prints], np.uint64).view(np.int64)),
-                    pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "text_hash", "n", "fp1", "fp2", "regs"])
+                    pa.array([r.tobytes() for r in regs], pa.binary()), bits], names=["doc_id", "text_hash", "n", "fp1", "fp2", "regs", "bits"])
     return run
 
 
@@ -245,9 +262,15 @@ def _tokens(k: int):
     return run
 
 
+def _may_link(a: str, b: str, n_a: str, n_b: str, threshold: int) -> Column:
+    """Whether sets of these bitmaps and sizes can reach the threshold."""
+    apart = reduce(add, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY)))
+    return apart * (100 + threshold) <= (F.col(n_a) + F.col(n_b)) * (100 - threshold)
+
+
 def _prefix_pairs(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """Pairs (a, b) of different trees that can reach the threshold, one of them
-    ``outer``, by an exact prefix and position join over ``crowd`` (node, root, outer, n)."""
+    ``outer``, by an exact prefix and position join over ``crowd`` (node, root, outer, n, bits)."""
     t = threshold
     places = reliable(nodes.select("node", "rep", "rep_hash").join(crowd.select("node").distinct(), "node"))
     tokens = written(arrow_map(_set_texts(places, docs), _tokens(k), "node long, token long").distinct(), "crowd-tokens")
@@ -257,18 +280,19 @@ def _prefix_pairs(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t
               .select("node", "n", F.posexplode(F.expr(f"slice(all, 1, n - (n * {t} + 99) div 100 + 1)")).alias("pos", "s"))
               .select("node", "n", "pos", F.col("s.token").alias("token")))
     # a node is outer if it is so in any band
-    marks = crowd.groupBy("node", "root").agg(F.max("outer").alias("outer"))
+    marks = crowd.groupBy("node", "root").agg(F.max("outer").alias("outer"), F.first("bits").alias("bits"))
     prefix = written(prefix.join(marks, "node"), "crowd-prefixes")
     size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP)))
     low = F.ceil(F.col("n") * t / 100)
     high = F.least(F.floor(F.col("n") * 100 / t), F.floor((F.col("n") - F.col("pos")) * (100 + t) / t) - F.col("n"))
     x = (prefix.filter("outer").withColumn("low", low).withColumn("high", high).filter("low <= high")
          .select("token", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))).alias("class"), F.col("node").alias("x"),
-                 F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("root").alias("rx")))
+                 F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("root").alias("rx"), F.col("bits").alias("bx")))
     y = prefix.select("token", size_class(F.col("n")).alias("class"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"),
-                      F.col("root").alias("ry"), F.col("outer").alias("oy"))
+                      F.col("root").alias("ry"), F.col("outer").alias("oy"), F.col("bits").alias("by"))
     reach = (F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) * (100 + t) >= t * (F.col("nx") + F.col("ny")))
-    pairs = x.join(y, (x["token"] == y["token"]) & (x["class"] == y["class"]) & (F.col("rx") != F.col("ry")) & reach & (~F.col("oy") | (F.col("x") < F.col("y"))))
+    pairs = x.join(y, (x["token"] == y["token"]) & (x["class"] == y["class"]) & (F.col("rx") != F.col("ry")) & reach & (~F.col("oy") | (F.col("x") < F.col("y")))
+                   & _may_link("bx", "by", "nx", "ny", t))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -276,12 +300,12 @@ def near_duplicates(df: DataFrame, k: int = 4, threshold: int = THRESHOLD, id_co
     """doc_id, text_hash, n_shingles, component_id, kept for every row."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(arrow_map(docs, _signatures(k), f"doc_id {kind}, text_hash long, n long, fp1 long, fp2 long, regs binary"), "signatures")
+    signed = written(arrow_map(docs, _signatures(k), f"doc_id {kind}, text_hash long, n long, fp1 long, fp2 long, regs binary, bits array<long>"), "signatures")
     nodes = written(signed.filter("n > 0").groupBy("fp1", "fp2", "n")
-                    .agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.min("doc_id").alias("least_id"), F.first("regs").alias("regs"))
+                    .agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.min("doc_id").alias("least_id"), F.first("regs").alias("regs"), F.first("bits").alias("bits"))
                     # numbered by id: the least of a band is often the text that the others were made from
                     .orderBy("r").select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", "n", F.col("r.doc_id").alias("rep"),
-                            F.col("r.text_hash").alias("rep_hash"), "least_id", "regs"), "nodes")
+                            F.col("r.text_hash").alias("rep_hash"), "least_id", "regs", "bits"), "nodes")
     bands = arrow_map(nodes.select("node", "regs"), _bands, "node long, key long")
     shared = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("__most")).filter("__most > pivot").drop("__most")
     spots = written(bands.join(shared, "key").select("node", "key", "pivot"), "bands")
@@ -290,13 +314,14 @@ def near_duplicates(df: DataFrame, k: int = 4, threshold: int = THRESHOLD, id_co
     first_mixed = _mixed(spots, tree)
     picked = (first_mixed.filter(F.col("nodes") > HOT).filter("root != main").select(F.least("node", "pick").alias("a"), F.greatest("node", "pick").alias("b")).distinct())
     tree = _joined(tree, _links(picked, nodes, docs, k, threshold))
-    mixed = written(_mixed(spots, tree), "mixed-bands")
+    mixed = written(_mixed(spots, tree).join(nodes.select("node", "n", "bits"), "node"), "mixed-bands")
     cool, hot = mixed.filter(F.col("nodes") <= HOT), mixed.filter(F.col("nodes") > HOT)
-    outer = cool.filter("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
-    inner = cool.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), (F.col("root") == F.col("main")).alias("is_main"))
-    met = (outer.join(inner, "key").filter("root_x != root_y AND (is_main OR x < y)")
+    outer = cool.filter("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    inner = cool.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), (F.col("root") == F.col("main")).alias("is_main"),
+                        F.col("n").alias("ny"), F.col("bits").alias("by"))
+    met = (outer.join(inner, "key").filter("root_x != root_y AND (is_main OR x < y)").filter(_may_link("bx", "by", "nx", "ny", threshold))
            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    crowd = reliable(hot.groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("outer")).join(nodes.select("node", "n"), "node"))
+    crowd = reliable(hot.groupBy("node", "root", "n").agg(F.max(F.col("root") != F.col("main")).alias("outer"), F.first("bits").alias("bits")))
     rest = met.union(_prefix_pairs(crowd, nodes, docs, k, threshold)).distinct()
     tree = _joined(tree, _links(rest, nodes, docs, k, threshold)).withColumnRenamed("root", "top")
     placed = (nodes.select("node", "fp1", "fp2", "n", "least_id").join(tree, "node", "left")

@@ -79,6 +79,37 @@ def test_chains_copies_and_borderline_pairs(spark):
     compare(spark, docs)
 
 
+def test_texts_just_under_the_threshold_make_few_pairs(spark, monkeypatch):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(300)]
+    docs = []
+    for i in range(80):
+        text = base[:]
+        for at in rnd.sample(range(300), 12 if i else 0):
+            text[at] = f"v{rnd.randrange(100000)}"
+        docs.append((i, " ".join(text)))
+    made, links = [], near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda pairs, *rest: made.append(pairs.count()) or links(pairs, *rest))
+    compare(spark, docs)
+    assert len(made) == 3 and made[2] < 100  # of over 3000 pairs
+
+
+def test_parity_bitmaps_lose_no_link(spark):
+    rng = np.random.Generator(np.random.PCG64(9))
+    x = rng.integers(0, 1 << 63, 40000, dtype=np.uint64)
+    rows = []
+    for n in (1, 5, 9, 130, 1000, 20000):
+        for m in (n, n * 9 // 10, n * 8 // 10):
+            for both in {0, m, m * 9 // 10, -(-8 * (n + m) // 18), -(-8 * (n + m) // 18) - 1}:
+                if 0 <= both <= m:
+                    a, b = near_dedup.parities([x[:n], x[n - both: n - both + m]]).tolist()
+                    rows.append((a, b, n, m, 100 * both >= 80 * (n + m - both), 100 * both < 70 * (n + m - both)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n long, m long, linked boolean, far boolean")
+    got = df.select("n", "linked", "far", near_dedup._may_link("a", "b", "n", "m", 80).alias("may")).collect()
+    assert any(r.linked for r in got) and all(r.may for r in got if r.linked)
+    assert not any(r.may for r in got if r.far and 5 <= r.n <= 1000)
+
+
 def test_near_duplicates_odd_rows(spark):
     compare(spark, [(r[0], r[1]) for r in ODD])
     compare(spark, [(1, "A b"), (2, "a B"), (3, "a b c"), (4, "a b c d"), (5, "A\tb\nc d"), (6, ""), (7, None), (8, LONG), (9, LONG + "x")])
