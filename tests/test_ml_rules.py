@@ -32,6 +32,32 @@ def test_split_partition_independent(spark):
     assert a == b
 
 
+def test_split_cuts_by_two_levels_of_few_buckets(spark, monkeypatch):
+    import hashlib
+    sizes, cutoff = [], PR._cutoff
+    monkeypatch.setattr(PR, "_cutoff", lambda counts, *rest: sizes.append(counts.count()) or cutoff(counts, *rest))
+    df = spark.range(20000).select("id", F.when(F.col("id") % 50 == 0, "b").when(F.col("id") % 50 > 1, "a").alias("y"))
+    for label in (None, "y"):
+        for share in (0.0, 0.2, 0.37, 1.0):
+            got = {r["id"]: r["split"] for r in PR.stratified_split(df, "id", label, share).collect()}
+            classes = [range(20000)] if label is None else [[i for i in range(20000) if i % 50 == 0], [i for i in range(20000) if i % 50 > 1]]
+            test = {i for c in classes for i in sorted(c, key=lambda i: (hashlib.md5(f"42{i}".encode()).hexdigest(), i))[:int(len(c) * share + 0.5)]}
+            assert len(got) == 20000 and {i for i, s in got.items() if s == "test"} == test
+    # one window orders the buckets of a class: no more than 4096, however many rows it has
+    assert sizes and max(sizes) <= 3 * 4096
+
+
+def test_prepared_rows_are_split_once(spark, monkeypatch):
+    from sparkprep.operators import supervised as S
+    plans, fit = [], PR.fit_scaler
+    monkeypatch.setattr(PR, "fit_scaler", lambda df, cols: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or fit(df, cols))
+    df = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2], 2.0 * (i % 7) + i % 2) for i in range(200)], "id long, x double, g string, y double")
+    S.feature_importance(df, "id", "y", ["x", "g"], "regression", "ridge", {"alpha": 1.0})
+    S.train_models(df, "id", "y", ["x", "g"], "regression", ["ridge"])
+    S.cross_validate(df, "id", "y", ["x", "g"], "regression", "ridge", 2, {"alpha": 1.0}, method="shuffle")
+    assert len(plans) == 4 and not any("Window" in p for p in plans)
+
+
 def test_fold_sizes_balanced(spark):
     f = PR.assign_folds(_labelled(spark), "id", "y", 5).groupBy("y", "fold").count().toPandas()
     assert (f.groupby("y")["count"].agg(lambda s: s.max() - s.min()) <= 1).all()
