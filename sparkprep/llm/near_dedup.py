@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import wordhash as wh
-from .common import Packed, arrow_map, reliable, small, written
+from .common import Packed, arrow_map, small, written
 
 THRESHOLD = 80  # percent
 BANDS, ROWS = 54, 6
@@ -206,10 +206,10 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshol
     """The pairs (a, b) of nodes that are linked: estimated, then confirmed."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     with_regs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    hopeful = reliable(arrow_map(with_regs, _hopeful(threshold), "a long, b long"))
+    hopeful = written(arrow_map(with_regs, _hopeful(threshold), "a long, b long"), "hopeful-pairs")
     asked = hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct()
-    places = reliable(nodes.select("node", "rep", "rep_hash").join(asked, "node"))
-    sets = reliable(arrow_map(_set_texts(places, docs), _sets(k), "node long, shingles binary").dropDuplicates(["node"]))
+    places = written(nodes.select("node", "rep", "rep_hash").join(asked, "node"), "asked-nodes")
+    sets = written(arrow_map(_set_texts(places, docs), _sets(k), "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
     with_sets = (hopeful.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
                  .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b").select("a", "b", "s_a", "s_b"))
     return arrow_map(with_sets, _confirmed(threshold), "a long, b long")
@@ -217,9 +217,10 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshol
 
 def _tree_roots(parents: DataFrame) -> DataFrame:
     """(node, root) for a forest of (node, up) with up < node, by pointer jumping."""
+    parents = written(parents, "tree-links")  # every step reads its links twice
     while True:
         up = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = reliable(parents.join(up, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("__moved")))
+        step = written(parents.join(up, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("__moved")), "tree-step")
         parents = step.select("node", "up")
         if step.filter("__moved").limit(1).count() == 0:
             return parents.select("node", F.col("up").alias("root"))
@@ -244,7 +245,7 @@ def _joined(tree: DataFrame, links: DataFrame) -> DataFrame:
     up = connected_components(between)
     moved = tree.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     alone = up.join(tree.select("node"), "node", "left_anti").filter("node != root")
-    return reliable(moved.select("node", F.coalesce("top", "root").alias("root")).union(alone.select("node", "root")))
+    return written(moved.select("node", F.coalesce("top", "root").alias("root")).union(alone.select("node", "root")), "trees")
 
 
 def _set_texts(places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -272,7 +273,7 @@ def _prefix_pairs(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t
     """Pairs (a, b) of different trees that can reach the threshold, one of them
     ``outer``, by an exact prefix and position join over ``crowd`` (node, root, outer, n, bits)."""
     t = threshold
-    places = reliable(nodes.select("node", "rep", "rep_hash").join(crowd.select("node").distinct(), "node"))
+    places = written(nodes.select("node", "rep", "rep_hash").join(crowd.select("node").distinct(), "node"), "crowd-nodes")
     tokens = written(arrow_map(_set_texts(places, docs), _tokens(k), "node long, token long").distinct(), "crowd-tokens")
     seen = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ordered = tokens.join(seen, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
@@ -310,7 +311,7 @@ def near_duplicates(df: DataFrame, k: int = 4, threshold: int = THRESHOLD, id_co
     shared = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("__most")).filter("__most > pivot").drop("__most")
     spots = written(bands.join(shared, "key").select("node", "key", "pivot"), "bands")
     first = spots.groupBy("node").agg(F.min("pivot").alias("p")).filter("p < node").select(F.col("p").alias("a"), F.col("node").alias("b"))
-    tree = reliable(_tree_roots(_links(first, nodes, docs, k, threshold).select(F.col("b").alias("node"), F.col("a").alias("up"))))
+    tree = _tree_roots(_links(first, nodes, docs, k, threshold).select(F.col("b").alias("node"), F.col("a").alias("up")))
     first_mixed = _mixed(spots, tree)
     picked = (first_mixed.filter(F.col("nodes") > HOT).filter("root != main").select(F.least("node", "pick").alias("a"), F.greatest("node", "pick").alias("b")).distinct())
     tree = _joined(tree, _links(picked, nodes, docs, k, threshold))
@@ -321,12 +322,12 @@ def near_duplicates(df: DataFrame, k: int = 4, threshold: int = THRESHOLD, id_co
                         F.col("n").alias("ny"), F.col("bits").alias("by"))
     met = (outer.join(inner, "key").filter("root_x != root_y AND (is_main OR x < y)").filter(_may_link("bx", "by", "nx", "ny", threshold))
            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    crowd = reliable(hot.groupBy("node", "root", "n").agg(F.max(F.col("root") != F.col("main")).alias("outer"), F.first("bits").alias("bits")))
+    crowd = written(hot.groupBy("node", "root", "n").agg(F.max(F.col("root") != F.col("main")).alias("outer"), F.first("bits").alias("bits")), "crowd")
     rest = met.union(_prefix_pairs(crowd, nodes, docs, k, threshold)).distinct()
     tree = _joined(tree, _links(rest, nodes, docs, k, threshold)).withColumnRenamed("root", "top")
     placed = (nodes.select("node", "fp1", "fp2", "n", "least_id").join(tree, "node", "left")
               .withColumn("top", F.coalesce("top", "node")))
-    placed = reliable(placed)
+    placed = written(placed, "placed")
     names = placed.groupBy("top").agg(F.min("least_id").alias("component_id"), F.count("*").alias("__c")).filter("__c > 1").drop("__c")
     named = (placed.join(names, "top", "left")
              .select("fp1", "fp2", "n", F.coalesce("component_id", "least_id").alias("component_id"), F.lit(True).alias("__linked")))
@@ -344,13 +345,13 @@ def one_of_each(df: DataFrame, k: int = 5, threshold: int = THRESHOLD, id_col: s
     found = written(near_duplicates(packed.df, k, threshold), "near-duplicates")
     stays = found.filter("kept AND n_shingles > 0 AND component_id IS NOT NULL")
     first = stays.groupBy("component_id").agg(F.min("text_hash").alias("__first"), F.count("*").alias("__c")).filter("__c > 1")
-    later = stays.join(small(reliable(first)), "component_id").filter("text_hash != __first")
+    later = stays.join(small(written(first, "first-hashes")), "component_id").filter("text_hash != __first")
     gone = found.filter("NOT kept").select("doc_id", "text_hash").union(later.select("doc_id", "text_hash")).distinct()
-    gone = reliable(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")))
+    gone = written(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
     rows = packed.df.withColumn("__h", F.xxhash64("text")).join(small(gone), same, "left_anti")
-    twice = reliable(stays.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__c")).filter("__c > 1")
-                     .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")))
+    twice = written(stays.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__c")).filter("__c > 1")
+                    .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")), "twice")
     if twice.limit(1).count():
         again = rows.join(small(twice), same, "left_semi").dropDuplicates(["doc_id", "__h"])
         rows = rows.join(small(twice), same, "left_anti").unionByName(again)

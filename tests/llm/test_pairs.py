@@ -58,6 +58,19 @@ def test_near_duplicates_by_brute_force(spark):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, c, i == c)
 
 
+def test_links_of_trees_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    links = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (9, 8)], "node long, up long").mapInArrow(counted, "node long, up long")
+    assert sorted(map(tuple, near_dedup._tree_roots(links).collect())) == [(1, 0), (2, 0), (3, 0), (9, 8)]
+    assert made.value == 4
+
+
 def test_chains_copies_and_borderline_pairs(spark):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(4000)]

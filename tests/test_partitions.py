@@ -462,3 +462,14 @@ def test_spanning_tree_takes_few_rounds(spark, monkeypatch):
 def test_components_on_and_off_the_driver(spark, few):
     edges = spark.createDataFrame([(1, 2), (3, 2), (7, 7), (9, 8), (8, 5), (3, 1), (5, 4)], "a long, b long")
     assert sorted(map(tuple, graph.connected_components(edges, few).collect())) == [(2, 1), (3, 1), (5, 4), (8, 4), (9, 4)]
+
+
+def test_components_on_the_driver_need_no_python_on_executors(spark):
+    for kind in ("long", "string"):
+        edges = spark.createDataFrame([("3", "2"), ("2", "1"), ("5", "4")], "a string, b string").selectExpr(f"CAST(a AS {kind}) a", f"CAST(b AS {kind}) b")
+        found = graph.connected_components(edges)
+        assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+        assert [t for _, t in found.dtypes] == ["bigint" if kind == "long" else kind] * 2
+        assert sorted(tuple(map(int, r)) for r in found.collect()) == [(2, 1), (3, 1), (5, 4)]
+    none = graph.connected_components(edges.filter("a = b"))
+    assert none.dtypes == found.dtypes and none.count() == 0
