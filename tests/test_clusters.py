@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sparkprep.operators import cluster, unsupervised
+from sparkprep.operators import cluster, linkage, unsupervised
 
 
 def by_pairs(x, labels):
@@ -65,3 +65,32 @@ def test_one_density_cluster_has_no_quality(spark):
     df = spark.createDataFrame([(i, float(i % 5)) for i in range(50)], "id long, a double")
     out = unsupervised.train_unsupervised(df, "id", ["a"], "clustering", ["dbscan"], {"dbscan": {"eps": 5.0}}).collect()
     assert {(r["metric"], r["value"]) for r in out} == {("n_clusters", 1.0), ("n_noise", 0.0)}
+
+
+# ------------------------------------------------------------------ single linkage
+@pytest.mark.parametrize("dims,grid", [(1, False), (2, True), (3, False), (6, False)])
+def test_spanning_tree_in_one_task_by_brute_force(dims, grid):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(350, dims)) if not grid else rng.permutation(np.unique(rng.integers(0, 30, (350, 2)), axis=0)).astype(float)
+    node = np.arange(len(x)) if dims != 3 else np.r_[0, 0, np.arange(len(x) - 2)]  # a node of several points
+    total = sum((x[:, None, i] - x[None, :, i]) ** 2 for i in range(x.shape[1]))
+    part, want = list(range(node[-1] + 1)), []
+    for d, a, b in sorted((d, *sorted((int(node[i]), int(node[j])))) for (i, j), d in np.ndenumerate(np.sqrt(total)) if node[i] < node[j]):
+        if part[a] != part[b]:
+            want.append((d, a, b))
+            part = [part[a] if p == part[b] else p for p in part]
+    assert sorted(zip(*(c.tolist() for c in linkage.tree_of(x, node)), strict=True)) == want
+
+
+def test_single_linkage_in_one_task_as_by_joins(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(300, 2)), rng.normal(size=(300, 2)) + [9, 0], np.round(rng.uniform(-20, 20, (40, 2)))])
+    rows = [(f"k{i % 630:04}", p.tolist()) for i, p in enumerate(x)] + [(None, [0.5, 0.5])]
+    points = spark.createDataFrame(rows, "id string, x array<double>")
+    count = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    start = count()
+    got = sorted((r["id"] or "", r["cluster"]) for r in linkage.single_linkage(points, 9).collect())
+    assert count() - start < 20  # rounds of joins take over a hundred jobs
+    joined = linkage.single_linkage(points, 9, leaf_rows=32, whole=0).collect()
+    assert len({c for _, c in got}) == 9
+    assert {i: c for i, c in got if i} == {r["id"]: r["cluster"] for r in joined if r["id"]}
