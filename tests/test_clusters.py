@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sparkprep.operators import cluster, linkage, unsupervised
+from sparkprep.operators.graph import connected_components
 
 
 def by_pairs(x, labels):
@@ -94,3 +95,38 @@ def test_single_linkage_in_one_task_as_by_joins(spark):
     joined = linkage.single_linkage(points, 9, leaf_rows=32, whole=0).collect()
     assert len({c for _, c in got}) == 9
     assert {i: c for i, c in got if i} == {r["id"]: r["cluster"] for r in joined if r["id"]}
+
+
+# ------------------------------------------------------------------ density clusters
+@pytest.mark.parametrize("dims", [1, 2, 3, 4])
+def test_density_clusters_of_full_cells_at_exact_distances(spark, dims):
+    """Points on a lattice, many at exactly eps, and cells of many points that only their corners connect."""
+    rng = np.random.default_rng(dims)
+    lattice = rng.integers(0, 7 if dims > 1 else 90, (60, dims)) * 0.5
+    x = np.vstack([lattice + 0.0] + [lattice[:12] + rng.integers(0, 3, (12, dims)) * 0.125 for _ in range(12)])
+    eps, least = 0.5, 6
+    total = sum((x[:, None, i] - x[None, :, i]) ** 2 for i in range(dims)) <= eps * eps
+    core = total.sum(axis=1) >= least
+    name = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        new = np.where(core, np.min(np.where(total & core[None], name[None], len(x)), axis=1), name)
+        if (new == name).all():
+            break
+        name = new
+    near = np.min(np.where(total & core[None], name[None], len(x)), axis=1)
+    want = {i: int(c) if c < len(x) else -1 for i, c in enumerate(near)}
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], ", ".join(["id long", *[f"v{i} double" for i in range(dims)]]))
+    count = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    start = count()
+    got = {r["id"]: r["cluster"] for r in cluster.dbscan_labels(df, "id", [f"v{i}" for i in range(dims)], eps, least).collect()}
+    assert got == want and len(set(want.values())) > 1
+    assert dims > 3 or count() - start < 120  # by balls and rounds of joins it took over two hundred
+
+
+def test_components_in_one_task_on_the_driver_and_by_joins(spark):
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i + 1000, i + 1001) for i in range(90)]
+    for kind, name in (("long", lambda n: n), ("string", lambda n: f"n{n:05}")):
+        edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs] + [(None, name(1))], f"a {kind}, b {kind}")
+        ways = [sorted(map(tuple, connected_components(edges, few, one).collect())) for few, one in ((10 ** 6, 0), (0, 10 ** 6), (0, 0))]
+        assert ways[0] == ways[1] == ways[2] and (name(1090), name(1000)) in ways[0]
