@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sparkprep.operators import cluster, linkage, unsupervised
+from sparkprep.operators import cluster, linkage, supervised, unsupervised
 from sparkprep.operators.graph import connected_components
 
 
@@ -130,3 +130,15 @@ def test_components_in_one_task_on_the_driver_and_by_joins(spark):
         edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs] + [(None, name(1))], f"a {kind}, b {kind}")
         ways = [sorted(map(tuple, connected_components(edges, few, one).collect())) for few, one in ((10 ** 6, 0), (0, 10 ** 6), (0, 0))]
         assert ways[0] == ways[1] == ways[2] and (name(1090), name(1000)) in ways[0]
+
+
+# ------------------------------------------------------------------ training in a session that has observed tables
+def test_models_predict_after_a_table_was_observed(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, float(v), int(v + w > 0), f"t{i % 3}", float(v - w)) for i, (v, w) in enumerate(rng.normal(size=(120, 2)))],
+                               "id long, v double, y int, t string, z double")
+    assert connected_components(df.selectExpr("id as a", "id div 2 as b")).count() == 119  # observes the edges
+    _, metrics = supervised.train_models(df, "id", "y", ["v", "t"], "classification", ["logistic_regression"])
+    assert {r["split"] for r in metrics.collect() if r["metric"] == "accuracy"} == {"train", "test"}
+    _, metrics = supervised.train_models(df, "id", "z", ["v", "t"], "regression", ["linear_regression"])
+    assert {r["split"] for r in metrics.collect() if r["metric"] == "r2"} == {"train", "test"}
